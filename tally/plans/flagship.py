@@ -1,13 +1,13 @@
-"""The flagship query (placeholder until the time-series operators land)."""
+"""The flagship query: monthly order revenue -> seasonal decomposition
+(period 12) joined with a 3-month moving average."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tally.functions.stats import finalize
-from tally.operators.profile import describe_numeric
-from tally.sources.files import read_table
+from tally.plans.q_timeseries import decompose_with_ma
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return finalize(describe_numeric(read_table(spark, sf, "lineitem")))
+    return finalize(decompose_with_ma(spark, sf))

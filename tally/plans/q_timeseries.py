@@ -1 +1,249 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries T1-T12 (time series) and the flagship plan."""
+
+from __future__ import annotations
+
+from tally.operators import timeseries as TS
+from tally.plans.catalog import register
+from tally.sources.files import read_table
+
+TS_COL = "o_orderdate"
+_M = ("SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS o_orderdate, sum(o_totalprice) AS y "
+      "FROM orders GROUP BY 1")
+_D = ("SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS o_orderdate, sum(o_totalprice) AS y "
+      "FROM orders GROUP BY 1")
+_W = "OVER (ORDER BY o_orderdate)"
+
+
+def monthly_revenue(spark, sf):
+    return TS.resample(read_table(spark, sf, "orders"), TS_COL, "o_totalprice", "month", "sum")
+
+
+def daily_revenue(spark, sf):
+    return TS.resample(read_table(spark, sf, "orders"), TS_COL, "o_totalprice", "day", "sum")
+
+
+# --------------------------------------------------------------------- T1
+@register("t1_resample", _M, ["y"])
+def t1(spark, sf):
+    return monthly_revenue(spark, sf)
+
+
+@register("t1_resample_by", "SELECT o_orderstatus, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS o_orderdate, "
+                            "CAST(count(*) AS DOUBLE) AS y FROM orders GROUP BY 1, 2", ["y"])
+def t1_by(spark, sf):
+    return TS.resample(read_table(spark, sf, "orders"), TS_COL, None, "day", "count", by=["o_orderstatus"])
+
+
+@register("t1_resample_hourly", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, avg(value) AS y "
+                                "FROM events GROUP BY 1", ["y"])
+def t1_hourly(spark, sf):
+    return TS.resample(read_table(spark, sf, "events"), "ts", "value", "hour", "avg")
+
+
+# --------------------------------------------------------------------- T2
+@register("t2_slot_profile", "SELECT CAST(hour(ts) AS BIGINT) AS slot, avg(value) AS y, count(*) AS n "
+                             "FROM events GROUP BY 1", ["y"])
+def t2(spark, sf):
+    return TS.slot_profile(read_table(spark, sf, "events"), "ts", "value", "hour")
+
+
+@register("t2_slot_profile_weekday", "SELECT CAST(isodow(o_orderdate) AS BIGINT) AS slot, sum(o_totalprice) AS y, "
+                                     "count(*) AS n FROM orders GROUP BY 1", ["y"])
+def t2_dow(spark, sf):
+    return TS.slot_profile(read_table(spark, sf, "orders"), TS_COL, "o_totalprice", "dow", "sum")
+
+
+# --------------------------------------------------------------------- T3
+_FULL = (f"WITH d AS ({_D}), b AS (SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM d), "
+         "f AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS o_orderdate FROM b) ")
+
+
+@register("t3_fill_gaps", _FULL + "SELECT f.o_orderdate, coalesce(d.y, 0.0) AS y, d.y IS NULL AS filled "
+                                  "FROM f LEFT JOIN d ON f.o_orderdate = d.o_orderdate", ["y"])
+def t3(spark, sf):
+    return TS.fill_gaps(daily_revenue(spark, sf), TS_COL, "day", "zero")
+
+
+@register("t3_fill_gaps_ffill", _FULL + "SELECT f.o_orderdate, last_value(d.y IGNORE NULLS) OVER (ORDER BY f.o_orderdate "
+                                        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y, d.y IS NULL AS filled "
+                                        "FROM f LEFT JOIN d ON f.o_orderdate = d.o_orderdate", ["y"])
+def t3_ffill(spark, sf):
+    return TS.fill_gaps(daily_revenue(spark, sf), TS_COL, "day", "ffill")
+
+
+# --------------------------------------------------------------------- T4
+_IDX = f"WITH m AS ({_M}), g AS (SELECT o_orderdate, y, CAST(row_number() {_W} - 1 AS DOUBLE) AS idx FROM m) "
+
+
+@register("t4_linear_trend", _IDX + "SELECT count(y) AS n, regr_slope(y, idx) AS slope, regr_intercept(y, idx) "
+                                    "AS intercept, regr_r2(y, idx) AS r2 FROM g", ["slope", "intercept", "r2"])
+def t4(spark, sf):
+    return TS.linear_trend(monthly_revenue(spark, sf), TS_COL)
+
+
+# --------------------------------------------------------------------- T5
+def _decompose_sql(model: str, src: str = _M, extra: str = "") -> str:
+    frame = "OVER (ORDER BY o_orderdate ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)"
+    detr = "y - trend" if model == "additive" else "y / trend"
+    cen = "s - (SELECT avg(s) FROM raw)" if model == "additive" else "s / (SELECT avg(s) FROM raw)"
+    resid = "y - trend - seasonal" if model == "additive" else "y / (trend * seasonal)"
+    return (f"WITH m AS ({src}), g AS (SELECT o_orderdate, y, row_number() {_W} - 1 AS idx, "
+            f"CASE WHEN count(y) {frame} = 13 THEN (sum(y) {frame} - 0.5 * (lag(y, 6) {_W} + lead(y, 6) {_W})) / 12 "
+            f"END AS trend{extra} FROM m), "
+            f"raw AS (SELECT idx % 12 AS phase, avg({detr}) AS s FROM g GROUP BY 1), "
+            f"seas AS (SELECT phase, {cen} AS seasonal FROM raw) "
+            f"SELECT o_orderdate, y, trend, seasonal, {resid} AS resid"
+            + (", ma" if extra else "")
+            + " FROM g LEFT JOIN seas ON g.idx % 12 = seas.phase")
+
+
+@register("t5_decompose", _decompose_sql("additive"), ["y", "trend", "seasonal", "resid"])
+def t5(spark, sf):
+    return TS.decompose(monthly_revenue(spark, sf), TS_COL, 12, "additive")
+
+
+@register("t5_decompose_mult", _decompose_sql("multiplicative"), ["y", "trend", "seasonal", "resid"])
+def t5_mult(spark, sf):
+    return TS.decompose(monthly_revenue(spark, sf), TS_COL, 12, "multiplicative")
+
+
+_MA3 = (", CASE WHEN count(y) OVER (ORDER BY o_orderdate ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 "
+        "THEN avg(y) OVER (ORDER BY o_orderdate ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS ma")
+
+
+def decompose_with_ma(spark, sf):
+    """Flagship: monthly revenue -> decomposition (period 12) joined with a
+    3-month trailing average on the month key."""
+    m = monthly_revenue(spark, sf)
+    dec = TS.decompose(m, TS_COL, 12, "additive")
+    ma = TS.moving_average(m, TS_COL, 3).select(TS_COL, "ma")
+    return dec.join(ma, on=TS_COL, how="inner")
+
+
+@register("t5_decompose_with_ma", _decompose_sql("additive", extra=_MA3), ["y", "trend", "seasonal", "resid", "ma"])
+def t5_ma(spark, sf):
+    return decompose_with_ma(spark, sf)
+
+
+# --------------------------------------------------------------------- T6
+_W7 = "OVER (ORDER BY f.o_orderdate ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+
+
+@register("t6_moving_average", _FULL + f"SELECT o_orderdate, y, filled, CASE WHEN count(y) {_W7.replace('f.', '')} >= 7 "
+                                       f"THEN avg(y) {_W7.replace('f.', '')} END AS ma FROM ("
+                                       "SELECT f.o_orderdate, coalesce(d.y, 0.0) AS y, d.y IS NULL AS filled "
+                                       "FROM f LEFT JOIN d ON f.o_orderdate = d.o_orderdate) AS z", ["y", "ma"])
+def t6(spark, sf):
+    filled = TS.fill_gaps(daily_revenue(spark, sf), TS_COL, "day", "zero")
+    return TS.moving_average(filled, TS_COL, 7)
+
+
+# --------------------------------------------------------------------- T7
+_EWM_SQL = (f"WITH RECURSIVE m AS ({_M}), g AS (SELECT row_number() {_W} AS i, o_orderdate, y FROM m), "
+            "r AS (SELECT i, o_orderdate, y, y AS ewm FROM g WHERE i = 1 UNION ALL "
+            "SELECT g.i, g.o_orderdate, g.y, 0.3 * g.y + (1.0 - 0.3) * r.ewm FROM g JOIN r ON g.i = r.i + 1) "
+            "SELECT o_orderdate, y, ewm FROM r")
+
+
+@register("t7_ewm", _EWM_SQL, ["y", "ewm"])
+def t7(spark, sf):
+    return TS.ewm(monthly_revenue(spark, sf), TS_COL, 0.3)
+
+
+# --------------------------------------------------------------------- T8
+@register("t8_holt_winters")
+def t8(spark, sf):
+    return TS.holt_winters(monthly_revenue(spark, sf), TS_COL, 12, 0.3, 0.1, 0.2, horizon=12, freq="month")
+
+
+# --------------------------------------------------------------------- T9
+_H = "range(1, 13) AS r(h)"
+_NAIVE = (f"WITH m AS ({_M}), s AS (SELECT max(o_orderdate) AS last, arg_max(y, o_orderdate) AS last_y, "
+          "arg_min(y, o_orderdate) AS first_y, count(*) AS n, avg(y) AS mean FROM m) "
+          "SELECT h AS step, last + to_months(CAST(h AS INTEGER)) AS o_orderdate, {e} AS yhat FROM s, " + _H)
+
+
+@register("t9_forecast_naive", _NAIVE.format(e="last_y"), ["yhat"])
+def t9_naive(spark, sf):
+    return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "naive", "month")
+
+
+@register("t9_forecast_drift", _NAIVE.format(e="last_y + h * (last_y - first_y) / (n - 1)"), ["yhat"])
+def t9_drift(spark, sf):
+    return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "drift", "month")
+
+
+@register("t9_forecast_mean", _NAIVE.format(e="mean"), ["yhat"])
+def t9_mean(spark, sf):
+    return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "mean", "month")
+
+
+_SNAIVE = (f"WITH m AS ({_M}), t AS (SELECT y, row_number() OVER (ORDER BY o_orderdate DESC) AS rn FROM m) "
+           "SELECT h AS step, (SELECT max(o_orderdate) FROM m) + to_months(CAST(h AS INTEGER)) AS o_orderdate, "
+           f"t.y AS yhat FROM {_H} LEFT JOIN t ON t.rn = 12 - (h - 1) % 12")
+
+
+@register("t9_forecast_seasonal_naive", _SNAIVE, ["yhat"])
+def t9_snaive(spark, sf):
+    return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "seasonal_naive", "month", period=12)
+
+
+_TS_SQL = (_decompose_sql("additive").replace("SELECT o_orderdate, y, trend, seasonal, y - trend - seasonal AS resid "
+                                              "FROM g LEFT JOIN seas ON g.idx % 12 = seas.phase", "")
+           + ", tr AS (SELECT count(*) AS n, max(o_orderdate) AS last, regr_slope(y, CAST(idx AS DOUBLE)) AS slope, "
+           "regr_intercept(y, CAST(idx AS DOUBLE)) AS intercept FROM g) "
+           "SELECT h AS step, last + to_months(CAST(h AS INTEGER)) AS o_orderdate, "
+           f"intercept + slope * (n - 1 + h) + seasonal AS yhat FROM tr CROSS JOIN {_H} "
+           "LEFT JOIN seas ON seas.phase = (n - 1 + h) % 12")
+
+
+@register("t9_forecast_trend_season", _TS_SQL, ["yhat"])
+def t9_ts(spark, sf):
+    return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "trend_season", "month", period=12)
+
+
+@register("t9_forecast_ar")
+def t9_ar(spark, sf):
+    return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "ar", "month", p=2)
+
+
+@register("t9_forecast_holt_winters")
+def t9_hw(spark, sf):
+    return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "holt_winters", "month", period=12)
+
+
+# -------------------------------------------------------------------- T10
+_BT = (f"WITH m AS ({_M}), r AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC) AS rn FROM m), "
+       "train AS (SELECT o_orderdate, y, row_number() OVER (ORDER BY o_orderdate DESC) AS trn FROM r WHERE rn > 12), "
+       "lt AS (SELECT max(o_orderdate) AS last FROM train), "
+       f"fc AS (SELECT lt.last + to_months(CAST(h AS INTEGER)) AS ts, t.y AS yhat FROM lt CROSS JOIN {_H} "
+       "LEFT JOIN train AS t ON t.trn = 12 - (h - 1) % 12), "
+       "test AS (SELECT o_orderdate AS ts, y AS actual FROM r WHERE rn <= 12) "
+       "SELECT count(*) AS n, avg(abs(actual - yhat)) AS mae, sqrt(avg((actual - yhat) * (actual - yhat))) AS rmse, "
+       "avg(CASE WHEN actual <> 0 THEN abs((actual - yhat) / actual) END) AS mape FROM fc JOIN test USING (ts)")
+
+
+@register("t10_backtest", _BT, ["mae", "rmse", "mape"])
+def t10(spark, sf):
+    return TS.backtest(monthly_revenue(spark, sf), TS_COL, 12, "seasonal_naive", "month", period=12)
+
+
+# -------------------------------------------------------------------- T11
+@register("t11_lag_features", f"WITH m AS ({_M}) SELECT o_orderdate, y, lag(y, 1) {_W} AS lag_1, "
+                              f"lag(y, 12) {_W} AS lag_12, y - lag(y, 1) {_W} AS diff_1, "
+                              f"CASE WHEN lag(y, 1) {_W} <> 0 THEN (y - lag(y, 1) {_W}) / lag(y, 1) {_W} END "
+                              "AS pct_change_1 FROM m", ["y", "lag_1", "lag_12", "diff_1", "pct_change_1"])
+def t11(spark, sf):
+    return TS.lag_features(monthly_revenue(spark, sf), TS_COL, [1, 12])
+
+
+# -------------------------------------------------------------------- T12
+_ACF = (f"WITH m AS ({_M}), d AS (SELECT row_number() {_W} AS i, y - avg(y) OVER () AS d FROM m), "
+        "den AS (SELECT sum(d * d) AS den FROM d) "
+        "SELECT CAST(k AS BIGINT) AS lag, sum(a.d * b.d) / den AS acf FROM range(1, 25) AS r(k) "
+        "CROSS JOIN d AS a JOIN d AS b ON b.i = a.i + k CROSS JOIN den GROUP BY k, den")
+
+
+@register("t12_acf", _ACF, ["acf"])
+def t12(spark, sf):
+    return TS.acf(monthly_revenue(spark, sf), TS_COL, 24)

@@ -57,7 +57,7 @@ def sample_table(spark: SparkSession, n: int = 1000, seed: int = 0,
     base = spark.range(0, n, 1, partitions) if partitions else spark.range(0, n)
     return base.select(
         F.col("id"),
-        F.timestampadd("HOUR", F.col("id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("ts"),
+        F.timestamp_add("HOUR", F.col("id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("ts"),
         F.element_at(F.array(*[F.lit(c) for c in ("A", "B", "C", "D", "E")]),
                      (F.pmod(F.col("id"), F.lit(5)) + 1).cast("int")).alias("category"),
         (u1 * 100.0).alias("x"),
