@@ -45,32 +45,54 @@ def nan_to_null(c: str | Column) -> Column:
 def rsig(c: str | Column, digits: int = 9) -> Column:
     x = as_col(c).cast("double")
     s = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
-    up = F.round(x * F.pow(F.lit(10.0), s)) / F.pow(F.lit(10.0), s)
-    down = F.round(x / F.pow(F.lit(10.0), -s)) * F.pow(F.lit(10.0), -s)
+    p = F.pow(F.lit(10.0), F.abs(s))  # exact: integer exponent <= 22
+    m = F.when(s >= 0, x * p).otherwise(x / p)
+    r = F.signum(m) * F.floor(F.abs(m) + 0.5)  # half away from zero, no BigDecimal
     return (F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), x)
             .when(F.abs(x) < 1e-9, F.lit(0.0))
-            .when(s >= 0, up)
-            .otherwise(down))
+            .when(s >= 0, r / p)
+            .otherwise(r * p))
 
 
 def rsig_sql(expr: str, digits: int = 9) -> str:
     x = f"CAST(({expr}) AS DOUBLE)"
     s = f"({digits - 1} - floor(log10(abs({x}))))"
+    p = f"pow(10.0, abs({s}))"
+    m = f"(CASE WHEN {s} >= 0 THEN {x} * {p} ELSE {x} / {p} END)"
+    r = f"(sign({m}) * floor(abs({m}) + 0.5))"
     return (f"CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN {x} "
             f"WHEN abs({x}) < 1e-9 THEN 0.0 "
-            f"WHEN {s} >= 0 THEN round({x} * pow(10.0, {s})) / pow(10.0, {s}) "
-            f"ELSE round({x} / pow(10.0, -{s})) * pow(10.0, -{s}) END")
+            f"WHEN {s} >= 0 THEN {r} / {p} ELSE {r} * {p} END")
 
 
 def finalize(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Round every floating-point column to ``digits`` significant digits."""
-    out = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(rsig(F.col(f"`{f.name}`"), digits).alias(f.name))
-        else:
-            out.append(F.col(f"`{f.name}`"))
-    return df.select(*out)
+    """Round every floating-point column to ``digits`` significant digits.
+
+    Same arithmetic as :func:`rsig`, staged over three projections so each
+    intermediate (exponent, scale, scaled value) is computed once per row
+    instead of being re-inlined into every CASE branch."""
+    fl = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if not fl:
+        return df
+    names = df.columns
+    idx = {c: i for i, c in enumerate(names)}
+    keep = [F.col(f"`{c}`") for c in names if c not in fl]
+    st1 = df.select(*keep, *[F.col(f"`{c}`").cast("double").alias(f"_x{idx[c]}") for c in fl])
+    st1 = st1.select("*", *[(F.lit(digits - 1) - F.floor(F.log10(F.abs(F.col(f"_x{idx[c]}"))))).alias(f"_s{idx[c]}")
+                            for c in fl])
+    st2 = st1.select("*", *[F.pow(F.lit(10.0), F.abs(F.col(f"_s{idx[c]}"))).alias(f"_p{idx[c]}") for c in fl])
+    st3 = st2.select("*", *[F.when(F.col(f"_s{idx[c]}") >= 0, F.col(f"_x{idx[c]}") * F.col(f"_p{idx[c]}"))
+                            .otherwise(F.col(f"_x{idx[c]}") / F.col(f"_p{idx[c]}")).alias(f"_m{idx[c]}") for c in fl])
+
+    def out(c):
+        i = idx[c]
+        x, s_, p_, m_ = (F.col(f"_{k}{i}") for k in "xspm")
+        r = F.signum(m_) * F.floor(F.abs(m_) + 0.5)
+        return (F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), x)
+                .when(F.abs(x) < 1e-9, F.lit(0.0))
+                .when(s_ >= 0, r / p_).otherwise(r * p_)).alias(c)
+
+    return st3.select(*[out(c) if c in fl else F.col(f"`{c}`") for c in names])
 
 
 def finalize_sql(sql: str, double_cols: Sequence[str], digits: int = 9) -> str:

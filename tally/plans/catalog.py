@@ -19,8 +19,9 @@ from tally.functions.stats import finalize, finalize_sql
 
 @dataclass(frozen=True)
 class Registered:
-    build: Callable[[SparkSession, str], DataFrame]
+    build: Callable[[SparkSession, str], DataFrame]   # plan + rounding for the oracle hash
     sql: str | None
+    raw: Callable[[SparkSession, str], DataFrame]     # the operator plan itself (bench)
 
 
 REGISTRY: dict[str, Registered] = {}
@@ -37,7 +38,7 @@ def register(name: str, sql: str | None = None, doubles: Sequence[str] = (),
             return finalize(_fn(spark, sf), digits)
 
         build.__name__ = f"q_{name}"
-        REGISTRY[name] = Registered(build, finalize_sql(sql, doubles, digits) if sql else None)
+        REGISTRY[name] = Registered(build, finalize_sql(sql, doubles, digits) if sql else None, fn)
         return fn
     return deco
 

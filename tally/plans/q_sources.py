@@ -1 +1,57 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries S1, S4 and X1 (file sources and sinks).
+
+Round trips write a whole given table (or a chart table computed from one)
+under the session's shared checkpoint folder and read it back with the
+original schema; the oracle is the table itself.
+"""
+
+from __future__ import annotations
+
+from tally.operators import charts as C
+from tally.plans.catalog import register
+from tally.plans.q_charts import _V4_SQL
+from tally.plans.q_timeseries import _M, monthly_revenue
+from tally.session import scratch_path
+from tally.sources.files import export_table, read_back, read_csv, read_table
+
+_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
+
+
+@register("s1_read_csv", _ORDERS, ["o_totalprice"])
+def s1(spark, sf):
+    o = read_table(spark, sf, "orders")
+    path = export_table(o, scratch_path(spark, "orders-csv"), "csv")
+    return read_csv(spark, path, schema=o.schema)
+
+
+@register("s1_read_csv_inferred")
+def s1_infer(spark, sf):
+    o = read_table(spark, sf, "orders")
+    path = export_table(o, scratch_path(spark, "orders-csv"), "csv")
+    return read_csv(spark, path, schema=None, sampling=0.1)
+
+
+@register("s4_read_table", "SELECT * FROM lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+def s4(spark, sf):
+    return read_table(spark, sf, "lineitem")
+
+
+@register("x1_export_parquet", _V4_SQL, ["lo", "hi"])
+def x1_parquet(spark, sf):
+    h = C.histogram_table(read_table(spark, sf, "events"), "value", bins=10)
+    path = export_table(h, scratch_path(spark, "hist-parquet"), "parquet", single_file=True)
+    return read_back(spark, path, "parquet", h.schema)
+
+
+@register("x1_export_csv", _M, ["y"])
+def x1_csv(spark, sf):
+    m = monthly_revenue(spark, sf)
+    path = export_table(m, scratch_path(spark, "monthly-csv"), "csv", single_file=True)
+    return read_back(spark, path, "csv", m.schema)
+
+
+@register("x1_export_json", _M, ["y"])
+def x1_json(spark, sf):
+    m = monthly_revenue(spark, sf)
+    path = export_table(m, scratch_path(spark, "monthly-json"), "json")
+    return read_back(spark, path, "json", m.schema)
