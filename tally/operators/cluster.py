@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 
 def vectors(df: DataFrame, xs: Sequence[str], key: Sequence[str], scale: bool = True) -> DataFrame:
-    """key..., xs..., features (standardised when ``scale``); rows with a
-    NULL feature are skipped (VectorAssembler rejects them)."""
+    """key..., xs..., features (divided by their standard deviation when
+    ``scale``); rows with a NULL feature are skipped (VectorAssembler rejects
+    them).  Features are not mean-centred: k-means and PCA do not need it,
+    and bisecting k-means splits a cluster by perturbing its centre in
+    proportion to the centre's norm, so a centre at the origin never splits."""
     xs, key = list(xs), list(key)
     base = df.select(*key, *[F.col(x).cast("double").alias(x) for x in xs]).na.drop(subset=xs)
     v = VectorAssembler(inputCols=xs, outputCol="_raw" if scale else "features").transform(base)
     if scale:
-        v = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(v).transform(v)
+        v = StandardScaler(inputCol="_raw", outputCol="features", withMean=False, withStd=True).fit(v).transform(v)
         v = v.drop("_raw")
     return v
 

@@ -30,6 +30,7 @@ def design(df: DataFrame, y: str, xs: Sequence[str], degree: int = 1,
     every x are present (VectorAssembler rejects NULL: such rows are
     skipped, stated here)."""
     xs = list(xs)
+    keep = [k for k in keep if k not in xs]
     base = df.select(*keep, F.col(y).cast("double").alias("label"),
                      *[F.col(x).cast("double").alias(x) for x in xs]).na.drop(subset=["label", *xs])
     out = VectorAssembler(inputCols=xs, outputCol="_x" if degree > 1 else "features").transform(base)

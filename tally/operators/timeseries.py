@@ -189,9 +189,14 @@ def _hw_frame(ts: str, period: int, alpha: float, beta: float, gamma: float, hor
         cols = {k: pdf[k].iloc[0] for k in key}
         if n < 2 * period:
             return pd.DataFrame({**{k: [] for k in key}, "step": [], "fitted": [], "y": []})
-        level = y[:period].mean()
-        trend = (y[period:2 * period].mean() - level) / period
-        season = list(y[:period] - level)
+        # initial state at the end of the first season: the first season's
+        # mean sits at its middle, so shift it by the initial trend, and
+        # take the seasonal indices from the detrended first season
+        m0 = y[:period].mean()
+        trend = (y[period:2 * period].mean() - m0) / period
+        mid = (period - 1) / 2.0
+        level = m0 + trend * mid
+        season = list(y[:period] - (m0 + trend * (np.arange(period) - mid)))
         fitted = np.full(n, np.nan)
         for t in range(n):
             s = season[t % period] if t >= period else season[t]
@@ -260,7 +265,7 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
 
     naive: last value.  seasonal_naive: value one season back.  drift: last
     value plus the average step change.  mean: series mean.  trend_season:
-    linear trend plus additive phase means.  holt_winters: additive HW.
+    line through the decomposition trend plus the additive seasonal index.  holt_winters: additive HW.
     ar: AR(p) least squares per series.
     """
     by = list(by)
@@ -294,10 +299,13 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
     if method == "trend_season":
         if not period:
             raise ValueError("trend_season needs a period")
-        tr = linear_trend(g, ts, "y", by)
-        dec = decompose(g, ts, period, "additive", "y", by)
-        seas = with_index(dec, ts, by).select(*by, (F.col("idx") % period).alias("_phase"),
-                                              "seasonal").distinct()
+        # line through the decomposition's trend component (centred moving
+        # average), so the within-season ramp does not leak into the slope
+        dec = with_index(decompose(g, ts, period, "additive", "y", by), ts, by)
+        x = F.col("idx").cast("double")
+        tr = dec.groupBy(*by).agg(F.regr_slope("trend", x).alias("slope"),
+                                  F.regr_intercept("trend", x).alias("intercept"))
+        seas = dec.select(*by, (F.col("idx") % period).alias("_phase"), "seasonal").distinct()
         last = g.groupBy(*by).agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n"))
         base = (last.join(tr, on=by, how="inner") if by else last.crossJoin(tr))
         fut = base.select(*by, "_last", "_n", "slope", "intercept", steps)

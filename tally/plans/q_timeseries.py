@@ -190,8 +190,8 @@ def t9_snaive(spark, sf):
 
 _TS_SQL = (_decompose_sql("additive").replace("SELECT o_orderdate, y, trend, seasonal, y - trend - seasonal AS resid "
                                               "FROM g LEFT JOIN seas ON g.idx % 12 = seas.phase", "")
-           + ", tr AS (SELECT count(*) AS n, max(o_orderdate) AS last, regr_slope(y, CAST(idx AS DOUBLE)) AS slope, "
-           "regr_intercept(y, CAST(idx AS DOUBLE)) AS intercept FROM g) "
+           + ", tr AS (SELECT count(*) AS n, max(o_orderdate) AS last, regr_slope(trend, CAST(idx AS DOUBLE)) AS slope, "
+           "regr_intercept(trend, CAST(idx AS DOUBLE)) AS intercept FROM g) "
            "SELECT h AS step, last + to_months(CAST(h AS INTEGER)) AS o_orderdate, "
            f"intercept + slope * (n - 1 + h) + seasonal AS yhat FROM tr CROSS JOIN {_H} "
            "LEFT JOIN seas ON seas.phase = (n - 1 + h) % 12")
