@@ -145,6 +145,17 @@ def equal_width_bin_sql(v: str, lo: str, hi: str, n: int) -> str:
 # Running sums without a single-partition window
 # ---------------------------------------------------------------------------
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL-safe equality, keeping one copy of the keys."""
+    r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys],
+                     *[F.col(c) for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_rk_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, on=cond, how=how).drop(*[f"_rk_{k}" for k in keys])
+
+
 def _buckets(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return max(int(buckets), 1)
@@ -177,11 +188,19 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         return df.select("*", *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
 
     probs = [i / n_b for i in range(1, n_b)]
-    cuts = df.agg(F.percentile_approx(F.col(order_col), probs, 10000).alias("_cuts"))
-    # one row: broadcasting it is bounded by construction
-    x = (df.crossJoin(F.broadcast(cuts))
-         .withColumn("_bkt", F.size(F.filter("_cuts", lambda c: c < F.col(order_col))))
-         .drop("_cuts"))
+    pa = F.percentile_approx(F.col(order_col), probs, 10000).alias("_cuts")
+    if by:
+        # cut points per group (one row per group: AQE broadcasts when small)
+        cuts = df.groupBy(*by).agg(pa)
+        x = join_on_keys(df, cuts, by)
+    else:
+        # one row: broadcasting it is bounded by construction
+        x = df.crossJoin(F.broadcast(df.agg(pa)))
+    x = x.withColumn("_bkt", F.size(F.filter("_cuts", lambda c: c < F.col(order_col)))).drop("_cuts")
+    # running sum inside each (group, range): the shuffle is by (group, range)
+    wi = Window.partitionBy(*by, "_bkt").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    xw = x.select("*", *[F.sum(c).over(wi).alias(f"_w_{c}") for c in sum_cols])
+    # plus the total of all earlier ranges of the group
     tot = x.groupBy(*by, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     bkt_order = F.col("_bkt").desc() if descending else F.col("_bkt").asc()
     wb = Window.partitionBy(*by).orderBy(bkt_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -189,7 +208,72 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                                     for c in sum_cols])
     # ``pre`` has at most groups x buckets rows; AQE turns this into a
     # broadcast join when its measured size is small, a shuffle join otherwise.
-    y = x.join(pre, on=[*by, "_bkt"], how="inner")
-    wi = Window.partitionBy(*by, "_bkt").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    y = join_on_keys(xw, pre, [*by, "_bkt"])
     return y.select(*[F.col(f"`{c}`") for c in df.columns],
-                    *[(F.col(f"_p_{c}") + F.sum(c).over(wi)).alias(f"{prefix}{c}") for c in sum_cols])
+                    *[(F.col(f"_p_{c}") + F.col(f"_w_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
+
+
+# ---------------------------------------------------------------------------
+# Exact quantiles without a per-group value map
+# ---------------------------------------------------------------------------
+
+# Largest number of distinct values for which the single-pass ``percentile``
+# aggregate (a value -> count map per group) is used.
+PERCENTILE_MAP_LIMIT = 500_000
+
+
+def bounded_domain(df: DataFrame, cols: Sequence[str | Column], limit: int | None = None) -> bool:
+    """True when every column has at most ``limit`` distinct values, measured
+    with one HyperLogLog pass (bounded memory; 2 % relative error, so the
+    test uses 0.9 x limit).  This is an action: a run-time plan choice made
+    on a measured size, like AQE's."""
+    limit = PERCENTILE_MAP_LIMIT if limit is None else limit
+    if limit <= 0:
+        return False
+    if not cols:
+        return True
+    r = df.agg(*[F.approx_count_distinct(nan_to_null(as_col(c)), 0.02).alias(f"_d{i}")
+                 for i, c in enumerate(cols)]).first()
+    return all((r[i] or 0) <= 0.9 * limit for i in range(len(cols)))
+
+
+def quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], by: Sequence[str] = (),
+              buckets: int | None = None, out: str = "_q", map_limit: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (position p (n - 1), as
+    ``percentile`` / ``quantile_cont``): one row per ``by`` group holding the
+    array ``out`` in ``probs`` order.  NaN counts as missing.
+
+    ``percentile`` keeps a map of every distinct value of a group in one
+    aggregation buffer, so a global percentile over a continuous column
+    lands in a single task.  Here the values are counted by a grouped
+    aggregate (partial aggregation), ranked by bucketed running counts, and
+    only the rows holding the wanted order statistics (two per quantile)
+    survive the range match against the small target table.  When the
+    column has at most ``map_limit`` distinct values (measured), the
+    single-pass ``percentile`` is used instead: its maps are then bounded.
+    """
+    by = list(by)
+    v = df.select(*by, nan_to_null(as_col(col)).alias("_v")).where(F.col("_v").isNotNull())
+    if bounded_domain(v, ["_v"], map_limit):
+        # every group's value map is bounded by the measured distinct count
+        return v.groupBy(*by).agg(F.percentile("_v", [float(p) for p in probs]).alias(out))
+    counts = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_sums(counts, "_v", ["_n"], by=by, buckets=buckets)
+    tot = counts.groupBy(*by).agg(F.sum("_n").alias("_N"))
+    tgt = (tot.select(*by, "_N", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+           .select(*by, "_i", (F.col("_p") * (F.col("_N") - 1)).alias("_h"), "_N"))
+    tgt = tgt.select(*by, "_i", "_h", F.floor("_h").alias("_lo"),
+                     F.least(F.floor("_h") + 1, F.col("_N") - 1).alias("_hi"))
+    before = F.col("cum__n") - F.col("_n")
+    has_lo = (before <= F.col("_lo")) & (F.col("_lo") < F.col("cum__n"))
+    has_hi = (before <= F.col("_hi")) & (F.col("_hi") < F.col("cum__n"))
+    if by:
+        m = join_on_keys(cum, tgt, by).where(has_lo | has_hi)
+    else:
+        # the target table has len(probs) rows
+        m = cum.crossJoin(F.broadcast(tgt)).where(has_lo | has_hi)
+    g = m.groupBy(*by, "_i", "_h", "_lo").agg(F.max(F.when(has_lo, F.col("_v"))).alias("_a"),
+                                              F.max(F.when(has_hi, F.col("_v"))).alias("_b"))
+    val = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))
+    res = g.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("_i"), val.alias("_x")))).alias("_s"))
+    return res.select(*by, F.col("_s._x").alias(out))

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.functions.stats import as_col, equal_width_bin
+from tally.functions.stats import as_col, equal_width_bin, join_on_keys, quantiles
 
 OTHER = "(other)"
 
@@ -23,7 +23,7 @@ def agg_expr(agg: str, y: str | Column | None) -> Column:
         return F.count(F.lit(1)) if y is None else F.count(as_col(y))
     c = as_col(y).cast("double")
     fns = {"avg": F.avg, "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max,
-           "median": F.median, "std": F.stddev_samp}
+           "median": lambda c: F.percentile_approx(c, 0.5, 10000), "std": F.stddev_samp}
     if agg not in fns:
         raise ValueError(f"unknown aggregate {agg!r}")
     return fns[agg](c)
@@ -139,12 +139,14 @@ def box_table(df: DataFrame, cat: str, y: str, k: float = 1.5, exact: bool = Tru
     k IQR of the box) and the count of points beyond them."""
     v = F.col(y).cast("double")
     base = df.select(F.col(cat).alias("category"), v.alias("_v")).where(F.col("_v").isNotNull())
-    q = F.percentile("_v", [0.25, 0.5, 0.75]) if exact else \
-        F.percentile_approx("_v", [0.25, 0.5, 0.75], 10000).cast("array<double>")
-    quart = base.groupBy("category").agg(q.alias("_q"))
+    if exact:
+        quart = quantiles(base, "_v", [0.25, 0.5, 0.75], by=["category"])
+    else:
+        quart = base.groupBy("category").agg(
+            F.percentile_approx("_v", [0.25, 0.5, 0.75], 10000).cast("array<double>").alias("_q"))
     # one row per category: AQE broadcasts it when small; a hot category on
     # the big side is split by the skew-join rule
-    j = base.join(quart, on="category").select(
+    j = join_on_keys(base, quart, ["category"]).select(
         "category", "_v", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + k * (F.col("q3") - F.col("q1"))

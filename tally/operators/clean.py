@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.functions.stats import nan_to_null
+from tally.functions.stats import nan_to_null, quantiles
 
 WS_PATTERN = r"[ \t\n\r\f]+"
 
@@ -95,21 +95,25 @@ def flag_outliers(df: DataFrame, col: str, method: str = "iqr", k: float | None
     x = nan_to_null(col)
     if method == "iqr":
         k = 1.5 if k is None else k
-        stats = [F.percentile(x, [0.25, 0.75]).alias("_q")]
     elif method == "zscore":
         k = 3.0 if k is None else k
-        stats = [F.avg(x).alias("_mu"), F.stddev_samp(x).alias("_sd")]
     else:
         raise ValueError(f"unknown method {method!r}")
+    by = list(by or [])
+    if method == "iqr":
+        s = quantiles(df, col, [0.25, 0.75], by=by)
+    elif by:
+        s = df.groupBy(*by).agg(F.avg(x).alias("_mu"), F.stddev_samp(x).alias("_sd"))
+    else:
+        s = df.agg(F.avg(x).alias("_mu"), F.stddev_samp(x).alias("_sd"))
     if by:
-        by = list(by)
-        s = df.groupBy(*by).agg(*stats)
+        # one row per group; AQE picks broadcast or a skew-split shuffle join
         j = df.alias("l").join(s.alias("m"), on=_null_safe_on(by, "l", "m"), how="left")
     else:
-        j = df.alias("l").crossJoin(F.broadcast(df.agg(*stats).alias("m")))
+        j = df.alias("l").crossJoin(F.broadcast(s.alias("m")))
     v = nan_to_null(F.col(f"l.`{col}`"))
     if method == "iqr":
-        q1, q3 = F.col("m._q")[0], F.col("m._q")[1]
+        q1, q3 = F.try_element_at(F.col("m._q"), F.lit(1)), F.try_element_at(F.col("m._q"), F.lit(2))
         out = (v < q1 - k * (q3 - q1)) | (v > q3 + k * (q3 - q1))
     else:
         out = F.abs(v - F.col("m._mu")) / F.col("m._sd") > k

@@ -11,18 +11,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.functions.stats import masked_pearson, nan_to_null, numeric_columns, running_sums
+from tally.functions.stats import (
+    bounded_domain,
+    masked_pearson,
+    nan_to_null,
+    numeric_columns,
+    quantiles,
+    running_sums,
+)
 
 QUARTILES = (0.25, 0.5, 0.75)
 DIST_PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
-def _pct(x: Column, probs: Sequence[float], exact: bool) -> Column:
-    # ``percentile`` holds a value->count map per group (partial aggregation
-    # keeps it per distinct value); above ~1e7 distinct values use the sketch.
-    if exact:
-        return F.percentile(x, list(probs))
-    return F.percentile_approx(x, list(probs), 10000).cast("array<double>")
+def _at(arr: str, i: int) -> Column:
+    return F.try_element_at(F.col(arr), F.lit(i + 1))
 
 
 def _explode_structs(one_row: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -33,18 +36,35 @@ def _explode_structs(one_row: DataFrame, names: Sequence[str]) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
                      exact: bool = True) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (linear interpolation), max;
-    one row per column.  NaN counts as missing."""
+    one row per column.  NaN counts as missing.
+
+    Moments: one aggregate over all columns.  Quartiles: exact — in the same
+    pass when a HyperLogLog pre-pass shows every column's value map is
+    bounded, else by distributed ranking of the long (column, value) form
+    (``functions.stats.quantiles``) — or ``exact=False`` for the bounded
+    sketch ``percentile_approx`` inside the single pass."""
     cols = list(cols or numeric_columns(df))
+    # exact quartiles in the same single pass when every column's value map
+    # is measured to be bounded; distributed ranking otherwise
+    one_pass = exact and bounded_domain(df, cols)
     aggs = []
     for i, c in enumerate(cols):
         x = nan_to_null(c)
-        q = _pct(x, QUARTILES, exact)
-        aggs.append(F.struct(
-            F.lit(c).alias("variable"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"),
-            F.max(x).alias("max")).alias(f"_s{i}"))
-    return _explode_structs(df.agg(*aggs), [f"_s{i}" for i in range(len(cols))])
+        fields = [F.lit(c).alias("variable"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+        if not exact:
+            fields.append(F.percentile_approx(x, list(QUARTILES), 10000).cast("array<double>").alias("_q"))
+        elif one_pass:
+            fields.append(F.percentile(x, list(QUARTILES)).alias("_q"))
+        aggs.append(F.struct(*fields).alias(f"_s{i}"))
+    mom = _explode_structs(df.agg(*aggs), [f"_s{i}" for i in range(len(cols))])
+    if exact and not one_pass:
+        long = df.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("variable"), nan_to_null(c).alias("_val")) for c in cols])))
+        q = quantiles(long, "_val", QUARTILES, by=["variable"])
+        mom = mom.join(q, on="variable", how="left")  # both sides: one row per column
+    return mom.select("variable", "count", "mean", "std", "min", _at("_q", 0).alias("p25"),
+                      _at("_q", 1).alias("p50"), _at("_q", 2).alias("p75"), "max")
 
 
 # --------------------------------------------------------------------- D2
@@ -109,16 +129,19 @@ def distribution(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
     g1, ``kurtosis`` the population excess kurtosis; ``skewness_adj`` is the
     bias-corrected G1 = g1 * sqrt(n(n-1)) / (n-2) that pandas reports."""
     x = nan_to_null(col)
-    q = _pct(x, DIST_PERCENTILES, exact)
-    one = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                 F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
-                 F.min(x).alias("min"), F.max(x).alias("max"), q.alias("_q"))
+    aggs = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
+            F.min(x).alias("min"), F.max(x).alias("max")]
+    if exact:
+        one = df.agg(*aggs).crossJoin(quantiles(df, col, DIST_PERCENTILES))  # both one row
+    else:
+        one = df.agg(*aggs, F.percentile_approx(x, list(DIST_PERCENTILES), 10000).cast("array<double>").alias("_q"))
     n = F.col("n").cast("double")
     return one.select(
         F.lit(col).alias("variable"), "n", "mean", "std", "skewness",
         (F.col("skewness") * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)).alias("skewness_adj"),
         "kurtosis", "min",
-        *[F.col("_q")[i].alias(f"p{int(round(p * 100)):02d}") for i, p in enumerate(DIST_PERCENTILES)],
+        *[_at("_q", i).alias(f"p{int(round(p * 100)):02d}") for i, p in enumerate(DIST_PERCENTILES)],
         "max")
 
 
@@ -251,11 +274,13 @@ def insights(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] =
         stats.append(F.count_if(F.col(c).isNull()).alias(f"_null{i}"))
     for i, c in enumerate(numeric):
         x = nan_to_null(c)
-        stats += [F.skewness(x).alias(f"_skew{i}"), F.percentile(x, [0.25, 0.75]).alias(f"_q{i}")]
+        stats.append(F.skewness(x).alias(f"_skew{i}"))
     pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1:]]
     for j, (a, b) in enumerate(pairs):
         stats.append(masked_pearson(nan_to_null(a), nan_to_null(b)).alias(f"_r{j}"))
     one = df.agg(*stats)
+    for i, c in enumerate(numeric):  # exact quartiles, one row each
+        one = one.crossJoin(quantiles(df, c, [0.25, 0.75], out=f"_q{i}"))
     rows = [F.struct(F.lit("missing").alias("rule"), F.lit(c).alias("subject"),
                      (F.col(f"_null{i}") / F.col("_rows")).alias("score")) for i, c in enumerate(allc)]
     rows += [F.struct(F.lit("skewed").alias("rule"), F.lit(c).alias("subject"),
@@ -273,7 +298,7 @@ def insights(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] =
         oagg = []
         for i, c in enumerate(numeric):
             x = nan_to_null(c)
-            q1, q3 = F.col(f"_q{i}")[0], F.col(f"_q{i}")[1]
+            q1, q3 = _at(f"_q{i}", 0), _at(f"_q{i}", 1)
             iqr = q3 - q1
             out = (x < q1 - k * iqr) | (x > q3 + k * iqr)
             oagg.append(F.struct(F.lit("outliers").alias("rule"), F.lit(c).alias("subject"),

@@ -32,3 +32,12 @@ def test_partition_independent(spark, con, name):
             compare(QUERIES[name](spark, SF_TINY), con, SQL[name])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("name", ["d1_describe_numeric", "d5_distribution", "d11_insights", "v5_box_table",
+                                  "c4_flag_outliers_iqr", "c4_flag_outliers_iqr_by", "c5_drop_outliers"])
+def test_distributed_quantiles_match_sql(spark, con, name, monkeypatch):
+    """Force the distributed exact-quantile path (no per-group value map)."""
+    from tally.functions import stats
+    monkeypatch.setattr(stats, "PERCENTILE_MAP_LIMIT", 0)
+    compare(QUERIES[name](spark, SF_TINY), con, SQL[name])
