@@ -218,27 +218,52 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
 # ---------------------------------------------------------------------------
 
 # Largest number of distinct values for which the single-pass ``percentile``
-# aggregate (a value -> count map per group) is used.
+# aggregate (a value -> count map per group, held in memory) is used.
 PERCENTILE_MAP_LIMIT = 500_000
+# Largest number of distinct values ranked in one window partition (window
+# buffers spill to disk, so this bounds parallelism, not memory).
+SINGLE_WINDOW_LIMIT = 5_000_000
+
+
+def domain_sizes(df: DataFrame, cols: Sequence[str | Column]) -> list[int]:
+    """Padded HyperLogLog++ distinct-count estimate per column (one pass)."""
+    if not cols:
+        return []
+    r = df.agg(*[F.approx_count_distinct(as_col(c)).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
+    return [int((r[i] or 0) * 1.25) for i in range(len(cols))]
+
+
+def domain_size(df: DataFrame, cols: Sequence[str | Column]) -> int:
+    """Upper estimate of the largest distinct-value count among ``cols``:
+    one HyperLogLog++ pass (bounded memory, 5 % relative standard error,
+    padded by 25 %, i.e. five standard errors).
+    This is an action — a run-time plan choice on a measured size, as AQE
+    makes — so callers use it only where the choice changes the plan."""
+    return max(domain_sizes(df, cols), default=0)
 
 
 def bounded_domain(df: DataFrame, cols: Sequence[str | Column], limit: int | None = None) -> bool:
-    """True when every column has at most ``limit`` distinct values, measured
-    with one HyperLogLog pass (bounded memory; 2 % relative error, so the
-    test uses 0.9 x limit).  This is an action: a run-time plan choice made
-    on a measured size, like AQE's."""
+    """True when every column has at most ``limit`` distinct values (default
+    PERCENTILE_MAP_LIMIT), measured by :func:`domain_size`."""
     limit = PERCENTILE_MAP_LIMIT if limit is None else limit
     if limit <= 0:
         return False
-    if not cols:
-        return True
-    r = df.agg(*[F.approx_count_distinct(nan_to_null(as_col(c)), 0.02).alias(f"_d{i}")
-                 for i, c in enumerate(cols)]).first()
-    return all((r[i] or 0) <= 0.9 * limit for i in range(len(cols)))
+    return domain_size(df, cols) <= limit
+
+
+def window_buckets(df: DataFrame, cols: Sequence[str | Column], size: int | None = None) -> int | None:
+    """``buckets`` argument for :func:`running_sums` over the distinct
+    values of ``cols``: 1 (one window) when measured small, else None
+    (range buckets)."""
+    if SINGLE_WINDOW_LIMIT <= 0 or PERCENTILE_MAP_LIMIT <= 0:
+        return None
+    n = domain_size(df, cols) if size is None else size
+    return 1 if n <= SINGLE_WINDOW_LIMIT else None
 
 
 def quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], by: Sequence[str] = (),
-              buckets: int | None = None, out: str = "_q", map_limit: int | None = None) -> DataFrame:
+              buckets: int | None = None, out: str = "_q", map_limit: int | None = None,
+              size: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (position p (n - 1), as
     ``percentile`` / ``quantile_cont``): one row per ``by`` group holding the
     array ``out`` in ``probs`` order.  NaN counts as missing.
@@ -251,12 +276,18 @@ def quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], by: Sequ
     survive the range match against the small target table.  When the
     column has at most ``map_limit`` distinct values (measured), the
     single-pass ``percentile`` is used instead: its maps are then bounded.
+    ``size`` passes an already measured distinct count.
     """
     by = list(by)
     v = df.select(*by, nan_to_null(as_col(col)).alias("_v")).where(F.col("_v").isNotNull())
-    if bounded_domain(v, ["_v"], map_limit):
+    limit = PERCENTILE_MAP_LIMIT if map_limit is None else map_limit
+    if size is None and limit > 0:
+        size = domain_size(v, ["_v"])
+    if size is not None and size <= limit:
         # every group's value map is bounded by the measured distinct count
         return v.groupBy(*by).agg(F.percentile("_v", [float(p) for p in probs]).alias(out))
+    if buckets is None and size is not None:
+        buckets = window_buckets(v, ["_v"], size)
     counts = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     cum = running_sums(counts, "_v", ["_n"], by=by, buckets=buckets)
     tot = counts.groupBy(*by).agg(F.sum("_n").alias("_N"))

@@ -4,7 +4,8 @@ matrix, classification metrics, ROC / AUC, feature importance.
 Fits are Spark ML estimators (distributed); metrics are Spark aggregates
 over the prediction frame, so they stay lazy and scale with the test set.
 ROC and AUC collapse tied scores with a grouped aggregate first, then run
-the cumulative sums by range buckets (no single-partition window).
+the cumulative sums by range buckets (no single-partition window), or in
+one window when the number of distinct scores is measured to be small.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.functions.stats import running_sums
+from tally.functions.stats import running_sums, window_buckets
 from tally.operators.regress import regression_metrics
 
 
@@ -146,18 +147,20 @@ def classification_metrics(pred: DataFrame, label: str = "label", yhat: str = "p
 
 
 # ------------------------------------------------------------------ M6
-def _score_counts(pred: DataFrame, label: str, score: str, positive: float) -> DataFrame:
+def _score_counts(pred: DataFrame, label: str, score: str, positive: float,
+                  buckets: int | None) -> tuple[DataFrame, int | None]:
     s = pred.select(F.col(score).cast("double").alias("threshold"),
-                    (F.col(label) == positive).cast("long").alias("_p"))
-    return s.where(F.col("threshold").isNotNull()).groupBy("threshold").agg(
-        F.sum("_p").alias("pos"), F.sum(1 - F.col("_p")).alias("neg"))
+                    (F.col(label) == positive).cast("long").alias("_p")).where(F.col("threshold").isNotNull())
+    if buckets is None:
+        buckets = window_buckets(s, ["threshold"])  # 1 window when measured small
+    return s.groupBy("threshold").agg(F.sum("_p").alias("pos"), F.sum(1 - F.col("_p")).alias("neg")), buckets
 
 
 def roc_curve(pred: DataFrame, label: str = "label", score: str = "score", positive: float = 1.0,
               buckets: int | None = None) -> DataFrame:
     """One point per distinct score (ties collapse), thresholds descending,
     plus the (0, 0) start: threshold, tp, fp, tpr, fpr."""
-    g = _score_counts(pred, label, score, positive)
+    g, buckets = _score_counts(pred, label, score, positive, buckets)
     tot = g.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     cum = running_sums(g, "threshold", ["pos", "neg"], descending=True, buckets=buckets)
     pts = cum.crossJoin(F.broadcast(tot)).select(
@@ -172,7 +175,7 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score", positive: f
         buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve (trapezoids over tied scores = Mann-Whitney
     with ties counted half): sum_s neg_s (pos_above_s + pos_s / 2) / (P N)."""
-    g = _score_counts(pred, label, score, positive)
+    g, buckets = _score_counts(pred, label, score, positive, buckets)
     cum = running_sums(g, "threshold", ["pos"], descending=True, buckets=buckets)
     one = cum.agg(F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("_u"),
                   F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))

@@ -11,19 +11,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tally.functions import stats as _stats
 from tally.functions.stats import (
-    bounded_domain,
+    domain_sizes,
     masked_pearson,
     nan_to_null,
     numeric_columns,
     quantiles,
     running_sums,
+    window_buckets,
 )
 
 QUARTILES = (0.25, 0.5, 0.75)
 DIST_PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
+def PERCENTILE_MAP_LIMIT_VALUE() -> int:  # noqa: N802 - read at call time (tests patch it)
+    return _stats.PERCENTILE_MAP_LIMIT
+
+
 def _at(arr: str, i: int) -> Column:
     return F.try_element_at(F.col(arr), F.lit(i + 1))
 
@@ -44,25 +50,31 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
     (``functions.stats.quantiles``) — or ``exact=False`` for the bounded
     sketch ``percentile_approx`` inside the single pass."""
     cols = list(cols or numeric_columns(df))
-    # exact quartiles in the same single pass when every column's value map
-    # is measured to be bounded; distributed ranking otherwise
-    one_pass = exact and bounded_domain(df, cols)
+    # exact quartiles in the same single pass for every column whose value
+    # map is measured to be bounded; distributed ranking for the others
+    sizes = dict(zip(cols, domain_sizes(df, cols))) if exact else {}
+    big = [c for c in cols if exact and sizes[c] > PERCENTILE_MAP_LIMIT_VALUE()]
     aggs = []
     for i, c in enumerate(cols):
         x = nan_to_null(c)
         fields = [F.lit(c).alias("variable"), F.count(x).alias("count"), F.avg(x).alias("mean"),
                   F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
         if not exact:
-            fields.append(F.percentile_approx(x, list(QUARTILES), 10000).cast("array<double>").alias("_q"))
-        elif one_pass:
-            fields.append(F.percentile(x, list(QUARTILES)).alias("_q"))
-        aggs.append(F.struct(*fields).alias(f"_s{i}"))
+            q = F.percentile_approx(x, list(QUARTILES), 10000).cast("array<double>")
+        elif c in big:
+            q = F.lit(None).cast("array<double>")
+        else:
+            q = F.percentile(x, list(QUARTILES))
+        aggs.append(F.struct(*fields, q.alias("_q")).alias(f"_s{i}"))
     mom = _explode_structs(df.agg(*aggs), [f"_s{i}" for i in range(len(cols))])
-    if exact and not one_pass:
+    if big:
         long = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("variable"), nan_to_null(c).alias("_val")) for c in cols])))
-        q = quantiles(long, "_val", QUARTILES, by=["variable"])
-        mom = mom.join(q, on="variable", how="left")  # both sides: one row per column
+            F.struct(F.lit(c).alias("variable"), nan_to_null(c).alias("_val")) for c in big])))
+        q = quantiles(long, "_val", QUARTILES, by=["variable"], size=max(sizes[c] for c in big),
+                      out="_qb")
+        # both sides: one row per column
+        mom = (mom.join(q, on="variable", how="left")
+               .withColumn("_q", F.coalesce(F.col("_q"), F.col("_qb"))).drop("_qb"))
     return mom.select("variable", "count", "mean", "std", "min", _at("_q", 0).alias("p25"),
                       _at("_q", 1).alias("p50"), _at("_q", 2).alias("p75"), "max")
 
@@ -149,9 +161,11 @@ def ecdf(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
     """Empirical CDF: one row per distinct value with its count, cumulative
     count and F(x) = share of values <= x.  The running count is computed by
     range buckets (no single-partition window)."""
-    counts = (df.select(nan_to_null(col).alias("value")).where(F.col("value").isNotNull())
-              .groupBy("value").agg(F.count(F.lit(1)).alias("count")))
+    vals = df.select(nan_to_null(col).alias("value")).where(F.col("value").isNotNull())
+    counts = vals.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count").alias("_tot"))
+    if buckets is None:
+        buckets = window_buckets(vals, ["value"])  # 1 window when measured small
     cum = running_sums(counts, "value", ["count"], buckets=buckets)
     return (cum.crossJoin(F.broadcast(total))
             .select("value", "count", F.col("cum_count").cast("long").alias("cum_count"),
@@ -181,16 +195,24 @@ def ks_normal(df: DataFrame, col: str) -> DataFrame:
 
 # ------------------------------------------------------------------ D7 D8 D9
 def _avg_ranks(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """Replace each column by its average rank (ties share the mean rank).
-    Each rank table has one row per distinct value; the join back is chosen
-    at run time by AQE (broadcast when small, skew-split shuffle otherwise)."""
+    """Replace each column by its average rank (ties share the mean rank),
+    after dropping rows with any NULL.  All columns are ranked in one pass
+    over the long (column, value) form: one grouped count, one running sum
+    partitioned by column.  Each column's ranks are joined back on its value;
+    AQE picks broadcast when the rank table is small, else a skew-split
+    shuffle join."""
     base = df.select(*[nan_to_null(c).alias(c) for c in cols]).na.drop(how="any")
+    if buckets is None:
+        buckets = window_buckets(base, cols)  # 1 window per column when measured small
+    long = base.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("value"))
+                                          for c in cols])))
+    counts = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_sums(counts, "value", ["_n"], by=["variable"], buckets=buckets)
+    ranks = cum.select("variable", "value", (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias("_rank"))
     out = base
     for c in cols:
-        counts = base.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        cum = running_sums(counts, c, ["_n"], buckets=buckets)
-        ranks = cum.select(c, (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(f"_rank_{c}"))
-        out = out.join(ranks, on=c, how="inner")
+        r = ranks.where(F.col("variable") == c).select(F.col("value").alias(c), F.col("_rank").alias(f"_rank_{c}"))
+        out = out.join(r, on=c, how="inner")
     return out.select(*[F.col(f"_rank_{c}").alias(c) for c in cols])
 
 
