@@ -13,6 +13,7 @@ from tally.plans.q_charts import _V4_SQL
 from tally.plans.q_timeseries import _M, monthly_revenue
 from tally.session import scratch_path
 from tally.sources.files import export_table, read_back, read_csv, read_table
+from tally.sources.xlsx import read_xlsx, write_xlsx
 
 _ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
@@ -55,3 +56,11 @@ def x1_json(spark, sf):
     m = monthly_revenue(spark, sf)
     path = export_table(m, scratch_path(spark, "monthly-json"), "json")
     return read_back(spark, path, "json", m.schema)
+
+
+@register("s2_read_xlsx", _ORDERS, ["o_totalprice"])
+def s2(spark, sf):
+    """orders written as one workbook per partition, read back in parallel."""
+    o = read_table(spark, sf, "orders")
+    folder = write_xlsx(o, scratch_path(spark, "orders-xlsx"))
+    return read_xlsx(spark, folder, o.schema)

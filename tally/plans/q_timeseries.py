@@ -247,3 +247,14 @@ _ACF = (f"WITH m AS ({_M}), d AS (SELECT row_number() {_W} AS i, y - avg(y) OVER
 @register("t12_acf", _ACF, ["acf"])
 def t12(spark, sf):
     return TS.acf(monthly_revenue(spark, sf), TS_COL, 24)
+
+
+# ------------------------------------------------------------- T1 streaming
+@register("t1_resample_stream", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, avg(value) AS y "
+                                "FROM events GROUP BY 1", ["y"])
+def t1_stream(spark, sf):
+    """The hourly resample as a Structured Streaming query over the events
+    table read as a file stream, run until all input is processed."""
+    from tally.streaming import resample_stream, run_to_table, stream_table
+    res = resample_stream(stream_table(spark, sf, "events"), "ts", "value", "hour", "avg")
+    return spark.read.parquet(run_to_table(spark, res, "events-hourly"))

@@ -6,3 +6,4 @@ from tally.sources.files import (  # noqa: F401
     read_table,
     sample_table,
 )
+from tally.sources.xlsx import read_xlsx, write_xlsx  # noqa: F401,E402
