@@ -170,7 +170,12 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
     if not rest:
         return df.select(*subset).distinct()
     order = [F.col(c) for c in (order_by or [])] + [F.col(c) for c in rest]
-    g = df.groupBy(*subset).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_row"))
+    # min_by over a struct buffer runs as a sort-based aggregate; leading the
+    # grouping key with a 64-bit hash of the key (a function of it, so the
+    # groups do not change) settles most sort comparisons without comparing
+    # long keys such as whole texts
+    g = df.groupBy(F.xxhash64(*[F.col(c) for c in subset]).alias("_h"), *subset).agg(
+        F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_row"))
     return g.select(*[F.col("_row." + c).alias(c) if c in rest else F.col(c) for c in df.columns])
 
 

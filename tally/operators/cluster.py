@@ -38,7 +38,7 @@ def vectors(df: DataFrame, xs: Sequence[str], key: Sequence[str], scale: bool =
 
 # --------------------------------------------------------------------- K1
 def kmeans(df: DataFrame, xs: Sequence[str], k: int, key: Sequence[str], seed: int = 42,
-           scale: bool = True, max_iter: int = 50) -> DataFrame:
+           scale: bool = True, max_iter: int = 20) -> DataFrame:
     """Assignment table: key..., xs..., cluster."""
     v = vectors(df, xs, key, scale)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(v)
@@ -115,7 +115,7 @@ def choose_k(df: DataFrame, xs: Sequence[str], k_values: Sequence[int], key: Seq
                              distanceMeasure="squaredEuclidean")
     rows = []
     for k in k_values:
-        model = KMeans(k=k, seed=seed, maxIter=50, featuresCol="features", predictionCol="cluster").fit(v)
+        model = KMeans(k=k, seed=seed, maxIter=20, featuresCol="features", predictionCol="cluster").fit(v)
         rows.append((int(k), float(model.summary.trainingCost), float(ev.evaluate(model.transform(v)))))
     v.unpersist()
     spark = SparkSession.getActiveSession()

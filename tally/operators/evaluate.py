@@ -104,17 +104,21 @@ def cross_validate(df: DataFrame, label: str, xs: Sequence[str], k: int = 5, key
     dt = df.schema[key].dataType.simpleString()
     kc = F.col(key) if dt in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(F.col(key))
     data = _features(df.withColumn("_fold", F.pmod(kc, F.lit(k))), label, xs, keep=["_fold"]).persist()
-    out = None
+    preds = None
     for f in range(k):
-        train = data.where(F.col("_fold") != f)
-        test = data.where(F.col("_fold") == f)
-        m = REGRESSORS[model](seed).fit(train)
-        met = regression_metrics(m.transform(test), "label", "prediction")
-        ntr = train.agg(F.count(F.lit(1)).alias("n_train"))
-        row = met.crossJoin(ntr).select(F.lit(f).cast("long").alias("fold"), "n_train",
-                                        F.col("n").alias("n_test"), "r2", "rmse", "mae")
-        out = row if out is None else out.unionByName(row)
-    return out
+        m = REGRESSORS[model](seed).fit(data.where(F.col("_fold") != f))
+        p = m.transform(data.where(F.col("_fold") == f)).select("_fold", "label", "prediction")
+        preds = p if preds is None else preds.unionByName(p)
+    # all folds scored in one grouped aggregate; n_train = n - n_test
+    e = F.col("label") - F.col("prediction")
+    per = preds.groupBy("_fold").agg(
+        F.count(F.lit(1)).alias("n_test"), F.sum(e * e).alias("_sse"), F.avg(e * e).alias("_mse"),
+        F.avg(F.abs(e)).alias("mae"), (F.var_pop("label") * F.count("label")).alias("_sst"))
+    n = data.agg(F.count(F.lit(1)).alias("_n"))
+    return per.crossJoin(n).select(
+        F.col("_fold").cast("long").alias("fold"), (F.col("_n") - F.col("n_test")).alias("n_train"), "n_test",
+        (1 - F.col("_sse") / F.when(F.col("_sst") != 0, F.col("_sst"))).alias("r2"),
+        F.sqrt("_mse").alias("rmse"), "mae")
 
 
 # ------------------------------------------------------------------ M4 M5
