@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tally.functions.stats import as_col, equal_width_bin, join_on_keys, quantiles
 
@@ -29,12 +30,32 @@ def agg_expr(agg: str, y: str | Column | None) -> Column:
     return fns[agg](c)
 
 
+def trunc_ntz(c: Column, freq: str) -> Column:
+    """Wall-clock truncation of a TIMESTAMP_NTZ value without passing through
+    the session time zone (``date_trunc`` casts to LTZ first, which moves
+    wall-clock times inside a daylight-saving gap)."""
+    day = c.cast("date")
+    if freq in ("year", "quarter", "month", "week"):
+        return F.trunc(day, freq).cast("timestamp_ntz")
+    start = day.cast("timestamp_ntz")
+    if freq == "day":
+        return start
+    if freq == "hour":
+        return F.timestamp_add("HOUR", F.hour(c), start)
+    if freq == "minute":
+        return F.timestamp_add("MINUTE", F.hour(c) * 60 + F.minute(c), start)
+    raise ValueError(f"unsupported frequency {freq!r}")
+
+
 def time_key(df: DataFrame, ts: str, freq: str | None) -> Column:
-    """``ts`` truncated to ``freq`` (hour, day, week, month, quarter, year),
-    keeping the column's own timestamp type (``date_trunc`` returns LTZ)."""
+    """``ts`` truncated to ``freq`` (minute, hour, day, week (Monday), month,
+    quarter, year), keeping the column's own timestamp type."""
     if not freq:
         return F.col(ts)
-    return F.date_trunc(freq, F.col(ts)).cast(df.schema[ts].dataType)
+    dtype = df.schema[ts].dataType
+    if isinstance(dtype, T.TimestampNTZType):
+        return trunc_ntz(F.col(ts), freq)
+    return F.date_trunc(freq, F.col(ts)).cast(dtype)
 
 
 # --------------------------------------------------------------------- V1

@@ -95,3 +95,17 @@ def test_convert_types_raise_mode(spark):
     assert [r["v"] for r in K.convert_types(df, {"v": "int"}).collect()] == [1, None]
     with pytest.raises(Exception):
         K.convert_types(df, {"v": "int"}, errors="raise").collect()
+
+
+def test_ntz_truncation_ignores_session_time_zone(spark):
+    from tally.operators.charts import time_key
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00' AS ts")
+        got = {f: df.select(time_key(df, "ts", f).alias("k")).first()["k"].isoformat()
+               for f in ("hour", "day", "week", "month", "quarter", "year")}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == {"hour": "2024-03-10T02:00:00", "day": "2024-03-10T00:00:00", "week": "2024-03-04T00:00:00",
+                   "month": "2024-03-01T00:00:00", "quarter": "2024-01-01T00:00:00", "year": "2024-01-01T00:00:00"}
