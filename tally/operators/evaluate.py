@@ -27,7 +27,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tally.functions.stats import running_sums, window_buckets
@@ -200,3 +200,40 @@ def fit_forest(df: DataFrame, label: str, xs: Sequence[str], classify: bool = Tr
     est = (RandomForestClassifier(numTrees=50, maxDepth=6, seed=seed) if classify
            else RandomForestRegressor(numTrees=50, maxDepth=6, seed=seed))
     return est.fit(data)
+
+
+def permute_column(df: DataFrame, col: str, seed: int = 7, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``col`` permuted across rows, distributed: rows are hashed
+    into buckets and, inside each bucket (ordered by a second hash), every
+    row takes the value of the next row (the last takes the first).  No
+    global row number (which would be one partition); each bucket is one
+    task-sized group by construction of the hash."""
+    n_b = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed))
+    x = df.withColumn("_b", F.pmod(h, F.lit(n_b))).withColumn("_o", F.xxhash64(h, F.lit(seed + 1)))
+    w = Window.partitionBy("_b").orderBy("_o", *[F.col(f"`{c}`") for c in df.columns])
+    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = F.coalesce(F.lead(col, 1).over(w), F.first(col).over(wall))
+    return x.withColumn(col, nxt).drop("_b", "_o")
+
+
+def permutation_importance(model, df: DataFrame, label: str, xs: Sequence[str], classify: bool = True,
+                           seed: int = 7) -> DataFrame:
+    """(feature, baseline, permuted, importance): the drop in accuracy
+    (classifiers) or rise in RMSE (regressors) when one feature is permuted
+    on ``df`` (a held-out set), one distributed permutation per feature."""
+    def score(frame: DataFrame) -> DataFrame:
+        p = model.transform(_features(frame, label, xs)).select("label", "prediction")
+        if classify:
+            return p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("s"))
+        e = F.col("label") - F.col("prediction")
+        return p.agg(F.sqrt(F.avg(e * e)).alias("s"))
+    base = df.select(label, *xs)
+    b = score(base).select(F.col("s").alias("baseline"))
+    out = None
+    for x in xs:
+        row = score(permute_column(base, x, seed)).crossJoin(b).select(
+            F.lit(x).alias("feature"), "baseline", F.col("s").alias("permuted"),
+            ((F.col("baseline") - F.col("s")) if classify else (F.col("s") - F.col("baseline"))).alias("importance"))
+        out = row if out is None else out.unionByName(row)
+    return out

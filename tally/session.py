@@ -55,3 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster: the folder is the one the cluster names)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tally-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def local_path(path: str) -> str:
+    """A path for Python-side file I/O (zipfile, os): Spark reports folders as
+    ``file:`` URIs; strip the scheme.  Other schemes (HDFS, object stores)
+    need a mount for Python-side I/O."""
+    for prefix in ("file://", "file:"):
+        if path.startswith(prefix):
+            return path[len(prefix):]
+    return path

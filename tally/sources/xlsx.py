@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tally.session import local_path
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _EXCEL_EPOCH = dt.datetime(1899, 12, 30)
 _REF = re.compile(r"([A-Z]+)(\d+)")
@@ -141,8 +143,9 @@ class XlsxReader(DataSourceReader):
         self.header = str(options.get("header", "true")).lower() == "true"
 
     def partitions(self):
-        files = sorted(glob.glob(self.path)) if any(ch in self.path for ch in "*?[") else (
-            sorted(glob.glob(os.path.join(self.path, "*.xlsx"))) if os.path.isdir(self.path) else [self.path])
+        path = local_path(self.path)
+        files = sorted(glob.glob(path)) if any(ch in path for ch in "*?[") else (
+            sorted(glob.glob(os.path.join(path, "*.xlsx"))) if os.path.isdir(path) else [path])
         return [_Workbook(f) for f in files]
 
     def read(self, partition: _Workbook):
@@ -239,16 +242,17 @@ def write_xlsx(df: DataFrame, folder: str) -> str:
     """Write one workbook per partition of ``df`` into ``folder`` (in
     parallel, from the executors) and return the folder."""
     cols = df.columns
+    target_dir = local_path(folder)
 
     def write_part(batches):
         frames = [b for b in batches if len(b)]
         if not frames:
             return
         pdf = pd.concat(frames, ignore_index=True)
-        os.makedirs(folder, exist_ok=True)
+        os.makedirs(target_dir, exist_ok=True)
         # named by partition: a retried or speculative attempt replaces the
         # same workbook instead of adding a duplicate
-        target = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.xlsx")
+        target = os.path.join(target_dir, f"part-{TaskContext.get().partitionId():05d}.xlsx")
         tmp = f"{target}.{uuid.uuid4().hex}.tmp"
         rows = (tuple(None if pd.isna(v) else v for v in rec) for rec in pdf.itertuples(index=False, name=None))
         with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as zf:

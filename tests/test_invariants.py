@@ -277,3 +277,22 @@ def test_acf_matches_numpy(spark):
     d = y - y.mean()
     ref = [np.sum(d[:-k] * d[k:]) / np.sum(d * d) for k in range(1, 14)]
     assert np.allclose(got["acf"], ref)
+
+
+def test_permute_column_is_a_permutation(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 3 % 1000).alias("v"))
+    p = _pdf(M.permute_column(df, "v", buckets=4))
+    assert sorted(p["v"]) == sorted(_pdf(df)["v"])          # same multiset
+    assert sorted(p["id"]) == list(range(1000))               # every row kept
+    assert (p.sort_values("id")["v"].to_numpy() != (np.arange(1000) * 3 % 1000)).mean() > 0.99
+
+
+def test_permutation_importance_finds_the_signal(spark):
+    part = (read_table(spark, SF_TINY, "part")
+            .withColumn("target", F.col("p_retailprice") + 3.0 * F.col("p_size"))
+            .withColumn("noise", F.pmod(F.xxhash64("p_partkey"), F.lit(97))))
+    xs = ["p_size", "noise"]
+    model = M.REGRESSORS["linear"](0).fit(M._features(part, "target", xs))
+    imp = {r["feature"]: r["importance"] for r in M.permutation_importance(
+        model, part, "target", xs, classify=False).collect()}
+    assert imp["p_size"] > 10 and abs(imp["noise"]) < 0.1 * imp["p_size"]
