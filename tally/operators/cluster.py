@@ -100,6 +100,7 @@ def agglomerative(df: DataFrame, xs: Sequence[str], k: int, key: Sequence[str],
     groups, _ = ward_merges(cent, np.array([r["n"] for r in summ]), k)
     spark = SparkSession.getActiveSession()
     mapping = spark.createDataFrame([(int(m), int(g)) for m, g in zip(ids, groups)], "micro long, cluster long")
+    v.unpersist()  # cached for the micro k-means; labelling re-reads by lineage
     return (assigned.withColumn("micro", F.col("micro").cast("long"))
             .join(F.broadcast(mapping), on="micro", how="inner").drop("features"))
 

@@ -74,6 +74,7 @@ def compare_classifiers(train: DataFrame, test: DataFrame, label: str, xs: Seque
         a = auc(pred, "label", "score", positive).select("auc")
         row = cm.crossJoin(a).select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1", "auc")
         out = row if out is None else out.unionByName(row)
+    tr.unpersist()  # only the fits read it
     return out
 
 
@@ -89,6 +90,7 @@ def compare_regressors(train: DataFrame, test: DataFrame, label: str, xs: Sequen
         met = regression_metrics(m.transform(te), "label", "prediction")
         row = met.select(F.lit(name).alias("model"), "r2", "mse", "rmse", "mae")
         out = row if out is None else out.unionByName(row)
+    tr.unpersist()  # only the fits read it
     return out
 
 
@@ -115,6 +117,7 @@ def cross_validate(df: DataFrame, label: str, xs: Sequence[str], k: int = 5, key
         F.count(F.lit(1)).alias("n_test"), F.sum(e * e).alias("_sse"), F.avg(e * e).alias("_mse"),
         F.avg(F.abs(e)).alias("mae"), (F.var_pop("label") * F.count("label")).alias("_sst"))
     n = data.agg(F.count(F.lit(1)).alias("_n"))
+    data.unpersist()  # cached for the k fits; the lazy scoring re-reads by lineage
     return per.crossJoin(n).select(
         F.col("_fold").cast("long").alias("fold"), (F.col("_n") - F.col("n_test")).alias("n_train"), "n_test",
         (1 - F.col("_sse") / F.when(F.col("_sst") != 0, F.col("_sst"))).alias("r2"),
