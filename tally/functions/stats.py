@@ -308,3 +308,17 @@ def quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], by: Sequ
     val = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))
     res = g.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("_i"), val.alias("_x")))).alias("_s"))
     return res.select(*by, F.col("_s._x").alias(out))
+
+
+def run_parallel(fn, items: Sequence, parallelism: int = 4) -> list:
+    """``[fn(x) for x in items]`` with up to ``parallelism`` concurrent Spark
+    jobs submitted from driver threads (as Spark ML's CrossValidator does);
+    thread-local job properties are inherited."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark.util import inheritable_thread_target
+    items = list(items)
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(fn), items)

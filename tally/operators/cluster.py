@@ -20,6 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tally.functions.stats import run_parallel
+
 
 def vectors(df: DataFrame, xs: Sequence[str], key: Sequence[str], scale: bool = True) -> DataFrame:
     """key..., xs..., features (divided by their standard deviation when
@@ -107,17 +109,20 @@ def agglomerative(df: DataFrame, xs: Sequence[str], k: int, key: Sequence[str],
 
 # --------------------------------------------------------------------- K4
 def choose_k(df: DataFrame, xs: Sequence[str], k_values: Sequence[int], key: Sequence[str] = (),
-             seed: int = 42, scale: bool = True) -> DataFrame:
+             seed: int = 42, scale: bool = True, parallelism: int = 4) -> DataFrame:
     """(k, inertia, silhouette) per candidate k.  The vector frame is cached
-    for the loop; the silhouette is Spark's squared-Euclidean form, linear
-    in the number of rows (no pairwise distances)."""
+    and the fits run as concurrent Spark jobs; the silhouette is Spark's
+    squared-Euclidean form, linear in the number of rows (no pairwise
+    distances)."""
     v = vectors(df, xs, key, scale).persist()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette",
                              distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in k_values:
+
+    def one(k):
         model = KMeans(k=k, seed=seed, maxIter=20, featuresCol="features", predictionCol="cluster").fit(v)
-        rows.append((int(k), float(model.summary.trainingCost), float(ev.evaluate(model.transform(v)))))
+        return (int(k), float(model.summary.trainingCost), float(ev.evaluate(model.transform(v))))
+
+    rows = run_parallel(one, k_values, parallelism)
     v.unpersist()
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame(rows, "k long, inertia double, silhouette double")

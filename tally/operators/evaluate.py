@@ -30,7 +30,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tally.functions.stats import running_sums, window_buckets
+from tally.functions.stats import run_parallel, running_sums, window_buckets
 from tally.operators.regress import regression_metrics
 
 
@@ -59,15 +59,15 @@ REGRESSORS = {
 # --------------------------------------------------------------------- M1
 def compare_classifiers(train: DataFrame, test: DataFrame, label: str, xs: Sequence[str],
                         models: Sequence[str] = tuple(CLASSIFIERS), seed: int = 42,
-                        positive: float = 1.0) -> DataFrame:
+                        positive: float = 1.0, parallelism: int = 4) -> DataFrame:
     """Fit each binary classifier on ``train``; score on ``test``:
-    (model, accuracy, precision, recall, f1, auc).  ``train`` is cached for
-    the loop of fits; every fit is one Spark ML job sequence."""
+    (model, accuracy, precision, recall, f1, auc).  ``train`` is cached and
+    the fits run as concurrent Spark jobs."""
     tr = _features(train, label, xs).persist()
     te = _features(test, label, xs)
+    fitted = run_parallel(lambda name: CLASSIFIERS[name](seed).fit(tr), models, parallelism)
     out = None
-    for name in models:
-        m = CLASSIFIERS[name](seed).fit(tr)
+    for name, m in zip(models, fitted):
         pred = m.transform(te).select("label", "prediction",
                                       vector_to_array("probability")[1].alias("score"))
         cm = classification_metrics(pred, "label", "prediction", positive)
@@ -80,13 +80,15 @@ def compare_classifiers(train: DataFrame, test: DataFrame, label: str, xs: Seque
 
 # --------------------------------------------------------------------- M2
 def compare_regressors(train: DataFrame, test: DataFrame, label: str, xs: Sequence[str],
-                       models: Sequence[str] = tuple(REGRESSORS), seed: int = 42) -> DataFrame:
-    """(model, r2, mse, rmse, mae) on ``test`` for each regressor."""
+                       models: Sequence[str] = tuple(REGRESSORS), seed: int = 42,
+                       parallelism: int = 4) -> DataFrame:
+    """(model, r2, mse, rmse, mae) on ``test`` for each regressor; the fits
+    run as concurrent Spark jobs on the cached training set."""
     tr = _features(train, label, xs).persist()
     te = _features(test, label, xs)
+    fitted = run_parallel(lambda name: REGRESSORS[name](seed).fit(tr), models, parallelism)
     out = None
-    for name in models:
-        m = REGRESSORS[name](seed).fit(tr)
+    for name, m in zip(models, fitted):
         met = regression_metrics(m.transform(te), "label", "prediction")
         row = met.select(F.lit(name).alias("model"), "r2", "mse", "rmse", "mae")
         out = row if out is None else out.unionByName(row)
@@ -96,7 +98,7 @@ def compare_regressors(train: DataFrame, test: DataFrame, label: str, xs: Sequen
 
 # --------------------------------------------------------------------- M3
 def cross_validate(df: DataFrame, label: str, xs: Sequence[str], k: int = 5, key: str | None = None,
-                   model: str = "linear", seed: int = 42) -> DataFrame:
+                   model: str = "linear", seed: int = 42, parallelism: int = 4) -> DataFrame:
     """k-fold cross-validation with one row per fold: fold, n_train, n_test,
     r2, rmse, mae.  Fold = pmod(key, k) (xxhash64 for non-integral keys), so
     folds do not depend on partitioning (CrossValidator only reports the
@@ -106,9 +108,10 @@ def cross_validate(df: DataFrame, label: str, xs: Sequence[str], k: int = 5, key
     dt = df.schema[key].dataType.simpleString()
     kc = F.col(key) if dt in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(F.col(key))
     data = _features(df.withColumn("_fold", F.pmod(kc, F.lit(k))), label, xs, keep=["_fold"]).persist()
+    models = run_parallel(lambda f: REGRESSORS[model](seed).fit(data.where(F.col("_fold") != f)),
+                          range(k), parallelism)
     preds = None
-    for f in range(k):
-        m = REGRESSORS[model](seed).fit(data.where(F.col("_fold") != f))
+    for f, m in enumerate(models):
         p = m.transform(data.where(F.col("_fold") == f)).select("_fold", "label", "prediction")
         preds = p if preds is None else preds.unionByName(p)
     # all folds scored in one grouped aggregate; n_train = n - n_test
