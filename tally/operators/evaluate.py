@@ -212,10 +212,12 @@ def permute_column(df: DataFrame, col: str, seed: int = 7, buckets: int | None =
     """``df`` with ``col`` permuted across rows, distributed: rows are hashed
     into buckets and, inside each bucket (ordered by a second hash), every
     row takes the value of the next row (the last takes the first).  No
-    global row number (which would be one partition); each bucket is one
-    task-sized group by construction of the hash."""
+    global row number (which would be one partition); the buckets are
+    balanced by the salted hash, whatever the duplicates."""
     n_b = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed))
+    # the row position salts the hash, so many identical rows (copies) still
+    # spread over all buckets instead of filling one
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id(), F.lit(seed))
     x = df.withColumn("_b", F.pmod(h, F.lit(n_b))).withColumn("_o", F.xxhash64(h, F.lit(seed + 1)))
     w = Window.partitionBy("_b").orderBy("_o", *[F.col(f"`{c}`") for c in df.columns])
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

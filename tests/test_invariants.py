@@ -296,3 +296,12 @@ def test_permutation_importance_finds_the_signal(spark):
     imp = {r["feature"]: r["importance"] for r in M.permutation_importance(
         model, part, "target", xs, classify=False).collect()}
     assert imp["p_size"] > 10 and abs(imp["noise"]) < 0.1 * imp["p_size"]
+
+
+def test_permute_column_spreads_copies(spark):
+    df = spark.range(4000).select(F.lit(1).alias("k"), F.lit(2.0).alias("v"))   # all rows identical
+    x = M.permute_column(df, "v", buckets=8)
+    assert x.count() == 4000
+    sizes = (df.select(F.pmod(F.xxhash64("k", "v", F.monotonically_increasing_id(), F.lit(7)), F.lit(8)).alias("b"))
+             .groupBy("b").count().collect())
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 1000
