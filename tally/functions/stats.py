@@ -165,9 +165,20 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
         return 8
 
 
+def _count_below(cuts: Column, v: Column, lo: int, hi: int) -> Column:
+    """Number of entries of the sorted array ``cuts`` below ``v``, known to
+    lie in [lo, hi]: a binary-search CASE tree (log2 comparisons per row,
+    compiled by whole-stage codegen, unlike a lambda over the array)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(cuts[mid] < v, _count_below(cuts, v, mid + 1, hi)).otherwise(_count_below(cuts, v, lo, mid))
+
+
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                  by: Iterable[str] = (), descending: bool = False,
-                 buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+                 buckets: int | None = None, prefix: str = "cum_",
+                 unique_order: bool = False) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` along ``order_col`` (rows with
     equal order values share one value), per ``by`` group.
 
@@ -179,12 +190,19 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     rows), and the final window runs per (group, range).  Typical input is
     already aggregated to one row per order value, so a hot value is one row.
     ``order_col`` must be numeric, date or timestamp and not NULL.
+    ``unique_order=True`` states that ``order_col`` is unique within each
+    group (the input is aggregated by it), which allows a ROWS frame.
     """
     by = list(by)
     n_b = _buckets(df, buckets)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+
+    def frame(w):
+        return (w.rowsBetween(Window.unboundedPreceding, 0) if unique_order
+                else w.rangeBetween(Window.unboundedPreceding, 0))
+
     if n_b == 1:
-        w = Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+        w = frame(Window.partitionBy(*by).orderBy(order))
         return df.select("*", *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
 
     probs = [i / n_b for i in range(1, n_b)]
@@ -196,9 +214,9 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     else:
         # one row: broadcasting it is bounded by construction
         x = df.crossJoin(F.broadcast(df.agg(pa)))
-    x = x.withColumn("_bkt", F.size(F.filter("_cuts", lambda c: c < F.col(order_col)))).drop("_cuts")
+    x = x.withColumn("_bkt", _count_below(F.col("_cuts"), F.col(order_col), 0, n_b - 1)).drop("_cuts")
     # running sum inside each (group, range): the shuffle is by (group, range)
-    wi = Window.partitionBy(*by, "_bkt").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    wi = frame(Window.partitionBy(*by, "_bkt").orderBy(order))
     xw = x.select("*", *[F.sum(c).over(wi).alias(f"_w_{c}") for c in sum_cols])
     # plus the total of all earlier ranges of the group
     tot = x.groupBy(*by, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
@@ -289,7 +307,7 @@ def quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], by: Sequ
     if buckets is None and size is not None:
         buckets = window_buckets(v, ["_v"], size)
     counts = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_sums(counts, "_v", ["_n"], by=by, buckets=buckets)
+    cum = running_sums(counts, "_v", ["_n"], by=by, buckets=buckets, unique_order=True)
     tot = counts.groupBy(*by).agg(F.sum("_n").alias("_N"))
     tgt = (tot.select(*by, "_N", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
            .select(*by, "_i", (F.col("_p") * (F.col("_N") - 1)).alias("_h"), "_N"))

@@ -172,7 +172,7 @@ def roc_curve(pred: DataFrame, label: str = "label", score: str = "score", posit
     plus the (0, 0) start: threshold, tp, fp, tpr, fpr."""
     g, buckets = _score_counts(pred, label, score, positive, buckets)
     tot = g.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    cum = running_sums(g, "threshold", ["pos", "neg"], descending=True, buckets=buckets)
+    cum = running_sums(g, "threshold", ["pos", "neg"], descending=True, buckets=buckets, unique_order=True)
     pts = cum.crossJoin(F.broadcast(tot)).select(
         "threshold", F.col("cum_pos").cast("long").alias("tp"), F.col("cum_neg").cast("long").alias("fp"),
         F.try_divide(F.col("cum_pos"), F.col("_P")).alias("tpr"), F.try_divide(F.col("cum_neg"), F.col("_N")).alias("fpr"))
@@ -186,7 +186,7 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score", positive: f
     """Area under the ROC curve (trapezoids over tied scores = Mann-Whitney
     with ties counted half): sum_s neg_s (pos_above_s + pos_s / 2) / (P N)."""
     g, buckets = _score_counts(pred, label, score, positive, buckets)
-    cum = running_sums(g, "threshold", ["pos"], descending=True, buckets=buckets)
+    cum = running_sums(g, "threshold", ["pos"], descending=True, buckets=buckets, unique_order=True)
     one = cum.agg(F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("_u"),
                   F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return one.select(F.try_divide(F.col("_u"), F.col("n_pos") * F.col("n_neg")).alias("auc"),

@@ -166,7 +166,7 @@ def ecdf(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
     total = counts.agg(F.sum("count").alias("_tot"))
     if buckets is None:
         buckets = window_buckets(vals, ["value"])  # 1 window when measured small
-    cum = running_sums(counts, "value", ["count"], buckets=buckets)
+    cum = running_sums(counts, "value", ["count"], buckets=buckets, unique_order=True)
     return (cum.crossJoin(F.broadcast(total))
             .select("value", "count", F.col("cum_count").cast("long").alias("cum_count"),
                     (F.col("cum_count") / F.col("_tot")).alias("ecdf")))
@@ -207,7 +207,7 @@ def _avg_ranks(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -
     long = base.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("value"))
                                           for c in cols])))
     counts = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_sums(counts, "value", ["_n"], by=["variable"], buckets=buckets)
+    cum = running_sums(counts, "value", ["_n"], by=["variable"], buckets=buckets, unique_order=True)
     ranks = cum.select("variable", "value", (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias("_rank"))
     out = base
     for c in cols:
