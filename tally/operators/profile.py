@@ -225,6 +225,8 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None, method: str =
     full=True adds the diagonal and both triangles (heatmap table).
     """
     cols = list(cols or numeric_columns(df))
+    if len(cols) > WIDE:
+        return _correlation_wide(df, cols, method, full)
     if method == "spearman":
         data = _avg_ranks(df, cols, buckets)
     elif method == "pearson":
@@ -247,6 +249,30 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None, method: str =
     return long
 
 
+WIDE = 40  # above this many columns the pairwise aggregate gets too large
+
+
+def _correlation_wide(df: DataFrame, cols: Sequence[str], method: str, full: bool) -> DataFrame:
+    """Many columns: Spark ML's ``Correlation.corr`` builds the k x k matrix in
+    one distributed pass (treeAggregate of the Gram matrix; Spearman ranks
+    each column with a distributed sort).  Rows with any NULL/NaN are
+    dropped (listwise, unlike the pairwise-complete narrow form); the matrix
+    (k^2 values) comes back to the driver and is returned in long form."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    base = df.select(*[nan_to_null(c).alias(c) for c in cols]).na.drop(how="any")
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(base).select("_v")
+    m = Correlation.corr(vec, "_v", method).first()[0].toArray()
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if j > i or full:
+                r = float(m[i, j])
+                rows.append((a, b, None if r != r else r))
+    spark = df.sparkSession
+    return spark.createDataFrame(rows, "var_x string, var_y string, r double")
+
+
 def heatmap(df: DataFrame, cols: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
     """D9 — the square correlation table (diagonal and both triangles)."""
     return correlation(df, cols, method=method, full=True)

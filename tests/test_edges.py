@@ -109,3 +109,19 @@ def test_ntz_truncation_ignores_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == {"hour": "2024-03-10T02:00:00", "day": "2024-03-10T00:00:00", "week": "2024-03-04T00:00:00",
                    "month": "2024-03-01T00:00:00", "quarter": "2024-01-01T00:00:00", "year": "2024-01-01T00:00:00"}
+
+
+def test_wide_correlation_matches_narrow(spark, monkeypatch):
+    from tally.operators import profile as prof
+    df = spark.range(300).select(*[((F.col("id") * (k + 1)) % (17 + k)).cast("double").alias(f"c{k}")
+                                   for k in range(5)])
+    narrow = {(r["var_x"], r["var_y"]): r["r"] for r in prof.correlation(df, full=True).collect()}
+    monkeypatch.setattr(prof, "WIDE", 3)
+    wide = {(r["var_x"], r["var_y"]): r["r"] for r in prof.correlation(df, full=True).collect()}
+    assert narrow.keys() == wide.keys()
+    assert all(abs(narrow[k] - wide[k]) < 1e-9 for k in narrow)
+    wide_s = {(r["var_x"], r["var_y"]): r["r"] for r in prof.correlation(df, method="spearman").collect()}
+    monkeypatch.setattr(prof, "WIDE", 40)
+    narrow_s = {(r["var_x"], r["var_y"]): r["r"] for r in prof.correlation(df, method="spearman").collect()}
+    assert narrow_s.keys() == wide_s.keys()
+    assert all(abs(narrow_s[k] - wide_s[k]) < 1e-9 for k in narrow_s)
