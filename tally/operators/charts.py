@@ -82,7 +82,7 @@ def bar_table(df: DataFrame, cat: str, y: str | None = None, agg: str = "sum",
                 F.max("_v").alias("_mx")))
 
     def value(s, n, mn, mx):
-        return {"sum": s, "count": n.cast("double"), "avg": s / n, "mean": s / n,
+        return {"sum": s, "count": n.cast("double"), "avg": F.try_divide(s, n), "mean": F.try_divide(s, n),
                 "min": mn, "max": mx}[agg]
 
     per = per.withColumn("value", value(F.col("_s"), F.col("_n"), F.col("_mn"), F.col("_mx")))

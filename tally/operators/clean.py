@@ -116,7 +116,8 @@ def flag_outliers(df: DataFrame, col: str, method: str = "iqr", k: float | None
         q1, q3 = F.try_element_at(F.col("m._q"), F.lit(1)), F.try_element_at(F.col("m._q"), F.lit(2))
         out = (v < q1 - k * (q3 - q1)) | (v > q3 + k * (q3 - q1))
     else:
-        out = F.abs(v - F.col("m._mu")) / F.col("m._sd") > k
+        sd = F.col("m._sd")
+        out = F.when(sd > 0, F.abs(v - F.col("m._mu")) / sd > k)  # constant column: no outliers
     return j.select(*[F.col(f"l.`{c}`") for c in df.columns], F.coalesce(out, F.lit(False)).alias(flag))
 
 

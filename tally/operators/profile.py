@@ -330,7 +330,7 @@ def insights(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] =
     for i, c in enumerate(numeric):  # exact quartiles, one row each
         one = one.crossJoin(quantiles(df, c, [0.25, 0.75], out=f"_q{i}"))
     rows = [F.struct(F.lit("missing").alias("rule"), F.lit(c).alias("subject"),
-                     (F.col(f"_null{i}") / F.col("_rows")).alias("score")) for i, c in enumerate(allc)]
+                     F.try_divide(F.col(f"_null{i}"), F.col("_rows")).alias("score")) for i, c in enumerate(allc)]
     rows += [F.struct(F.lit("skewed").alias("rule"), F.lit(c).alias("subject"),
                       F.col(f"_skew{i}").alias("score")) for i, c in enumerate(numeric)]
     rows += [F.struct(F.lit("correlated").alias("rule"), F.lit(f"{a}~{b}").alias("subject"),
@@ -350,7 +350,8 @@ def insights(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] =
             iqr = q3 - q1
             out = (x < q1 - k * iqr) | (x > q3 + k * iqr)
             oagg.append(F.struct(F.lit("outliers").alias("rule"), F.lit(c).alias("subject"),
-                                 (F.count_if(F.coalesce(out, F.lit(False))) / F.count(F.lit(1))).alias("score"))
+                                 F.try_divide(F.count_if(F.coalesce(out, F.lit(False))), F.count(F.lit(1)))
+                                 .alias("score"))
                         .alias(f"_o{i}"))
         outl = _explode_structs(flagged.agg(*oagg), [f"_o{i}" for i in range(len(numeric))])
         parts.append(outl.where(F.col("score") > outlier_share))

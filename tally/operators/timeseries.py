@@ -122,16 +122,17 @@ def decompose(grid: DataFrame, ts: str, period: int, model: str = "additive", y:
     g = grid.select(*by, ts, F.col(y).alias("y"),
                     (F.row_number().over(w) - 1).cast("long").alias("idx"))
     g = g.withColumn("trend", centered_ma(F.col("y"), w, period)).withColumn("phase", F.col("idx") % period)
-    detr = F.col("y") - F.col("trend") if model == "additive" else F.col("y") / F.col("trend")
+    # multiplicative parts use try_divide: a zero trend or index gives NULL, not an error
+    detr = F.col("y") - F.col("trend") if model == "additive" else F.try_divide(F.col("y"), F.col("trend"))
     raw = g.groupBy(*by, "phase").agg(F.avg(detr).alias("_s"))
     norm = raw.groupBy(*by).agg(F.avg("_s").alias("_m"))
     seas = raw.join(norm, on=by, how="inner") if by else raw.crossJoin(norm)
     seas = seas.select(*by, "phase", (F.col("_s") - F.col("_m") if model == "additive"
-                                      else F.col("_s") / F.col("_m")).alias("seasonal"))
+                                      else F.try_divide(F.col("_s"), F.col("_m"))).alias("seasonal"))
     # one row per (series, phase): small next to the grid
     out = g.join(seas, on=[*by, "phase"], how="left")
     resid = (F.col("y") - F.col("trend") - F.col("seasonal") if model == "additive"
-             else F.col("y") / (F.col("trend") * F.col("seasonal")))
+             else F.try_divide(F.col("y"), F.col("trend") * F.col("seasonal")))
     return out.select(*by, ts, "y", "trend", "seasonal", resid.alias("resid"))
 
 

@@ -125,3 +125,59 @@ def test_wide_correlation_matches_narrow(spark, monkeypatch):
     narrow_s = {(r["var_x"], r["var_y"]): r["r"] for r in prof.correlation(df, method="spearman").collect()}
     assert narrow_s.keys() == wide_s.keys()
     assert all(abs(narrow_s[k] - wide_s[k]) < 1e-9 for k in narrow_s)
+
+
+@pytest.fixture(scope="module")
+def grids(spark):
+    import datetime as dt
+
+    def g(vals):
+        rows = [(dt.datetime(2020, 1, 1) + dt.timedelta(days=31 * i), v) for i, v in enumerate(vals)]
+        return spark.createDataFrame(rows, "ts timestamp_ntz, y double").select(
+            C.time_key(spark.createDataFrame(rows, "ts timestamp_ntz, y double"), "ts", "month").alias("ts"), "y")
+    return {"empty": spark.createDataFrame([], "ts timestamp_ntz, y double"), "one": g([5.0]),
+            "constant": g([3.0] * 30), "short": g([1.0, 2.0, 3.0, 4.0, 5.0])}
+
+
+@pytest.mark.parametrize("name", ["empty", "one", "constant", "short"])
+def test_time_series_ops_do_not_raise(grids, name):
+    from tally.operators import timeseries as TS
+    g = grids[name]
+    TS.fill_gaps(g, "ts", "month", "ffill").collect()
+    TS.linear_trend(g, "ts").collect()
+    TS.decompose(g, "ts", 12).collect()
+    TS.decompose(g, "ts", 12, "multiplicative").collect()
+    TS.moving_average(g, "ts", 3).collect()
+    TS.ewm(g, "ts", 0.5).collect()
+    TS.holt_winters(g, "ts", 12, horizon=3).collect()
+    for m in ("naive", "drift", "mean", "seasonal_naive", "trend_season", "ar"):
+        TS.forecast(g, "ts", 3, m, period=12).collect()
+    TS.backtest(g, "ts", 2, "naive").collect()
+    TS.lag_features(g, "ts", [1, 2]).collect()
+    TS.acf(g, "ts", 3).collect()
+
+
+def test_constant_series_acf_is_null(grids):
+    from tally.operators import timeseries as TS
+    assert all(r["acf"] is None for r in TS.acf(grids["constant"], "ts", 3).collect())
+
+
+@pytest.mark.parametrize("name", ["empty", "one", "constant", "all_null"])
+def test_chart_ops_do_not_raise(tables, name):
+    df = tables[name]
+    C.line_table(df, "id", "x").collect()
+    C.bar_table(df, "c", "x", top=2).collect()
+    C.scatter_table(df, "x", "y", bins=4).collect()
+    C.share_table(df, "c", "x").collect()
+    C.overlay_by_category(df, "id", "c", "x", values=["a", "b"]).collect()
+    P.value_counts(df, "c", top=3).collect()
+    P.metric_cards(df, {"n": F.count(F.lit(1)), "s": F.sum("x")}).collect()
+    P.insights(df, ["x", "y"], ["c"]).collect()
+
+
+def test_zero_denominators_give_null_not_errors(tables, grids):
+    from tally.operators import timeseries as TS
+    K.flag_outliers(tables["constant"], "x", "zscore").collect()
+    zero = grids["constant"].withColumn("y", F.lit(0.0))
+    TS.decompose(zero, "ts", 12, "multiplicative").collect()
+    P.insights(tables["empty"], ["x", "y"], ["c"]).collect()
