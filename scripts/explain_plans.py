@@ -34,7 +34,6 @@ def main() -> None:
             continue
         plan = r.raw(spark, sf)._jdf.queryExecution().executedPlan().toString()
         counts = {k: len(re.findall(rf"\b{re.escape(k)}\b", plan)) for k in KINDS}
-        counts["Exchange"] -= counts["BroadcastExchange"]
         summary = ", ".join(f"{k}={v}" for k, v in counts.items() if v)
         print(f"== {name}: {summary}")
         if full:
