@@ -72,7 +72,8 @@ def bar_table(df: DataFrame, cat: str, y: str | None = None, agg: str = "sum",
               top: int = 20) -> DataFrame:
     """Aggregate per category; the ``top`` largest (ties: smaller category
     first) plus one ``(other)`` row for the rest.  The top-k is a bounded
-    TakeOrderedAndProject; the rest is an anti join against those k keys."""
+    TakeOrderedAndProject; the per-category aggregate is tagged with it by a
+    broadcast of k rows and the rest folded into one row."""
     if agg not in ("sum", "count", "avg", "mean", "min", "max"):
         raise ValueError(f"bar_table supports sum/count/avg/min/max, not {agg!r}")
     v = F.lit(1.0) if y is None else F.col(y).cast("double")
@@ -86,19 +87,18 @@ def bar_table(df: DataFrame, cat: str, y: str | None = None, agg: str = "sum",
                 "min": mn, "max": mx}[agg]
 
     per = per.withColumn("value", value(F.col("_s"), F.col("_n"), F.col("_mn"), F.col("_mx")))
-    topk = per.orderBy(F.col("value").desc_nulls_last(), F.col("category").asc_nulls_last()).limit(top)
-    ranked = topk.select("category", "value",
-                         F.row_number().over(Window.orderBy(F.col("value").desc_nulls_last(),
-                                                            F.col("category").asc_nulls_last()))
-                         .cast("long").alias("rank"))
-    rest = per.join(F.broadcast(topk.select("category")), on="category", how="left_anti")
-    other = (rest.agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.min("_mn").alias("_mn"),
-                      F.max("_mx").alias("_mx"), F.count(F.lit(1)).alias("_k"))
-             .where(F.col("_k") > 0)
-             .select(F.lit(OTHER).alias("category"),
-                     value(F.col("_s"), F.col("_n"), F.col("_mn"), F.col("_mx")).alias("value"),
-                     F.lit(None).cast("long").alias("rank")))
-    return ranked.unionByName(other)
+    order = [F.col("value").desc_nulls_last(), F.col("category").asc_nulls_last()]
+    # bounded top-k (TakeOrderedAndProject) ranked by a window over k rows
+    topk = (per.orderBy(*order).limit(top)
+            .select("category", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank")))
+    # tag the per-category rows with their rank (broadcast of k rows) and fold
+    # the untagged ones into one row: the aggregate above is computed once
+    tagged = per.join(F.broadcast(topk), on="category", how="left")
+    folded = tagged.groupBy(F.when(F.col("rank").isNull(), F.lit(OTHER)).otherwise(F.col("category"))
+                            .alias("category"), "rank").agg(
+        F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.min("_mn").alias("_mn"), F.max("_mx").alias("_mx"))
+    return folded.select("category", value(F.col("_s"), F.col("_n"), F.col("_mn"), F.col("_mx")).alias("value"),
+                         "rank")
 
 
 # --------------------------------------------------------------------- V3
