@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.operators.charts import agg_expr, slot_expr, time_key
+from tally.session import ship_package
 
 _UNITS = {"hour": ("HOUR", 1), "day": ("DAY", 1), "week": ("DAY", 7), "month": ("MONTH", 1),
           "quarter": ("MONTH", 3), "year": ("MONTH", 12)}
@@ -175,6 +176,7 @@ def _ewm_frame(alpha: float, ts: str):
 def ewm(grid: DataFrame, ts: str, alpha: float, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Simple exponential smoothing s_1 = y_1, s_t = a y_t + (1 - a) s_(t-1)
     (NULL steps carry the previous state)."""
+    ship_package(grid.sparkSession)
     g, key = _series_key(grid.withColumnRenamed(y, "y") if y != "y" else grid, by)
     schema = g.select(*key, ts, "y").schema.add("ewm", "double")
     out = g.select(*key, ts, "y").groupBy(*key).applyInPandas(_ewm_frame(alpha, ts), schema)
@@ -224,6 +226,7 @@ def holt_winters(grid: DataFrame, ts: str, period: int, alpha: float = 0.3, beta
     """Additive Holt-Winters (level, trend, season) per series.  Returns the
     in-sample one-step fits (step <= 0, step 0 = last observed) and
     ``horizon`` forecasts (step > 0) with their time stamps."""
+    ship_package(grid.sparkSession)
     g, key = _series_key(grid.withColumnRenamed(y, "y") if y != "y" else grid, by)
     types = {f.name: f.dataType.simpleString() for f in g.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in key] + ["step long", "fitted double", "y double"])
@@ -318,6 +321,7 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
         hwf = holt_winters(g, ts, period or 12, horizon=horizon, freq=freq, by=by, **hw)
         return hwf.where(F.col("step") > 0).select(*by, "step", ts, F.col("fitted").alias("yhat"))
     if method == "ar":
+        ship_package(grid.sparkSession)
         gg, key = _series_key(g, by)
         types = {f.name: f.dataType.simpleString() for f in gg.schema.fields}
         schema = ", ".join([f"{k} {types[k]}" for k in key] + ["step long", "yhat double"])

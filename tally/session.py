@@ -65,3 +65,31 @@ def local_path(path: str) -> str:
         if path.startswith(prefix):
             return path[len(prefix):]
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tally`` importable in Python workers (pandas functions, the
+    xlsx data source): zip the package once per application and hand it to
+    ``SparkContext.addPyFile``, which distributes it to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    folder = local_path(scratch_path(spark, "pyfiles"))
+    if "://" in folder:  # not a local file system: the driver's temp folder
+        folder = tempfile.mkdtemp(prefix="tally-pyfiles-")
+    os.makedirs(folder, exist_ok=True)
+    out = os.path.join(folder, "tally.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)

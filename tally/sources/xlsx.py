@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tally.session import local_path
+from tally.session import local_path, ship_package
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _EXCEL_EPOCH = dt.datetime(1899, 12, 30)
@@ -174,6 +174,7 @@ class XlsxDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)  # the reader runs in Python workers
     spark.dataSource.register(XlsxDataSource)
 
 
@@ -241,6 +242,7 @@ def _sheet_xml(columns: list[str], rows) -> Iterator[str]:
 def write_xlsx(df: DataFrame, folder: str) -> str:
     """Write one workbook per partition of ``df`` into ``folder`` (in
     parallel, from the executors) and return the folder."""
+    ship_package(df.sparkSession)
     cols = df.columns
     target_dir = local_path(folder)
 
