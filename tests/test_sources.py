@@ -97,3 +97,17 @@ def test_sample_table_columns(spark):
     s = sample_table(spark, 100)
     assert s.columns == ["id", "ts", "category", "x", "y", "flag"]
     assert s.agg(F.countDistinct("category")).first()[0] == 5
+
+
+def test_shipped_package_contains_the_modules(spark):
+    import glob
+
+    from tally import session
+    session._SHIPPED.discard(spark.sparkContext.applicationId)
+    session.ship_package(spark)
+    zips = glob.glob(os.path.join(local_path(session.ensure_checkpoint_dir(spark)), "tally-scratch", "pyfiles-*",
+                                  "tally.zip"))
+    assert zips
+    names = zipfile.ZipFile(sorted(zips, key=os.path.getmtime)[-1]).namelist()
+    for m in ("tally/__init__.py", "tally/operators/timeseries.py", "tally/sources/xlsx.py", "tally/session.py"):
+        assert m in names
