@@ -147,11 +147,19 @@ def _weight(a: float, n_toxic: int, c: float, n_clean: int) -> float:
     return math.log((a + 0.5) / (n_toxic + 1) / ((c + 0.5) / (n_clean + 1)))
 
 
+def _evidence(a: int, n_toxic: int, c: int, n_clean: int) -> float:
+    """Twice the log-likelihood ratio of an entry's split over the classes against chance."""
+    p = n_toxic / (n_toxic + n_clean)
+    q = a / (a + c)
+    return 2 * (a * math.log(q / p) + (c * math.log((1 - q) / (1 - p)) if c else 0.0))
+
+
 def learn_lexicon(train: DataFrame) -> Lexicon:
     """A lexicon from ``(text, toxic)`` rows (no NULLs).
 
     Entries occur in enough toxic texts (at least 3, and 0.2 %), at least five
-    times likelier than in clean ones; a longer entry is left out where its own
+    times likelier than in clean ones, and more clearly so than chance makes the
+    best of as many candidates; a longer entry is left out where its own
     beginning weighs about as much.
     """
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -164,7 +172,9 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     known = train.sparkSession.sparkContext.broadcast(frozenset(in_toxic))
     clean = _counted(train.where("toxic = 0"), lambda w: _terms(set(w)) & known.value)
     in_clean = {r["term"]: r["n"] for r in clean.collect()}
-    weights = {t: _weight(a, n_toxic, in_clean.get(t, 0), n_clean) for t, a in in_toxic.items()}
+    chance = 2 * math.log(len(in_toxic) + 1) + 2
+    weights = {t: _weight(a, n_toxic, in_clean.get(t, 0), n_clean) for t, a in in_toxic.items()
+               if _evidence(a, n_toxic, in_clean.get(t, 0), n_clean) > chance}
     kept: dict[str, float] = {}
     for t in sorted(weights, key=lambda t: (len(t), t)):
         w = weights[t]
