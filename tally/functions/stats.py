@@ -22,7 +22,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def as_col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column by its exact name (names may hold dots), or the column itself."""
+    return F.col(f"`{c.replace('`', '``')}`") if isinstance(c, str) else c
 
 
 def nan_to_null(c: str | Column) -> Column:
@@ -32,6 +33,16 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def hash_bucket(key: Column, m: int) -> Column:
+    """A bucket from 0 to m - 1 for a key of any type: the first 32 bits of
+    the MD5 of the key as text, modulo ``m`` (a rule other engines have too)."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(m))
+
+
+def hash_bucket_sql(key: str, m: int) -> str:
+    return f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % {m})"
+
+
 # ---------------------------------------------------------------------------
 # Rounding to significant digits, identical in Spark and in SQL.
 #
@@ -165,14 +176,17 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
         return 8
 
 
-def _count_below(cuts: Column, v: Column, lo: int, hi: int) -> Column:
-    """Number of entries of the sorted array ``cuts`` below ``v``, known to
-    lie in [lo, hi]: a binary-search CASE tree (log2 comparisons per row,
-    compiled by whole-stage codegen, unlike a lambda over the array)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(cuts[mid] < v, _count_below(cuts, v, mid + 1, hi)).otherwise(_count_below(cuts, v, lo, mid))
+def _count_below(cuts: Column, v: Column, n: int) -> Column:
+    """Number of the ``n`` entries of the sorted array ``cuts`` below ``v``, by
+    binary search: the expression has the same size for any ``n``."""
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.coalesce(F.get(cuts, mid) < v, F.lit(False))
+        done = acc["lo"] >= acc["hi"]
+        return F.struct(F.when(done | ~below, acc["lo"]).otherwise(mid + 1).alias("lo"),
+                        F.when(done | below, acc["hi"]).otherwise(mid).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, step, lambda acc: acc["lo"])
 
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
@@ -214,7 +228,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     else:
         # one row: broadcasting it is bounded by construction
         x = df.crossJoin(F.broadcast(df.agg(pa)))
-    x = x.withColumn("_bkt", _count_below(F.col("_cuts"), F.col(order_col), 0, n_b - 1)).drop("_cuts")
+    x = x.withColumn("_bkt", _count_below(F.col("_cuts"), F.col(order_col), n_b - 1)).drop("_cuts")
     # running sum inside each (group, range): the shuffle is by (group, range)
     wi = frame(Window.partitionBy(*by, "_bkt").orderBy(order))
     xw = x.select("*", *[F.sum(c).over(wi).alias(f"_w_{c}") for c in sum_cols])
@@ -235,53 +249,8 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
 # Exact quantiles without a per-group value map
 # ---------------------------------------------------------------------------
 
-# Largest number of distinct values for which the single-pass ``percentile``
-# aggregate (a value -> count map per group, held in memory) is used.
-PERCENTILE_MAP_LIMIT = 500_000
-# Largest number of distinct values ranked in one window partition (window
-# buffers spill to disk, so this bounds parallelism, not memory).
-SINGLE_WINDOW_LIMIT = 5_000_000
-
-
-def domain_sizes(df: DataFrame, cols: Sequence[str | Column]) -> list[int]:
-    """Padded HyperLogLog++ distinct-count estimate per column (one pass)."""
-    if not cols:
-        return []
-    r = df.agg(*[F.approx_count_distinct(as_col(c)).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
-    return [int((r[i] or 0) * 1.25) for i in range(len(cols))]
-
-
-def domain_size(df: DataFrame, cols: Sequence[str | Column]) -> int:
-    """Upper estimate of the largest distinct-value count among ``cols``:
-    one HyperLogLog++ pass (bounded memory, 5 % relative standard error,
-    padded by 25 %, i.e. five standard errors).
-    This is an action — a run-time plan choice on a measured size, as AQE
-    makes — so callers use it only where the choice changes the plan."""
-    return max(domain_sizes(df, cols), default=0)
-
-
-def bounded_domain(df: DataFrame, cols: Sequence[str | Column], limit: int | None = None) -> bool:
-    """True when every column has at most ``limit`` distinct values (default
-    PERCENTILE_MAP_LIMIT), measured by :func:`domain_size`."""
-    limit = PERCENTILE_MAP_LIMIT if limit is None else limit
-    if limit <= 0:
-        return False
-    return domain_size(df, cols) <= limit
-
-
-def window_buckets(df: DataFrame, cols: Sequence[str | Column], size: int | None = None) -> int | None:
-    """``buckets`` argument for :func:`running_sums` over the distinct
-    values of ``cols``: 1 (one window) when measured small, else None
-    (range buckets)."""
-    if SINGLE_WINDOW_LIMIT <= 0 or PERCENTILE_MAP_LIMIT <= 0:
-        return None
-    n = domain_size(df, cols) if size is None else size
-    return 1 if n <= SINGLE_WINDOW_LIMIT else None
-
-
 def quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], by: Sequence[str] = (),
-              buckets: int | None = None, out: str = "_q", map_limit: int | None = None,
-              size: int | None = None) -> DataFrame:
+              buckets: int | None = None, out: str = "_q") -> DataFrame:
     """Exact quantiles with linear interpolation (position p (n - 1), as
     ``percentile`` / ``quantile_cont``): one row per ``by`` group holding the
     array ``out`` in ``probs`` order.  NaN counts as missing.
@@ -291,21 +260,11 @@ def quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], by: Sequ
     lands in a single task.  Here the values are counted by a grouped
     aggregate (partial aggregation), ranked by bucketed running counts, and
     only the rows holding the wanted order statistics (two per quantile)
-    survive the range match against the small target table.  When the
-    column has at most ``map_limit`` distinct values (measured), the
-    single-pass ``percentile`` is used instead: its maps are then bounded.
-    ``size`` passes an already measured distinct count.
+    survive the range match against the small target table.  The plan is the
+    same at every size and needs no job before it.
     """
     by = list(by)
     v = df.select(*by, nan_to_null(as_col(col)).alias("_v")).where(F.col("_v").isNotNull())
-    limit = PERCENTILE_MAP_LIMIT if map_limit is None else map_limit
-    if size is None and limit > 0:
-        size = domain_size(v, ["_v"])
-    if size is not None and size <= limit:
-        # every group's value map is bounded by the measured distinct count
-        return v.groupBy(*by).agg(F.percentile("_v", [float(p) for p in probs]).alias(out))
-    if buckets is None and size is not None:
-        buckets = window_buckets(v, ["_v"], size)
     counts = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     cum = running_sums(counts, "_v", ["_n"], by=by, buckets=buckets, unique_order=True)
     tot = counts.groupBy(*by).agg(F.sum("_n").alias("_N"))
@@ -340,3 +299,61 @@ def run_parallel(fn, items: Sequence, parallelism: int = 4) -> list:
         return [fn(x) for x in items]
     with ThreadPool(min(parallelism, len(items))) as pool:
         return pool.map(inheritable_thread_target(fn), items)
+
+
+# ---------------------------------------------------------------------------
+# Pair moments: all correlations of many columns in one pass
+# ---------------------------------------------------------------------------
+
+def pair_moments(df: DataFrame, vector: str, k: int) -> DataFrame:
+    """``(i, j, n, cxx, cyy, cxy)`` for every pair i <= j of the ``k`` entries
+    of the array column ``vector``: the rows where both are present, and the
+    centred sums over them.
+
+    One scan: every Arrow batch contributes masked matrix products (k x k
+    values, whatever its rows), which merge into the batch totals of a task
+    around the task's own means; tasks are merged by a grouped sum of their
+    totals, corrected for the distance of their means from the overall mean,
+    so large offsets do not cancel.  The plan does not depend on ``k``.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows_i, rows_j = np.triu_indices(k)
+
+    def run(batches):
+        total = None
+        for b in batches:
+            col = b.column(0)
+            x = np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype="float64").reshape(-1, k)
+            if not len(x):
+                continue
+            mask = ~np.isnan(x)
+            if total is None:
+                shift = np.where(mask.any(0), np.where(mask, x, 0.0).sum(0) / np.maximum(mask.sum(0), 1), 0.0)
+                total = [np.zeros((k, k)) for _ in range(6)]
+            z = np.where(mask, x - shift, 0.0)
+            m = mask.astype("float64")
+            zz = z * z
+            for t, part in zip(total, (m.T @ m, z.T @ m, m.T @ z, zz.T @ m, m.T @ zz, z.T @ z)):
+                t += part
+        if total is None:
+            return
+        n, sx, sy, sxx, syy, sxy = (t[rows_i, rows_j] for t in total)
+        d = np.maximum(n, 1)
+        mx, my = sx / d, sy / d
+        cols = [pa.array(rows_i, pa.int32()), pa.array(rows_j, pa.int32()), pa.array(n.astype("int64")),
+                pa.array(mx + shift[rows_i]), pa.array(my + shift[rows_j]),
+                pa.array(sxx - n * mx * mx), pa.array(syy - n * my * my), pa.array(sxy - n * mx * my)]
+        yield pa.RecordBatch.from_arrays(cols, names=["i", "j", "n", "mx", "my", "cxx", "cyy", "cxy"])
+
+    parts = df.select(vector).mapInArrow(
+        run, "i int, j int, n long, mx double, my double, cxx double, cyy double, cxy double").where("n > 0")
+    w = Window.partitionBy("i", "j")
+    dx = F.col("mx") - F.sum(F.col("n") * F.col("mx")).over(w) / F.sum("n").over(w)
+    dy = F.col("my") - F.sum(F.col("n") * F.col("my")).over(w) / F.sum("n").over(w)
+    parts = parts.select("*", dx.alias("dx"), dy.alias("dy"))
+    return parts.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.sum(F.col("cxx") + F.col("n") * F.col("dx") * F.col("dx")).alias("cxx"),
+        F.sum(F.col("cyy") + F.col("n") * F.col("dy") * F.col("dy")).alias("cyy"),
+        F.sum(F.col("cxy") + F.col("n") * F.col("dx") * F.col("dy")).alias("cxy"))

@@ -13,16 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tally.functions.stats import as_col, equal_width_bin, join_on_keys, quantiles
+from tally.functions.stats import as_col, equal_width_bin, join_on_keys, nan_to_null, quantiles
 
 OTHER = "(other)"
 
 
 def agg_expr(agg: str, y: str | Column | None) -> Column:
-    """The aggregate named ``agg`` over ``y`` (``count`` ignores ``y``)."""
+    """The aggregate named ``agg`` over ``y`` (``count`` without ``y`` counts
+    rows); NaN counts as missing."""
     if agg == "count":
         return F.count(F.lit(1)) if y is None else F.count(as_col(y))
-    c = as_col(y).cast("double")
+    c = nan_to_null(y)
     fns = {"avg": F.avg, "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max,
            "median": lambda c: F.percentile_approx(c, 0.5, 10000), "std": F.stddev_samp}
     if agg not in fns:
@@ -51,18 +52,18 @@ def time_key(df: DataFrame, ts: str, freq: str | None) -> Column:
     """``ts`` truncated to ``freq`` (minute, hour, day, week (Monday), month,
     quarter, year), keeping the column's own timestamp type."""
     if not freq:
-        return F.col(ts)
+        return as_col(ts)
     dtype = df.schema[ts].dataType
     if isinstance(dtype, T.TimestampNTZType):
-        return trunc_ntz(F.col(ts), freq)
-    return F.date_trunc(freq, F.col(ts)).cast(dtype)
+        return trunc_ntz(as_col(ts), freq)
+    return F.date_trunc(freq, as_col(ts)).cast(dtype)
 
 
 # --------------------------------------------------------------------- V1
 def line_table(df: DataFrame, x: str, y: str | None, agg: str = "avg",
                series: str | None = None, freq: str | None = None) -> DataFrame:
     """y aggregated per x (and per series), ordered by series, x."""
-    keys = ([F.col(series).alias("series")] if series else []) + [time_key(df, x, freq).alias("x")]
+    keys = ([as_col(series).alias("series")] if series else []) + [time_key(df, x, freq).alias("x")]
     out = df.groupBy(*keys).agg(agg_expr(agg, y).alias("y"))
     return out.orderBy(*(["series"] if series else []), "x")
 
@@ -71,13 +72,14 @@ def line_table(df: DataFrame, x: str, y: str | None, agg: str = "avg",
 def bar_table(df: DataFrame, cat: str, y: str | None = None, agg: str = "sum",
               top: int = 20) -> DataFrame:
     """Aggregate per category; the ``top`` largest (ties: smaller category
-    first) plus one ``(other)`` row for the rest.  The top-k is a bounded
+    first) plus one ``(other)`` row for the rest.  NULL is a category like any
+    other and sorts last.  The top-k is a bounded
     TakeOrderedAndProject; the per-category aggregate is tagged with it by a
     broadcast of k rows and the rest folded into one row."""
     if agg not in ("sum", "count", "avg", "mean", "min", "max"):
         raise ValueError(f"bar_table supports sum/count/avg/min/max, not {agg!r}")
-    v = F.lit(1.0) if y is None else F.col(y).cast("double")
-    per = (df.select(F.col(cat).cast("string").alias("category"), v.alias("_v"))
+    v = F.lit(1.0) if y is None else nan_to_null(y)
+    per = (df.select(as_col(cat).cast("string").alias("category"), v.alias("_v"))
            .groupBy("category")
            .agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n"), F.min("_v").alias("_mn"),
                 F.max("_v").alias("_mx")))
@@ -93,7 +95,7 @@ def bar_table(df: DataFrame, cat: str, y: str | None = None, agg: str = "sum",
             .select("category", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank")))
     # tag the per-category rows with their rank (broadcast of k rows) and fold
     # the untagged ones into one row: the aggregate above is computed once
-    tagged = per.join(F.broadcast(topk), on="category", how="left")
+    tagged = join_on_keys(per, F.broadcast(topk), ["category"], "left")
     folded = tagged.groupBy(F.when(F.col("rank").isNull(), F.lit(OTHER)).otherwise(F.col("category"))
                             .alias("category"), "rank").agg(
         F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.min("_mn").alias("_mn"), F.max("_mx").alias("_mx"))
@@ -108,11 +110,11 @@ def scatter_table(df: DataFrame, x: str, y: str, mode: str = "bins", bins: int =
     output at any data size).  mode="raw": the (x, y) pairs; ``sample_every``
     = m keeps the rows whose key hashes to 0 mod m (repeatable, stated by the
     caller: no hidden row cap)."""
-    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
+    xs, ys = nan_to_null(x), nan_to_null(y)
     if mode == "raw":
-        out = df.select(*(key or []), xs.alias("x"), ys.alias("y"))
+        out = df.select(*[as_col(k) for k in (key or [])], xs.alias("x"), ys.alias("y"))
         if sample_every > 1:
-            h = F.xxhash64(*[F.col(k) for k in (key or [x, y])])
+            h = F.xxhash64(*[as_col(k) for k in (key or ["x", "y"])])
             out = out.where(F.pmod(h, F.lit(sample_every)) == 0)
         return out
     if mode != "bins":
@@ -139,7 +141,7 @@ def scatter_table(df: DataFrame, x: str, y: str, mode: str = "bins", bins: int =
 def histogram_table(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram; every bin appears, empty ones with count 0.
     The last bin is closed on the right (as numpy.histogram)."""
-    v = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    v = df.select(nan_to_null(col).alias("_v")).where(F.col("_v").isNotNull())
     lim = v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     counts = (v.crossJoin(F.broadcast(lim))
               .select(equal_width_bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
@@ -157,9 +159,10 @@ def histogram_table(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 # --------------------------------------------------------------------- V5
 def box_table(df: DataFrame, cat: str, y: str, k: float = 1.5, exact: bool = True) -> DataFrame:
     """Box plot per category: quartiles, whiskers (most extreme values within
-    k IQR of the box) and the count of points beyond them."""
-    v = F.col(y).cast("double")
-    base = df.select(F.col(cat).alias("category"), v.alias("_v")).where(F.col("_v").isNotNull())
+    k IQR of the box) and the count of points beyond them.  NaN counts as
+    missing."""
+    v = nan_to_null(y)
+    base = df.select(as_col(cat).alias("category"), v.alias("_v")).where(F.col("_v").isNotNull())
     if exact:
         quart = quantiles(base, "_v", [0.25, 0.5, 0.75], by=["category"])
     else:
@@ -180,7 +183,7 @@ def box_table(df: DataFrame, cat: str, y: str, k: float = 1.5, exact: bool = Tru
 
 def share_table(df: DataFrame, cat: str, y: str | None = None, agg: str = "sum") -> DataFrame:
     """Pie chart table: value per category and its share of the total."""
-    per = df.groupBy(F.col(cat).alias("category")).agg(agg_expr(agg, y).cast("double").alias("value"))
+    per = df.groupBy(as_col(cat).alias("category")).agg(agg_expr(agg, y).cast("double").alias("value"))
     tot = per.agg(F.sum("value").alias("_tot"))
     return (per.crossJoin(F.broadcast(tot))
             .select("category", "value", (F.col("value") / F.when(F.col("_tot") != 0, F.col("_tot"))).alias("share")))
@@ -243,19 +246,26 @@ def overlay_by_slot(df: DataFrame, ts: str, y: str | None, slot: str = "hour",
                     series: str | None = "week", agg: str = "avg") -> DataFrame:
     """One line per period (``series`` = date_trunc unit) over a time slot,
     e.g. hour-of-day curves of each week, or months of each year."""
-    keys = ([time_key(df, ts, series).alias("series")] if series else []) + [slot_expr(F.col(ts), slot).alias("slot")]
+    keys = ([time_key(df, ts, series).alias("series")] if series else []) + [slot_expr(as_col(ts), slot).alias("slot")]
     return df.groupBy(*keys).agg(agg_expr(agg, y).alias("y"))
 
 
 # --------------------------------------------------------------------- V9
 def overlay_by_category(df: DataFrame, x: str | Column, cat: str, y: str | None,
                         values: Sequence | None = None, agg: str = "avg",
-                        freq: str | None = None) -> DataFrame:
+                        freq: str | None = None, other: bool = True) -> DataFrame:
     """One column per category over x.  Pass ``values`` to avoid the extra
-    distinct job (and to bound the width)."""
+    distinct job (and to bound the width); every other category, NULL
+    included, then goes to the column ``(other)`` unless ``other`` is False."""
     xk = time_key(df, x, freq) if isinstance(x, str) else x
-    g = df.groupBy(xk.alias("x")).pivot(cat, list(values) if values is not None else None)
-    return g.agg(agg_expr(agg, y))
+    if values is None:
+        return df.groupBy(xk.alias("x")).pivot(cat).agg(agg_expr(agg, y))
+    values = list(values)
+    if not other:
+        return df.groupBy(xk.alias("x")).pivot(cat, values).agg(agg_expr(agg, y))
+    c = as_col(cat).cast("string")
+    tagged = df.withColumn("_cat", F.when(c.isin([str(v) for v in values]), c).otherwise(F.lit(OTHER)))
+    return tagged.groupBy(xk.alias("x")).pivot("_cat", [*(str(v) for v in values), OTHER]).agg(agg_expr(agg, y))
 
 
 # --------------------------------------------------------------------- B3

@@ -16,7 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.functions.stats import nan_to_null, quantiles
+from tally.functions.stats import as_col, nan_to_null, quantiles
+from tally.session import scratch_path
 
 WS_PATTERN = r"[ \t\n\r\f]+"
 
@@ -54,36 +55,48 @@ def impute_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None = N
     if not by:
         means = df.agg(*[F.avg(nan_to_null(c)).alias(f"_mean_{c}") for c in cols])
         j = df.alias("l").crossJoin(F.broadcast(means))
-        return j.select(*_replace_cols(df, {c: F.coalesce(nan_to_null(F.col(f"l.`{c}`")), F.col(f"_mean_{c}"))
+        return j.select(*_replace_cols(df, {c: F.coalesce(nan_to_null(F.col(f"l.`{c}`")), F.col(f"`_mean_{c}`"))
                                             for c in cols}, "l"))
     by = list(by)
     means = df.groupBy(*by).agg(*[F.avg(nan_to_null(c)).alias(f"_mean_{c}") for c in cols])
     j = df.alias("l").join(means.alias("m"), on=_null_safe_on(by, "l", "m"), how="left")
-    return j.select(*_replace_cols(df, {c: F.coalesce(nan_to_null(F.col(f"l.`{c}`")), F.col(f"m._mean_{c}"))
+    return j.select(*_replace_cols(df, {c: F.coalesce(nan_to_null(F.col(f"l.`{c}`")), F.col(f"m.`_mean_{c}`"))
                                         for c in cols}, "l"))
 
 
 # --------------------------------------------------------------------- C3
+def _present(df: DataFrame, c: str, x: Column | None = None) -> Column:
+    """The column's value in its own type, NaN as NULL."""
+    x = as_col(c) if x is None else x
+    return F.when(~F.isnan(x), x) if df.schema[c].dataType.simpleString() in ("double", "float") else x
+
+
 def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row: the most frequent non-NULL value of each column (ties ->
-    smallest value).  Each mode is a grouped count (partial aggregation) and
-    a bounded ``min_by``: a column with billions of distinct values never
-    lands in one task's hash map."""
-    one = None
-    for c in cols:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        m = counts.agg(F.min_by(F.col(c), F.struct(-F.col("_n"), F.col(c))).alias(f"_mode_{c}"))
-        one = m if one is None else one.crossJoin(m)
-    return one
+    """One row: the most frequent value of each column, NULL and NaN aside
+    (ties -> smallest value), as ``_mode_<column>``.  One scan: the value counts of all columns are one aggregate
+    over grouping sets (partial aggregation), each mode a bounded ``min_by``,
+    so a column with billions of distinct values never lands in one task."""
+    cols = list(cols)
+    names = [f"c{i}" for i in range(len(cols))]
+    base = df.select(*[_present(df, c).alias(n) for c, n in zip(cols, names)])
+    counts = base.groupingSets([[F.col(n)] for n in names], *names).agg(
+        F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_g"))
+    every = (1 << len(cols)) - 1
+    modes = []
+    for i, (c, n) in enumerate(zip(cols, names)):
+        mine = (F.col("_g") == (every & ~(1 << (len(cols) - 1 - i)))) & F.col(n).isNotNull()
+        modes.append(F.min_by(F.col(n), F.when(mine, F.struct(-F.col("_n"), F.col(n)))).alias(f"_mode_{c}"))
+    return counts.agg(*modes)
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace NULL by the column mode; works for strings and numbers
+    """Replace NULL and NaN by the column mode; works for strings and numbers
     (Spark ML's Imputer rejects strings)."""
     cols = list(cols)
     modes = column_modes(df, cols)
     j = df.alias("l").crossJoin(F.broadcast(modes))
-    return j.select(*_replace_cols(df, {c: F.coalesce(F.col(f"l.`{c}`"), F.col(f"_mode_{c}")) for c in cols}, "l"))
+    return j.select(*_replace_cols(df, {c: F.coalesce(_present(df, c, F.col(f"l.`{c}`")), F.col(f"`_mode_{c}`"))
+                                        for c in cols}, "l"))
 
 
 # ------------------------------------------------------------------ C4 C5
@@ -136,16 +149,16 @@ def convert_types(df: DataFrame, types: Mapping[str, str], errors: str = "null")
     (``try_cast``), ``errors="raise"`` fails the job (ANSI ``cast``)."""
     if errors not in ("null", "raise"):
         raise ValueError("errors must be 'null' or 'raise'")
-    return df.select(*_replace_cols(df, {c: _to_type(F.col(c), t, errors == "null") for c, t in types.items()}))
+    return df.select(*_replace_cols(df, {c: _to_type(as_col(c), t, errors == "null") for c, t in types.items()}))
 
 
 def conversion_report(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Per column: non-NULL values, values that would fail the cast, share."""
     aggs = []
     for i, (c, t) in enumerate(types.items()):
-        fail = F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull())
+        fail = F.count_if(as_col(c).isNotNull() & as_col(c).try_cast(t).isNull())
         aggs.append(F.struct(F.lit(c).alias("variable"), F.lit(t).alias("target_type"),
-                             F.count(F.col(c)).alias("n_nonnull"), fail.alias("n_failed")).alias(f"_s{i}"))
+                             F.count(as_col(c)).alias("n_nonnull"), fail.alias("n_failed")).alias(f"_s{i}"))
     one = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(types))])))
     return one.withColumn("fail_share", F.col("n_failed") / F.when(F.col("n_nonnull") > 0, F.col("n_nonnull")))
 
@@ -169,22 +182,22 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
     subset = list(subset)
     rest = [c for c in df.columns if c not in subset]
     if not rest:
-        return df.select(*subset).distinct()
-    order = [F.col(c) for c in (order_by or [])] + [F.col(c) for c in rest]
+        return df.select(*[as_col(c) for c in subset]).distinct()
+    order = [as_col(c) for c in (order_by or [])] + [as_col(c) for c in rest]
     # min_by over a struct buffer runs as a sort-based aggregate; leading the
     # grouping key with a 64-bit hash of the key (a function of it, so the
     # groups do not change) settles most sort comparisons without comparing
     # long keys such as whole texts
-    g = df.groupBy(F.xxhash64(*[F.col(c) for c in subset]).alias("_h"), *subset).agg(
-        F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_row"))
-    return g.select(*[F.col("_row." + c).alias(c) if c in rest else F.col(c) for c in df.columns])
+    g = df.groupBy(F.xxhash64(*[as_col(c) for c in subset]).alias("_h"), *[as_col(c) for c in subset]).agg(
+        F.min_by(F.struct(*[as_col(c) for c in rest]), F.struct(*order)).alias("_row"))
+    return g.select(*[F.col(f"_row.`{c}`").alias(c) if c in rest else as_col(c) for c in df.columns])
 
 
 def clean_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Collapse runs of ASCII whitespace to one space, trim, and turn empty
     strings into NULL — over the whole text."""
     return df.select(*_replace_cols(df, {
-        c: F.nullif(F.trim(F.regexp_replace(F.col(c), WS_PATTERN, " ")), F.lit("")) for c in cols}))
+        c: F.nullif(F.trim(F.regexp_replace(as_col(c), WS_PATTERN, " ")), F.lit("")) for c in cols}))
 
 
 # -------------------------------------------------------------------- C10
@@ -200,15 +213,15 @@ def scale(df: DataFrame, cols: Sequence[str], how: str = "standard") -> DataFram
                      *[F.stddev_samp(nan_to_null(c)).alias(f"_b_{c}") for c in cols])
 
         def f(c):
-            sd = F.col(f"_b_{c}")
-            return (nan_to_null(F.col(f"l.`{c}`")) - F.col(f"_a_{c}")) / F.when(sd != 0, sd)
+            sd = F.col(f"`_b_{c}`")
+            return (nan_to_null(F.col(f"l.`{c}`")) - F.col(f"`_a_{c}`")) / F.when(sd != 0, sd)
     elif how == "minmax":
         st = df.agg(*[F.min(nan_to_null(c)).alias(f"_a_{c}") for c in cols],
                     *[F.max(nan_to_null(c)).alias(f"_b_{c}") for c in cols])
 
         def f(c):
-            rng = F.col(f"_b_{c}") - F.col(f"_a_{c}")
-            return (nan_to_null(F.col(f"l.`{c}`")) - F.col(f"_a_{c}")) / F.when(rng != 0, rng)
+            rng = F.col(f"`_b_{c}`") - F.col(f"`_a_{c}`")
+            return (nan_to_null(F.col(f"l.`{c}`")) - F.col(f"`_a_{c}`")) / F.when(rng != 0, rng)
     else:
         raise ValueError(f"unknown scaling {how!r}")
     j = df.alias("l").crossJoin(F.broadcast(st))
@@ -221,7 +234,7 @@ def encode_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     0-based, per column; the same order as StringIndexer(frequencyDesc).
     The window runs per column over its distinct values (categorical)."""
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in cols])))
+        F.struct(F.lit(c).alias("variable"), as_col(c).cast("string").alias("value")) for c in cols])))
     counts = long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(
         F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("variable").orderBy(F.col("count").desc(), F.col("value").asc())
@@ -231,14 +244,17 @@ def encode_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def encode(df: DataFrame, cols: Sequence[str], how: str = "index") -> DataFrame:
     """how="index": add ``<col>_idx`` (NULL stays NULL).  how="onehot": add
     ``<col>_vec``, a sparse one-hot vector over the same index (Spark ML's
-    OneHotEncoder, last category dropped as reference)."""
+    OneHotEncoder): one slot per category, none dropped, and a last slot for
+    NULL.  The mapping of all columns is computed once."""
     cols = list(cols)
-    mapping = encode_mapping(df, cols)
+    path = scratch_path(df.sparkSession, "encode")
+    encode_mapping(df, cols).write.parquet(path)
+    mapping = df.sparkSession.read.parquet(path)
     out = df
     for c in cols:
         m = mapping.where(F.col("variable") == c).select(F.col("value").alias(f"_v_{c}"),
                                                          F.col("index").alias(f"{c}_idx"))
-        out = out.join(m, on=F.col(c).cast("string") == F.col(f"_v_{c}"), how="left").drop(f"_v_{c}")
+        out = out.join(m, on=as_col(c).cast("string") == F.col(f"`_v_{c}`"), how="left").drop(f"_v_{c}")
     if how == "index":
         return out
     if how != "onehot":
@@ -246,7 +262,7 @@ def encode(df: DataFrame, cols: Sequence[str], how: str = "index") -> DataFrame:
     from pyspark.ml.feature import OneHotEncoder
     # the encoder's fit is one distributed max() per column; NULL categories
     # map to the extra "invalid" slot (handleInvalid="keep")
-    tmp = out.select("*", *[F.coalesce(F.col(f"{c}_idx").cast("double"), F.lit(float("nan"))).alias(f"_i_{c}")
+    tmp = out.select("*", *[F.coalesce(F.col(f"`{c}_idx`").cast("double"), F.lit(float("nan"))).alias(f"_i_{c}")
                             for c in cols])
     enc = OneHotEncoder(inputCols=[f"_i_{c}" for c in cols], outputCols=[f"{c}_vec" for c in cols],
                         dropLast=False, handleInvalid="keep")

@@ -11,25 +11,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions import stats as _stats
 from tally.functions.stats import (
-    domain_sizes,
-    masked_pearson,
+    as_col,
+    join_on_keys,
     nan_to_null,
     numeric_columns,
+    pair_moments,
     quantiles,
     running_sums,
-    window_buckets,
 )
 
 QUARTILES = (0.25, 0.5, 0.75)
 DIST_PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
-def PERCENTILE_MAP_LIMIT_VALUE() -> int:  # noqa: N802 - read at call time (tests patch it)
-    return _stats.PERCENTILE_MAP_LIMIT
-
-
 def _at(arr: str, i: int) -> Column:
     return F.try_element_at(F.col(arr), F.lit(i + 1))
 
@@ -39,42 +34,34 @@ def _explode_structs(one_row: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 # --------------------------------------------------------------------- D1
+def _long_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(variable, value)`` of every numeric column, NaN as NULL."""
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("variable"), nan_to_null(c).alias("value")) for c in cols])))
+
+
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
                      exact: bool = True) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (linear interpolation), max;
     one row per column.  NaN counts as missing.
 
-    Moments: one aggregate over all columns.  Quartiles: exact — in the same
-    pass when a HyperLogLog pre-pass shows every column's value map is
-    bounded, else by distributed ranking of the long (column, value) form
-    (``functions.stats.quantiles``) — or ``exact=False`` for the bounded
-    sketch ``percentile_approx`` inside the single pass."""
+    Moments: one aggregate over all columns.  Quartiles: exact, by distributed
+    ranking of the long (column, value) form (``functions.stats.quantiles``),
+    or with ``exact=False`` the bounded sketch ``percentile_approx`` inside
+    the single pass."""
     cols = list(cols or numeric_columns(df))
-    # exact quartiles in the same single pass for every column whose value
-    # map is measured to be bounded; distributed ranking for the others
-    sizes = dict(zip(cols, domain_sizes(df, cols))) if exact else {}
-    big = [c for c in cols if exact and sizes[c] > PERCENTILE_MAP_LIMIT_VALUE()]
     aggs = []
     for i, c in enumerate(cols):
         x = nan_to_null(c)
         fields = [F.lit(c).alias("variable"), F.count(x).alias("count"), F.avg(x).alias("mean"),
                   F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
         if not exact:
-            q = F.percentile_approx(x, list(QUARTILES), 10000).cast("array<double>")
-        elif c in big:
-            q = F.lit(None).cast("array<double>")
-        else:
-            q = F.percentile(x, list(QUARTILES))
-        aggs.append(F.struct(*fields, q.alias("_q")).alias(f"_s{i}"))
+            fields.append(F.percentile_approx(x, list(QUARTILES), 10000).cast("array<double>").alias("_q"))
+        aggs.append(F.struct(*fields).alias(f"_s{i}"))
     mom = _explode_structs(df.agg(*aggs), [f"_s{i}" for i in range(len(cols))])
-    if big:
-        long = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("variable"), nan_to_null(c).alias("_val")) for c in big])))
-        q = quantiles(long, "_val", QUARTILES, by=["variable"], size=max(sizes[c] for c in big),
-                      out="_qb")
+    if exact:
         # both sides: one row per column
-        mom = (mom.join(q, on="variable", how="left")
-               .withColumn("_q", F.coalesce(F.col("_q"), F.col("_qb"))).drop("_qb"))
+        mom = mom.join(quantiles(_long_numeric(df, cols), "value", QUARTILES, by=["variable"]), on="variable", how="left")
     return mom.select("variable", "count", "mean", "std", "min", _at("_q", 0).alias("p25"),
                       _at("_q", 1).alias("p50"), _at("_q", 2).alias("p75"), "max")
 
@@ -82,7 +69,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
 # --------------------------------------------------------------------- D2
 def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value"))
+        F.struct(F.lit(c).alias("variable"), as_col(c).cast("string").alias("value"))
         for c in cols])))
 
 
@@ -105,24 +92,27 @@ def value_counts(df: DataFrame, col: str, top: int | None = None,
                  dropna: bool = True) -> DataFrame:
     """Frequency and share of each value; ``top`` keeps the k most frequent
     (ties -> smaller value first) as a bounded top-k."""
-    base = df.where(F.col(col).isNotNull()) if dropna else df
-    counts = base.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    base = df.where(as_col(col).isNotNull()) if dropna else df
+    counts = base.groupBy(as_col(col)).agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count").alias("_tot"))
     out = (counts.crossJoin(F.broadcast(total))
-           .select(col, "count", (F.col("count") / F.col("_tot")).alias("share")))
+           .select(as_col(col), "count", (F.col("count") / F.col("_tot")).alias("share")))
     if top is not None:
-        out = out.orderBy(F.col("count").desc(), F.col(col).asc_nulls_last()).limit(top)
+        out = out.orderBy(F.col("count").desc(), as_col(col).asc_nulls_last()).limit(top)
     return out
 
 
 # --------------------------------------------------------------------- D4
 def overview(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
-    """Per column: type, rows, NULLs, NULL share, distinct values.  One scan.
+    """Per column: type, rows, missing values (NULL, or NaN in a floating
+    column), their share, distinct values.  One scan.
     ``exact_distinct=False`` uses HyperLogLog++ (bounded memory per column)."""
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
+        c = as_col(f.name)
+        if f.dataType.simpleString() in ("double", "float"):
+            c = F.when(~F.isnan(c), c)
         nd = F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c)
         aggs.append(F.struct(F.lit(f.name).alias("variable"),
                              F.lit(f.dataType.simpleString()).alias("dtype"),
@@ -164,8 +154,6 @@ def ecdf(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
     vals = df.select(nan_to_null(col).alias("value")).where(F.col("value").isNotNull())
     counts = vals.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count").alias("_tot"))
-    if buckets is None:
-        buckets = window_buckets(vals, ["value"])  # 1 window when measured small
     cum = running_sums(counts, "value", ["count"], buckets=buckets, unique_order=True)
     return (cum.crossJoin(F.broadcast(total))
             .select("value", "count", F.col("cum_count").cast("long").alias("cum_count"),
@@ -185,92 +173,67 @@ def normality(df: DataFrame, col: str) -> DataFrame:
 
 def ks_normal(df: DataFrame, col: str) -> DataFrame:
     """Kolmogorov-Smirnov test against N(mean, std) of the column itself,
-    with Spark ML's distributed test.  Two scalars reach the driver."""
+    with Spark ML's distributed test.  Two scalars reach the driver.  The
+    p-value takes mean and std as given, though they were estimated from the
+    same column, so it is conservative (Lilliefors' case); a column without
+    values has a NULL statistic."""
     from pyspark.ml.stat import KolmogorovSmirnovTest
     x = df.select(nan_to_null(col).alias("x")).where(F.col("x").isNotNull())
     m = x.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).first()
+    if m["m"] is None:
+        return df.sparkSession.createDataFrame([(col, None, None)], "variable string, statistic double, p_value double")
     res = KolmogorovSmirnovTest.test(x, "x", "norm", float(m["m"]), float(m["s"] or 1.0))
     return res.select(F.lit(col).alias("variable"), F.col("statistic"), F.col("pValue").alias("p_value"))
 
 
 # ------------------------------------------------------------------ D7 D8 D9
-def _avg_ranks(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """Replace each column by its average rank (ties share the mean rank),
-    after dropping rows with any NULL.  All columns are ranked in one pass
-    over the long (column, value) form: one grouped count, one running sum
-    partitioned by column.  Each column's ranks are joined back on its value;
-    AQE picks broadcast when the rank table is small, else a skew-split
-    shuffle join."""
-    base = df.select(*[nan_to_null(c).alias(c) for c in cols]).na.drop(how="any")
-    if buckets is None:
-        buckets = window_buckets(base, cols)  # 1 window per column when measured small
-    long = base.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("value"))
-                                          for c in cols])))
-    counts = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_n"))
+def _rank_vectors(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``_v``: per row without missing values the array of its columns' average
+    ranks (ties share the mean rank).  All columns are ranked in one pass over
+    the long (column, value) form: one grouped count, one running sum
+    partitioned by column; the ranks return to the rows by one join on
+    (column, value) and one grouping by row."""
+    base = df.select(*[nan_to_null(c).alias(f"c{i}") for i, c in enumerate(cols)]).na.drop(how="any")
+
+    def long(frame: DataFrame, *keep: str) -> DataFrame:
+        return frame.select(*keep, F.inline(F.array(*[
+            F.struct(F.lit(i).alias("variable"), F.col(f"c{i}").alias("value")) for i in range(len(cols))])))
+
+    counts = long(base).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_n"))
     cum = running_sums(counts, "value", ["_n"], by=["variable"], buckets=buckets, unique_order=True)
     ranks = cum.select("variable", "value", (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias("_rank"))
-    out = base
-    for c in cols:
-        r = ranks.where(F.col("variable") == c).select(F.col("value").alias(c), F.col("_rank").alias(f"_rank_{c}"))
-        out = out.join(r, on=c, how="inner")
-    return out.select(*[F.col(f"_rank_{c}").alias(c) for c in cols])
+    rows = long(base.withColumn("_row", F.monotonically_increasing_id()), "_row")
+    ranked = rows.join(ranks, ["variable", "value"]).groupBy("_row").agg(
+        F.sort_array(F.collect_list(F.struct("variable", "_rank"))).alias("_r"))
+    return ranked.select(F.col("_r._rank").alias("_v"))
 
 
 def correlation(df: DataFrame, cols: Sequence[str] | None = None, method: str = "pearson",
                 full: bool = False, buckets: int | None = None) -> DataFrame:
-    """Long-form correlation ``(var_x, var_y, r)``; one aggregate for all pairs.
+    """Long-form correlation ``(var_x, var_y, r)``; one pass for all pairs of
+    any number of columns (``functions.stats.pair_moments``).
 
     pearson: pairwise-complete, NULL for a constant column.
     spearman: Pearson on average ranks after dropping rows with any NULL.
     full=True adds the diagonal and both triangles (heatmap table).
     """
     cols = list(cols or numeric_columns(df))
-    if len(cols) > WIDE:
-        return _correlation_wide(df, cols, method, full)
     if method == "spearman":
-        data = _avg_ranks(df, cols, buckets)
+        data = _rank_vectors(df, cols, buckets)
     elif method == "pearson":
-        data = df.select(*[nan_to_null(c).alias(c) for c in cols])
+        data = df.select(F.array(*[nan_to_null(c) for c in cols]).alias("_v"))
     else:
         raise ValueError(f"unknown method {method!r}")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = [F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
-                     masked_pearson(a, b).alias("r")).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)]
-    if full:
-        aggs += [F.struct(F.lit(c).alias("var_x"), F.lit(c).alias("var_y"),
-                          F.when(F.stddev_pop(c) > 0, F.lit(1.0)).alias("r")).alias(f"_d{i}")
-                 for i, c in enumerate(cols)]
-    names = [f"_p{i}" for i in range(len(pairs))] + ([f"_d{i}" for i in range(len(cols))] if full else [])
-    long = _explode_structs(data.agg(*aggs), names)
-    if full:
-        mirrored = long.where(F.col("var_x") != F.col("var_y")).select(
-            F.col("var_y").alias("var_x"), F.col("var_x").alias("var_y"), "r")
-        long = long.unionByName(mirrored)
-    return long
-
-
-WIDE = 40  # above this many columns the pairwise aggregate gets too large
-
-
-def _correlation_wide(df: DataFrame, cols: Sequence[str], method: str, full: bool) -> DataFrame:
-    """Many columns: Spark ML's ``Correlation.corr`` builds the k x k matrix in
-    one distributed pass (treeAggregate of the Gram matrix; Spearman ranks
-    each column with a distributed sort).  Rows with any NULL/NaN are
-    dropped (listwise, unlike the pairwise-complete narrow form); the matrix
-    (k^2 values) comes back to the driver and is returned in long form."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    base = df.select(*[nan_to_null(c).alias(c) for c in cols]).na.drop(how="any")
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(base).select("_v")
-    m = Correlation.corr(vec, "_v", method).first()[0].toArray()
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j > i or full:
-                r = float(m[i, j])
-                rows.append((a, b, None if r != r else r))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "var_x string, var_y string, r double")
+    den = F.sqrt(F.col("cxx")) * F.sqrt(F.col("cyy"))
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("cxx") > 0, F.lit(1.0))).otherwise(
+        F.col("cxy") / F.when(den > 0, den))
+    found = pair_moments(data, "_v", len(cols)).select("i", "j", r.alias("r"))
+    # every pair has a row, also one whose columns share no row
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(k) if i < j or full]
+    grid = df.sparkSession.createDataFrame([(cols[i], cols[j], min(i, j), max(i, j)) for i, j in pairs],
+                                           "var_x string, var_y string, i int, j int")
+    return grid.join(found, ["i", "j"], "left").select("var_x", "var_y", "r")
 
 
 def heatmap(df: DataFrame, cols: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -313,35 +276,34 @@ def insights(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] =
     """Rule rows ``(rule, subject, score)``: high missing share, strong skew,
     strong correlation, many IQR outliers, one dominant category.
 
-    Two scans: one aggregate for all per-column statistics and the pairwise
-    correlations, one for the outlier shares against the broadcast fences."""
+    One aggregate for the per-column statistics, one pass for all
+    correlations, one ranking of the long form for all quartiles, one scan for
+    the outlier shares against the broadcast fences, however many columns."""
     numeric, categorical = list(numeric), list(categorical)
     allc = numeric + categorical
     stats = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(allc):
-        stats.append(F.count_if(F.col(c).isNull()).alias(f"_null{i}"))
+        x = nan_to_null(c) if i < len(numeric) else as_col(c)
+        stats.append(F.count_if(x.isNull()).alias(f"_null{i}"))
     for i, c in enumerate(numeric):
-        x = nan_to_null(c)
-        stats.append(F.skewness(x).alias(f"_skew{i}"))
-    pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1:]]
-    for j, (a, b) in enumerate(pairs):
-        stats.append(masked_pearson(nan_to_null(a), nan_to_null(b)).alias(f"_r{j}"))
+        stats.append(F.skewness(nan_to_null(c)).alias(f"_skew{i}"))
     one = df.agg(*stats)
-    for i, c in enumerate(numeric):  # exact quartiles, one row each
-        one = one.crossJoin(quantiles(df, c, [0.25, 0.75], out=f"_q{i}"))
     rows = [F.struct(F.lit("missing").alias("rule"), F.lit(c).alias("subject"),
                      F.try_divide(F.col(f"_null{i}"), F.col("_rows")).alias("score")) for i, c in enumerate(allc)]
     rows += [F.struct(F.lit("skewed").alias("rule"), F.lit(c).alias("subject"),
                       F.col(f"_skew{i}").alias("score")) for i, c in enumerate(numeric)]
-    rows += [F.struct(F.lit("correlated").alias("rule"), F.lit(f"{a}~{b}").alias("subject"),
-                      F.col(f"_r{j}").alias("score")) for j, (a, b) in enumerate(pairs)]
     cand = one.select(F.inline(F.array(*rows)))
+    if len(numeric) > 1:
+        cand = cand.unionByName(correlation(df, numeric).select(
+            F.lit("correlated").alias("rule"), F.concat_ws("~", "var_x", "var_y").alias("subject"), F.col("r").alias("score")))
     keep = (((F.col("rule") == "missing") & (F.col("score") > missing))
             | ((F.col("rule") == "skewed") & (F.abs(F.col("score")) > skew))
             | ((F.col("rule") == "correlated") & (F.abs(F.col("score")) > corr)))
     parts = [cand.where(keep)]
     if numeric:
-        fences = one.select(*[F.col(f"_q{i}") for i in range(len(numeric))])
+        quart = quantiles(_long_numeric(df, numeric), "value", [0.25, 0.75], by=["variable"])
+        # one row: the quartiles of every column
+        fences = quart.agg(*[F.max(F.when(F.col("variable") == c, F.col("_q"))).alias(f"_q{i}") for i, c in enumerate(numeric)])
         flagged = df.crossJoin(F.broadcast(fences))
         oagg = []
         for i, c in enumerate(numeric):

@@ -13,70 +13,108 @@ both with ``standardization=False``.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47)
+from tally.functions.stats import as_col, hash_bucket, nan_to_null
 
+def terms_of(k: int, degree: int) -> list[tuple[int, ...]]:
+    """The terms of a polynomial of ``k`` variables without the constant: for
+    each the variables' numbers, repeated by their power, in order of degree."""
+    return [t for d in range(1, degree + 1) for t in combinations_with_replacement(range(k), d)]
 
-def design(df: DataFrame, y: str, xs: Sequence[str], degree: int = 1,
-           keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+
+def term_name(term: tuple[int, ...], xs: Sequence[str]) -> str:
+    powers = Counter(term)
+    return "*".join(xs[i] if n == 1 else f"{xs[i]}^{n}" for i, n in sorted(powers.items()))
+
+
+def design(df: DataFrame, y: str, xs: Sequence[str], degree: int = 1, keep: Sequence[str] = (),
+           scaler: Sequence[tuple[float, float]] | None = None) -> tuple[DataFrame, list[str]]:
     """``label`` + ``features`` (optionally polynomial) for rows where y and
-    every x are present (VectorAssembler rejects NULL: such rows are
-    skipped, stated here)."""
+    every x are present (NULL and NaN are missing; VectorAssembler rejects
+    them, so such rows are skipped).  ``scaler`` gives (centre, scale) per x
+    for the polynomial's variables."""
     xs = list(xs)
     keep = [k for k in keep if k not in xs]
-    base = df.select(*keep, F.col(y).cast("double").alias("label"),
-                     *[F.col(x).cast("double").alias(x) for x in xs]).na.drop(subset=["label", *xs])
-    out = VectorAssembler(inputCols=xs, outputCol="_x" if degree > 1 else "features").transform(base)
-    names = list(xs)
-    if degree > 1:
-        out = PolynomialExpansion(degree=degree, inputCol="_x", outputCol="features").transform(out).drop("_x")
-        names = poly_term_names(df.sparkSession, xs, degree)
-    return out, names
-
-
-def poly_term_names(spark: SparkSession, xs: Sequence[str], degree: int) -> list[str]:
-    """Names of PolynomialExpansion's outputs, read off by expanding a vector
-    of distinct primes and factoring each term (one tiny row)."""
-    if len(xs) > len(_PRIMES):
-        return [f"t{i}" for i in range(10_000)]
-    probe = spark.createDataFrame([(Vectors.dense([float(p) for p in _PRIMES[:len(xs)]]),)], ["v"])
-    row = PolynomialExpansion(degree=degree, inputCol="v", outputCol="o").transform(probe).first()["o"]
-    names = []
-    for val in row.toArray():
-        n, parts = int(round(val)), []
-        for i, p in enumerate(_PRIMES[:len(xs)]):
-            k = 0
-            while n % p == 0:
-                n //= p
-                k += 1
-            if k:
-                parts.append(xs[i] if k == 1 else f"{xs[i]}^{k}")
-        names.append("*".join(parts))
-    return names
+    base = df.select(*[as_col(k) for k in keep], nan_to_null(y).alias("label"),
+                     *[nan_to_null(x).alias(x) for x in xs]).na.drop(subset=["label", *[f"`{x}`" for x in xs]])
+    z = [as_col(x) if scaler is None else (as_col(x) - F.lit(scaler[i][0])) / F.lit(scaler[i][1])
+         for i, x in enumerate(xs)]
+    terms = terms_of(len(xs), degree)
+    products = []
+    for t in terms:
+        c = z[t[0]]
+        for i in t[1:]:
+            c = c * z[i]
+        products.append(c)
+    wide = base.select("*", *[c.alias(f"_t{i}") for i, c in enumerate(products)])
+    cols = [f"_t{i}" for i in range(len(terms))]
+    out = VectorAssembler(inputCols=cols, outputCol="features").transform(wide).drop(*cols)
+    return out, [term_name(t, xs) for t in terms]
+
+
+def _scaler(df: DataFrame, y: str, xs: Sequence[str]) -> list[tuple[float, float]]:
+    """Centre and scale of every x over the rows of the fit (one aggregate)."""
+    data, _ = design(df, y, xs)
+    row = data.agg(*[f(as_col(x)).alias(f"_{k}{i}") for i, x in enumerate(xs)
+                     for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return [(float(row[f"_m{i}"] or 0.0), float(row[f"_s{i}"] or 0.0) or 1.0) for i in range(len(xs))]
+
+
+def _unscale(intercept: float, coefs: Sequence[float], k: int, degree: int,
+             scaler: Sequence[tuple[float, float]]) -> tuple[float, list[float]]:
+    """Coefficients in the terms of x from those in (x - centre) / scale."""
+    terms = terms_of(k, degree)
+    out: dict[tuple[int, ...], float] = {(): float(intercept)}
+    for t, c in zip(terms, coefs):
+        product = {(): float(c)}  # expand the term, one factor (x_i - m) / s at a time
+        for i in t:
+            m, s = scaler[i]
+            grown: dict[tuple[int, ...], float] = {}
+            for u, v in product.items():
+                grown[tuple(sorted((*u, i)))] = grown.get(tuple(sorted((*u, i))), 0.0) + v / s
+                grown[u] = grown.get(u, 0.0) - v * m / s
+            product = grown
+        for u, v in product.items():
+            out[u] = out.get(u, 0.0) + v
+    return out[()], [out.get(t, 0.0) for t in terms]
 
 
 def fit_linear(df: DataFrame, y: str, xs: Sequence[str], degree: int = 1, reg: float = 0.0,
                l1_ratio: float = 0.0, solver: str = "normal", fit_intercept: bool = True,
                max_iter: int = 500, tol: float = 1e-12) -> tuple[LinearRegressionModel, list[str]]:
-    data, names = design(df, y, xs, degree)
+    """A fitted model and the names of its terms.  An unpenalised polynomial
+    is fitted in centred and scaled variables, which keeps the powers of a
+    large x apart; the model carries the scaling (``predict`` applies it) and
+    ``coefficients`` are given in the terms of x."""
+    scaler = _scaler(df, y, xs) if degree > 1 and not reg and fit_intercept else None
+    data, names = design(df, y, xs, degree, scaler=scaler)
     lr = LinearRegression(featuresCol="features", labelCol="label", regParam=reg, elasticNetParam=l1_ratio,
                           standardization=False, solver=solver, fitIntercept=fit_intercept,
                           maxIter=max_iter, tol=tol)
-    return lr.fit(data), names
+    model = lr.fit(data)
+    model.spark_session, model.scaler, model.shape = df.sparkSession, scaler, (len(xs), degree)
+    return model, names
+
+
+def _session(model: LinearRegressionModel) -> SparkSession:
+    return getattr(model, "spark_session", None) or SparkSession.getActiveSession()
 
 
 def coefficients(model: LinearRegressionModel, names: Sequence[str]) -> DataFrame:
     """``(term, coef)``; the intercept first."""
-    spark = SparkSession.getActiveSession()
-    rows = [("intercept", float(model.intercept))] + [(n, float(c)) for n, c in zip(names, model.coefficients)]
-    return spark.createDataFrame(rows, "term string, coef double")
+    intercept, coefs = float(model.intercept), [float(c) for c in model.coefficients]
+    if getattr(model, "scaler", None):
+        intercept, coefs = _unscale(intercept, coefs, *model.shape, model.scaler)
+    rows = [("intercept", intercept), *zip(names, coefs, strict=True)]
+    return _session(model).createDataFrame(rows, "term string, coef double")
 
 
 # ------------------------------------------------------------------ R1-R4
@@ -91,7 +129,7 @@ def polynomial_regression(df: DataFrame, y: str, xs: Sequence[str], degree: int
 
 
 def _n_and_std(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[int, float]:
-    ok = df.select(F.col(y).cast("double").alias("_y"), *[F.col(x) for x in xs]).na.drop()
+    ok = df.select(nan_to_null(y).alias("_y"), *[nan_to_null(x).alias(f"_x{i}") for i, x in enumerate(xs)]).na.drop()
     r = ok.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_y").alias("s")).first()
     return int(r["n"]), float(r["s"] or 0.0)
 
@@ -112,16 +150,16 @@ def lasso(df: DataFrame, y: str, xs: Sequence[str], alpha: float, degree: int =
 def predict(model: LinearRegressionModel, df: DataFrame, y: str, xs: Sequence[str], degree: int = 1,
             keep: Sequence[str] = ()) -> DataFrame:
     """``keep..., y, yhat`` for every row with y and xs present."""
-    data, _ = design(df, y, xs, degree, keep)
+    data, _ = design(df, y, xs, degree, keep, getattr(model, "scaler", None))
     return model.transform(data).select(*keep, F.col("label").alias("y"), F.col("prediction").alias("yhat"))
 
 
-def regression_metrics(pred: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
-    """n, R^2, MSE, RMSE, MAE in one aggregate."""
+def regression_metrics(pred: DataFrame, y: str = "y", yhat: str = "yhat", by: Sequence[str] = ()) -> DataFrame:
+    """n, R^2, MSE, RMSE, MAE in one aggregate (per ``by`` group)."""
     e = F.col(y) - F.col(yhat)
-    one = pred.agg(F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
+    one = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
                    F.sum(e * e).alias("_sse"), (F.var_pop(y) * F.count(y)).alias("_sst"))
-    return one.select("n", (1 - F.col("_sse") / F.when(F.col("_sst") != 0, F.col("_sst"))).alias("r2"),
+    return one.select(*by, "n", (1 - F.col("_sse") / F.when(F.col("_sst") != 0, F.col("_sst"))).alias("r2"),
                       "mse", F.sqrt("mse").alias("rmse"), "mae")
 
 
@@ -155,15 +193,12 @@ def coefficient_table(model: LinearRegressionModel, names: Sequence[str]) -> Dat
     rows = [(n, float(model.coefficients[i]), float(se[i]), float(tv[i]), float(pv[i])) for i, n in enumerate(names)]
     if len(se) > k:
         rows.insert(0, ("intercept", float(model.intercept), float(se[k]), float(tv[k]), float(pv[k])))
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "term string, coef double, std_error double, t_value double, p_value double")
+    return _session(model).createDataFrame(rows, "term string, coef double, std_error double, t_value double, p_value double")
 
 
 # --------------------------------------------------------------------- R8
 def split(df: DataFrame, key: str, test_mod: int = 5, test_bucket: int = 0) -> DataFrame:
-    """Repeatable train/test split: ``is_test`` = pmod(key, m) == bucket for
-    integral keys, on xxhash64 of the key otherwise.  Unlike randomSplit it
-    does not depend on partitioning."""
-    dt = df.schema[key].dataType.simpleString()
-    k = F.col(key) if dt in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(F.col(key))
-    return df.withColumn("is_test", F.pmod(k, F.lit(test_mod)) == test_bucket)
+    """Repeatable train/test split: ``is_test`` = bucket of the hashed key
+    (``functions.stats.hash_bucket``).  Unlike randomSplit it does not depend
+    on partitioning, nor on how the keys are numbered."""
+    return df.withColumn("is_test", hash_bucket(as_col(key), test_mod) == test_bucket)

@@ -6,6 +6,10 @@ series and time step — never on raw rows.  Windows are partitioned by the
 series key: a single series of N steps is one task holding N rows, bounded by
 its time range and frequency, not by the data volume.
 
+Steps and phases come from the calendar, not from row numbers: a missing step
+leaves a hole in a frame, it does not shift what follows.  A NULL series key is
+a series of its own.
+
 Recursions without a closed form in SQL windows (exponential smoothing,
 Holt-Winters, AR fits) run per series with ``applyInPandas``: Spark shuffles
 one series to one task, the recursion is a small numpy loop over the grid.
@@ -20,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tally.functions.stats import as_col, join_on_keys, nan_to_null
 from tally.operators.charts import agg_expr, slot_expr, time_key
 from tally.session import ship_package
 
@@ -53,7 +58,7 @@ def resample(df: DataFrame, ts: str, y: str | None, freq: str, agg: str = "sum",
 # --------------------------------------------------------------------- T2
 def slot_profile(df: DataFrame, ts: str, y: str | None, slot: str = "hour", agg: str = "avg") -> DataFrame:
     """Pattern by hour of day / ISO weekday / day of month / month."""
-    return df.groupBy(slot_expr(F.col(ts), slot).alias("slot")).agg(
+    return df.groupBy(slot_expr(as_col(ts), slot).alias("slot")).agg(
         agg_expr(agg, y).cast("double").alias("y"), F.count(F.lit(1)).alias("n"))
 
 
@@ -68,7 +73,7 @@ def fill_gaps(grid: DataFrame, ts: str, freq: str, how: str = "null", y: str = "
     interval = F.expr(f"INTERVAL {mult} {unit}")
     bounds = grid.groupBy(*by).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     full = bounds.select(*by, F.explode(F.sequence("_lo", "_hi", interval)).alias(ts))
-    j = full.join(grid.withColumn("_present", F.lit(True)), on=[*by, ts], how="left")
+    j = join_on_keys(full, grid.withColumn("_present", F.lit(True)), [*by, ts], "left")
     if how == "null":
         val = F.col(y)
     elif how == "zero":
@@ -84,30 +89,56 @@ def fill_gaps(grid: DataFrame, ts: str, freq: str, how: str = "null", y: str = "
 
 # --------------------------------------------------------------------- T4
 def with_index(grid: DataFrame, ts: str, by: Sequence[str] = ()) -> DataFrame:
-    """0-based step number within each series."""
-    return grid.withColumn("idx", (F.row_number().over(_w(by, ts)) - 1).cast("long"))
+    """0-based step number ``idx`` within each series, from the calendar: the
+    distance from the series' first step in units of its smallest step, which
+    is counted in months where all its steps begin a month, in seconds
+    otherwise.  Missing steps leave their numbers out."""
+    t = F.col(ts).cast("timestamp_ntz")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    w, every = _w(by, ts), Window.partitionBy(*by)
+    g = grid.withColumns({"_m": (F.year(t) * 12 + F.month(t)).cast("long"), "_s": F.timestamp_diff("SECOND", epoch, t),
+                          "_first": (t == F.date_trunc("MONTH", F.col(ts).cast("date")).cast("timestamp_ntz"))})
+    g = g.withColumns({"_dm": F.col("_m") - F.lag("_m").over(w), "_ds": F.col("_s") - F.lag("_s").over(w)})
+    g = g.withColumns({"_monthly": F.min("_first").over(every) & (F.min("_dm").over(every) > 0),
+                       "_um": F.min("_dm").over(every), "_us": F.min("_ds").over(every),
+                       "_m0": F.min("_m").over(every), "_s0": F.min("_s").over(every)})
+    months = F.try_divide(F.col("_m") - F.col("_m0"), F.col("_um"))
+    seconds = F.try_divide(F.col("_s") - F.col("_s0"), F.col("_us"))
+    idx = F.floor(F.coalesce(F.when(F.coalesce("_monthly", F.lit(False)), months).otherwise(seconds), F.lit(0.0)))
+    return g.withColumn("idx", idx.cast("long")).drop(
+        "_m", "_s", "_first", "_dm", "_ds", "_monthly", "_um", "_us", "_m0", "_s0")
+
+
+def _iw(by: Sequence[str]) -> Window:
+    """Window over step numbers: RANGE frames count steps, not rows."""
+    return Window.partitionBy(*by).orderBy("idx")
+
+
+def _at_step(y: Column, w: Window, k: int) -> Column:
+    """The value ``k`` steps away (NULL where that step is missing)."""
+    return F.max(y).over(w.rangeBetween(k, k))
 
 
 def linear_trend(grid: DataFrame, ts: str, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Least-squares line through the grid: slope per step, intercept at the
     first step, R^2."""
     g = with_index(grid, ts, by)
-    x = F.col("idx").cast("double")
-    return g.groupBy(*by).agg(F.count(F.col(y)).alias("n"), F.regr_slope(F.col(y), x).alias("slope"),
-                              F.regr_intercept(F.col(y), x).alias("intercept"), F.regr_r2(F.col(y), x).alias("r2"))
+    x, v = F.col("idx").cast("double"), nan_to_null(y)
+    return g.groupBy(*by).agg(F.count(v).alias("n"), F.regr_slope(v, x).alias("slope"),
+                              F.regr_intercept(v, x).alias("intercept"), F.regr_r2(v, x).alias("r2"))
 
 
 # --------------------------------------------------------------------- T5
 def centered_ma(y: Column, w: Window, period: int) -> Column:
     """Centred moving average of length ``period`` (2 x period for even
-    periods), NULL where the frame is not full."""
+    periods) over a window of step numbers, NULL where the frame is not full."""
     if period % 2 == 0:
         h = period // 2
-        frame = w.rowsBetween(-h, h)
-        full = F.sum(y).over(frame) - 0.5 * (F.lag(y, h).over(w) + F.lead(y, h).over(w))
+        frame = w.rangeBetween(-h, h)
+        full = F.sum(y).over(frame) - 0.5 * (_at_step(y, w, -h) + _at_step(y, w, h))
         return F.when(F.count(y).over(frame) == period + 1, full / period)
     h = (period - 1) // 2
-    frame = w.rowsBetween(-h, h)
+    frame = w.rangeBetween(-h, h)
     return F.when(F.count(y).over(frame) == period, F.avg(y).over(frame))
 
 
@@ -115,36 +146,40 @@ def decompose(grid: DataFrame, ts: str, period: int, model: str = "additive", y:
               by: Sequence[str] = ()) -> DataFrame:
     """Classical decomposition into trend (centred moving average), seasonal
     (mean detrended value per phase, centred to 0 or to mean 1) and residual.
-    Phase = step number mod period, counted from each series' first step."""
+    Phase = step number mod period, counted from each series' first step by
+    the calendar.  Where a step is missing, the frames over it have no trend."""
+    return _decompose(grid, ts, period, model, y, by).select(*by, ts, "y", "trend", "seasonal", "resid")
+
+
+def _decompose(grid: DataFrame, ts: str, period: int, model: str, y: str, by: Sequence[str]) -> DataFrame:
     by = list(by)
     if model not in ("additive", "multiplicative"):
         raise ValueError(f"unknown model {model!r}")
-    w = _w(by, ts)
-    g = grid.select(*by, ts, F.col(y).alias("y"),
-                    (F.row_number().over(w) - 1).cast("long").alias("idx"))
-    g = g.withColumn("trend", centered_ma(F.col("y"), w, period)).withColumn("phase", F.col("idx") % period)
+    g = with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, by)
+    g = g.withColumn("trend", centered_ma(F.col("y"), _iw(by), period)).withColumn("phase", F.col("idx") % period)
     # multiplicative parts use try_divide: a zero trend or index gives NULL, not an error
     detr = F.col("y") - F.col("trend") if model == "additive" else F.try_divide(F.col("y"), F.col("trend"))
     raw = g.groupBy(*by, "phase").agg(F.avg(detr).alias("_s"))
     norm = raw.groupBy(*by).agg(F.avg("_s").alias("_m"))
-    seas = raw.join(norm, on=by, how="inner") if by else raw.crossJoin(norm)
+    seas = join_on_keys(raw, norm, by) if by else raw.crossJoin(norm)
     seas = seas.select(*by, "phase", (F.col("_s") - F.col("_m") if model == "additive"
                                       else F.try_divide(F.col("_s"), F.col("_m"))).alias("seasonal"))
     # one row per (series, phase): small next to the grid
-    out = g.join(seas, on=[*by, "phase"], how="left")
+    out = join_on_keys(g, seas, [*by, "phase"], "left")
     resid = (F.col("y") - F.col("trend") - F.col("seasonal") if model == "additive"
              else F.try_divide(F.col("y"), F.col("trend") * F.col("seasonal")))
-    return out.select(*by, ts, "y", "trend", "seasonal", resid.alias("resid"))
+    return out.withColumn("resid", resid)
 
 
 # --------------------------------------------------------------------- T6
 def moving_average(grid: DataFrame, ts: str, window: int, min_periods: int | None = None,
                    y: str = "y", by: Sequence[str] = ()) -> DataFrame:
-    """Trailing moving average over ``window`` steps; NULL until
-    ``min_periods`` (default: window) values are in the frame."""
-    frame = _w(by, ts).rowsBetween(-(window - 1), 0)
+    """Trailing moving average over ``window`` steps of the calendar; NULL
+    until ``min_periods`` (default: window) values are in the frame."""
+    v, frame = nan_to_null(y), _iw(by).rangeBetween(-(window - 1), 0)
     mp = window if min_periods is None else min_periods
-    return grid.withColumn("ma", F.when(F.count(F.col(y)).over(frame) >= mp, F.avg(F.col(y)).over(frame)))
+    return with_index(grid, ts, by).withColumn(
+        "ma", F.when(F.count(v).over(frame) >= mp, F.avg(v).over(frame))).drop("idx")
 
 
 # ------------------------------------------------------------------ T7 T8
@@ -183,81 +218,127 @@ def ewm(grid: DataFrame, ts: str, alpha: float, y: str = "y", by: Sequence[str]
     return out.drop("_series") if not by else out
 
 
-def _hw_frame(ts: str, period: int, alpha: float, beta: float, gamma: float, horizon: int,
-              key: list[str]):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="mergesort").reset_index(drop=True)
-        y = pdf["y"].to_numpy(dtype="float64")
-        n = len(y)
-        cols = {k: pdf[k].iloc[0] for k in key}
-        if n < 2 * period:
-            return pd.DataFrame({**{k: [] for k in key}, "step": [], "fitted": [], "y": []})
-        # initial state at the end of the first season: the first season's
-        # mean sits at its middle, so shift it by the initial trend, and
-        # take the seasonal indices from the detrended first season
-        m0 = y[:period].mean()
-        trend = (y[period:2 * period].mean() - m0) / period
+def _smooth(y: np.ndarray, period: int, a, b, g) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Additive exponential smoothing of one series (NaN = missing step) for
+    arrays of parameters at once: one-step fits (steps x parameters), and the
+    final level, trend and seasonal indices.  ``period`` 1 has no season."""
+    k, n = len(a), len(y)
+    if period > 1:
+        # initial state at the end of the first season: its mean sits at its middle, so it is
+        # shifted by the initial trend; the indices come from the detrended first season
+        m0 = np.nanmean(y[:period])
+        trend0 = (np.nanmean(y[period:2 * period]) - m0) / period
         mid = (period - 1) / 2.0
-        level = m0 + trend * mid
-        season = list(y[:period] - (m0 + trend * (np.arange(period) - mid)))
-        fitted = np.full(n, np.nan)
-        for t in range(n):
-            s = season[t % period] if t >= period else season[t]
-            if t >= period:
-                fitted[t] = level + trend + s
-                last_level = level
-                level = alpha * (y[t] - s) + (1 - alpha) * (level + trend)
-                trend = beta * (level - last_level) + (1 - beta) * trend
-                season[t % period] = gamma * (y[t] - level) + (1 - gamma) * s
-        fut = [level + (h + 1) * trend + season[(n + h) % period] for h in range(horizon)]
-        steps = np.arange(-(n - 1), horizon + 1)
-        out = pd.DataFrame({"step": steps.astype("int64"),
-                            "fitted": np.concatenate([fitted, fut]),
+        level, trend = np.full(k, m0 + trend0 * mid), np.full(k, trend0)
+        season = [np.full(k, v) for v in np.nan_to_num(y[:period] - (m0 + trend0 * (np.arange(period) - mid)))]
+        begin = period
+    else:
+        known = np.flatnonzero(~np.isnan(y))
+        i, j = known[0], known[1]
+        level, trend = np.full(k, y[j]), np.full(k, (y[j] - y[i]) / (j - i))
+        season, begin = [np.zeros(k)], j + 1
+    fitted = np.full((n, k), np.nan)
+    for t in range(begin, n):
+        s = season[t % period]
+        fitted[t] = level + trend + s
+        if np.isnan(y[t]):  # a missing step moves along the trend
+            level = level + trend
+            continue
+        last = level
+        level = a * (y[t] - s) + (1 - a) * (level + trend)
+        trend = b * (level - last) + (1 - b) * trend
+        if period > 1:
+            season[t % period] = g * (y[t] - level) + (1 - g) * s
+    return fitted, level, trend, season
+
+
+_SEARCH = np.linspace(0.1, 0.9, 9)
+
+
+def _hw_frame(ts: str, period: int, alpha, beta, gamma, horizon: int, key: list[str], types: dict):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["idx"].to_numpy(dtype="int64")
+        n = int(at.max()) + 1
+        y = np.full(n, np.nan)
+        y[at] = pdf["y"].to_numpy(dtype="float64")
+        known = ~np.isnan(y)
+        if period > 1:
+            enough = n >= 2 * period and known[:period].any() and known[period:2 * period].any()
+            reason = None if enough else f"fewer than two seasons of {period} steps"
+        else:
+            enough = known.sum() >= 2
+            reason = None if enough else "fewer than two values"
+        fitted, future = np.full(n, np.nan), np.full(horizon, np.nan)
+        if enough:
+            grids = [_SEARCH if p is None else np.array([float(p)]) for p in (alpha, beta, gamma)]
+            if period == 1:
+                grids[2] = np.zeros(1)
+            a, b, g = (m.ravel() for m in np.meshgrid(*grids, indexing="ij"))
+            fits, level, trend, season = _smooth(y, period, a, b, g)
+            errors = np.where(known[:, None] & ~np.isnan(fits), (fits - y[:, None]) ** 2, 0.0).sum(axis=0)
+            best = int(np.argmin(errors))
+            fitted = fits[:, best]
+            future = np.array([level[best] + (h + 1) * trend[best] + season[(n + h) % period][best] for h in range(horizon)])
+        out = pd.DataFrame({"step": np.arange(-(n - 1), horizon + 1, dtype="int64"),
+                            "fitted": np.concatenate([fitted, future]),
                             "y": np.concatenate([y, np.full(horizon, np.nan)])})
-        for k, v in cols.items():
-            out.insert(0, k, v)
+        out["reason"] = reason
+        for k in key:
+            out.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(out), dtype=pdf[k].dtype))
         return out
     return fn
 
 
-def holt_winters(grid: DataFrame, ts: str, period: int, alpha: float = 0.3, beta: float = 0.1,
-                 gamma: float = 0.2, horizon: int = 0, freq: str = "month", y: str = "y",
+def holt_winters(grid: DataFrame, ts: str, period: int, alpha: float | None = 0.3, beta: float | None = 0.1,
+                 gamma: float | None = 0.2, horizon: int = 0, freq: str = "month", y: str = "y",
                  by: Sequence[str] = ()) -> DataFrame:
-    """Additive Holt-Winters (level, trend, season) per series.  Returns the
-    in-sample one-step fits (step <= 0, step 0 = last observed) and
-    ``horizon`` forecasts (step > 0) with their time stamps."""
+    """Additive Holt-Winters (level, trend, season) per series; ``period`` 1 is
+    Holt's double smoothing (level, trend).  Returns the in-sample one-step
+    fits (step <= 0, step 0 = last observed) and ``horizon`` forecasts
+    (step > 0) with their time stamps.
+
+    A parameter given as None is searched (0.1 to 0.9) for the least squared
+    error of the one-step fits, per series.  Missing steps and NULL values
+    move along the trend.  A series that is too short has NULL fits and says
+    why in ``reason``."""
     ship_package(grid.sparkSession)
-    g, key = _series_key(grid.withColumnRenamed(y, "y") if y != "y" else grid, by)
+    g, key = _series_key(with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, by), by)
     types = {f.name: f.dataType.simpleString() for f in g.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in key] + ["step long", "fitted double", "y double"])
-    fits = g.select(*key, ts, "y").groupBy(*key).applyInPandas(
-        _hw_frame(ts, period, alpha, beta, gamma, horizon, key), schema)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in key] + ["step long", "fitted double", "y double", "reason string"])
+    fits = g.select(*key, "idx", "y").groupBy(*key).applyInPandas(
+        _hw_frame(ts, period, alpha, beta, gamma, horizon, key, types), schema)
     last = g.groupBy(*key).agg(F.max(ts).alias("_last"))
-    j = fits.join(last, on=key, how="inner")
-    out = j.select(*key, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts), "y", "fitted")
+    j = join_on_keys(fits, last, key)
+    out = j.select(*key, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts),
+                   nan_to_null("y").alias("y"), nan_to_null("fitted").alias("fitted"), "reason")
     return out.drop("_series") if not by else out
 
 
 # ------------------------------------------------------------------ T9 T10
-def _ar_frame(ts: str, p: int, horizon: int, key: list[str]):
+def _ar_frame(p: int, horizon: int, key: list[str]):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="mergesort")
-        y = pdf["y"].to_numpy(dtype="float64")
-        cols = {k: pdf[k].iloc[0] for k in key}
+        at = pdf["idx"].to_numpy(dtype="int64")
+        y = np.full(int(at.max()) + 1, np.nan)
+        y[at] = pdf["y"].to_numpy(dtype="float64")
         n = len(y)
-        if n <= 2 * p + 1:
-            return pd.DataFrame({**{k: [] for k in key}, "step": [], "yhat": []})
-        X = np.column_stack([np.ones(n - p)] + [y[p - j - 1:n - j - 1] for j in range(p)])
-        coef, *_ = np.linalg.lstsq(X, y[p:], rcond=None)
-        hist = list(y[-p:])
-        preds = []
-        for _ in range(horizon):
-            v = coef[0] + sum(coef[j + 1] * hist[-(j + 1)] for j in range(p))
-            preds.append(v)
-            hist.append(v)
-        out = pd.DataFrame({"step": np.arange(1, horizon + 1, dtype="int64"), "yhat": preds})
-        for k, v in cols.items():
-            out.insert(0, k, v)
+        rows = np.array([y[t - p:t + 1][::-1] for t in range(p, n)]).reshape(-1, p + 1)
+        rows = rows[~np.isnan(rows).any(axis=1)]  # equations without a missing step
+        preds, reason = [np.nan] * horizon, None
+        if len(rows) <= p + 1:
+            reason = f"too few steps for {p} lags"
+        else:
+            coef, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(rows)), rows[:, 1:]]), rows[:, 0], rcond=None)
+            hist = list(y)
+            for t in range(p, n):  # a missing step takes its own prediction
+                if np.isnan(hist[t]):
+                    hist[t] = coef[0] + sum(coef[j + 1] * hist[t - j - 1] for j in range(p))
+            for h in range(horizon):
+                hist.append(coef[0] + sum(coef[j + 1] * hist[-(j + 1)] for j in range(p)))
+                preds[h] = hist[-1]
+        out = pd.DataFrame({"step": np.arange(1, horizon + 1, dtype="int64"), "yhat": np.array(preds, dtype="float64")})
+        out["reason"] = reason
+        for k in key:
+            out.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(out), dtype=pdf[k].dtype))
         return out
     return fn
 
@@ -267,111 +348,108 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
              **hw) -> DataFrame:
     """``horizon`` future steps per series: ``(by..., step, ts, yhat)``.
 
-    naive: last value.  seasonal_naive: value one season back.  drift: last
-    value plus the average step change.  mean: series mean.  trend_season:
-    line through the decomposition trend plus the additive seasonal index.  holt_winters: additive HW.
-    ar: AR(p) least squares per series.
+    naive: last value.  seasonal_naive: value one season back (NULL where
+    that step is missing).  drift: last value plus the average change per
+    step.  mean: series mean.  trend_season: line through the decomposition
+    trend plus the additive seasonal index.  holt_winters: additive HW.  ar:
+    AR(p) least squares per series.  The last two also give ``reason``, which
+    says why a series has NULL forecasts.  Steps follow the calendar; a
+    series' forecasts start after its last step.
     """
     by = list(by)
     steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))).alias("step")
-    g = grid.select(*by, ts, F.col(y).alias("y"))
-    if method in ("naive", "drift", "mean"):
-        s = g.where(F.col("y").isNotNull()).groupBy(*by).agg(
-            F.max_by("y", ts).alias("_last_y"), F.min_by("y", ts).alias("_first_y"),
-            F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n"), F.avg("y").alias("_mean"))
-        f = s.select(*by, "_last", "_last_y", "_first_y", "_n", "_mean", steps)
-        if method == "naive":
-            yhat = F.col("_last_y")
-        elif method == "mean":
-            yhat = F.col("_mean")
-        else:
-            yhat = F.col("_last_y") + F.col("step") * (F.col("_last_y") - F.col("_first_y")) / F.when(
-                F.col("_n") > 1, F.col("_n") - 1)
-        return f.select(*by, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts),
-                        yhat.alias("yhat"))
-    if method == "seasonal_naive":
-        if not period:
-            raise ValueError("seasonal_naive needs a period")
-        w = Window.partitionBy(*by).orderBy(F.col(ts).desc())
-        tail = g.select(*by, ts, "y", F.row_number().over(w).alias("_rn"),
-                        F.max(ts).over(Window.partitionBy(*by)).alias("_last")).where(F.col("_rn") <= period)
-        fut = tail.select(*by, "_last").distinct().select(*by, "_last", steps)
-        fut = fut.withColumn("_rn", (F.lit(period) - (F.col("step") - 1) % period).cast("int"))
-        j = fut.join(tail.select(*by, "_rn", "y"), on=[*by, "_rn"], how="left")
-        return j.select(*by, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts),
-                        F.col("y").alias("yhat"))
-    if method == "trend_season":
-        if not period:
-            raise ValueError("trend_season needs a period")
-        # line through the decomposition's trend component (centred moving
-        # average), so the within-season ramp does not leak into the slope
-        dec = with_index(decompose(g, ts, period, "additive", "y", by), ts, by)
-        x = F.col("idx").cast("double")
-        tr = dec.groupBy(*by).agg(F.regr_slope("trend", x).alias("slope"),
-                                  F.regr_intercept("trend", x).alias("intercept"))
-        seas = dec.select(*by, (F.col("idx") % period).alias("_phase"), "seasonal").distinct()
-        last = g.groupBy(*by).agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n"))
-        base = (last.join(tr, on=by, how="inner") if by else last.crossJoin(tr))
-        fut = base.select(*by, "_last", "_n", "slope", "intercept", steps)
-        fut = fut.withColumn("_phase", (F.col("_n") - 1 + F.col("step")) % period)
-        j = fut.join(seas, on=[*by, "_phase"], how="left")
-        yhat = F.col("intercept") + F.col("slope") * (F.col("_n") - 1 + F.col("step")) + F.col("seasonal")
-        return j.select(*by, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts), yhat.alias("yhat"))
+    g = grid.select(*by, ts, nan_to_null(y).alias("y"))
     if method == "holt_winters":
         hwf = holt_winters(g, ts, period or 12, horizon=horizon, freq=freq, by=by, **hw)
-        return hwf.where(F.col("step") > 0).select(*by, "step", ts, F.col("fitted").alias("yhat"))
+        return hwf.where(F.col("step") > 0).select(*by, "step", ts, F.col("fitted").alias("yhat"), "reason")
     if method == "ar":
         ship_package(grid.sparkSession)
-        gg, key = _series_key(g, by)
+        gg, key = _series_key(with_index(g, ts, by), by)
         types = {f.name: f.dataType.simpleString() for f in gg.schema.fields}
-        schema = ", ".join([f"{k} {types[k]}" for k in key] + ["step long", "yhat double"])
-        pr = gg.groupBy(*key).applyInPandas(_ar_frame(ts, p, horizon, key), schema)
+        schema = ", ".join([f"`{k}` {types[k]}" for k in key] + ["step long", "yhat double", "reason string"])
+        pr = gg.select(*key, "idx", "y").groupBy(*key).applyInPandas(_ar_frame(p, horizon, key), schema)
         last = gg.groupBy(*key).agg(F.max(ts).alias("_last"))
-        j = pr.join(last, on=key, how="inner")
-        out = j.select(*key, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts), "yhat")
+        j = join_on_keys(pr, last, key)
+        out = j.select(*key, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts),
+                       nan_to_null("yhat").alias("yhat"), "reason")
         return out.drop("_series") if not by else out
-    raise ValueError(f"unknown method {method!r}")
+    if method in ("naive", "drift", "mean"):
+        s = with_index(g, ts, by).where(F.col("y").isNotNull()).groupBy(*by).agg(
+            F.max_by("y", ts).alias("_last_y"), F.min_by("y", ts).alias("_first_y"), F.max(ts).alias("_last"),
+            (F.max("idx") - F.min("idx")).alias("_n"), F.avg("y").alias("_mean"))
+        f = s.select(*by, "_last", "_last_y", "_first_y", "_n", "_mean", steps)
+        yhat = {"naive": F.col("_last_y"), "mean": F.col("_mean"),
+                "drift": F.col("_last_y") + F.col("step") * (F.col("_last_y") - F.col("_first_y")) / F.when(
+                    F.col("_n") > 0, F.col("_n"))}[method]
+        return f.select(*by, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts), yhat.alias("yhat"))
+    if method not in ("seasonal_naive", "trend_season"):
+        raise ValueError(f"unknown method {method!r}")
+    if not period:
+        raise ValueError(f"{method} needs a period")
+    if method == "seasonal_naive":
+        gi = with_index(g, ts, by)
+        last = gi.groupBy(*by).agg(F.max(ts).alias("_last"), F.max("idx").alias("_n"))
+        fut = last.select(*by, "_last", "_n", steps).withColumn(
+            "idx", F.col("_n") - period + 1 + (F.col("step") - 1) % period)
+        j = join_on_keys(fut, gi.select(*by, "idx", "y"), [*by, "idx"], "left")
+        return j.select(*by, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts), F.col("y").alias("yhat"))
+    # line through the decomposition's trend component (centred moving
+    # average), so the within-season ramp does not leak into the slope
+    dec = _decompose(g, ts, period, "additive", "y", by)
+    x = F.col("idx").cast("double")
+    base = dec.groupBy(*by).agg(F.regr_slope("trend", x).alias("slope"), F.regr_intercept("trend", x).alias("intercept"),
+                                F.max(ts).alias("_last"), F.max("idx").alias("_n"))
+    seas = dec.groupBy(*by, "phase").agg(F.max("seasonal").alias("seasonal"))
+    fut = base.select(*by, "_last", "_n", "slope", "intercept", steps).withColumn(
+        "phase", (F.col("_n") + F.col("step")) % period)
+    j = join_on_keys(fut, seas, [*by, "phase"], "left")
+    yhat = F.col("intercept") + F.col("slope") * (F.col("_n") + F.col("step")) + F.col("seasonal")
+    return j.select(*by, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts), yhat.alias("yhat"))
 
 
 def backtest(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq: str = "month",
              period: int | None = None, y: str = "y", by: Sequence[str] = (), **kw) -> DataFrame:
     """Hold out each series' last ``horizon`` steps, forecast them from the
-    rest, and score: n, mae, rmse, mape (over non-zero actuals)."""
+    rest, and score the steps that were observed: n, mae, rmse, mape (over
+    non-zero actuals).  A series with nothing to score has n = 0."""
     by = list(by)
-    g = grid.select(*by, ts, F.col(y).alias("y"))
-    w = Window.partitionBy(*by).orderBy(F.col(ts).desc())
-    ranked = g.withColumn("_rn", F.row_number().over(w))
-    train = ranked.where(F.col("_rn") > horizon).drop("_rn")
-    test = ranked.where(F.col("_rn") <= horizon).select(*by, ts, F.col("y").alias("_actual"))
-    fc = forecast(train, ts, horizon, method, freq, period, "y", by, **kw)
-    j = fc.join(test, on=[*by, ts], how="inner")
+    g = with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, by)
+    g = g.withColumn("_rest", F.max("idx").over(Window.partitionBy(*by)) - F.col("idx"))
+    train = g.where(F.col("_rest") >= horizon).select(*by, ts, "y")
+    test = g.where(F.col("_rest") < horizon).select(*by, ts, F.col("y").alias("_actual"))
+    fc = forecast(train, ts, horizon, method, freq, period, "y", by, **kw).select(*by, ts, "yhat")
+    j = join_on_keys(test, fc, [*by, ts], "left")
     e = F.col("_actual") - F.col("yhat")
     return j.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.when(F.col("_actual") != 0, F.abs(e / F.col("_actual")))).alias("mape"))
 
 
 # -------------------------------------------------------------------- T11
 def lag_features(grid: DataFrame, ts: str, lags: Sequence[int] = (1,), y: str = "y",
                  by: Sequence[str] = ()) -> DataFrame:
-    """lag_k for each k, first difference and percent change."""
-    w = _w(by, ts)
-    out = grid
+    """lag_k for each k (in steps of the calendar), first difference and
+    percent change; NULL where the earlier step is missing."""
+    v, w = nan_to_null(y), _iw(by)
+    out = with_index(grid, ts, by)
     for k in lags:
-        out = out.withColumn(f"lag_{k}", F.lag(F.col(y), k).over(w))
-    prev = F.lag(F.col(y), 1).over(w)
-    return out.withColumn("diff_1", F.col(y) - prev).withColumn("pct_change_1", F.try_divide(F.col(y) - prev, prev))
+        out = out.withColumn(f"lag_{k}", _at_step(v, w, -k))
+    prev = _at_step(v, w, -1)
+    out = out.withColumn("diff_1", v - prev).withColumn("pct_change_1", F.try_divide(v - prev, prev))
+    return out.drop("idx")
 
 
 # -------------------------------------------------------------------- T12
 def acf(grid: DataFrame, ts: str, max_lag: int, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Sample autocorrelation r_k = sum (y_t - m)(y_(t+k) - m) / sum (y_t - m)^2
-    for k = 1..max_lag, per series; one aggregate over the lead columns."""
+    for k = 1..max_lag (in steps of the calendar; pairs with a missing step
+    add nothing), per series; one aggregate over the lead columns."""
     by = list(by)
-    w = _w(by, ts)
-    mean = F.avg(F.col(y)).over(Window.partitionBy(*by))
-    g = grid.select(*by, ts, (F.col(y) - mean).alias("_d"))
-    g = g.select(*by, "_d", *[F.lead("_d", k).over(w).alias(f"_l{k}") for k in range(1, max_lag + 1)])
+    g = with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, by)
+    mean = F.avg("y").over(Window.partitionBy(*by))
+    g = g.select(*by, "idx", (F.col("y") - mean).alias("_d"))
+    w = _iw(by)
+    g = g.select(*by, "_d", *[_at_step(F.col("_d"), w, k).alias(f"_l{k}") for k in range(1, max_lag + 1)])
     den = F.sum(F.col("_d") * F.col("_d"))
     one = g.groupBy(*by).agg(den.alias("_den"), *[
         F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"_n{k}") for k in range(1, max_lag + 1)])

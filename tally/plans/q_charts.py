@@ -188,10 +188,11 @@ def v8_dow(spark, sf):
 EVENT_TYPES = ["view", "signup", "click", "purchase", "error"]
 _V9_SQL = ("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS x, "
            + ", ".join(f"avg(value) FILTER (WHERE event_type = '{t}') AS \"{t}\"" for t in EVENT_TYPES)
-           + " FROM events GROUP BY 1")
+           + ", avg(value) FILTER (WHERE event_type IS NULL OR event_type NOT IN ("
+           + ", ".join(f"'{t}'" for t in EVENT_TYPES) + ")) AS \"(other)\" FROM events GROUP BY 1")
 
 
-@register("v9_overlay_by_category", _V9_SQL, EVENT_TYPES)
+@register("v9_overlay_by_category", _V9_SQL, [*EVENT_TYPES, "(other)"])
 def v9(spark, sf):
     return C.overlay_by_category(read_table(spark, sf, "events"), "ts", "event_type", "value",
                                  values=EVENT_TYPES, agg="avg", freq="day")

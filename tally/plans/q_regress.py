@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tally.functions.stats import hash_bucket_sql
 from tally.operators import regress as R
 from tally.operators import timeseries as TS
 from tally.plans.catalog import register
@@ -144,6 +145,6 @@ def r7(spark, sf):
 
 
 # --------------------------------------------------------------------- R8
-@register("r8_split", "SELECT l_orderkey, l_linenumber, l_orderkey % 5 = 0 AS is_test FROM lineitem")
+@register("r8_split", f"SELECT l_orderkey, l_linenumber, {hash_bucket_sql('l_orderkey', 5)} = 0 AS is_test FROM lineitem")
 def r8(spark, sf):
     return R.split(read_table(spark, sf, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber", "is_test")

@@ -29,7 +29,7 @@ def s1(spark, sf):
 def s1_infer(spark, sf):
     o = read_table(spark, sf, "orders")
     path = export_table(o, scratch_path(spark, "orders-csv"), "csv")
-    return read_csv(spark, path, schema=None, sampling=0.1)
+    return read_csv(spark, path, schema=None)
 
 
 @register("s4_read_table", "SELECT * FROM lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
@@ -64,3 +64,21 @@ def s2(spark, sf):
     o = read_table(spark, sf, "orders")
     folder = write_xlsx(o, scratch_path(spark, "orders-xlsx"))
     return read_xlsx(spark, folder, o.schema)
+
+
+_DOCS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+
+@register("s1_read_csv_documents", _DOCS)
+def s1_documents(spark, sf):
+    """Whole texts with line breaks, quotes and separators through a
+    semicolon-separated file."""
+    d = read_table(spark, sf, "documents")
+    path = export_table(d, scratch_path(spark, "documents-csv"), "csv", sep=";", null_value="NA")
+    return read_csv(spark, path, schema=d.schema, sep=";", null_value="NA")
+
+
+@register("x1_export_csv_documents", _DOCS)
+def x1_documents(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return read_back(spark, export_table(d, scratch_path(spark, "documents-csv"), "csv"), "csv", d.schema)

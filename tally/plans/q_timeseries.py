@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tally.operators import timeseries as TS
 from tally.plans.catalog import register
 from tally.sources.files import read_table
@@ -112,12 +114,10 @@ _MA3 = (", CASE WHEN count(y) OVER (ORDER BY o_orderdate ROWS BETWEEN 2 PRECEDIN
 
 
 def decompose_with_ma(spark, sf):
-    """Flagship: monthly revenue -> decomposition (period 12) joined with a
-    3-month trailing average on the month key."""
-    m = monthly_revenue(spark, sf)
-    dec = TS.decompose(m, TS_COL, 12, "additive")
-    ma = TS.moving_average(m, TS_COL, 3).select(TS_COL, "ma")
-    return dec.join(ma, on=TS_COL, how="inner")
+    """Flagship: monthly revenue -> decomposition (period 12) with a 3-month
+    trailing average over the same grid."""
+    dec = TS.decompose(monthly_revenue(spark, sf), TS_COL, 12, "additive")
+    return TS.moving_average(dec, TS_COL, 3)
 
 
 @register("t5_decompose_with_ma", _decompose_sql("additive", extra=_MA3), ["y", "trend", "seasonal", "resid", "ma"])
@@ -249,6 +249,136 @@ def t12(spark, sf):
     return TS.acf(monthly_revenue(spark, sf), TS_COL, 24)
 
 
+# ------------------------------------------------- many series: T3 to T12 by key
+# Daily order value per status, NULL for every 9th order's status, without the
+# days whose number in the year divides by 13: many series, one of them with a
+# NULL key, all with holes.
+def gapped_daily(spark, sf):
+    o = read_table(spark, sf, "orders").where(F.dayofyear(TS_COL) % 13 != 0)
+    o = o.withColumn("status", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderstatus")))
+    return TS.resample(o, TS_COL, "o_totalprice", "day", "sum", by=["status"])
+
+
+_G = ("WITH d AS (SELECT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS status, "
+      "CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS o_orderdate, sum(o_totalprice) AS y FROM orders "
+      "WHERE dayofyear(o_orderdate) % 13 <> 0 GROUP BY 1, 2), "
+      "b AS (SELECT status, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM d GROUP BY 1), "
+      "f AS (SELECT status, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS o_orderdate FROM b), "
+      # every calendar step of every series, numbered; y is NULL where the step is missing
+      "g AS (SELECT f.status, f.o_orderdate, d.y, d.o_orderdate IS NOT NULL AS present, "
+      "row_number() OVER (PARTITION BY f.status ORDER BY f.o_orderdate) - 1 AS idx "
+      "FROM f LEFT JOIN d ON f.status IS NOT DISTINCT FROM d.status AND f.o_orderdate = d.o_orderdate) ")
+_GW = "(PARTITION BY status ORDER BY o_orderdate)"
+
+
+@register("t3_fill_gaps_by", _G + "SELECT status, o_orderdate, coalesce(y, 0.0) AS y, NOT present AS filled FROM g", ["y"])
+def t3_by(spark, sf):
+    return TS.fill_gaps(gapped_daily(spark, sf), TS_COL, "day", "zero", by=["status"])
+
+
+@register("t4_linear_trend_by", _G + "SELECT status, count(y) AS n, regr_slope(y, CAST(idx AS DOUBLE)) AS slope, "
+          "regr_intercept(y, CAST(idx AS DOUBLE)) AS intercept, regr_r2(y, CAST(idx AS DOUBLE)) AS r2 FROM g GROUP BY 1",
+          ["slope", "intercept", "r2"], digits=7)
+def t4_by(spark, sf):
+    return TS.linear_trend(gapped_daily(spark, sf), TS_COL, by=["status"])
+
+
+_G7 = "OVER (PARTITION BY status ORDER BY o_orderdate ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+_DEC7 = (_G + f", t AS (SELECT *, CASE WHEN count(y) {_G7} = 7 THEN avg(y) {_G7} END AS trend, idx % 7 AS phase FROM g), "
+         "raw AS (SELECT status, phase, avg(y - trend) AS s FROM t WHERE present GROUP BY 1, 2), "
+         "seas AS (SELECT status, phase, s - avg(s) OVER (PARTITION BY status) AS seasonal FROM raw) ")
+
+
+@register("t5_decompose_by", _DEC7 + "SELECT t.status, o_orderdate, y, trend, seasonal, y - trend - seasonal AS resid FROM t "
+          "LEFT JOIN seas ON t.status IS NOT DISTINCT FROM seas.status AND t.phase = seas.phase WHERE present",
+          ["y", "trend", "seasonal", "resid"], digits=6)
+def t5_by(spark, sf):
+    return TS.decompose(gapped_daily(spark, sf), TS_COL, 7, by=["status"])
+
+
+_G5 = "OVER (PARTITION BY status ORDER BY o_orderdate ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+
+
+@register("t6_moving_average_by", _G + f"SELECT status, o_orderdate, y, ma FROM (SELECT *, CASE WHEN count(y) {_G5} >= 3 "
+          f"THEN avg(y) {_G5} END AS ma FROM g) WHERE present", ["y", "ma"])
+def t6_by(spark, sf):
+    return TS.moving_average(gapped_daily(spark, sf), TS_COL, 5, min_periods=3, by=["status"])
+
+
+@register("t7_ewm_by", _G.replace("WITH d", "WITH RECURSIVE d") + ", p AS (SELECT *, row_number() OVER "
+          f"{_GW} AS i FROM g WHERE present), r AS (SELECT status, i, o_orderdate, y, y AS ewm FROM p WHERE i = 1 UNION ALL "
+          "SELECT p.status, p.i, p.o_orderdate, p.y, 0.2 * p.y + (1.0 - 0.2) * r.ewm FROM p JOIN r "
+          "ON p.i = r.i + 1 AND p.status IS NOT DISTINCT FROM r.status) SELECT status, o_orderdate, y, ewm FROM r", ["y", "ewm"])
+def t7_by(spark, sf):
+    return TS.ewm(gapped_daily(spark, sf), TS_COL, 0.2, by=["status"])
+
+
+@register("t8_holt_winters_by")
+def t8_by(spark, sf):
+    return TS.holt_winters(gapped_daily(spark, sf), TS_COL, 7, None, 0.1, 0.1, horizon=14, freq="day", by=["status"])
+
+
+@register("t8_holt_double_by")
+def t8_double(spark, sf):
+    return TS.holt_winters(gapped_daily(spark, sf), TS_COL, 1, None, None, horizon=14, freq="day", by=["status"])
+
+
+@register("t9_forecast_drift_by", _G + ", s AS (SELECT status, max(o_orderdate) AS last, arg_max(y, o_orderdate) AS ly, "
+          "arg_min(y, o_orderdate) AS fy, max(idx) - min(idx) AS n FROM g WHERE present GROUP BY 1) "
+          "SELECT status, h AS step, last + to_days(CAST(h AS INTEGER)) AS o_orderdate, ly + h * (ly - fy) / nullif(n, 0) AS yhat "
+          "FROM s, range(1, 8) AS r(h)", ["yhat"])
+def t9_drift_by(spark, sf):
+    return TS.forecast(gapped_daily(spark, sf), TS_COL, 7, "drift", "day", by=["status"])
+
+
+@register("t9_forecast_seasonal_naive_by", _G + ", s AS (SELECT status, max(o_orderdate) AS last, max(idx) AS n FROM g WHERE present GROUP BY 1) "
+          "SELECT s.status, h AS step, last + to_days(CAST(h AS INTEGER)) AS o_orderdate, g.y AS yhat FROM s CROSS JOIN range(1, 15) AS r(h) "
+          "LEFT JOIN g ON g.status IS NOT DISTINCT FROM s.status AND g.idx = s.n - 6 + (h - 1) % 7", ["yhat"])
+def t9_snaive_by(spark, sf):
+    return TS.forecast(gapped_daily(spark, sf), TS_COL, 14, "seasonal_naive", "day", period=7, by=["status"])
+
+
+@register("t9_forecast_trend_season_by", _DEC7 + ", tr AS (SELECT status, max(o_orderdate) AS last, max(idx) AS n, "
+          "regr_slope(trend, CAST(idx AS DOUBLE)) AS slope, regr_intercept(trend, CAST(idx AS DOUBLE)) AS intercept FROM t WHERE present GROUP BY 1) "
+          "SELECT tr.status, h AS step, last + to_days(CAST(h AS INTEGER)) AS o_orderdate, intercept + slope * (n + h) + seasonal AS yhat "
+          "FROM tr CROSS JOIN range(1, 15) AS r(h) LEFT JOIN seas ON seas.status IS NOT DISTINCT FROM tr.status AND seas.phase = (n + h) % 7",
+          ["yhat"], digits=6)
+def t9_ts_by(spark, sf):
+    return TS.forecast(gapped_daily(spark, sf), TS_COL, 14, "trend_season", "day", period=7, by=["status"])
+
+
+@register("t9_forecast_ar_by")
+def t9_ar_by(spark, sf):
+    return TS.forecast(gapped_daily(spark, sf), TS_COL, 7, "ar", "day", p=2, by=["status"])
+
+
+@register("t10_backtest_by", _G + ", s AS (SELECT status, max(idx) AS n FROM g WHERE present GROUP BY 1), "
+          "tr AS (SELECT g.status, g.idx, g.y FROM g JOIN s ON g.status IS NOT DISTINCT FROM s.status WHERE present AND s.n - g.idx >= 7), "
+          "l AS (SELECT status, arg_max(y, idx) AS yhat, max(idx) AS last FROM tr GROUP BY 1), "
+          "j AS (SELECT g.status, g.y AS a, CASE WHEN g.idx - l.last <= 7 THEN l.yhat END AS p FROM g JOIN s ON g.status IS NOT DISTINCT FROM s.status "
+          "LEFT JOIN l ON g.status IS NOT DISTINCT FROM l.status WHERE present AND s.n - g.idx < 7) "
+          "SELECT status, count(a - p) AS n, avg(abs(a - p)) AS mae, sqrt(avg((a - p) * (a - p))) AS rmse, "
+          "avg(CASE WHEN a <> 0 THEN abs((a - p) / a) END) AS mape FROM j GROUP BY 1", ["mae", "rmse", "mape"])
+def t10_by(spark, sf):
+    return TS.backtest(gapped_daily(spark, sf), TS_COL, 7, "naive", "day", by=["status"])
+
+
+@register("t11_lag_features_by", _G + f"SELECT status, o_orderdate, y, lag_1, lag_7, y - lag_1 AS diff_1, CASE WHEN lag_1 <> 0 THEN "
+          f"(y - lag_1) / lag_1 END AS pct_change_1 FROM (SELECT *, lag(y, 1) OVER {_GW} AS lag_1, lag(y, 7) OVER {_GW} AS lag_7 FROM g) "
+          "WHERE present", ["y", "lag_1", "lag_7", "diff_1", "pct_change_1"])
+def t11_by(spark, sf):
+    return TS.lag_features(gapped_daily(spark, sf), TS_COL, [1, 7], by=["status"])
+
+
+@register("t12_acf_by", _G + ", m AS (SELECT status, idx, y - avg(y) OVER (PARTITION BY status) AS d FROM g), "
+          "den AS (SELECT status, sum(d * d) AS den FROM m GROUP BY 1) "
+          "SELECT a.status, CAST(k AS BIGINT) AS lag, sum(a.d * b.d) / nullif(den, 0) AS acf FROM range(1, 8) AS r(k) CROSS JOIN m AS a "
+          "LEFT JOIN m AS b ON b.idx = a.idx + k AND a.status IS NOT DISTINCT FROM b.status "
+          "JOIN den ON den.status IS NOT DISTINCT FROM a.status GROUP BY a.status, k, den", ["acf"], digits=7)
+def t12_by(spark, sf):
+    return TS.acf(gapped_daily(spark, sf), TS_COL, 7, by=["status"])
+
+
 # ------------------------------------------------------------- T1 streaming
 @register("t1_resample_stream", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, avg(value) AS y "
                                 "FROM events GROUP BY 1", ["y"])

@@ -9,6 +9,7 @@ only fall back to a private temporary folder when the setting is absent
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tally-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

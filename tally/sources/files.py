@@ -21,16 +21,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _csv_options(sep: str, encoding: str, null_value: str, multi_line: bool) -> dict:
+    """Quotes inside a field are doubled, white space is kept, and an empty
+    string (quoted) stays apart from NULL: what other programs write and read."""
+    return {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "nullValue": null_value,
+            "emptyValue": "" if null_value else '""', "ignoreLeadingWhiteSpace": False,
+            "ignoreTrailingWhiteSpace": False, "multiLine": multi_line}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             sampling: float = 1.0, header: bool = True,
-             corrupt_column: str | None = None) -> DataFrame:
+             sampling: float = 1.0, header: bool = True, corrupt_column: str | None = None,
+             sep: str = ",", encoding: str = "UTF-8", null_value: str = "", multi_line: bool = True) -> DataFrame:
     """S1 — CSV with a header row.
 
     With a schema: one pass, malformed fields become NULL (PERMISSIVE); if
     ``corrupt_column`` is given the raw line of a bad record is kept there.
-    Without a schema: types are inferred from a ``sampling`` share of rows.
+    Without a schema: types are inferred from a ``sampling`` share of rows
+    (all by default; a smaller share can turn later values into NULL).
+
+    ``multi_line`` lets quoted fields hold line breaks; a file is then one
+    input partition.  Set it to False for large files without them, which
+    Spark may split.  ``encoding`` is the files' character set (``CP949``,
+    ``ISO-8859-1``, ...), ``null_value`` the text that stands for NULL.
     """
-    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    reader = spark.read.options(header=header, mode="PERMISSIVE", **_csv_options(sep, encoding, null_value, multi_line))
+    if multi_line:
+        reader = reader.option("lineSep", "\n")
     if schema is not None:
         if corrupt_column:
             if isinstance(schema, str):
@@ -67,8 +83,11 @@ def sample_table(spark: SparkSession, n: int = 1000, seed: int = 0,
 
 
 def export_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
-                 single_file: bool = False, header: bool = True) -> str:
-    """X1 — write a result table.
+                 single_file: bool = False, header: bool = True, sep: str = ",", encoding: str = "UTF-8",
+                 null_value: str = "") -> str:
+    """X1 — write a result table.  CSV fields with separators, quotes or line
+    breaks are quoted, quotes doubled; ``read_csv`` and ``read_back`` give the
+    same rows again.
 
     Written in parallel, one file per partition.  ``single_file=True`` is for
     bounded chart tables only (it funnels the rows through one task).
@@ -79,14 +98,15 @@ def export_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     out = df.coalesce(1) if single_file else df
     writer = out.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", header)
+        options = _csv_options(sep, encoding, null_value, False)
+        del options["multiLine"]
+        writer = writer.options(header=header, **options)
     writer.save(path)
     return path
 
 
 def read_back(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
     """Read what :func:`export_table` wrote, with the original schema."""
-    reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+        return read_csv(spark, path, schema)
+    return spark.read.schema(schema).format(fmt).load(path)

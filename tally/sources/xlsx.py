@@ -20,6 +20,7 @@ from __future__ import annotations
 import datetime as dt
 import glob
 import os
+import posixpath
 import re
 import uuid
 import zipfile
@@ -36,6 +37,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tally.session import local_path, ship_package
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _EXCEL_EPOCH = dt.datetime(1899, 12, 30)
 _REF = re.compile(r"([A-Z]+)(\d+)")
 
@@ -55,15 +57,32 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
-def _sheet_name(zf: zipfile.ZipFile, sheet: str | int) -> str:
-    names = sorted(n for n in zf.namelist() if n.startswith("xl/worksheets/sheet") and n.endswith(".xml"))
-    if isinstance(sheet, int) or str(sheet).isdigit():
-        idx = int(sheet)
-        return f"xl/worksheets/sheet{idx + 1}.xml" if f"xl/worksheets/sheet{idx + 1}.xml" in names else names[idx]
-    # by sheet title: workbook.xml order -> sheetN.xml
+def _sheets(zf: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """``(title, part)`` of every sheet in the workbook's order.  The part is
+    found by the sheet's relationship; a workbook without relationships has
+    its parts numbered in order."""
     with zf.open("xl/workbook.xml") as f:
-        titles = [el.get("name") for _, el in iterparse(f) if el.tag == f"{_NS}sheet"]
-    return f"xl/worksheets/sheet{titles.index(sheet) + 1}.xml"
+        sheets = [(el.get("name"), el.get(f"{_REL}id")) for _, el in iterparse(f) if el.tag == f"{_NS}sheet"]
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in zf.namelist():
+        with zf.open("xl/_rels/workbook.xml.rels") as f:
+            targets = {el.get("Id"): el.get("Target") for _, el in iterparse(f) if el.get("Target")}
+    out = []
+    for i, (title, rid) in enumerate(sheets):
+        target = targets.get(rid, f"worksheets/sheet{i + 1}.xml")
+        out.append((title, target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")))
+    return out
+
+
+def _sheet_name(zf: zipfile.ZipFile, sheet: str | int) -> str:
+    """The part of a sheet given by title, or by its place in the workbook."""
+    sheets = _sheets(zf)
+    for title, part in sheets:
+        if title == sheet:
+            return part
+    if str(sheet).isdigit() and int(sheet) < len(sheets):
+        return sheets[int(sheet)][1]
+    raise ValueError(f"no sheet {sheet!r} among {[t for t, _ in sheets]}")
 
 
 def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
@@ -83,7 +102,12 @@ def iter_rows(path: str, sheet: str | int = 0) -> Iterator[list]:
     with zipfile.ZipFile(path) as zf:
         shared = _shared_strings(zf)
         with zf.open(_sheet_name(zf, sheet)) as f:
-            for _, el in iterparse(f):
+            parents = []
+            for event, el in iterparse(f, ("start", "end")):
+                if event == "start":
+                    if el.tag == f"{_NS}sheetData":
+                        parents.append(el)
+                    continue
                 if el.tag != f"{_NS}row":
                     continue
                 row: dict[int, object] = {}
@@ -98,12 +122,13 @@ def iter_rows(path: str, sheet: str | int = 0) -> Iterator[list]:
                         val = shared[int(v.text)]
                     elif kind == "b":
                         val = v.text == "1"
-                    elif kind in ("str", "e"):
+                    elif kind in ("str", "e", "d"):
                         val = v.text
                     else:
                         val = float(v.text)
                     row[_col_index(c.get("r", "A1"))] = val
-                el.clear()
+                for p in parents:
+                    p.clear()  # or every row would stay attached to the sheet
                 width = max(row) + 1 if row else 0
                 yield [row.get(i) for i in range(width)]
 
@@ -144,6 +169,8 @@ class XlsxReader(DataSourceReader):
 
     def partitions(self):
         path = local_path(self.path)
+        if "://" in path:
+            raise ValueError(f"{self.path}: workbooks are read with file calls; give a path that is mounted on all executors")
         files = sorted(glob.glob(path)) if any(ch in path for ch in "*?[") else (
             sorted(glob.glob(os.path.join(path, "*.xlsx"))) if os.path.isdir(path) else [path])
         return [_Workbook(f) for f in files]
@@ -245,6 +272,8 @@ def write_xlsx(df: DataFrame, folder: str) -> str:
     ship_package(df.sparkSession)
     cols = df.columns
     target_dir = local_path(folder)
+    if "://" in target_dir:
+        raise ValueError(f"{folder}: workbooks are written with file calls; give a folder that is mounted on all executors")
 
     def write_part(batches):
         frames = [b for b in batches if len(b)]

@@ -51,17 +51,24 @@ def resample_stream(stream: DataFrame, ts: str, y: str | None, freq: str, agg: s
 
 def run_to_table(spark: SparkSession, result: DataFrame, name: str) -> str:
     """Run a streaming aggregate over everything available (trigger
-    availableNow), writing the complete result table after each micro-batch
-    into the shared checkpoint folder; return the table's path.  The write
-    is an overwrite, so a micro-batch replayed after a failure is harmless,
-    and the query checkpoint lets a restarted driver resume."""
-    out = scratch_path(spark, f"{name}-table")
+    availableNow) and return the path of its table in the shared checkpoint
+    folder.
+
+    Update mode: a micro-batch writes only the windows it changed, into a
+    folder of its own (an overwrite, so a replayed micro-batch is harmless),
+    and windows that the watermark has closed leave the state.  The table is
+    the last version of every window.  The query checkpoint lets a restarted
+    driver resume."""
+    changes, out = scratch_path(spark, f"{name}-changes"), scratch_path(spark, f"{name}-table")
     ckpt = scratch_path(spark, f"{name}-checkpoint")
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{changes}/epoch={epoch}")
 
-    q = (result.writeStream.outputMode("complete").foreachBatch(write)
+    q = (result.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+    keys = [c for c in result.columns if c != "y"]
+    (spark.read.option("basePath", changes).parquet(changes).groupBy(*keys)
+     .agg(F.max_by(F.struct("y"), "epoch").alias("r")).select(*keys, F.col("r.y").alias("y")).write.parquet(out))
     return out

@@ -111,20 +111,60 @@ def test_ntz_truncation_ignores_session_time_zone(spark):
                    "month": "2024-03-01T00:00:00", "quarter": "2024-01-01T00:00:00", "year": "2024-01-01T00:00:00"}
 
 
-def test_wide_correlation_matches_narrow(spark, monkeypatch):
-    from tally.operators import profile as prof
-    df = spark.range(300).select(*[((F.col("id") * (k + 1)) % (17 + k)).cast("double").alias(f"c{k}")
-                                   for k in range(5)])
-    narrow = {(r["var_x"], r["var_y"]): r["r"] for r in prof.correlation(df, full=True).collect()}
-    monkeypatch.setattr(prof, "WIDE", 3)
-    wide = {(r["var_x"], r["var_y"]): r["r"] for r in prof.correlation(df, full=True).collect()}
-    assert narrow.keys() == wide.keys()
-    assert all(abs(narrow[k] - wide[k]) < 1e-9 for k in narrow)
-    wide_s = {(r["var_x"], r["var_y"]): r["r"] for r in prof.correlation(df, method="spearman").collect()}
-    monkeypatch.setattr(prof, "WIDE", 40)
-    narrow_s = {(r["var_x"], r["var_y"]): r["r"] for r in prof.correlation(df, method="spearman").collect()}
-    assert narrow_s.keys() == wide_s.keys()
-    assert all(abs(narrow_s[k] - wide_s[k]) < 1e-9 for k in narrow_s)
+@pytest.mark.parametrize("k", [3, 40, 41, 100])
+def test_correlation_is_pairwise_at_any_width(spark, k):
+    """The same rule for few and for many columns: rows where both are present."""
+    import numpy as np
+    rng = np.random.default_rng(k)
+    x = rng.normal(size=(200, k)) * 3 + 1e7
+    x[:, 1] += 0.5 * (x[:, 0] - 1e7)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 2] = 5.0
+    cols = [f"v.{i}" for i in range(k)]
+    df = spark.createDataFrame([[None if np.isnan(v) and j % 2 else float(v) for j, v in enumerate(r)] for r in x],
+                               ", ".join(f"`{c}` double" for c in cols)).repartition(3)
+    got = {(r["var_x"], r["var_y"]): r["r"] for r in P.correlation(df, full=True).collect()}
+    assert len(got) == k * k
+    for i in range(k):
+        for j in range(i + 1):
+            m = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            r = got[cols[i], cols[j]]
+            assert r == got[cols[j], cols[i]]
+            if 2 in (i, j):
+                assert r is None
+            else:
+                assert math.isclose(r, np.corrcoef(x[m, i], x[m, j])[0, 1], rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_missing_is_missing_everywhere(spark):
+    """NULL and NaN mean the same to every operator; a NULL category is a category."""
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan, 1.0, None), (2, None, 2.0, None), (3, 4.0, 3.0, None), (4, 8.0, nan, "b"), (5, 4.0, 9.0, "a")], SCHEMA)
+    assert {(r["variable"], r["n_null"]) for r in P.overview(df).collect()} == {("id", 0), ("x", 2), ("y", 1), ("c", 3)}
+    assert [r["_mode_x"] for r in K.column_modes(df, ["x"]).collect()] == [4.0]
+    assert sorted(r["x"] for r in K.impute_mode(df, ["x"]).collect()) == [4.0, 4.0, 4.0, 4.0, 8.0]
+    bars = {r["category"]: (r["value"], r["rank"]) for r in C.bar_table(df, "c", None, "count", top=2).collect()}
+    assert bars == {None: (3.0, 1), "a": (1.0, 2), "(other)": (1.0, None)}
+    box = {r["category"]: r["n"] for r in C.box_table(df, "c", "x").collect()}
+    assert box == {None: 1, "a": 1, "b": 1}
+    grid = C.scatter_table(df, "x", "y", bins=2).collect()
+    assert sum(r["count"] for r in grid) == 2 and not any(math.isnan(r["x_lo"]) for r in grid)
+    wide = C.overlay_by_category(df, F.lit(1), "c", "x", values=["a"], agg="avg").first()
+    assert (wide["a"], wide["(other)"]) == (4.0, 6.0)
+
+
+def test_column_names_with_dots(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, None)], "`price.usd` double, `cat.x` string")
+    assert P.describe_numeric(df).first()["count"] == 2
+    P.distribution(df, "price.usd").collect()
+    P.insights(df, ["price.usd"], ["cat.x"]).collect()
+    C.histogram_table(df, "price.usd", 3).collect()
+    C.bar_table(df, "cat.x", "price.usd").collect()
+    K.impute_mean(df, ["price.usd"]).collect()
+    K.impute_mode(df, ["cat.x"]).collect()
+    assert K.flag_outliers(df, "price.usd").columns == ["price.usd", "cat.x", "is_outlier"]
+    assert K.scale(df, ["price.usd"]).columns == df.columns
+    assert K.drop_duplicates(df, ["cat.x"]).count() == 2
 
 
 @pytest.fixture(scope="module")

@@ -37,11 +37,11 @@ def test_partition_independent(spark, con, name):
 @pytest.mark.parametrize("name", ["d1_describe_numeric", "d5_distribution", "d11_insights", "v5_box_table",
                                   "c4_flag_outliers_iqr", "c4_flag_outliers_iqr_by", "c5_drop_outliers",
                                   "d5_ecdf", "d8_spearman", "m6_roc_curve", "m6_auc"])
-@pytest.mark.parametrize("limits", [(0, 0), (1, 10**9)], ids=["bucketed", "one_window"])
-def test_distributed_paths_match_sql(spark, con, name, limits, monkeypatch):
-    """Force the paths used when the value domain is not measured small:
-    distributed exact quantiles with bucketed or single-window ranking."""
-    from tally.functions import stats
-    monkeypatch.setattr(stats, "PERCENTILE_MAP_LIMIT", limits[0])
-    monkeypatch.setattr(stats, "SINGLE_WINDOW_LIMIT", limits[1])
-    compare(QUERIES[name](spark, SF_TINY), con, SQL[name])
+@pytest.mark.parametrize("parts", ["1", "23"])
+def test_ranking_matches_sql_with_any_number_of_ranges(spark, con, name, parts):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        compare(QUERIES[name](spark, SF_TINY), con, SQL[name])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
