@@ -37,6 +37,11 @@ def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, wherever the optimizer puts it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_python(df: DataFrame) -> DataFrame:
     """Make this package importable in Python workers before a Python stage."""
     ship_package(df.sparkSession)
