@@ -89,7 +89,9 @@ def test_lasso_reaches_zero(spark):
 
 
 def test_polynomial_term_names(spark):
-    assert R.poly_term_names(spark, ["a", "b"], 2) == ["a", "a^2", "b", "a*b", "b^2"]
+    names = lambda xs, d: [R.term_name(t, xs) for t in R.terms_of(len(xs), d)]
+    assert names(["a", "b"], 2) == ["a", "b", "a^2", "a*b", "b^2"]
+    assert len(names([f"x{i}" for i in range(20)], 2)) == 20 + 20 * 21 // 2
 
 
 def test_coefficient_table_t_values(spark):
