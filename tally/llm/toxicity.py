@@ -22,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,7 @@ from .common import materialize, text_or_empty, with_python
 
 MAX_LABELLED = 200_000  # labelled rows that the lexicon and the model are fitted on
 MAX_LEXICON = 20_000  # entries kept, the heaviest first
+CACHED = 400_000  # words whose folding or matches a worker remembers
 PREFIX = range(4, 9)  # lengths of word beginnings that may become entries
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
@@ -67,17 +69,50 @@ def _undisguise(m: re.Match) -> str:
     return s.translate(_LEET) if any(c.isalpha() for c in s) else s
 
 
-def fold(text: str) -> list[str]:
-    """The folded words of a text."""
-    s = text.lower()
+def _fold_token(token: str) -> tuple[str, ...]:
+    s = token.lower()
     if not s.isascii():
         s = s.translate(_FOLD)
-    return _WORD.findall(_DISGUISED.sub(_undisguise, s))
+    return tuple(_WORD.findall(_DISGUISED.sub(_undisguise, s)))
+
 
+#: token -> folded words; folding looks at one token at a time, and tokens repeat
+_FOLDED: dict[str, tuple[str, ...]] = {}
 
-def _terms(words: set[str]) -> set[str]:
+
+def fold(text: str) -> list[str]:
+    """The folded words of a text."""
+    tokens = text.split()
+    if len(_FOLDED) > CACHED:
+        _FOLDED.clear()
+    for t in set(tokens).difference(_FOLDED):
+        _FOLDED[t] = _fold_token(t)
+    return list(chain.from_iterable(map(_FOLDED.__getitem__, tokens)))
+
+
+def _terms(word: str) -> tuple[str, ...]:
     """Possible lexicon entries: ``word `` (whole) and word beginnings."""
-    return {w + " " for w in words} | {w[:k] for w in words for k in PREFIX if len(w) > k}
+    return (word + " ", *(word[:k] for k in PREFIX if len(word) > k))
+
+
+def _all_terms(words: list[str]) -> set[str]:
+    return set(chain.from_iterable(map(_terms, set(words))))
+
+
+class _KnownTerms:
+    """A text's terms among ``known``; what a word gives is remembered."""
+
+    def __init__(self, known: frozenset[str]) -> None:
+        self.known = known
+        self.of: dict[str, tuple[str, ...]] = {}
+
+    def __call__(self, words: list[str]) -> set[str]:
+        distinct = set(words)
+        if len(self.of) > CACHED:
+            self.of.clear()
+        for w in distinct.difference(self.of):
+            self.of[w] = tuple(t for t in _terms(w) if t in self.known)
+        return set(chain.from_iterable(map(self.of.__getitem__, distinct)))
 
 
 @dataclass
@@ -97,39 +132,65 @@ class Lexicon:
             a.make_automaton()
         return a
 
-    def hits(self, words: list[str], automaton) -> list[tuple[str, str, str, float]]:
-        """``(previous word, word, next word, weight)`` of every matching word."""
+    def hits(self, words: list[str], automaton) -> dict[str, float]:
+        """The matching words and their weights: the automaton reads all words, each preceded and
+        followed by a space; entries begin at a word's start, the heaviest counts."""
         if not self.weights or not words:
-            return []
+            return {}
         line = " " + " ".join(words) + " "
         best: dict[int, float] = {}
         for end, (size, w) in automaton.iter(line):
             start = end - size + 1
             best[start] = max(w, best.get(start, -math.inf))
-        out = []
-        for start, w in best.items():
-            stop = line.index(" ", start)
-            left = line[line.rfind(" ", 0, start - 1) + 1:start - 1] if start > 1 else ""
-            right = line[stop + 1:line.index(" ", stop + 1)] if stop + 1 < len(line) else ""
-            out.append((left, line[start:stop], right, w))
-        return out
+        return {line[start:line.index(" ", start)]: w for start, w in best.items()}
 
 
-def features(words: list[str], lexicon: Lexicon, automaton) -> tuple[float, float, float]:
-    """Summed weight (damped), summed weight per length, heaviest weight."""
-    total = top = 0.0
-    for left, word, right, w in lexicon.hits(words, automaton):
-        if f"{left} {word}" in lexicon.exceptions or f"{word} {right}" in lexicon.exceptions:
-            continue
-        total += w
-        top = max(top, w)
-    return math.log1p(total), min(1.0, total / (len(words) + 10)), top
+class Matcher:
+    """Matches of texts; the automaton reads every distinct word once (a match lies in one word)."""
 
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lexicon, self.automaton = lexicon, lexicon.automaton()
+        self.seen: set[str] = set()
+        self.weight: dict[str, float] = {}
 
-def _counted(frame: DataFrame, pick) -> DataFrame:
-    """``(term, toxic, n)`` from ``(text, toxic)``: ``pick(words)`` per text, summed per task, then overall."""
+    def matches(self, words: list[str]) -> list[tuple[str, str, str, float]]:
+        """``(previous word, word, next word, weight)`` of every matching word."""
+        distinct = set(words)
+        if len(self.seen) > CACHED:
+            self.seen, self.weight = set(), {}
+        new = distinct - self.seen
+        if new:
+            self.weight.update(self.lexicon.hits(list(new), self.automaton))
+            self.seen |= new
+        if distinct.isdisjoint(self.weight):
+            return []
+        last = len(words) - 1
+        return [(words[i - 1] if i else "", w, words[i + 1] if i < last else "", self.weight[w])
+                for i, w in enumerate(words) if w in self.weight]
+
+    def features(self, words: list[str]) -> tuple[float, float, float]:
+        """Summed weight (damped), summed weight per length, heaviest weight; matches inside an
+        exception phrase aside."""
+        total = top = 0.0
+        exceptions = self.lexicon.exceptions
+        for left, word, right, w in self.matches(words):
+            if f"{left} {word}" in exceptions or f"{word} {right}" in exceptions:
+                continue
+            total += w
+            top = max(top, w)
+        return math.log1p(total), min(1.0, total / (len(words) + 10)), top
+
+    def phrases(self, words: list[str]) -> set[str]:
+        """The two-word phrases around matches."""
+        return {p for left, word, right, _ in self.matches(words) for p in (f"{left} {word}", f"{word} {right}")}
+
+
+def _counted(frame: DataFrame, make) -> DataFrame:
+    """``(term, toxic, n)`` from ``(text, toxic)``: ``pick(words)`` per text (``make`` gives a task its
+    ``pick``), summed per task, then overall."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pick = make()
         for b in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -167,10 +228,10 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     if not n_toxic or not n_clean:
         return Lexicon()
     support = max(3, math.ceil(0.002 * n_toxic))
-    frequent = _counted(train.where("toxic = 1"), lambda w: _terms(set(w))).where(F.col("n") >= support)
+    frequent = _counted(train.where("toxic = 1"), lambda: _all_terms).where(F.col("n") >= support)
     in_toxic = {r["term"]: r["n"] for r in frequent.orderBy(F.desc("n"), "term").limit(50 * MAX_LEXICON).collect()}
     known = train.sparkSession.sparkContext.broadcast(frozenset(in_toxic))
-    clean = _counted(train.where("toxic = 0"), lambda w: _terms(set(w)) & known.value)
+    clean = _counted(train.where("toxic = 0"), lambda: _KnownTerms(known.value))
     in_clean = {r["term"]: r["n"] for r in clean.collect()}
     chance = 2 * math.log(len(in_toxic) + 1) + 2
     weights = {t: _weight(a, n_toxic, in_clean.get(t, 0), n_clean) for t, a in in_toxic.items()
@@ -184,7 +245,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     heaviest = sorted(kept, key=lambda t: (-kept[t] * math.sqrt(in_toxic[t]), t))[:MAX_LEXICON]
     lexicon = Lexicon({t: kept[t] for t in heaviest})
     used: dict[str, list[int]] = {}
-    for r in (_counted(train, _with_automaton(lexicon)).groupBy("term").agg(
+    for r in (_counted(train, lambda: Matcher(lexicon).phrases).groupBy("term").agg(
             F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"),
             F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"))
             .where("c >= 3").orderBy(F.desc("c"), "term").limit(MAX_LEXICON).collect()):
@@ -194,18 +255,6 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     return lexicon
 
 
-def _with_automaton(lexicon: Lexicon):
-    """The two-word phrases around matches; the automaton is built once per worker."""
-    built = []
-
-    def phrases(words: list[str]) -> set[str]:
-        if not built:
-            built.append(lexicon.automaton())
-        return {p for left, word, right, _ in lexicon.hits(words, built[0]) for p in (f"{left} {word}", f"{word} {right}")}
-
-    return phrases
-
-
 def add_features(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` with ``__f0``, ``__f1``, ``__f2``."""
     src = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)],
@@ -214,9 +263,9 @@ def add_features(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str =
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value.automaton()
+        matcher = Matcher(shared.value)
         for b in batches:
-            rows = [features(fold(t), shared.value, automaton) for t in b.column(n).to_pylist()]
+            rows = [matcher.features(fold(t)) for t in b.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:n], *(pa.array([r[i] for r in rows], pa.float64()) for i in range(3))],
                 names=[*names, "__f0", "__f1", "__f2"])

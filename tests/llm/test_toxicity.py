@@ -14,12 +14,11 @@ def test_folding():
 
 def test_heaviest_entry_counts_once_and_exceptions_do_not():
     lexicon = toxicity.Lexicon({"clow": 1.0, "clown ": 3.0, "scum ": 2.0}, frozenset({"clown fish"}))
-    a = lexicon.automaton()
-    assert sorted(w for *_, w in lexicon.hits("clown clowns scum discum".split(), a)) == [1.0, 2.0, 3.0]
-    assert toxicity.features("a clown fish swims".split(), lexicon, a) == (0.0, 0.0, 0.0)
-    assert toxicity.features("a clown swims".split(), lexicon, a)[2] == 3.0
-    short = toxicity.features(["scum"], lexicon, a)[1]
-    assert short > toxicity.features(["scum"] + ["x"] * 500, lexicon, a)[1] > 0
+    m = toxicity.Matcher(lexicon)
+    assert sorted(w for *_, w in m.matches("clown clowns scum discum".split())) == [1.0, 2.0, 3.0]
+    assert m.features("a clown fish swims".split()) == (0.0, 0.0, 0.0)
+    assert m.features("a clown swims".split())[2] == 3.0
+    assert m.features(["scum"])[1] > m.features(["scum"] + ["x"] * 500)[1] > 0
 
 
 def test_held_out_accuracy(spark):
