@@ -260,10 +260,12 @@ def encode(df: DataFrame, cols: Sequence[str], how: str = "index") -> DataFrame:
     if how != "onehot":
         raise ValueError(f"unknown encoding {how!r}")
     from pyspark.ml.feature import OneHotEncoder
-    # the encoder's fit is one distributed max() per column; NULL categories
-    # map to the extra "invalid" slot (handleInvalid="keep")
-    tmp = out.select("*", *[F.coalesce(F.col(f"`{c}_idx`").cast("double"), F.lit(float("nan"))).alias(f"_i_{c}")
-                            for c in cols])
-    enc = OneHotEncoder(inputCols=[f"_i_{c}" for c in cols], outputCols=[f"{c}_vec" for c in cols],
-                        dropLast=False, handleInvalid="keep")
-    return enc.fit(tmp).transform(tmp).drop(*[f"_i_{c}" for c in cols])
+    # one number per column: its categories; NULL takes the slot after them
+    sizes = {r["variable"]: r["n"] for r in mapping.groupBy("variable").agg((F.max("index") + 1).alias("n")).collect()}
+    n = [int(sizes.get(c, 0)) for c in cols]
+    tmp = out.select("*", *[F.coalesce(F.col(f"`{c}_idx`").cast("double"), F.lit(float(k))).alias(f"_i_{i}")
+                            for i, (c, k) in enumerate(zip(cols, n))])
+    names = [f"_i_{i}" for i in range(len(cols))]
+    enc = OneHotEncoder(inputCols=names, outputCols=[f"{c}_vec" for c in cols], dropLast=False)
+    widths = df.sparkSession.createDataFrame([[float(k) for k in n]], ", ".join(f"{c} double" for c in names))
+    return enc.fit(widths).transform(tmp).drop(*names)

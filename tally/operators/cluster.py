@@ -17,21 +17,23 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions.stats import run_parallel
+from tally.functions.stats import as_col, nan_to_null, run_parallel
 
 
 def vectors(df: DataFrame, xs: Sequence[str], key: Sequence[str], scale: bool = True) -> DataFrame:
     """key..., xs..., features (divided by their standard deviation when
-    ``scale``); rows with a NULL feature are skipped (VectorAssembler rejects
-    them).  Features are not mean-centred: k-means and PCA do not need it,
+    ``scale``); rows with a NULL or NaN feature are skipped (VectorAssembler
+    rejects them).  Features are not mean-centred: k-means and PCA do not need it,
     and bisecting k-means splits a cluster by perturbing its centre in
     proportion to the centre's norm, so a centre at the origin never splits."""
     xs, key = list(xs), list(key)
-    base = df.select(*key, *[F.col(x).cast("double").alias(x) for x in xs]).na.drop(subset=xs)
-    v = VectorAssembler(inputCols=xs, outputCol="_raw" if scale else "features").transform(base)
+    base = df.select(*[as_col(k) for k in key], *[nan_to_null(x).alias(x) for x in xs]).na.drop(subset=[f"`{x}`" for x in xs])
+    cols = [f"_x{i}" for i in range(len(xs))]
+    base = base.select("*", *[as_col(x).alias(c) for x, c in zip(xs, cols)])
+    v = VectorAssembler(inputCols=cols, outputCol="_raw" if scale else "features").transform(base).drop(*cols)
     if scale:
         v = StandardScaler(inputCol="_raw", outputCol="features", withMean=False, withStd=True).fit(v).transform(v)
         v = v.drop("_raw")
@@ -57,39 +59,56 @@ def hierarchical(df: DataFrame, xs: Sequence[str], k: int, key: Sequence[str], s
 
 
 # --------------------------------------------------------------------- K3
-def ward_merges(centroids: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, list[tuple]]:
-    """Ward agglomeration of weighted centroids down to ``k`` groups.
-    Returns the group of each centroid and the merge list
-    (step, a, b, cost).  Input is bounded by the micro-cluster count."""
-    m = len(sizes)
-    cent = centroids.astype("float64").copy()
+LINKAGES = ("ward", "average", "complete", "single")
+
+
+def merges_of(centroids: np.ndarray, sizes: np.ndarray, linkage: str = "ward") -> list[tuple[int, int, float, int]]:
+    """The full agglomeration of weighted centroids: per step the two groups
+    that merge (each named by its smallest member), their distance, and the
+    rows of the merged group.  Distances follow the Lance-Williams update;
+    Ward's is the increase of the within-group sum of squares.  The input is
+    bounded by the micro-cluster count."""
+    if linkage not in LINKAGES:
+        raise ValueError(f"linkage must be one of {LINKAGES}")
     size = sizes.astype("float64").copy()
-    alive = np.ones(m, dtype=bool)
-    group = np.arange(m)
+    m = len(size)
+    d = ((centroids[:, None, :] - centroids[None, :, :]) ** 2).sum(-1).astype("float64")
+    d = d * size[:, None] * size[None, :] / (size[:, None] + size[None, :]) if linkage == "ward" else np.sqrt(d)
+    np.fill_diagonal(d, np.inf)
     merges = []
-    for step in range(max(m - k, 0)):
-        idx = np.flatnonzero(alive)
-        c, n = cent[idx], size[idx]
-        d2 = ((c[:, None, :] - c[None, :, :]) ** 2).sum(-1)
-        cost = (n[:, None] * n[None, :] / (n[:, None] + n[None, :])) * d2
-        np.fill_diagonal(cost, np.inf)
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        a, b = idx[min(i, j)], idx[max(i, j)]
-        merges.append((step, int(a), int(b), float(cost[i, j])))
-        tot = size[a] + size[b]
-        cent[a] = (cent[a] * size[a] + cent[b] * size[b]) / tot
-        size[a] = tot
-        alive[b] = False
+    for _ in range(m - 1):
+        a, b = sorted(int(x) for x in np.unravel_index(np.argmin(d), d.shape))
+        cost, na, nb = float(d[a, b]), size[a], size[b]
+        other = np.isfinite(d[a]) & np.isfinite(d[b])
+        if linkage == "ward":
+            row = ((na + size) * d[a] + (nb + size) * d[b] - size * cost) / (na + nb + size)
+        elif linkage == "average":
+            row = (na * d[a] + nb * d[b]) / (na + nb)
+        else:
+            row = (np.maximum if linkage == "complete" else np.minimum)(d[a], d[b])
+        d[a] = d[:, a] = np.where(other, row, np.inf)
+        d[b] = d[:, b] = np.inf
+        size[a] = na + nb
+        merges.append((a, b, cost, int(na + nb)))
+    return merges
+
+
+def ward_merges(centroids: np.ndarray, sizes: np.ndarray, k: int, linkage: str = "ward") -> tuple[np.ndarray, list[tuple]]:
+    """Agglomeration of weighted centroids down to ``k`` groups: the group of
+    each centroid (numbered by descending size, then smallest member) and the
+    merges that were made (step, a, b, cost)."""
+    m = len(sizes)
+    group = np.arange(m)
+    done = merges_of(centroids, sizes, linkage)[:max(m - k, 0)]
+    for a, b, _, _ in done:
         group[group == b] = a
-    # relabel 0..k-1 by descending size, then smallest member
-    roots = sorted(set(group.tolist()), key=lambda r: (-size[r], r))
-    remap = {r: i for i, r in enumerate(roots)}
-    return np.array([remap[g] for g in group]), merges
+    total = {r: float(sizes[group == r].sum()) for r in set(group.tolist())}
+    remap = {r: i for i, r in enumerate(sorted(total, key=lambda r: (-total[r], r)))}
+    return np.array([remap[g] for g in group]), [(i, a, b, cost) for i, (a, b, cost, _) in enumerate(done)]
 
 
-def agglomerative(df: DataFrame, xs: Sequence[str], k: int, key: Sequence[str], micro: int = 200,
-                  seed: int = 42, scale: bool = True) -> DataFrame:
-    """Ward clustering at scale: key..., xs..., micro, cluster."""
+def _micro(df: DataFrame, xs: Sequence[str], key: Sequence[str], micro: int, seed: int, scale: bool):
+    """Rows with their micro cluster, and the micro clusters' numbers, centroids and sizes (at most ``micro``)."""
     v = vectors(df, xs, key, scale).persist()
     km = KMeans(k=micro, seed=seed, maxIter=30, featuresCol="features", predictionCol="micro").fit(v)
     assigned = km.transform(v)
@@ -97,16 +116,30 @@ def agglomerative(df: DataFrame, xs: Sequence[str], k: int, key: Sequence[str],
             .agg(F.count(F.lit(1)).alias("n"),
                  *[F.avg(vector_to_array("features")[i]).alias(f"_c{i}") for i in range(len(xs))])
             .orderBy("micro").collect())  # at most ``micro`` rows
-    ids = np.array([r["micro"] for r in summ])
-    cent = np.array([[r[f"_c{i}"] for i in range(len(xs))] for r in summ])
-    groups, _ = ward_merges(cent, np.array([r["n"] for r in summ]), k)
-    spark = SparkSession.getActiveSession()
-    mapping = spark.createDataFrame([(int(m), int(g)) for m, g in zip(ids, groups)], "micro long, cluster long")
     v.unpersist()  # cached for the micro k-means; labelling re-reads by lineage
+    return (assigned, [int(r["micro"]) for r in summ],
+            np.array([[r[f"_c{i}"] for i in range(len(xs))] for r in summ]), np.array([r["n"] for r in summ]))
+
+
+def agglomerative(df: DataFrame, xs: Sequence[str], k: int, key: Sequence[str], micro: int = 200,
+                  seed: int = 42, scale: bool = True, linkage: str = "ward") -> DataFrame:
+    """Agglomerative clustering at scale: key..., xs..., micro, cluster."""
+    assigned, ids, cent, sizes = _micro(df, xs, key, micro, seed, scale)
+    groups, _ = ward_merges(cent, sizes, k, linkage)
+    mapping = df.sparkSession.createDataFrame([(m, int(g)) for m, g in zip(ids, groups)], "micro long, cluster long")
     return (assigned.withColumn("micro", F.col("micro").cast("long"))
             .join(F.broadcast(mapping), on="micro", how="inner").drop("features"))
 
 
+def merge_table(df: DataFrame, xs: Sequence[str], key: Sequence[str], micro: int = 200, seed: int = 42,
+                scale: bool = True, linkage: str = "ward") -> DataFrame:
+    """The dendrogram over the micro clusters: (step, a, b, distance, size),
+    one row per merge, groups named by their smallest micro cluster."""
+    _, ids, cent, sizes = _micro(df, xs, key, micro, seed, scale)
+    rows = [(i, ids[a], ids[b], d, n) for i, (a, b, d, n) in enumerate(merges_of(cent, sizes, linkage))]
+    return df.sparkSession.createDataFrame(rows, "step long, a long, b long, distance double, size long")
+
+
 # --------------------------------------------------------------------- K4
 def choose_k(df: DataFrame, xs: Sequence[str], k_values: Sequence[int], key: Sequence[str] = (),
              seed: int = 42, scale: bool = True, parallelism: int = 4) -> DataFrame:
@@ -124,8 +157,7 @@ def choose_k(df: DataFrame, xs: Sequence[str], k_values: Sequence[int], key: Seq
 
     rows = run_parallel(one, k_values, parallelism)
     v.unpersist()
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "k long, inertia double, silhouette double")
+    return df.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double")
 
 
 # --------------------------------------------------------------------- K5

@@ -50,6 +50,8 @@ def load_all() -> dict[str, Registered]:
         q_clean,
         q_cluster,
         q_evaluate,
+        q_missing,
+        q_planted,
         q_profile,
         q_regress,
         q_sources,

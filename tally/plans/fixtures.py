@@ -27,6 +27,33 @@ EVENTS_NULLS_SQL = ("(SELECT event_id, ts, user_id, "
                     "CASE WHEN event_id % 7 <> 0 THEN value END AS value, props FROM events)")
 
 
+def events_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``events_nulls``, and some values are NaN: missing like NULL, so the
+    twin has NULL for both."""
+    e = read_table(spark, sf, "events")
+    return e.select(
+        "event_id", "ts", "user_id",
+        F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("event_type"),
+        F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 13 != 0, F.col("value")).alias("value"),
+        "props")
+
+
+EVENTS_MISSING_SQL = ("(SELECT event_id, ts, user_id, CASE WHEN event_id % 11 <> 0 THEN event_type END AS event_type, "
+                      "CASE WHEN event_id % 7 <> 0 AND event_id % 13 <> 0 THEN value END AS value, props FROM events)")
+
+
+def blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Four separate groups of points by the orders' keys; ``g`` is the group."""
+    k = F.col("o_orderkey")
+    return read_table(spark, sf, "orders").select(
+        k.alias("id"), (k % 4).alias("g"), (10.0 * (k % 2) + (k % 17) / 17.0).alias("x"),
+        (10.0 * F.floor((k % 4) / 2) + (k % 19) / 19.0).alias("y"))
+
+
+BLOBS_SQL = ("(SELECT o_orderkey AS id, o_orderkey % 4 AS g, 10.0::DOUBLE * (o_orderkey % 2) + (o_orderkey % 17) / 17.0::DOUBLE AS x, "
+             "10.0::DOUBLE * ((o_orderkey % 4) // 2) + (o_orderkey % 19) / 19.0::DOUBLE AS y FROM orders)")
+
+
 def orders_text(spark: SparkSession, sf: str) -> DataFrame:
     """All columns as text, as a CSV upload would give; some prices are 'n/a'."""
     o = read_table(spark, sf, "orders")

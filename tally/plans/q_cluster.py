@@ -28,6 +28,11 @@ def k3(spark, sf):
     return K.agglomerative(customer_rfm(spark, sf), RFM, k=3, key=["custkey"], micro=50)
 
 
+@register("k3_merge_table")
+def k3_merges(spark, sf):
+    return K.merge_table(customer_rfm(spark, sf), RFM, key=["custkey"], micro=50, linkage="average")
+
+
 @register("k4_choose_k")
 def k4(spark, sf):
     return K.choose_k(customer_rfm(spark, sf), RFM, [2, 3, 4, 5, 6], key=["custkey"])
