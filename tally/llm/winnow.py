@@ -95,7 +95,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
         "d", [i / n for i in range(1, n)], 0.2 / n)))
     splits = [-float("inf"), *cuts, float("inf")]
     rows = rows.withColumns({"tie": F.xxhash64("text"), "__d": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e308))})
-    rows = Bucketizer(splits=splits, inputCol="__d", outputCol="bucket").transform(rows)
+    rows = (Bucketizer(splits=splits, inputCol="__d", outputCol="bucket").transform(rows) if cuts
+            else rows.withColumn("bucket", F.lit(0)))
     rows = rows.withColumn("bucket", F.col("bucket").cast("int")).drop("__d").withColumn("ghost", F.lit(0))
     key = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("tie"))
     heads = rows.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "text", "tie"), key).alias("r"))
