@@ -32,7 +32,7 @@ from .common import materialize, text_or_empty, with_python
 
 MAX_LABELLED = 200_000  # labelled rows that the lexicon and the model are fitted on
 MAX_LEXICON = 20_000  # entries kept, the heaviest first
-CACHED = 400_000  # words whose folding or matches a worker remembers
+CACHED = 150_000  # words whose folding or matches a worker remembers
 PREFIX = range(4, 9)  # lengths of word beginnings that may become entries
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
@@ -61,6 +61,7 @@ def _fold_table() -> dict[int, str]:
 _FOLD = _fold_table()
 _LEET = str.maketrans(DIGITS | SIGNS)
 _DISGUISED = re.compile(r"[^\W_]*(?:[0-9]|[@$](?=[^\W_])|(?<=[^\W\d_])[!|](?=[^\W_]))[^\W_]*(?:(?:[@$!|](?=[^\W_]))[^\W_]*)*")
+_SPECIAL = re.compile("[0-9@$!|]")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -73,7 +74,11 @@ def _fold_token(token: str) -> tuple[str, ...]:
     s = token.lower()
     if not s.isascii():
         s = s.translate(_FOLD)
-    return tuple(_WORD.findall(_DISGUISED.sub(_undisguise, s)))
+    if s.isalpha():
+        return (s,)
+    if _SPECIAL.search(s):
+        s = _DISGUISED.sub(_undisguise, s)
+    return tuple(_WORD.findall(s))
 
 
 #: token -> folded words; folding looks at one token at a time, and tokens repeat
@@ -191,15 +196,23 @@ def _counted(frame: DataFrame, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = make()
-        for b in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[toxic].update(pick(fold(text)))
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def taken() -> pa.RecordBatch:
             rows = [(t, k, n) for k in (0, 1) for t, n in counts[k].items()]
-            yield pa.RecordBatch.from_arrays(
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()),
                  pa.array([r[2] for r in rows], pa.int64())], names=["term", "toxic", "n"])
 
+        for b in batches:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts[toxic].update(pick(fold(text)))
+                if len(counts[toxic]) > CACHED:
+                    yield taken()
+        yield taken()
+
     return (with_python(frame).mapInArrow(run, "term string, toxic int, n long")
             .groupBy("term", "toxic").agg(F.sum("n").alias("n")))
 
