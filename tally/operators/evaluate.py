@@ -109,18 +109,22 @@ def compare_regressors(train: DataFrame, test: DataFrame, label: str, xs: Sequen
 
 # --------------------------------------------------------------------- M3
 def cross_validate(df: DataFrame, label: str, xs: Sequence[str], k: int = 5, key: str | None = None,
-                   model: str = "linear", seed: int = 42, parallelism: int = 4, positive: float = 1.0) -> DataFrame:
+                   model: str = "linear", seed: int = 42, parallelism: int = 4, positive: float = 1.0,
+                   classify: bool | None = None) -> DataFrame:
     """k-fold cross-validation with one row per fold: fold, n_train, n_test,
     then r2, rmse, mae for a regressor or accuracy, precision, recall, f1 for
-    a classifier.  Fold = ``functions.stats.hash_bucket`` of the key, so folds
+    a classifier.  ``classify`` chooses where both kinds have a model of that
+    name (a regressor by default).  Fold = ``functions.stats.hash_bucket`` of the key, so folds
     do not depend on partitioning or on how keys are numbered (CrossValidator
     only reports the mean; the per-fold rows need the loop).  A fold without
     test rows has no row; one without training rows has NULL metrics."""
     if key is None:
         raise ValueError("cross_validate needs a key column for repeatable folds")
-    if model not in REGRESSORS and model not in CLASSIFIERS:
+    classify = model not in REGRESSORS if classify is None else classify
+    kind = CLASSIFIERS if classify else REGRESSORS
+    if model not in kind:
         raise ValueError(f"unknown model {model!r}")
-    make = REGRESSORS.get(model) or CLASSIFIERS[model]
+    make = kind[model]
     data = _features(df.withColumn("_fold", hash_bucket(as_col(key), k)), label, xs, keep=["_fold"]).persist()
     sizes = {r["_fold"]: r["n"] for r in data.groupBy("_fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # k rows
     n = sum(sizes.values())
@@ -134,7 +138,7 @@ def cross_validate(df: DataFrame, label: str, xs: Sequence[str], k: int = 5, key
         scored = m.transform(scored).select(
             "_fold", "label", "features", F.when(F.col("_fold") == f, F.col("prediction")).otherwise(F.col("yhat")).alias("yhat"))
     preds = scored.select("_fold", "label", F.col("yhat").alias("prediction"))
-    if model in REGRESSORS:
+    if not classify:
         per = regression_metrics(preds, "label", "prediction", by=["_fold"])
         metrics = ["r2", "rmse", "mae"]
     else:

@@ -24,9 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _csv_options(sep: str, encoding: str, null_value: str, multi_line: bool) -> dict:
     """Quotes inside a field are doubled, white space is kept, and an empty
     string (quoted) stays apart from NULL: what other programs write and read."""
-    return {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "nullValue": null_value,
-            "emptyValue": "" if null_value else '""', "ignoreLeadingWhiteSpace": False,
-            "ignoreTrailingWhiteSpace": False, "multiLine": multi_line}
+    return {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "nullValue": null_value, "emptyValue": "",
+            "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "multiLine": multi_line}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -100,6 +99,7 @@ def export_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     if fmt == "csv":
         options = _csv_options(sep, encoding, null_value, False)
         del options["multiLine"]
+        options["emptyValue"] = "" if null_value else '""'
         writer = writer.options(header=header, **options)
     writer.save(path)
     return path
