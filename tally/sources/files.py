@@ -43,7 +43,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     Spark may split.  ``encoding`` is the files' character set (``CP949``,
     ``ISO-8859-1``, ...), ``null_value`` the text that stands for NULL.
     """
-    reader = spark.read.options(header=header, mode="PERMISSIVE", **_csv_options(sep, encoding, null_value, multi_line))
+    # a field that is empty and not quoted is NULL; a mark that no file holds keeps "" apart from it
+    options = _csv_options(sep, encoding, null_value or "\x00", multi_line)
+    reader = spark.read.options(header=header, mode="PERMISSIVE", **options)
     if multi_line:
         reader = reader.option("lineSep", "\n")
     if schema is not None:
@@ -99,7 +101,7 @@ def export_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     if fmt == "csv":
         options = _csv_options(sep, encoding, null_value, False)
         del options["multiLine"]
-        options["emptyValue"] = "" if null_value else '""'
+        options["emptyValue"] = '""'
         writer = writer.options(header=header, **options)
     writer.save(path)
     return path
