@@ -21,6 +21,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_CHARSETS = {"iso-8859-1", "us-ascii", "utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32"}
+
+
+def _allow_charset(spark: SparkSession, encoding: str) -> None:
+    """Spark takes character sets beyond its short list (CP949, Shift_JIS, ...)
+    only where the session says so; the setting stays on for the session."""
+    if encoding.lower() not in _CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def _csv_options(sep: str, encoding: str, null_value: str, multi_line: bool) -> dict:
     """Quotes inside a field are doubled, white space is kept, and an empty
     string (quoted) stays apart from NULL: what other programs write and read."""
@@ -43,6 +53,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     Spark may split.  ``encoding`` is the files' character set (``CP949``,
     ``ISO-8859-1``, ...), ``null_value`` the text that stands for NULL.
     """
+    _allow_charset(spark, encoding)
     # a field that is empty and not quoted is NULL; a mark that no file holds keeps "" apart from it
     options = _csv_options(sep, encoding, null_value or "\x00", multi_line)
     reader = spark.read.options(header=header, mode="PERMISSIVE", **options)
@@ -99,6 +110,7 @@ def export_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     out = df.coalesce(1) if single_file else df
     writer = out.write.mode(mode).format(fmt)
     if fmt == "csv":
+        _allow_charset(df.sparkSession, encoding)
         options = _csv_options(sep, encoding, null_value, False)
         del options["multiLine"]
         options["emptyValue"] = '""'
