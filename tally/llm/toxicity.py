@@ -157,16 +157,20 @@ class Matcher:
         self.lexicon, self.automaton = lexicon, lexicon.automaton()
         self.seen: set[str] = set()
         self.weight: dict[str, float] = {}
+        self.clean: dict[str, bool] = {}  # token -> whether it holds no match
 
-    def matches(self, words: list[str]) -> list[tuple[str, str, str, float]]:
-        """``(previous word, word, next word, weight)`` of every matching word."""
-        distinct = set(words)
+    def _read(self, words: set[str]) -> None:
         if len(self.seen) > CACHED:
             self.seen, self.weight = set(), {}
-        new = distinct - self.seen
+        new = words - self.seen
         if new:
             self.weight.update(self.lexicon.hits(list(new), self.automaton))
             self.seen |= new
+
+    def matches(self, words: list[str]) -> list[tuple[str, str, str, float]]:
+        """``(previous word, word, next word, weight)`` of every matching word."""
+        distinct = set(words)
+        self._read(distinct)
         if distinct.isdisjoint(self.weight):
             return []
         last = len(words) - 1
@@ -185,6 +189,19 @@ class Matcher:
             top = max(top, w)
         return math.log1p(total), min(1.0, total / (len(words) + 10)), top
 
+    def features_of(self, text: str) -> tuple[float, float, float]:
+        """The features of a text; one whose tokens are known to hold no match needs no words."""
+        tokens = text.split()
+        if None in map(self.clean.get, tokens):
+            if len(self.clean) > CACHED:
+                self.clean.clear()
+            new = {t: _fold_token(t) for t in set(tokens).difference(self.clean)}
+            self._read(set(chain.from_iterable(new.values())))
+            self.clean.update((t, self.weight.keys().isdisjoint(words)) for t, words in new.items())
+        if all(map(self.clean.__getitem__, tokens)):
+            return 0.0, 0.0, 0.0
+        return self.features(fold(text))
+
     def phrases(self, words: list[str]) -> set[str]:
         """The two-word phrases around matches."""
         return {p for left, word, right, _ in self.matches(words) for p in (f"{left} {word}", f"{word} {right}")}
@@ -278,7 +295,7 @@ def add_features(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
         for b in batches:
-            rows = [matcher.features(fold(t)) for t in b.column(n).to_pylist()]
+            rows = [matcher.features_of(t) for t in b.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:n], *(pa.array([r[i] for r in rows], pa.float64()) for i in range(3))],
                 names=[*names, "__f0", "__f1", "__f2"])
