@@ -11,17 +11,37 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, line_dedup, simhash, token_store, toxicity, url_filter, winnow
+from . import (
+    bpe,
+    centroids,
+    chat,
+    decontaminate,
+    html_extract,
+    lang_id,
+    line_dedup,
+    merkle,
+    simhash,
+    token_store,
+    toxicity,
+    url_filter,
+    winnow,
+)
 from .common import table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 WINDOW = 10  # words of a benchmark window
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
 BPE_RANKS, BPE_JSON = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
+MERKLE_ARITY, TAMPERED_EVERY = 2, 7
+CENTROIDS, ROUNDS, DIMENSIONS, SCALE, CENTROID_SEED = 8, 10, 64, 1024.0, 3
+
+
+def _remainder(of: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
 
 
 def held_out() -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    return F.coalesce(_remainder(5) == 0, F.lit(False))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +109,38 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(bpe.decode(F.col("ids"), bpe.load_ranks(path)), 256).alias("decoded_sha256"))
 
 
+def op11_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs, F.coalesce(_remainder(3) != 1, F.lit(False)))
+    found = lang_id.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"),
+                        F.col("lang_best").alias("lang_pred"), F.col("lang_score").alias("score"),
+                        "lang_margin", (F.col("lang_pred") == F.col("lang_best")).alias("accepted"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    given = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    leaves = docs.select("lang", "doc_id", merkle.leaf(given).alias("h"),
+                         F.when(_remainder(TAMPERED_EVERY) == 0, merkle.leaf(changed)).alias("seen"))
+    found = merkle.manifest(leaves, "lang", ["doc_id"], MERKLE_ARITY)
+    folded = merkle.folded(F.coalesce("seen", "h"), F.col("path"))
+    return found.select("doc_id", F.col("h").alias("leaf"), "subroot", "root",
+                        merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")).select(
+                            "*", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, found = centroids.cluster(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS, DIMENSIONS, SCALE,
+                                      CENTROID_SEED)
+    return centroids.with_inertia(labels, found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_simhash, op4_html_extract, op5_url_filter,
-                            op6_line_dedup, op7_winnow, op8_chat, op9_token_store, op10_bpe)}
+                            op6_line_dedup, op7_winnow, op8_chat, op9_token_store, op10_bpe, op11_lang_id,
+                            op12_merkle, op13_centroids)}
 
 _UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), %s), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % _UPPER_LOWER
@@ -192,3 +241,100 @@ SELECT page_id, host, path, {_RULE} AS rule,
        coalesce({_KIND}, CASE WHEN alias.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM p LEFT JOIN alias ON p.node = alias.node
 """
+
+
+def _sql_leaf(n_chars: str) -> str:
+    def part(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+  lambda i: list_transform(range(0, 8), lambda b: ((ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) >> b) & 1)::BIGINT))),
+  lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT)"""
+
+
+def _sql_tree(name: str, rows: str, group: str) -> str:
+    """CTE ``name`` (group, lvl, i, n, h): all levels of the trees over ``rows`` (group, i, n, h)."""
+    a = MERKLE_ARITY
+    return f"""{name} AS (
+  SELECT {group}, 0 AS lvl, i, n, h FROM {rows}
+  UNION ALL
+  SELECT {group}, lvl + 1, i // {a}, max((n + {a - 1}) // {a}), sha256(string_agg(h, '' ORDER BY i))
+  FROM {name} WHERE n > 1 GROUP BY {group}, lvl, i // {a})"""
+
+
+def _sql_climb(name: str, rows: str, tree: str, group: str) -> str:
+    """CTE ``name``: the rows (no, lvl, i, proof, f) one level up at a time, siblings left and right."""
+    a = MERKLE_ARITY
+    return f"""{name} AS (
+  SELECT no, {group}, 0 AS lvl, i, proof, f FROM {rows}
+  UNION ALL
+  SELECT no, {group}, lvl + 1, i // {a}, proof || l || r, sha256(l || f || r) FROM (
+    SELECT c.no, c.{group}, c.lvl, c.i, c.proof, c.f,
+           coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < c.i), '') AS l,
+           coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > c.i), '') AS r
+    FROM {name} c JOIN {tree} t ON t.{group} IS NOT DISTINCT FROM c.{group} AND t.lvl = c.lvl AND t.i // {a} = c.i // {a}
+    WHERE t.n > 1 GROUP BY ALL))"""
+
+
+SQL["op12_merkle"] = f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, lang, {_sql_leaf("n_chars")} AS h,
+         CASE WHEN {_CRC32} % {TAMPERED_EVERY} = 0 THEN {_sql_leaf("(n_chars + 1)")} END AS seen FROM documents),
+rows_ AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, h) AS no,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+         count(*) OVER (PARTITION BY lang) AS n, '' AS proof, coalesce(seen, h) AS f FROM leaves),
+{_sql_tree("tree", "rows_", "lang")},
+groups_ AS MATERIALIZED (
+  SELECT 0 AS every, lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+{_sql_tree("top", "groups_", "every")},
+{_sql_climb("climb", "rows_", "tree", "lang")},
+reached AS MATERIALIZED (
+  SELECT c.no, g.every, g.i, c.proof, c.f, g.h AS subroot FROM climb c
+  JOIN (SELECT no, max(lvl) AS lvl FROM climb GROUP BY no) m ON c.no = m.no AND c.lvl = m.lvl
+  JOIN groups_ g ON g.lang IS NOT DISTINCT FROM c.lang),
+{_sql_climb("upper", "reached", "top", "every")}
+SELECT w.doc_id, w.h AS leaf, r.subroot, t.h AS root, sha256(u.proof) AS proof_sha256, u.f AS folded_root, u.f = t.h AS verified
+FROM upper u JOIN (SELECT no, max(lvl) AS lvl FROM upper GROUP BY no) m ON u.no = m.no AND u.lvl = m.lvl
+JOIN rows_ w ON w.no = u.no JOIN reached r ON r.no = u.no JOIN top t ON t.n = 1
+"""
+
+
+def _sql_centroids() -> str:
+    square = "list_sum(list_transform(range(1, %d), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))" % (DIMENSIONS + 1)
+
+    def assigned(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (
+  SELECT no, any_value(vec_id) AS vec_id, any_value(vq) AS q, min(c) AS cluster, min(d) AS distance FROM (
+    SELECT v.no, v.vec_id, v.q AS vq, c.c, CAST({square} AS BIGINT) AS d FROM kept v, c{r} c
+    QUALIFY row_number() OVER (PARTITION BY v.no ORDER BY d, c.c) = 1) GROUP BY no)"""
+
+    def moved(r: int) -> str:
+        return f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM (
+      SELECT cluster, i, sum(q[i]) AS s, CAST(count(*) AS HUGEINT) AS n FROM a{r}, range(1, {DIMENSIONS + 1}) AS t(i)
+      GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = c.c)"""
+
+    steps = ",\n".join(f"{assigned(r)},\n{moved(r)}" for r in range(ROUNDS))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = {DIMENSIONS}
+    AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{CENTROID_SEED}:' || vec_id) NULLS LAST, q) - 1 AS c, q FROM kept
+  QUALIFY c < {CENTROIDS}),
+{steps},
+{assigned(ROUNDS)}
+SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance,
+       CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{ROUNDS} a JOIN c{ROUNDS} c ON c.c = a.cluster
+"""
+
+
+SQL["op13_centroids"] = _sql_centroids()
