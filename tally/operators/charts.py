@@ -60,11 +60,63 @@ def time_key(df: DataFrame, ts: str, freq: str | None) -> Column:
 
 
 # --------------------------------------------------------------------- V1
-def line_table(df: DataFrame, x: str, y: str | None, agg: str = "avg",
-               series: str | None = None, freq: str | None = None) -> DataFrame:
-    """y aggregated per x (and per series), ordered by series, x."""
+#: Rows of a line that is drawn: more than the pixel columns of a screen.
+MAX_POINTS = 2000
+
+
+def axis_position(df: DataFrame, x: str) -> Column:
+    """Where a value lies on a drawn axis, as a double: numbers as they are, dates in days, times in microseconds."""
+    dtype, c = df.schema[x].dataType, as_col(x)
+    if isinstance(dtype, T.NumericType):
+        return nan_to_null(x)
+    if isinstance(dtype, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    raise ValueError(f"a line needs a number or a time on its axis, {x} is {dtype.simpleString()}")
+
+
+def thin_lines(table: DataFrame, max_points: int, x: str = "x", ys: Sequence[str] = ("y",),
+               series: Sequence[str] = ()) -> DataFrame:
+    """A chart table of at most ``max_points`` rows per series that draws the same picture.
+
+    A series of more rows is cut into equal pixel columns along ``x``; of each column the first
+    and the last row stay, and for every ``y`` the rows of its least and greatest value (ties: the
+    first on the axis), so the outline and all extremes are kept.  One grouped aggregate, whose
+    buffers hold those rows only.  Shorter series stay as they are; in longer ones rows without a
+    place on the axis (NULL, NaN) go.  ``x`` should be unique per series."""
+    if max_points < 2 + 2 * len(ys):
+        raise ValueError(f"max_points must be {2 + 2 * len(ys)} or more")
+    columns = max_points // (2 + 2 * len(ys))
+    key = [f"_s{i}" for i in range(len(series))]
+    t = table.select(F.struct("*").alias("_row"), *[as_col(c).alias(k) for c, k in zip(series, key)],
+                     axis_position(table, x).alias("_x"), *[nan_to_null(y).alias(f"_y{i}") for i, y in enumerate(ys)])
+    size = t.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    t = join_on_keys(t, size, key) if key else t.crossJoin(F.broadcast(size))
+    long = t.where(F.col("_n") > max_points).where(F.col("_x").isNotNull())
+    pixel = equal_width_bin(F.col("_x"), F.col("_lo"), F.col("_hi"), columns)
+    kept = [F.min_by("_row", "_x"), F.max_by("_row", "_x")]
+    for i in range(len(ys)):
+        y = F.col(f"_y{i}")
+        at = F.when(y.isNotNull(), F.struct(y.alias("y"), F.col("_x")))
+        back = F.when(y.isNotNull(), F.struct(y.alias("y"), (-F.col("_x")).alias("_x")))
+        kept += [F.min_by("_row", at), F.max_by("_row", back)]
+    few = long.groupBy(*key, pixel.alias("_pixel")).agg(F.array(*kept).alias("_kept"))
+    few = few.select(F.explode(F.array_distinct(F.filter("_kept", lambda r: r.isNotNull()))).alias("_row"))
+    return t.where(F.col("_n") <= max_points).select("_row").unionByName(few).select("_row.*")
+
+
+def line_table(df: DataFrame, x: str, y: str | None, agg: str = "avg", series: str | None = None,
+               freq: str | None = None, max_points: int | None = MAX_POINTS) -> DataFrame:
+    """y aggregated per x (and per series), ordered by series, x; a series of more than
+    ``max_points`` values of x is thinned (:func:`thin_lines`; None, or an axis that is
+    neither a number nor a time: all values)."""
     keys = ([as_col(series).alias("series")] if series else []) + [time_key(df, x, freq).alias("x")]
     out = df.groupBy(*keys).agg(agg_expr(agg, y).alias("y"))
+    if max_points and isinstance(out.schema["x"].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        out = thin_lines(out, max_points, series=["series"] if series else [])
     return out.orderBy(*(["series"] if series else []), "x")
 
 
@@ -218,9 +270,14 @@ def compare_diff(left: DataFrame, right: DataFrame, on: Sequence[str] | str = "x
 
 # --------------------------------------------------------------------- V7
 def overlay_tables(a: DataFrame, b: DataFrame, on: Sequence[str] | str = "x", value: str = "y",
-                   names: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """Two series on one shared x axis (full outer join, NULL-safe)."""
-    return compare_diff(a, b, on=on, value=value, names=names).drop("delta", "ratio")
+                   names: tuple[str, str] = ("a", "b"), max_points: int | None = None) -> DataFrame:
+    """Two series on one shared x axis (full outer join, NULL-safe), at most ``max_points`` rows
+    when given (:func:`thin_lines` over both values; the axis is the last column of ``on``)."""
+    out = compare_diff(a, b, on=on, value=value, names=names).drop("delta", "ratio")
+    if not max_points:
+        return out
+    on = [on] if isinstance(on, str) else list(on)
+    return thin_lines(out, max_points, on[-1], [f"{value}_{n}" for n in names], on[:-1])
 
 
 # --------------------------------------------------------------------- V8

@@ -20,6 +20,7 @@ from tally.functions.stats import (
     quantiles,
     running_sums,
 )
+from tally.operators.charts import thin_lines
 
 QUARTILES = (0.25, 0.5, 0.75)
 DIST_PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -147,17 +148,20 @@ def distribution(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
         "max")
 
 
-def ecdf(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
+def ecdf(df: DataFrame, col: str, buckets: int | None = None, max_points: int | None = None) -> DataFrame:
     """Empirical CDF: one row per distinct value with its count, cumulative
     count and F(x) = share of values <= x.  The running count is computed by
-    range buckets (no single-partition window)."""
+    range buckets (no single-partition window).  For drawing, ``max_points`` keeps
+    the first and last value of each pixel column (the curve only rises, so
+    those are its extremes too)."""
     vals = df.select(nan_to_null(col).alias("value")).where(F.col("value").isNotNull())
     counts = vals.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count").alias("_tot"))
     cum = running_sums(counts, "value", ["count"], buckets=buckets, unique_order=True)
-    return (cum.crossJoin(F.broadcast(total))
-            .select("value", "count", F.col("cum_count").cast("long").alias("cum_count"),
-                    (F.col("cum_count") / F.col("_tot")).alias("ecdf")))
+    out = (cum.crossJoin(F.broadcast(total))
+           .select("value", "count", F.col("cum_count").cast("long").alias("cum_count"),
+                   (F.col("cum_count") / F.col("_tot")).alias("ecdf")))
+    return thin_lines(out, max_points, "value", ["ecdf"]) if max_points else out
 
 
 # --------------------------------------------------------------------- D6

@@ -10,20 +10,22 @@ Steps and phases come from the calendar, not from row numbers: a missing step
 leaves a hole in a frame, it does not shift what follows.  A NULL series key is
 a series of its own.
 
-Recursions without a closed form in SQL windows (exponential smoothing,
-Holt-Winters, AR fits) run per series with ``applyInPandas``: Spark shuffles
-one series to one task, the recursion is a small numpy loop over the grid.
+Recursions (exponential smoothing, Holt-Winters, AR) are affine in their state,
+so they run as scans over ranges of a series (``functions.scan``): a series of
+any length is spread over tasks, and a single series is no special case.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tally.functions.scan import Scan
 from tally.functions.stats import as_col, join_on_keys, nan_to_null
 from tally.operators.charts import agg_expr, slot_expr, time_key
 from tally.session import ship_package
@@ -88,25 +90,27 @@ def fill_gaps(grid: DataFrame, ts: str, freq: str, how: str = "null", y: str = "
 
 
 # --------------------------------------------------------------------- T4
-def with_index(grid: DataFrame, ts: str, by: Sequence[str] = ()) -> DataFrame:
-    """0-based step number ``idx`` within each series, from the calendar: the
-    distance from the series' first step in units of its smallest step, which
-    is counted in months where all its steps begin a month, in seconds
-    otherwise.  Missing steps leave their numbers out."""
-    t = F.col(ts).cast("timestamp_ntz")
+def step_number(ts: str, freq: str) -> Column:
+    """The number of the calendar step of ``freq`` that holds a time stamp."""
+    _step(freq)
+    t = as_col(ts).cast("timestamp_ntz")
+    months = F.year(t) * 12 + F.month(t) - 1
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    w, every = _w(by, ts), Window.partitionBy(*by)
-    g = grid.withColumns({"_m": (F.year(t) * 12 + F.month(t)).cast("long"), "_s": F.timestamp_diff("SECOND", epoch, t),
-                          "_first": (t == F.date_trunc("MONTH", F.col(ts).cast("date")).cast("timestamp_ntz"))})
-    g = g.withColumns({"_dm": F.col("_m") - F.lag("_m").over(w), "_ds": F.col("_s") - F.lag("_s").over(w)})
-    g = g.withColumns({"_monthly": F.min("_first").over(every) & (F.min("_dm").over(every) > 0),
-                       "_um": F.min("_dm").over(every), "_us": F.min("_ds").over(every),
-                       "_m0": F.min("_m").over(every), "_s0": F.min("_s").over(every)})
-    months = F.try_divide(F.col("_m") - F.col("_m0"), F.col("_um"))
-    seconds = F.try_divide(F.col("_s") - F.col("_s0"), F.col("_us"))
-    idx = F.floor(F.coalesce(F.when(F.coalesce("_monthly", F.lit(False)), months).otherwise(seconds), F.lit(0.0)))
-    return g.withColumn("idx", idx.cast("long")).drop(
-        "_m", "_s", "_first", "_dm", "_ds", "_monthly", "_um", "_us", "_m0", "_s0")
+    seconds = F.timestamp_diff("SECOND", epoch, F.date_trunc("HOUR", t))
+    days = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date"))
+    n = {"hour": F.floor(seconds / 3600), "day": days, "week": F.floor((days + 3) / 7), "month": months,
+         "quarter": F.floor(months / 3), "year": F.year(t)}[freq]  # weeks begin on Monday: day -3
+    return n.cast("long")
+
+
+def with_index(grid: DataFrame, ts: str, freq: str, by: Sequence[str] = ()) -> DataFrame:
+    """0-based step number ``idx`` within each series: how many steps of
+    ``freq`` the calendar has from the series' first step.  Missing steps leave
+    their numbers out, however sparse the series is."""
+    g = grid.withColumn("_at", step_number(ts, freq))
+    first = g.groupBy(*by).agg(F.min("_at").alias("_at0"))
+    j = join_on_keys(g, first, list(by)) if by else g.crossJoin(first)  # one row
+    return j.withColumn("idx", F.col("_at") - F.col("_at0")).drop("_at", "_at0")
 
 
 def _iw(by: Sequence[str]) -> Window:
@@ -119,10 +123,10 @@ def _at_step(y: Column, w: Window, k: int) -> Column:
     return F.max(y).over(w.rangeBetween(k, k))
 
 
-def linear_trend(grid: DataFrame, ts: str, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+def linear_trend(grid: DataFrame, ts: str, freq: str, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Least-squares line through the grid: slope per step, intercept at the
     first step, R^2."""
-    g = with_index(grid, ts, by)
+    g = with_index(grid, ts, freq, by)
     x, v = F.col("idx").cast("double"), nan_to_null(y)
     return g.groupBy(*by).agg(F.count(v).alias("n"), F.regr_slope(v, x).alias("slope"),
                               F.regr_intercept(v, x).alias("intercept"), F.regr_r2(v, x).alias("r2"))
@@ -142,20 +146,20 @@ def centered_ma(y: Column, w: Window, period: int) -> Column:
     return F.when(F.count(y).over(frame) == period, F.avg(y).over(frame))
 
 
-def decompose(grid: DataFrame, ts: str, period: int, model: str = "additive", y: str = "y",
+def decompose(grid: DataFrame, ts: str, freq: str, period: int, model: str = "additive", y: str = "y",
               by: Sequence[str] = ()) -> DataFrame:
     """Classical decomposition into trend (centred moving average), seasonal
     (mean detrended value per phase, centred to 0 or to mean 1) and residual.
     Phase = step number mod period, counted from each series' first step by
     the calendar.  Where a step is missing, the frames over it have no trend."""
-    return _decompose(grid, ts, period, model, y, by).select(*by, ts, "y", "trend", "seasonal", "resid")
+    return _decompose(grid, ts, freq, period, model, y, by).select(*by, ts, "y", "trend", "seasonal", "resid")
 
 
-def _decompose(grid: DataFrame, ts: str, period: int, model: str, y: str, by: Sequence[str]) -> DataFrame:
+def _decompose(grid: DataFrame, ts: str, freq: str, period: int, model: str, y: str, by: Sequence[str]) -> DataFrame:
     by = list(by)
     if model not in ("additive", "multiplicative"):
         raise ValueError(f"unknown model {model!r}")
-    g = with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, by)
+    g = with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, freq, by)
     g = g.withColumn("trend", centered_ma(F.col("y"), _iw(by), period)).withColumn("phase", F.col("idx") % period)
     # multiplicative parts use try_divide: a zero trend or index gives NULL, not an error
     detr = F.col("y") - F.col("trend") if model == "additive" else F.try_divide(F.col("y"), F.col("trend"))
@@ -172,121 +176,133 @@ def _decompose(grid: DataFrame, ts: str, period: int, model: str, y: str, by: Se
 
 
 # --------------------------------------------------------------------- T6
-def moving_average(grid: DataFrame, ts: str, window: int, min_periods: int | None = None,
+def moving_average(grid: DataFrame, ts: str, freq: str, window: int, min_periods: int | None = None,
                    y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Trailing moving average over ``window`` steps of the calendar; NULL
     until ``min_periods`` (default: window) values are in the frame."""
     v, frame = nan_to_null(y), _iw(by).rangeBetween(-(window - 1), 0)
     mp = window if min_periods is None else min_periods
-    return with_index(grid, ts, by).withColumn(
+    return with_index(grid, ts, freq, by).withColumn(
         "ma", F.when(F.count(v).over(frame) >= mp, F.avg(v).over(frame))).drop("idx")
 
 
 # ------------------------------------------------------------------ T7 T8
-def _series_key(grid: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if by:
-        return grid, list(by)
-    return grid.withColumn("_series", F.lit(0)), ["_series"]
-
-
-def _ewm_frame(alpha: float, ts: str):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="mergesort")
-        y = pdf["y"].to_numpy(dtype="float64")
-        s = np.empty_like(y)
-        a, b = float(alpha), 1.0 - float(alpha)
-        prev = np.nan
-        for i, v in enumerate(y):
-            if np.isnan(prev):
-                prev = v
-            elif not np.isnan(v):
-                prev = a * v + b * prev
-            s[i] = prev
-        pdf = pdf.copy()
-        pdf["ewm"] = s
-        return pdf
-    return fn
-
-
-def ewm(grid: DataFrame, ts: str, alpha: float, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
-    """Simple exponential smoothing s_1 = y_1, s_t = a y_t + (1 - a) s_(t-1)
-    (NULL steps carry the previous state)."""
-    ship_package(grid.sparkSession)
-    g, key = _series_key(grid.withColumnRenamed(y, "y") if y != "y" else grid, by)
-    schema = g.select(*key, ts, "y").schema.add("ewm", "double")
-    out = g.select(*key, ts, "y").groupBy(*key).applyInPandas(_ewm_frame(alpha, ts), schema)
-    return out.drop("_series") if not by else out
-
-
-def _smooth(y: np.ndarray, period: int, a, b, g) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Additive exponential smoothing of one series (NaN = missing step) for
-    arrays of parameters at once: one-step fits (steps x parameters), and the
-    final level, trend and seasonal indices.  ``period`` 1 has no season."""
-    k, n = len(a), len(y)
-    if period > 1:
-        # initial state at the end of the first season: its mean sits at its middle, so it is
-        # shifted by the initial trend; the indices come from the detrended first season
-        m0 = np.nanmean(y[:period])
-        trend0 = (np.nanmean(y[period:2 * period]) - m0) / period
-        mid = (period - 1) / 2.0
-        level, trend = np.full(k, m0 + trend0 * mid), np.full(k, trend0)
-        season = [np.full(k, v) for v in np.nan_to_num(y[:period] - (m0 + trend0 * (np.arange(period) - mid)))]
-        begin = period
+def _keyed(grid: DataFrame, ts: str, freq: str, y: str, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``_k0.., idx, ts, y`` and the names of the keys (the series may have columns of any name)."""
+    key = [f"_k{i}" for i in range(len(by))]
+    g = with_index(grid.select(*[as_col(b).alias(k) for b, k in zip(by, key)], as_col(ts).alias("ts"),
+                               nan_to_null(y).alias("y")), "ts", freq, key)
+    return g, key
+
+
+def _named(df: DataFrame, key: Sequence[str], by: Sequence[str], rest: Sequence[Column]) -> DataFrame:
+    return df.select(*[F.col(k).alias(b) for k, b in zip(key, by)], *rest)
+
+
+def _per_series(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
+    return join_on_keys(a, b, key, "left") if key else a.crossJoin(b)  # without keys: one row a side
+
+
+def _cells(g: DataFrame, key: Sequence[str]) -> DataFrame:
+    return g.select(*key, "idx", F.struct("ts", "y").alias("cell"))
+
+
+def ewm(grid: DataFrame, ts: str, freq: str, alpha: float, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """Simple exponential smoothing s_1 = y_1, s_t = a y_t + (1 - a) s_(t-1), over the
+    rows of the grid (NULL and missing steps carry the state; before the first
+    value there is none)."""
+    g, key = _keyed(grid, ts, freq, y, by)
+    known = F.when(F.col("y").isNotNull(), F.col("idx"))
+    start = g.groupBy(*key).agg(F.max("idx").alias("last"), F.min(known).alias("begin"), F.min_by("y", known).alias("y0"))
+    start = start.select(*key, F.lit(0).alias("variant"), (F.col("last") + 1).alias("n"),
+                         F.array(F.coalesce("y0", F.lit(0.0))).alias("state"), F.struct("begin").alias("p"))
+    a, b = float(alpha), 1.0 - float(alpha)
+
+    def step(s: Column, x: Column, p: Column, inputs: bool) -> Column:
+        v = x.cell.y if inputs else F.lit(0.0)
+        return F.when(x.cell.y.isNotNull() & (x.idx > p.begin), F.array(a * v + b * s[0])).otherwise(s)
+
+    def emit(_: Column, x: Column, s: Column, p: Column) -> Column:
+        return F.struct(x.cell.alias("cell"), F.when(x.idx >= p.begin, s[0]).alias("ewm"))
+
+    out = Scan(_cells(g, key), start, key, 1, step).steps(emit).where(F.col("out.cell").isNotNull())
+    return _named(out, key, by, [F.col("out.cell.ts").alias(ts), F.col("out.cell.y").alias("y"), F.col("out.ewm").alias("ewm")])
+
+
+_SEARCH = [i / 10 for i in range(1, 10)]
+
+
+def _smoothing_start(g: DataFrame, key: list[str], period: int) -> DataFrame:
+    """``key, n, begin, state, reason``: level, trend and the coming season's indices before step
+    ``begin``; a NULL ``begin`` for a series that is too short, and why."""
+    known = F.when(F.col("y").isNotNull(), F.col("idx"))
+    if period == 1:
+        first = g.groupBy(*key).agg(F.max("idx").alias("last"), F.min(known).alias("i"), F.min_by("y", known).alias("yi"))
+        later = F.when(F.col("idx") > F.col("i"), known)
+        second = _per_series(g, first, key).groupBy(*key).agg(F.min(later).alias("j"), F.min_by("y", later).alias("yj"))
+        s = _per_series(first, second, key)
+        state = F.array("yj", (F.col("yj") - F.col("yi")) / (F.col("j") - F.col("i")), F.lit(0.0))
+        begin, enough, why = F.col("j") + 1, F.col("j").isNotNull(), "fewer than two values"
     else:
-        known = np.flatnonzero(~np.isnan(y))
-        i, j = known[0], known[1]
-        level, trend = np.full(k, y[j]), np.full(k, (y[j] - y[i]) / (j - i))
-        season, begin = [np.zeros(k)], j + 1
-    fitted = np.full((n, k), np.nan)
-    for t in range(begin, n):
-        s = season[t % period]
-        fitted[t] = level + trend + s
-        if np.isnan(y[t]):  # a missing step moves along the trend
-            level = level + trend
-            continue
-        last = level
-        level = a * (y[t] - s) + (1 - a) * (level + trend)
-        trend = b * (level - last) + (1 - b) * trend
-        if period > 1:
-            season[t % period] = g * (y[t] - level) + (1 - g) * s
-    return fitted, level, trend, season
-
-
-_SEARCH = np.linspace(0.1, 0.9, 9)
-
-
-def _hw_frame(ts: str, period: int, alpha, beta, gamma, horizon: int, key: list[str], types: dict):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf["idx"].to_numpy(dtype="int64")
-        n = int(at.max()) + 1
-        y = np.full(n, np.nan)
-        y[at] = pdf["y"].to_numpy(dtype="float64")
-        known = ~np.isnan(y)
-        if period > 1:
-            enough = n >= 2 * period and known[:period].any() and known[period:2 * period].any()
-            reason = None if enough else f"fewer than two seasons of {period} steps"
-        else:
-            enough = known.sum() >= 2
-            reason = None if enough else "fewer than two values"
-        fitted, future = np.full(n, np.nan), np.full(horizon, np.nan)
-        if enough:
-            grids = [_SEARCH if p is None else np.array([float(p)]) for p in (alpha, beta, gamma)]
-            if period == 1:
-                grids[2] = np.zeros(1)
-            a, b, g = (m.ravel() for m in np.meshgrid(*grids, indexing="ij"))
-            fits, level, trend, season = _smooth(y, period, a, b, g)
-            errors = np.where(known[:, None] & ~np.isnan(fits), (fits - y[:, None]) ** 2, 0.0).sum(axis=0)
-            best = int(np.argmin(errors))
-            fitted = fits[:, best]
-            future = np.array([level[best] + (h + 1) * trend[best] + season[(n + h) % period][best] for h in range(horizon)])
-        out = pd.DataFrame({"step": np.arange(-(n - 1), horizon + 1, dtype="int64"),
-                            "fitted": np.concatenate([fitted, future]),
-                            "y": np.concatenate([y, np.full(horizon, np.nan)])})
-        out["reason"] = reason
-        for k in key:
-            out.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(out), dtype=pdf[k].dtype))
-        return out
-    return fn
+        # state at the end of the first season: its mean sits at its middle, so it is shifted by
+        # the initial trend; the indices come from the detrended first season
+        seasons = [F.when(F.col("idx").between(i * period, (i + 1) * period - 1), F.col("y")) for i in (0, 1)]
+        s = g.groupBy(*key).agg(
+            F.max("idx").alias("last"), F.avg(seasons[0]).alias("m0"), F.avg(seasons[1]).alias("m1"),
+            F.collect_list(F.when(F.col("idx") < period, F.struct("idx", "y"))).alias("season"))
+        s = s.withColumn("b0", (F.col("m1") - F.col("m0")) / period)
+        mid = (period - 1) / 2.0
+        line = F.col("m0") + F.col("b0") * F.lit(-mid)
+        index = F.transform(F.sequence(F.lit(0), F.lit(period - 1)), lambda k: F.coalesce(
+            F.get(F.filter("season", lambda c: c.idx == k), F.lit(0)).y - (line + F.col("b0") * k), F.lit(0.0)))
+        state = F.concat(F.array(F.col("m0") + F.col("b0") * mid, F.col("b0")), index)
+        begin = F.lit(period).cast("long")
+        enough = (F.col("last") + 1 >= 2 * period) & F.col("b0").isNotNull()
+        why = f"fewer than two seasons of {period} steps"
+    width = period + 2
+    return s.select(*key, (F.col("last") + 1).alias("n"), F.when(enough, begin).alias("begin"),
+                    F.when(enough, state).otherwise(F.array(*[F.lit(0.0)] * width)).alias("state"),
+                    F.when(~enough, F.lit(why)).alias("reason"))
+
+
+def _smoothing_step(period: int):
+    """One step of additive smoothing on (level, trend, indices of the coming steps in turn)."""
+    def step(s: Column, x: Column, p: Column, inputs: bool) -> Column:
+        v, known = (x.cell.y if inputs else F.lit(0.0)), x.cell.y.isNotNull()
+        ahead, index = s[0] + s[1], s[2]
+        level = p.a * (v - index) + (1 - p.a) * ahead
+        trend = p.b * (level - s[0]) + (1 - p.b) * s[1]
+        new = p.g * (v - level) + (1 - p.g) * index if period > 1 else F.lit(0.0)
+        # a missing step moves along the trend; its index stays
+        moved = F.when(known, F.array(level, trend)).otherwise(F.array(ahead, s[1]))
+        turned = F.concat(moved, F.slice(s, 4, period - 1), F.array(F.when(known, new).otherwise(index)))
+        return F.when(x.idx >= p.begin, turned).otherwise(s)
+    return step
+
+
+def _one_ahead(s: Column, x: Column, p: Column) -> Column:
+    return F.when(x.idx >= p.begin, s[0] + s[1] + s[2])
+
+
+def _smoothing(g: DataFrame, key: list[str], period: int, alpha, beta, gamma) -> tuple[Scan, DataFrame]:
+    """The scan with the parameters given or found, and ``key, n, reason``."""
+    start = _smoothing_start(g, key, period)
+    gamma = 0.0 if period == 1 else gamma
+    choices = list(product(*[_SEARCH if v is None else [float(v)] for v in (alpha, beta, gamma)]))
+    tried = F.array(*[F.struct(F.lit(i).alias("variant"), *[F.lit(v).alias(c) for v, c in zip(vs, "abg")])
+                      for i, vs in enumerate(choices)])
+    variants = start.select("*", F.explode(tried).alias("_v")).select(
+        *key, F.col("_v.variant").alias("variant"), "n", "state",
+        F.struct("begin", "_v.a", "_v.b", "_v.g").alias("p"))
+    if len(choices) > 1:
+        def error(s: Column, x: Column, _: Column, p: Column) -> Column:
+            e = x.cell.y - _one_ahead(s, x, p)
+            return e * e
+        errors = Scan(_cells(g, key), variants, key, period + 2, _smoothing_step(period)).steps(error)
+        errors = errors.groupBy(*key, "variant").agg(F.coalesce(F.sum("out"), F.lit(0.0)).alias("_e"))
+        best = errors.groupBy(*key).agg(F.min_by("variant", F.struct("_e", "variant")).alias("variant"))
+        variants = join_on_keys(variants, best.withColumn("_best", F.lit(True)), [*key, "variant"]).drop("_best")
+    return Scan(_cells(g, key), variants, key, period + 2, _smoothing_step(period)), start
 
 
 def holt_winters(grid: DataFrame, ts: str, period: int, alpha: float | None = 0.3, beta: float | None = 0.1,
@@ -298,49 +314,98 @@ def holt_winters(grid: DataFrame, ts: str, period: int, alpha: float | None = 0.
     (step > 0) with their time stamps.
 
     A parameter given as None is searched (0.1 to 0.9) for the least squared
-    error of the one-step fits, per series.  Missing steps and NULL values
+    error of the one-step fits, per series: every combination is a variant
+    of the series in one scan.  Missing steps and NULL values
     move along the trend.  A series that is too short has NULL fits and says
-    why in ``reason``."""
-    ship_package(grid.sparkSession)
-    g, key = _series_key(with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, by), by)
-    types = {f.name: f.dataType.simpleString() for f in g.schema.fields}
-    schema = ", ".join([f"`{k}` {types[k]}" for k in key] + ["step long", "fitted double", "y double", "reason string"])
-    fits = g.select(*key, "idx", "y").groupBy(*key).applyInPandas(
-        _hw_frame(ts, period, alpha, beta, gamma, horizon, key, types), schema)
-    last = g.groupBy(*key).agg(F.max(ts).alias("_last"))
-    j = join_on_keys(fits, last, key)
-    out = j.select(*key, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts),
-                   nan_to_null("y").alias("y"), nan_to_null("fitted").alias("fitted"), "reason")
-    return out.drop("_series") if not by else out
+    why in ``reason``.  A series may be of any length: its steps are scanned
+    in ranges (``functions.scan``)."""
+    g, key = _keyed(grid, ts, freq, y, by)
+    scan, start = _smoothing(g, key, period, alpha, beta, gamma)
+    fits = scan.steps(lambda s, x, _, p: F.struct(x.idx.alias("idx"), x.cell.y.alias("y"), _one_ahead(s, x, p).alias("fitted")))
+    last = g.groupBy(*key).agg(F.max("ts").alias("_last"))
+    ends = _per_series(_per_series(scan.final.select(*key, "p", "state"), start.select(*key, "n", "reason"), key), last, key)
+    fits = _per_series(fits.select(*key, "out.*"), ends.select(*key, "n", "reason", "_last"), key).select(
+        *key, (F.col("idx") - F.col("n") + 1).alias("step"), "_last", "y", "fitted", "reason")
+    if horizon > 0:
+        steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))).alias("step")
+        h = F.col("step")
+        index = F.get("state", (2 + (h - 1) % period).cast("int"))
+        ahead = F.when(F.col("p.begin").isNotNull(), F.col("state")[0] + h * F.col("state")[1] + index)
+        fits = fits.unionByName(ends.select("*", steps).select(
+            *key, "step", "_last", F.lit(None).cast("double").alias("y"), ahead.alias("fitted"), "reason"))
+    return _named(fits, key, by, [F.col("step"), shift_time(F.col("_last"), F.col("step"), freq).alias(ts), F.col("y"),
+                                  nan_to_null("fitted").alias("fitted"), F.col("reason")])
 
 
 # ------------------------------------------------------------------ T9 T10
-def _ar_frame(p: int, horizon: int, key: list[str]):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf["idx"].to_numpy(dtype="int64")
-        y = np.full(int(at.max()) + 1, np.nan)
-        y[at] = pdf["y"].to_numpy(dtype="float64")
-        n = len(y)
-        rows = np.array([y[t - p:t + 1][::-1] for t in range(p, n)]).reshape(-1, p + 1)
-        rows = rows[~np.isnan(rows).any(axis=1)]  # equations without a missing step
-        preds, reason = [np.nan] * horizon, None
-        if len(rows) <= p + 1:
-            reason = f"too few steps for {p} lags"
-        else:
-            coef, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(rows)), rows[:, 1:]]), rows[:, 0], rcond=None)
-            hist = list(y)
-            for t in range(p, n):  # a missing step takes its own prediction
-                if np.isnan(hist[t]):
-                    hist[t] = coef[0] + sum(coef[j + 1] * hist[t - j - 1] for j in range(p))
-            for h in range(horizon):
-                hist.append(coef[0] + sum(coef[j + 1] * hist[-(j + 1)] for j in range(p)))
-                preds[h] = hist[-1]
-        out = pd.DataFrame({"step": np.arange(1, horizon + 1, dtype="int64"), "yhat": np.array(preds, dtype="float64")})
-        out["reason"] = reason
-        for k in key:
-            out.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(out), dtype=pdf[k].dtype))
-        return out
-    return fn
+def lagged(g: DataFrame, key: Sequence[str], value: str, lags: int) -> DataFrame:
+    """``key, idx, v`` for every step whose value and ``lags`` values before it are known: ``v`` is
+    the value and those before it, the nearest first.  Every value is dealt to the steps it serves,
+    so no window walks a series."""
+    served = g.where(F.col(value).isNotNull()).select(*key, F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(lags)), lambda k: F.struct((F.col("idx") + k).alias("idx"), k.alias("k"),
+                                                              F.col(value).alias("v")))).alias("_s"))
+    v = F.array(*[F.max(F.when(F.col("_s.k") == k, F.col("_s.v"))) for k in range(lags + 1)])
+    rows = served.groupBy(*key, F.col("_s.idx").alias("idx")).agg(v.alias("v"))
+    return rows.where(~F.exists("v", lambda x: x.isNull()))
+
+
+def cross_moments(rows: DataFrame, key: Sequence[str], vector: Column, k: int) -> DataFrame:
+    """``key, m, gram``: number of rows and the sums of all products of (1, vector) as k + 1 rows, in one aggregate."""
+    one = rows.select(*key, F.concat(F.array(F.lit(1.0)), vector).alias("_v"))
+    sums = [F.sum(F.col("_v")[i] * F.col("_v")[j]).alias(f"_g{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+    gram = F.array(*[F.array(*[F.col(f"_g{min(i, j)}_{max(i, j)}") for j in range(k + 1)]) for i in range(k + 1)])
+    return one.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), *sums).select(*key, "m", gram.alias("gram"))
+
+
+def least_squares(gram: np.ndarray, target: int) -> np.ndarray:
+    """Coefficients of the other columns of a Gram matrix for column ``target`` (least norm if they
+    are dependent), from columns scaled to length one."""
+    rest = [i for i in range(len(gram)) if i != target]
+    a, b = gram[np.ix_(rest, rest)], gram[rest, target]
+    scale = np.sqrt(np.diag(a))
+    scale[scale == 0] = 1.0
+    return np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=1e-13)[0] / scale
+
+
+def _solved(gram: Column) -> Column:
+    """Coefficients for the last column of a Gram matrix, a small system per series."""
+    @F.pandas_udf("array<double>")
+    def solve(grams: pd.Series) -> pd.Series:
+        return pd.Series([None if g is None else least_squares(np.vstack(g), len(g) - 1).tolist() for g in grams])
+    return solve(gram)
+
+
+def _ar(g: DataFrame, key: list[str], p: int, horizon: int) -> DataFrame:
+    """``key, step, yhat, reason``: AR(p) by least squares from lagged cross moments about the mean."""
+    ship_package(g.sparkSession)
+    mean = g.groupBy(*key).agg(F.avg("y").alias("_mean"), F.max("idx").alias("_end"))
+    z = _per_series(g, mean, key).withColumn("z", F.col("y") - F.col("_mean"))
+    rows = lagged(z, key, "z", p)
+    order = F.concat(F.slice("v", 2, p), F.slice("v", 1, 1))  # lags first, the value last
+    fit = cross_moments(rows, key, order, p + 1)
+    fit = fit.select(*key, "m", F.when(F.col("m") > p + 1, F.col("gram")).alias("gram")).withColumn("coef", _solved(F.col("gram")))
+    start = _per_series(mean, fit.select(*key, "m", "coef"), key) if key else mean.join(fit.select("m", "coef"), how="left")
+    start = start.select(*key, F.lit(0).alias("variant"), (F.col("_end") + 1).alias("n"),
+                         F.array(*[F.lit(0.0)] * p).alias("state"), F.struct("coef", "_mean", "m").alias("p"))
+
+    def step(s: Column, x: Column, par: Column, inputs: bool) -> Column:
+        # a missing step takes its own prediction; before the first step there is the mean
+        guess = F.aggregate(F.zip_with(F.slice(par.coef, 2, p), s, lambda c, v: c * v),
+                            par.coef[0] if inputs else F.lit(0.0), lambda acc, v: acc + v)
+        seen = x.cell.z if inputs else F.lit(0.0)
+        return F.concat(F.array(F.when(x.cell.z.isNotNull(), seen).otherwise(guess)), F.slice(s, 1, p - 1))
+
+    cells = z.select(*key, "idx", F.struct("z").alias("cell"))
+    last = Scan(cells, start, key, p, step).final
+    nothing = F.struct(F.lit(None).cast("double").alias("z"))
+    ahead = F.aggregate(
+        F.sequence(F.lit(1), F.lit(horizon)), F.struct(F.array().cast("array<double>").alias("out"), F.col("state").alias("s")),
+        lambda acc, h: (lambda nxt: F.struct(F.concat(acc.out, F.slice(nxt, 1, 1)).alias("out"), nxt.alias("s")))(
+            step(acc.s, F.struct(nothing.alias("cell")), F.col("p"), True)))
+    return last.select(*key, "p", F.posexplode(ahead.out).alias("_h", "_z")).select(
+        *key, (F.col("_h") + 1).cast("long").alias("step"), (F.col("_z") + F.col("p._mean")).alias("yhat"),
+        F.when(F.coalesce("p.m", F.lit(0)) <= p + 1, F.lit(f"too few steps for {p} lags")).alias("reason"))
 
 
 def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq: str = "month",
@@ -363,18 +428,13 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
         hwf = holt_winters(g, ts, period or 12, horizon=horizon, freq=freq, by=by, **hw)
         return hwf.where(F.col("step") > 0).select(*by, "step", ts, F.col("fitted").alias("yhat"), "reason")
     if method == "ar":
-        ship_package(grid.sparkSession)
-        gg, key = _series_key(with_index(g, ts, by), by)
-        types = {f.name: f.dataType.simpleString() for f in gg.schema.fields}
-        schema = ", ".join([f"`{k}` {types[k]}" for k in key] + ["step long", "yhat double", "reason string"])
-        pr = gg.select(*key, "idx", "y").groupBy(*key).applyInPandas(_ar_frame(p, horizon, key), schema)
-        last = gg.groupBy(*key).agg(F.max(ts).alias("_last"))
-        j = join_on_keys(pr, last, key)
-        out = j.select(*key, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts),
-                       nan_to_null("yhat").alias("yhat"), "reason")
-        return out.drop("_series") if not by else out
+        gk, key = _keyed(g, ts, freq, "y", by)
+        last = gk.groupBy(*key).agg(F.max("ts").alias("_last"))
+        out = _per_series(_ar(gk, key, p, horizon), last, key)
+        return _named(out, key, by, [F.col("step"), shift_time(F.col("_last"), F.col("step"), freq).alias(ts),
+                                     nan_to_null("yhat").alias("yhat"), F.col("reason")])
     if method in ("naive", "drift", "mean"):
-        s = with_index(g, ts, by).where(F.col("y").isNotNull()).groupBy(*by).agg(
+        s = with_index(g, ts, freq, by).where(F.col("y").isNotNull()).groupBy(*by).agg(
             F.max_by("y", ts).alias("_last_y"), F.min_by("y", ts).alias("_first_y"), F.max(ts).alias("_last"),
             (F.max("idx") - F.min("idx")).alias("_n"), F.avg("y").alias("_mean"))
         f = s.select(*by, "_last", "_last_y", "_first_y", "_n", "_mean", steps)
@@ -387,7 +447,7 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
     if not period:
         raise ValueError(f"{method} needs a period")
     if method == "seasonal_naive":
-        gi = with_index(g, ts, by)
+        gi = with_index(g, ts, freq, by)
         last = gi.groupBy(*by).agg(F.max(ts).alias("_last"), F.max("idx").alias("_n"))
         fut = last.select(*by, "_last", "_n", steps).withColumn(
             "idx", F.col("_n") - period + 1 + (F.col("step") - 1) % period)
@@ -395,7 +455,7 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
         return j.select(*by, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts), F.col("y").alias("yhat"))
     # line through the decomposition's trend component (centred moving
     # average), so the within-season ramp does not leak into the slope
-    dec = _decompose(g, ts, period, "additive", "y", by)
+    dec = _decompose(g, ts, freq, period, "additive", "y", by)
     x = F.col("idx").cast("double")
     base = dec.groupBy(*by).agg(F.regr_slope("trend", x).alias("slope"), F.regr_intercept("trend", x).alias("intercept"),
                                 F.max(ts).alias("_last"), F.max("idx").alias("_n"))
@@ -413,7 +473,7 @@ def backtest(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
     rest, and score the steps that were observed: n, mae, rmse, mape (over
     non-zero actuals).  A series with nothing to score has n = 0."""
     by = list(by)
-    g = with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, by)
+    g = with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, freq, by)
     g = g.withColumn("_rest", F.max("idx").over(Window.partitionBy(*by)) - F.col("idx"))
     train = g.where(F.col("_rest") >= horizon).select(*by, ts, "y")
     test = g.where(F.col("_rest") < horizon).select(*by, ts, F.col("y").alias("_actual"))
@@ -426,12 +486,12 @@ def backtest(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
 
 
 # -------------------------------------------------------------------- T11
-def lag_features(grid: DataFrame, ts: str, lags: Sequence[int] = (1,), y: str = "y",
+def lag_features(grid: DataFrame, ts: str, freq: str, lags: Sequence[int] = (1,), y: str = "y",
                  by: Sequence[str] = ()) -> DataFrame:
     """lag_k for each k (in steps of the calendar), first difference and
     percent change; NULL where the earlier step is missing."""
     v, w = nan_to_null(y), _iw(by)
-    out = with_index(grid, ts, by)
+    out = with_index(grid, ts, freq, by)
     for k in lags:
         out = out.withColumn(f"lag_{k}", _at_step(v, w, -k))
     prev = _at_step(v, w, -1)
@@ -440,12 +500,12 @@ def lag_features(grid: DataFrame, ts: str, lags: Sequence[int] = (1,), y: str =
 
 
 # -------------------------------------------------------------------- T12
-def acf(grid: DataFrame, ts: str, max_lag: int, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+def acf(grid: DataFrame, ts: str, freq: str, max_lag: int, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Sample autocorrelation r_k = sum (y_t - m)(y_(t+k) - m) / sum (y_t - m)^2
     for k = 1..max_lag (in steps of the calendar; pairs with a missing step
     add nothing), per series; one aggregate over the lead columns."""
     by = list(by)
-    g = with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, by)
+    g = with_index(grid.select(*by, ts, nan_to_null(y).alias("y")), ts, freq, by)
     mean = F.avg("y").over(Window.partitionBy(*by))
     g = g.select(*by, "idx", (F.col("y") - mean).alias("_d"))
     w = _iw(by)

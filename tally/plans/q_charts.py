@@ -45,6 +45,27 @@ def v1(spark, sf):
                         series="o_orderstatus", freq="month")
 
 
+def thinned_sql(source: str, position: str, x: str, ys: list[str], max_points: int, out: str) -> str:
+    """The rows of ``source`` that stay when a line of more than ``max_points`` rows is thinned."""
+    columns = max_points // (2 + 2 * len(ys))
+    pixel = equal_width_bin_sql("p", "lo", "hi", columns)
+    def first(order: str) -> str:
+        return f"row_number() OVER (PARTITION BY pixel ORDER BY {order}) = 1"
+    kept = [first("p"), first("p DESC")]
+    for y in ys:
+        kept += [f"({y} IS NOT NULL AND {first(f'{y} NULLS LAST, p')})", f"({y} IS NOT NULL AND {first(f'{y} DESC NULLS LAST, p')})"]
+    return (f"WITH t AS ({source}), a AS (SELECT *, CAST({position} AS DOUBLE) AS p FROM t), "
+            "b AS (SELECT *, count(*) OVER () AS n, min(p) OVER () AS lo, max(p) OVER () AS hi FROM a), "
+            f"c AS (SELECT *, {pixel} AS pixel FROM b) "
+            f"SELECT {out} FROM c QUALIFY n <= {max_points} OR (p IS NOT NULL AND ({' OR '.join(kept)}))")
+
+
+@register("v1_line_table_bounded", thinned_sql("SELECT ts AS x, avg(value) AS y FROM events GROUP BY 1", "epoch_us(x)", "x", ["y"],
+                                               400, "x, y"), ["y"])
+def v1_bounded(spark, sf):
+    return C.line_table(read_table(spark, sf, "events"), "ts", "value", "avg", max_points=400)
+
+
 # --------------------------------------------------------------------- V2
 _V2_SQL = """
 WITH per AS (SELECT CAST(l_suppkey AS VARCHAR) AS category, sum(CAST(l_extendedprice AS DOUBLE)) AS value
@@ -169,6 +190,19 @@ def v7(spark, sf):
     return C.overlay_tables(o, li, on="x", names=("orders", "lineitem"))
 
 
+_DAYS = ("SELECT coalesce(a.x, b.x) AS x, a.y AS y_orders, b.y AS y_lineitem FROM "
+         "(SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS x, sum(o_totalprice) AS y FROM orders GROUP BY 1) a FULL OUTER JOIN "
+         "(SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS x, sum(l_extendedprice) AS y FROM lineitem GROUP BY 1) b ON a.x = b.x")
+
+
+@register("v7_overlay_tables_bounded", thinned_sql(_DAYS, "epoch_us(x)", "x", ["y_orders", "y_lineitem"], 300, "x, y_orders, y_lineitem"),
+          ["y_orders", "y_lineitem"])
+def v7_bounded(spark, sf):
+    o = C.line_table(read_table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "sum", freq="day", max_points=None)
+    li = C.line_table(read_table(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice", "sum", freq="day", max_points=None)
+    return C.overlay_tables(o, li, on="x", names=("orders", "lineitem"), max_points=300)
+
+
 # --------------------------------------------------------------------- V8
 @register("v8_overlay_by_slot", "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS series, "
                                 "CAST(hour(ts) AS BIGINT) AS slot, avg(value) AS y FROM events GROUP BY 1, 2", ["y"])

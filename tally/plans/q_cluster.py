@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tally.operators import cluster as K
+from tally.operators import linkage as L
 from tally.plans.catalog import register
 from tally.plans.fixtures import CUSTOMER_RFM_SQL, customer_rfm
+from tally.session import written
 from tally.sources.files import read_table
 
 RFM = ["frequency", "monetary", "recency"]
@@ -33,6 +35,17 @@ def k3_merges(spark, sf):
     return K.merge_table(customer_rfm(spark, sf), RFM, key=["custkey"], micro=50, linkage="average")
 
 
+@register("k3_single_linkage_merges")
+def k3_single_merges(spark, sf):
+    return L.single_linkage(customer_rfm(spark, sf), RFM, "custkey")
+
+
+@register("k3_single_linkage")
+def k3_single(spark, sf):
+    rfm = customer_rfm(spark, sf)
+    return L.cut(written(L.single_linkage(rfm, RFM, "custkey"), "k3-merges"), rfm.select("custkey"), k=3)
+
+
 @register("k4_choose_k")
 def k4(spark, sf):
     return K.choose_k(customer_rfm(spark, sf), RFM, [2, 3, 4, 5, 6], key=["custkey"])

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tally.functions.stats import hash_bucket
 from tally.operators import cluster as K
 from tally.operators import evaluate as M
+from tally.operators import linkage as L
 from tally.operators import regress as R
 from tally.operators import timeseries as TS
 from tally.plans.catalog import register
 from tally.plans.fixtures import BLOBS_SQL, blobs, doc_labels
 from tally.plans.q_timeseries import _H, _M, _W, TS_COL, monthly_revenue
+from tally.session import written
 from tally.sources.files import read_table
 
 XY = ["x", "y"]
@@ -41,6 +43,14 @@ for _linkage in K.LINKAGES:
     register(f"k3_agglomerative_{_linkage}_planted", _GROUPS, _GROUP_COLS)(_k3(_linkage))
 
 
+@register("k3_single_linkage_planted", _GROUPS, _GROUP_COLS)
+def k3_single(spark, sf):
+    """Exact single linkage of all rows, cut where four groups are left."""
+    b = blobs(spark, sf)
+    groups = L.cut(written(L.single_linkage(b, XY, "id"), "k3-merges"), b.select("id"), k=4)
+    return K.cluster_profile(b.join(groups, "id"), XY).drop("cluster")
+
+
 @register("k4_choose_k_planted", f"SELECT count(DISTINCT g) AS k FROM {BLOBS_SQL} AS b")
 def k4(spark, sf):
     """The number of clusters with the best silhouette."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tally.functions.stats import masked_pearson_sql
 from tally.operators import profile as P
 from tally.plans.catalog import register
+from tally.plans.q_charts import thinned_sql
 from tally.plans.fixtures import EVENTS_NULLS_SQL, events_nulls
 from tally.sources.files import read_table
 
@@ -128,6 +129,11 @@ def d5_ecdf(spark, sf):
     return P.ecdf(read_table(spark, sf, "events"), "value")
 
 
+@register("d5_ecdf_bounded", thinned_sql(_D5E_SQL, "value", "value", ["ecdf"], 200, "value, count, cum_count, ecdf"), ["value", "ecdf"])
+def d5_ecdf_bounded(spark, sf):
+    return P.ecdf(read_table(spark, sf, "events"), "value", max_points=200)
+
+
 # --------------------------------------------------------------------- D6
 _D6_SQL = (
     "SELECT 'value' AS variable, m.n, m.m3 / pow(m.m2, 1.5) AS skewness, m.m4 / (m.m2 * m.m2) - 3.0 AS kurtosis, "

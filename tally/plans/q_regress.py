@@ -128,7 +128,7 @@ _R6S_SQL = (f"WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTA
 
 @register("r6_residual_summary", _R6S_SQL, ["mean", "std", "skewness", "durbin_watson"], digits=6)
 def r6_summary(spark, sf):
-    grid = TS.with_index(monthly_revenue(spark, sf), TS_COL)
+    grid = TS.with_index(monthly_revenue(spark, sf), TS_COL, "month")
     model, _ = R.fit_linear(grid, "y", ["idx"])
     pred = R.predict(model, grid, "y", ["idx"], keep=[TS_COL])
     s = R.residual_summary(pred, ts=TS_COL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tally.operators import arima as AR
 from tally.operators import timeseries as TS
 from tally.plans.catalog import register
 from tally.sources.files import read_table
@@ -80,7 +81,7 @@ _IDX = f"WITH m AS ({_M}), g AS (SELECT o_orderdate, y, CAST(row_number() {_W} -
 @register("t4_linear_trend", _IDX + "SELECT count(y) AS n, regr_slope(y, idx) AS slope, regr_intercept(y, idx) "
                                     "AS intercept, regr_r2(y, idx) AS r2 FROM g", ["slope", "intercept", "r2"])
 def t4(spark, sf):
-    return TS.linear_trend(monthly_revenue(spark, sf), TS_COL)
+    return TS.linear_trend(monthly_revenue(spark, sf), TS_COL, "month")
 
 
 # --------------------------------------------------------------------- T5
@@ -101,12 +102,12 @@ def _decompose_sql(model: str, src: str = _M, extra: str = "") -> str:
 
 @register("t5_decompose", _decompose_sql("additive"), ["y", "trend", "seasonal", "resid"])
 def t5(spark, sf):
-    return TS.decompose(monthly_revenue(spark, sf), TS_COL, 12, "additive")
+    return TS.decompose(monthly_revenue(spark, sf), TS_COL, "month", 12, "additive")
 
 
 @register("t5_decompose_mult", _decompose_sql("multiplicative"), ["y", "trend", "seasonal", "resid"])
 def t5_mult(spark, sf):
-    return TS.decompose(monthly_revenue(spark, sf), TS_COL, 12, "multiplicative")
+    return TS.decompose(monthly_revenue(spark, sf), TS_COL, "month", 12, "multiplicative")
 
 
 _MA3 = (", CASE WHEN count(y) OVER (ORDER BY o_orderdate ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 "
@@ -116,8 +117,8 @@ _MA3 = (", CASE WHEN count(y) OVER (ORDER BY o_orderdate ROWS BETWEEN 2 PRECEDIN
 def decompose_with_ma(spark, sf):
     """Flagship: monthly revenue -> decomposition (period 12) with a 3-month
     trailing average over the same grid."""
-    dec = TS.decompose(monthly_revenue(spark, sf), TS_COL, 12, "additive")
-    return TS.moving_average(dec, TS_COL, 3)
+    dec = TS.decompose(monthly_revenue(spark, sf), TS_COL, "month", 12, "additive")
+    return TS.moving_average(dec, TS_COL, "month", 3)
 
 
 @register("t5_decompose_with_ma", _decompose_sql("additive", extra=_MA3), ["y", "trend", "seasonal", "resid", "ma"])
@@ -135,7 +136,7 @@ _W7 = "OVER (ORDER BY f.o_orderdate ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
                                        "FROM f LEFT JOIN d ON f.o_orderdate = d.o_orderdate) AS z", ["y", "ma"])
 def t6(spark, sf):
     filled = TS.fill_gaps(daily_revenue(spark, sf), TS_COL, "day", "zero")
-    return TS.moving_average(filled, TS_COL, 7)
+    return TS.moving_average(filled, TS_COL, "day", 7)
 
 
 # --------------------------------------------------------------------- T7
@@ -147,11 +148,24 @@ _EWM_SQL = (f"WITH RECURSIVE m AS ({_M}), g AS (SELECT row_number() {_W} AS i, o
 
 @register("t7_ewm", _EWM_SQL, ["y", "ewm"])
 def t7(spark, sf):
-    return TS.ewm(monthly_revenue(spark, sf), TS_COL, 0.3)
+    return TS.ewm(monthly_revenue(spark, sf), TS_COL, "month", 0.3)
 
 
 # --------------------------------------------------------------------- T8
-@register("t8_holt_winters")
+_HW = (f"WITH RECURSIVE m AS ({_M}), g AS (SELECT o_orderdate, y, CAST(row_number() {_W} - 1 AS INTEGER) AS idx FROM m), "
+       "z AS (SELECT avg(CASE WHEN idx < 12 THEN y END) AS m0, (avg(CASE WHEN idx BETWEEN 12 AND 23 THEN y END) "
+       "- avg(CASE WHEN idx < 12 THEN y END)) / 12 AS b0, CAST(max(idx) AS INTEGER) AS last, max(o_orderdate) AS at FROM g), "
+       "r AS (SELECT 11 AS t, CAST(NULL AS DOUBLE) AS fitted, m0 + b0 * 5.5 AS l, b0 AS b, (SELECT list(y - (m0 + b0 * (idx - 5.5)) "
+       "ORDER BY idx) FROM g WHERE idx < 12) AS s FROM z UNION ALL "
+       "SELECT idx, f, l2, 0.1 * (l2 - l) + (1.0 - 0.1) * b, s[2:] || [0.2 * (y - l2) + (1.0 - 0.2) * s[1]] FROM ("
+       "SELECT g.idx, g.y, r.l, r.b, r.s, r.l + r.b + r.s[1] AS f, 0.3 * (g.y - r.s[1]) + (1.0 - 0.3) * (r.l + r.b) AS l2 "
+       "FROM g JOIN r ON g.idx = r.t + 1)), "
+       "o AS (SELECT CAST(g.idx - z.last AS BIGINT) AS step, g.y, r.fitted FROM g CROSS JOIN z LEFT JOIN r ON r.t = g.idx UNION ALL "
+       "SELECT h, CAST(NULL AS DOUBLE), l + h * b + s[CAST((h - 1) % 12 + 1 AS INTEGER)] FROM r JOIN z ON r.t = z.last, range(1, 13) AS x(h)) ")
+
+
+@register("t8_holt_winters", _HW + "SELECT step, at + to_months(CAST(step AS INTEGER)) AS o_orderdate, y, fitted, "
+                                   "CAST(NULL AS VARCHAR) AS reason FROM o, z", ["y", "fitted"], digits=7)
 def t8(spark, sf):
     return TS.holt_winters(monthly_revenue(spark, sf), TS_COL, 12, 0.3, 0.1, 0.2, horizon=12, freq="month")
 
@@ -207,7 +221,8 @@ def t9_ar(spark, sf):
     return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "ar", "month", p=2)
 
 
-@register("t9_forecast_holt_winters")
+@register("t9_forecast_holt_winters", _HW + "SELECT step, at + to_months(CAST(step AS INTEGER)) AS o_orderdate, fitted AS yhat, "
+                                            "CAST(NULL AS VARCHAR) AS reason FROM o, z WHERE step > 0", ["yhat"], digits=7)
 def t9_hw(spark, sf):
     return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "holt_winters", "month", period=12)
 
@@ -234,7 +249,7 @@ def t10(spark, sf):
                               f"CASE WHEN lag(y, 1) {_W} <> 0 THEN (y - lag(y, 1) {_W}) / lag(y, 1) {_W} END "
                               "AS pct_change_1 FROM m", ["y", "lag_1", "lag_12", "diff_1", "pct_change_1"])
 def t11(spark, sf):
-    return TS.lag_features(monthly_revenue(spark, sf), TS_COL, [1, 12])
+    return TS.lag_features(monthly_revenue(spark, sf), TS_COL, "month", [1, 12])
 
 
 # -------------------------------------------------------------------- T12
@@ -246,7 +261,7 @@ _ACF = (f"WITH m AS ({_M}), d AS (SELECT row_number() {_W} AS i, y - avg(y) OVER
 
 @register("t12_acf", _ACF, ["acf"])
 def t12(spark, sf):
-    return TS.acf(monthly_revenue(spark, sf), TS_COL, 24)
+    return TS.acf(monthly_revenue(spark, sf), TS_COL, "month", 24)
 
 
 # ------------------------------------------------- many series: T3 to T12 by key
@@ -280,7 +295,7 @@ def t3_by(spark, sf):
           "regr_intercept(y, CAST(idx AS DOUBLE)) AS intercept, regr_r2(y, CAST(idx AS DOUBLE)) AS r2 FROM g GROUP BY 1",
           ["slope", "intercept", "r2"], digits=7)
 def t4_by(spark, sf):
-    return TS.linear_trend(gapped_daily(spark, sf), TS_COL, by=["status"])
+    return TS.linear_trend(gapped_daily(spark, sf), TS_COL, "day", by=["status"])
 
 
 _G7 = "OVER (PARTITION BY status ORDER BY o_orderdate ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
@@ -293,7 +308,7 @@ _DEC7 = (_G + f", t AS (SELECT *, CASE WHEN count(y) {_G7} = 7 THEN avg(y) {_G7}
           "LEFT JOIN seas ON t.status IS NOT DISTINCT FROM seas.status AND t.phase = seas.phase WHERE present",
           ["y", "trend", "seasonal", "resid"], digits=6)
 def t5_by(spark, sf):
-    return TS.decompose(gapped_daily(spark, sf), TS_COL, 7, by=["status"])
+    return TS.decompose(gapped_daily(spark, sf), TS_COL, "day", 7, by=["status"])
 
 
 _G5 = "OVER (PARTITION BY status ORDER BY o_orderdate ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
@@ -302,7 +317,7 @@ _G5 = "OVER (PARTITION BY status ORDER BY o_orderdate ROWS BETWEEN 4 PRECEDING A
 @register("t6_moving_average_by", _G + f"SELECT status, o_orderdate, y, ma FROM (SELECT *, CASE WHEN count(y) {_G5} >= 3 "
           f"THEN avg(y) {_G5} END AS ma FROM g) WHERE present", ["y", "ma"])
 def t6_by(spark, sf):
-    return TS.moving_average(gapped_daily(spark, sf), TS_COL, 5, min_periods=3, by=["status"])
+    return TS.moving_average(gapped_daily(spark, sf), TS_COL, "day", 5, min_periods=3, by=["status"])
 
 
 @register("t7_ewm_by", _G.replace("WITH d", "WITH RECURSIVE d") + ", p AS (SELECT *, row_number() OVER "
@@ -310,7 +325,7 @@ def t6_by(spark, sf):
           "SELECT p.status, p.i, p.o_orderdate, p.y, 0.2 * p.y + (1.0 - 0.2) * r.ewm FROM p JOIN r "
           "ON p.i = r.i + 1 AND p.status IS NOT DISTINCT FROM r.status) SELECT status, o_orderdate, y, ewm FROM r", ["y", "ewm"])
 def t7_by(spark, sf):
-    return TS.ewm(gapped_daily(spark, sf), TS_COL, 0.2, by=["status"])
+    return TS.ewm(gapped_daily(spark, sf), TS_COL, "day", 0.2, by=["status"])
 
 
 @register("t8_holt_winters_by")
@@ -367,7 +382,7 @@ def t10_by(spark, sf):
           f"(y - lag_1) / lag_1 END AS pct_change_1 FROM (SELECT *, lag(y, 1) OVER {_GW} AS lag_1, lag(y, 7) OVER {_GW} AS lag_7 FROM g) "
           "WHERE present", ["y", "lag_1", "lag_7", "diff_1", "pct_change_1"])
 def t11_by(spark, sf):
-    return TS.lag_features(gapped_daily(spark, sf), TS_COL, [1, 7], by=["status"])
+    return TS.lag_features(gapped_daily(spark, sf), TS_COL, "day", [1, 7], by=["status"])
 
 
 @register("t12_acf_by", _G + ", m AS (SELECT status, idx, y - avg(y) OVER (PARTITION BY status) AS d FROM g), "
@@ -376,7 +391,83 @@ def t11_by(spark, sf):
           "LEFT JOIN m AS b ON b.idx = a.idx + k AND a.status IS NOT DISTINCT FROM b.status "
           "JOIN den ON den.status IS NOT DISTINCT FROM a.status GROUP BY a.status, k, den", ["acf"], digits=7)
 def t12_by(spark, sf):
-    return TS.acf(gapped_daily(spark, sf), TS_COL, 7, by=["status"])
+    return TS.acf(gapped_daily(spark, sf), TS_COL, "day", 7, by=["status"])
+
+
+# ------------------------------------------- sparse series: days between orders
+# Daily order value per customer: thousands of series of about ten values each, weeks or
+# months apart, so nothing but the calendar tells how many steps lie between two rows.
+def sparse_daily(spark, sf):
+    return TS.resample(read_table(spark, sf, "orders"), TS_COL, "o_totalprice", "day", "sum", by=["o_custkey"])
+
+
+_S = ("WITH g AS (SELECT o_custkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS o_orderdate, sum(o_totalprice) AS y "
+      "FROM orders GROUP BY 1, 2), "
+      "i AS (SELECT *, date_diff('day', min(o_orderdate) OVER (PARTITION BY o_custkey), o_orderdate) AS idx FROM g) ")
+
+
+@register("t4_linear_trend_sparse", _S + "SELECT o_custkey, count(y) AS n, regr_slope(y, CAST(idx AS DOUBLE)) AS slope, "
+          "regr_intercept(y, CAST(idx AS DOUBLE)) AS intercept, CASE WHEN count(*) > 1 THEN regr_r2(y, CAST(idx AS DOUBLE)) END AS r2 "
+          "FROM i GROUP BY 1", ["slope", "intercept", "r2"], digits=6)
+def t4_sparse(spark, sf):
+    return TS.linear_trend(sparse_daily(spark, sf), TS_COL, "day", by=["o_custkey"])
+
+
+_S90 = "OVER (PARTITION BY o_custkey ORDER BY idx RANGE BETWEEN 89 PRECEDING AND CURRENT ROW)"
+
+
+@register("t6_moving_average_sparse", _S + f"SELECT o_custkey, o_orderdate, y, CASE WHEN count(y) {_S90} >= 2 THEN avg(y) {_S90} END AS ma FROM i",
+          ["y", "ma"])
+def t6_sparse(spark, sf):
+    return TS.moving_average(sparse_daily(spark, sf), TS_COL, "day", 90, min_periods=2, by=["o_custkey"])
+
+
+@register("t9_forecast_drift_sparse", _S + ", s AS (SELECT o_custkey, max(o_orderdate) AS last, arg_max(y, idx) AS ly, arg_min(y, idx) AS fy, "
+          "max(idx) AS n FROM i GROUP BY 1) SELECT o_custkey, h AS step, last + to_days(CAST(h AS INTEGER)) AS o_orderdate, "
+          "ly + h * (ly - fy) / nullif(n, 0) AS yhat FROM s, range(1, 3) AS r(h)", ["yhat"])
+def t9_drift_sparse(spark, sf):
+    return TS.forecast(sparse_daily(spark, sf), TS_COL, 2, "drift", "day", by=["o_custkey"])
+
+
+@register("t10_backtest_sparse", _S + ", e AS (SELECT *, max(idx) OVER (PARTITION BY o_custkey) - idx AS rest FROM i), "
+          "l AS (SELECT o_custkey, arg_max(y, idx) AS yhat, max(idx) AS last FROM e WHERE rest >= 365 GROUP BY 1), "
+          "j AS (SELECT e.o_custkey, e.y AS a, CASE WHEN e.idx - l.last <= 365 THEN l.yhat END AS p FROM e "
+          "LEFT JOIN l USING (o_custkey) WHERE rest < 365) "
+          "SELECT o_custkey, count(a - p) AS n, avg(abs(a - p)) AS mae, sqrt(avg((a - p) * (a - p))) AS rmse, "
+          "avg(CASE WHEN a <> 0 THEN abs((a - p) / a) END) AS mape FROM j GROUP BY 1", ["mae", "rmse", "mape"], digits=7)
+def t10_sparse(spark, sf):
+    return TS.backtest(sparse_daily(spark, sf), TS_COL, 365, "naive", "day", by=["o_custkey"])
+
+
+@register("t11_lag_features_sparse", _S + "SELECT a.o_custkey, a.o_orderdate, a.y, b.y AS lag_1, c.y AS lag_7, a.y - b.y AS diff_1, "
+          "CASE WHEN b.y <> 0 THEN (a.y - b.y) / b.y END AS pct_change_1 FROM i AS a "
+          "LEFT JOIN i AS b ON b.o_custkey = a.o_custkey AND b.idx = a.idx - 1 "
+          "LEFT JOIN i AS c ON c.o_custkey = a.o_custkey AND c.idx = a.idx - 7", ["y", "lag_1", "lag_7", "diff_1", "pct_change_1"])
+def t11_sparse(spark, sf):
+    return TS.lag_features(sparse_daily(spark, sf), TS_COL, "day", [1, 7], by=["o_custkey"])
+
+
+# ------------------------------------------------------------------- T9 ARIMA
+_ARI = (f"WITH RECURSIVE m AS ({_M}), g AS (SELECT o_orderdate, y, y - lag(y) {_W} AS w, row_number() {_W} AS i FROM m), "
+        "f AS (SELECT regr_slope(g.w, p.w) AS phi, regr_intercept(g.w, p.w) AS c FROM g JOIN g AS p ON p.i = g.i - 1 AND p.w IS NOT NULL), "
+        "r AS (SELECT CAST(0 AS BIGINT) AS step, max(o_orderdate) AS last, arg_max(y, i) AS yhat, arg_max(w, i) AS w FROM g UNION ALL "
+        "SELECT step + 1, last, yhat + c + phi * w, c + phi * w FROM r, f WHERE step < 12) ")
+
+
+@register("t9_forecast_arima_110", _ARI + "SELECT step, last + to_months(CAST(step AS INTEGER)) AS o_orderdate, yhat, "
+          "CAST(NULL AS VARCHAR) AS reason FROM r WHERE step > 0", ["yhat"], digits=7)
+def t9_arima_110(spark, sf):
+    return AR.forecast_arima(monthly_revenue(spark, sf), TS_COL, "month", 12, (1, 1, 0))
+
+
+@register("t9_arima_by")
+def t9_arima_by(spark, sf):
+    return AR.arima(gapped_daily(spark, sf), TS_COL, "day", (1, 0, 1), by=["status"])
+
+
+@register("t9_forecast_arima_chosen")
+def t9_arima_chosen(spark, sf):
+    return AR.choose_arima(monthly_revenue(spark, sf), TS_COL, "month", 12, [(0, 1, 0), (1, 1, 0), (0, 1, 1), (1, 1, 1)])
 
 
 # ------------------------------------------------------------- T1 streaming

@@ -13,7 +13,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
@@ -60,6 +60,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tally-scratch/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once into the shared folder and read back: what follows starts from
+    files, so loops keep a short lineage and survive lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_path(path: str) -> str:
     """A path for Python-side file I/O (zipfile, os): Spark reports folders as
     ``file:`` URIs; strip the scheme.  Other schemes (HDFS, object stores)

@@ -184,22 +184,22 @@ def test_time_series_ops_do_not_raise(grids, name):
     from tally.operators import timeseries as TS
     g = grids[name]
     TS.fill_gaps(g, "ts", "month", "ffill").collect()
-    TS.linear_trend(g, "ts").collect()
-    TS.decompose(g, "ts", 12).collect()
-    TS.decompose(g, "ts", 12, "multiplicative").collect()
-    TS.moving_average(g, "ts", 3).collect()
-    TS.ewm(g, "ts", 0.5).collect()
+    TS.linear_trend(g, "ts", "month").collect()
+    TS.decompose(g, "ts", "month", 12).collect()
+    TS.decompose(g, "ts", "month", 12, "multiplicative").collect()
+    TS.moving_average(g, "ts", "month", 3).collect()
+    TS.ewm(g, "ts", "month", 0.5).collect()
     TS.holt_winters(g, "ts", 12, horizon=3).collect()
     for m in ("naive", "drift", "mean", "seasonal_naive", "trend_season", "ar"):
         TS.forecast(g, "ts", 3, m, period=12).collect()
     TS.backtest(g, "ts", 2, "naive").collect()
-    TS.lag_features(g, "ts", [1, 2]).collect()
-    TS.acf(g, "ts", 3).collect()
+    TS.lag_features(g, "ts", "month", [1, 2]).collect()
+    TS.acf(g, "ts", "month", 3).collect()
 
 
 def test_constant_series_acf_is_null(grids):
     from tally.operators import timeseries as TS
-    assert all(r["acf"] is None for r in TS.acf(grids["constant"], "ts", 3).collect())
+    assert all(r["acf"] is None for r in TS.acf(grids["constant"], "ts", "month", 3).collect())
 
 
 @pytest.mark.parametrize("name", ["empty", "one", "constant", "all_null"])
@@ -219,5 +219,5 @@ def test_zero_denominators_give_null_not_errors(tables, grids):
     from tally.operators import timeseries as TS
     K.flag_outliers(tables["constant"], "x", "zscore").collect()
     zero = grids["constant"].withColumn("y", F.lit(0.0))
-    TS.decompose(zero, "ts", 12, "multiplicative").collect()
+    TS.decompose(zero, "ts", "month", 12, "multiplicative").collect()
     P.insights(tables["empty"], ["x", "y"], ["c"]).collect()

@@ -214,7 +214,7 @@ def _seasonal(spark):
 
 
 def test_decompose_exact_on_seasonal(spark):
-    d = _pdf(TS.decompose(_seasonal(spark), "ts", 12)).sort_values("ts").reset_index(drop=True)
+    d = _pdf(TS.decompose(_seasonal(spark), "ts", "month", 12)).sort_values("ts").reset_index(drop=True)
     full = d.dropna()
     t = full.index.to_numpy()
     assert np.allclose(full["trend"], 100 + 2 * t + 55)
@@ -226,7 +226,7 @@ def test_decompose_exact_on_seasonal(spark):
 
 def test_ewm_matches_pandas(spark):
     s = _seasonal(spark)
-    got = _pdf(TS.ewm(s, "ts", 0.3)).sort_values("ts")
+    got = _pdf(TS.ewm(s, "ts", "month", 0.3)).sort_values("ts")
     ref = got["y"].ewm(alpha=0.3, adjust=False).mean()
     assert np.allclose(got["ewm"], ref, rtol=1e-12)
 
@@ -234,7 +234,7 @@ def test_ewm_matches_pandas(spark):
 def test_ewm_per_series(spark):
     s = _seasonal(spark)
     two = s.withColumn("k", F.lit("a")).unionByName(s.withColumn("k", F.lit("b")).withColumn("y", F.col("y") * 2))
-    got = _pdf(TS.ewm(two, "ts", 0.5, by=["k"]))
+    got = _pdf(TS.ewm(two, "ts", "month", 0.5, by=["k"]))
     for k, g in got.groupby("k"):
         g = g.sort_values("ts")
         assert np.allclose(g["ewm"], g["y"].ewm(alpha=0.5, adjust=False).mean())
@@ -274,7 +274,7 @@ def test_fill_gaps_modes(spark):
 
 def test_acf_matches_numpy(spark):
     s = _seasonal(spark)
-    got = _pdf(TS.acf(s, "ts", 13)).sort_values("lag")
+    got = _pdf(TS.acf(s, "ts", "month", 13)).sort_values("lag")
     y = _pdf(s).sort_values("ts")["y"].to_numpy()
     d = y - y.mean()
     ref = [np.sum(d[:-k] * d[k:]) / np.sum(d * d) for k in range(1, 14)]

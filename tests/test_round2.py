@@ -68,9 +68,9 @@ def series(spark, gaps=(), key="k"):
 @pytest.mark.parametrize("key", ["k", None])
 def test_gaps_do_not_shift_what_follows(spark, key):
     g = series(spark, gaps={30}, key=key)
-    dec = TS.decompose(g, "ts", 7, by=["k"]).where("resid is not null").collect()
+    dec = TS.decompose(g, "ts", "day", 7, by=["k"]).where("resid is not null").collect()
     assert len(dec) > 50 and max(abs(r["resid"]) for r in dec) < 1e-9
-    t = TS.linear_trend(g, "ts", by=["k"]).first()
+    t = TS.linear_trend(g, "ts", "day", by=["k"]).first()
     assert t["n"] == 69 and abs(t["slope"] - 2) < 0.2
     for method in ("trend_season", "holt_winters", "ar", "seasonal_naive", "drift"):
         f = TS.forecast(g, "ts", 7, method, "day", period=7, p=7, by=["k"]).collect()
@@ -82,7 +82,7 @@ def test_gaps_do_not_shift_what_follows(spark, key):
     assert len(hw) == 72 and sum(r["y"] is None for r in hw) == 3
     filled = TS.fill_gaps(g, "ts", "day", "zero", by=["k"])
     assert filled.where("filled").count() == 1 and filled.count() == 70
-    lag = {r["ts"].timetuple().tm_yday: r["lag_1"] for r in TS.lag_features(g, "ts", [1], by=["k"]).collect()}
+    lag = {r["ts"].timetuple().tm_yday: r["lag_1"] for r in TS.lag_features(g, "ts", "day", [1], by=["k"]).collect()}
     assert lag[32] is None and lag[33] == 100.0 + 62 + 10 * (31 % 7)
 
 
