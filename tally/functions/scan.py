@@ -3,11 +3,11 @@
 A recurrence whose next state is affine in the state (exponential smoothing,
 Holt-Winters, filters, AR) composes: the steps of a range act on the state as one
 affine map.  The range's map is found by folding its steps over the zero state
-and, with the inputs set to zero, over the unit vectors; ranges of ranges compose
-the same way.  A series of ``n`` steps is cut into ranges of ``b`` steps and those
-into ranges of ``b`` ranges, ``b`` being the cube root of ``n``, so the largest
-group that any task holds is ``b`` long on each of the three levels.  The plan is
-the same for every length.  All of it is built-in functions.
+and, with the inputs set to zero, over the unit vectors.  A series of ``n`` steps
+is cut into ranges of ``sqrt(n)`` steps: the ranges' maps (one small row each) give
+the state at which every range begins, and the ranges are then walked side by
+side.  So no task holds more than ``sqrt(n)`` steps or maps of a series.  The plan
+is the same for every length, and all of it is built-in functions.
 """
 
 from __future__ import annotations
@@ -53,63 +53,51 @@ def _states(items: Column, state: Column, after: Callable) -> Column:
         lambda acc, x: F.struct(F.concat(acc.before, F.array(acc.last)).alias("before"), after(acc.last, x).alias("last")))
 
 
+def ranges(cells: DataFrame, lengths: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``key, _range, _steps``: the steps (``idx, cell``) in ranges of about the square root of the
+    series' length.  ``cells``: ``key, idx, cell`` (a struct); ``lengths``: ``key, n``."""
+    size = lengths.select(*key, F.greatest(F.ceil(F.sqrt(F.col("n").cast("double"))).cast("long"),
+                                           F.lit(SHORTEST).cast("long")).alias("_b"))
+    return _join(cells, size, key).groupBy(*key, F.expr("idx div _b").alias("_range")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", "cell"))).alias("_steps"))
+
+
 class Scan:
     """The recurrence ``step`` over every series.
 
-    cells: ``key, idx, cell`` (a struct), at most one row per series and step;
-    steps without a row have a NULL cell.
-    start: ``key, variant, n, state, p``: one row per series and variant of its
-    parameters; ``n`` steps from 0, the state before step 0 (``width`` doubles), and a struct of
-    whatever ``step`` needs.
+    steps: what :func:`ranges` gives; a step without a row leaves the state as it is.
+    start: ``key, variant, state, p``: one row per series and variant of its parameters; the
+    state before the first step (``width`` doubles), and a struct of whatever ``step`` needs.
     step(state, x, p, inputs): the next state; ``x`` has ``idx`` and ``cell``.  It must be affine in
     the state, and with ``inputs`` false it must be its linear part (inputs count as 0).
     """
 
-    def __init__(self, cells: DataFrame, start: DataFrame, key: Sequence[str], width: int, step: Callable) -> None:
+    def __init__(self, steps: DataFrame, start: DataFrame, key: Sequence[str], width: int, step: Callable,
+                 many: bool = False) -> None:
         self.key, self.step, own = list(key), step, [*key, "variant"]
-        start = start.withColumn("_b", F.greatest(F.ceil(F.cbrt(F.col("n").cast("double"))).cast("long"),
-                                                  F.lit(SHORTEST).cast("long")))
-        lengths = start.groupBy(*key).agg(F.max("n").alias("n"), F.max("_b").alias("_b"))
-        placed = _join(cells, lengths, key).groupBy(*key, F.expr("idx div _b").alias("_g1")).agg(
-            F.collect_list(F.struct("idx", "cell")).alias("_cells"))
-        ranges = lengths.select(*key, "n", "_b", F.explode(F.sequence(
-            F.lit(0).cast("long"), F.expr("(greatest(n, 1) - 1) div _b"))).alias("_g1"))
-        held = join_on_keys(ranges, placed, [*key, "_g1"], "left")
-        lo, hi = F.col("_g1") * F.col("_b"), F.least((F.col("_g1") + 1) * F.col("_b"), F.col("n")) - 1
-        cell = F.transform(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")), lambda i: F.struct(
-            i.alias("idx"), F.get(F.filter("_cells", lambda c: c.idx == i), F.lit(0)).cell.alias("cell")))
-        self.ranges = held.select(*key, "_g1", F.expr("_g1 div _b").alias("_g2"), cell.alias("_steps"))
-
-        units, zero = _units(width), _zero(width)
-        p, steps = F.col("p"), F.col("_steps")
-        maps = _join(self.ranges, start.select(*own, "p"), key).select(
-            *own, "_g1", "_g2", F.struct(
-                F.aggregate(steps, zero, lambda s, x: step(s, x, p, True)).alias("c"),
-                F.transform(units, lambda u: F.aggregate(steps, u, lambda s, x: step(s, x, p, False))).alias("m")).alias("map"))
-        inner = maps.groupBy(*own, "_g2").agg(F.array_sort(F.collect_list(F.struct("_g1", "map"))).alias("_maps"))
-        whole = inner.select(*own, "_g2", F.struct(
-            F.aggregate("_maps", zero, lambda s, x: _moved(x.map, s)).alias("c"),
-            F.transform(units, lambda u: F.aggregate("_maps", u, lambda s, x: _moved(x.map, s, zero))).alias("m")).alias("map"))
-        outer = whole.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("_g2", "map"))).alias("_maps"))
-        outer = join_on_keys(outer, start.select(*own, "n", "state", "p"), own).select(
-            *own, "n", "p", F.col("_maps._g2").alias("_at"),
-            _states(F.col("_maps"), F.col("state"), lambda s, x: _moved(x.map, s)).alias("_s"))
-        #: ``key, variant, n, p, state``: the state after the last step.
-        self.final = outer.select(*own, "n", "p", F.col("_s.last").alias("state"))
-        begun = outer.select(*own, "p", F.explode(_pairs(F.col("_at"), F.col("_s.before"))).alias("_z")).select(
-            *own, "p", F.col("_z.a").alias("_g2"), F.col("_z.b").alias("state"))
-        begun = join_on_keys(inner, begun, [*own, "_g2"]).select(
-            *own, "p", F.col("_maps._g1").alias("_at"),
-            _states(F.col("_maps"), F.col("state"), lambda s, x: _moved(x.map, s)).before.alias("_s"))
-        begun = begun.select(*own, "p", F.explode(_pairs(F.col("_at"), F.col("_s"))).alias("_z")).select(
-            *own, "p", F.col("_z.a").alias("_g1"), F.col("_z.b").alias("state"))
-        self._begun = join_on_keys(begun, self.ranges.select(*key, "_g1", "_steps"), [*key, "_g1"])
+        units, zero, p = _units(width), _zero(width), F.col("p")
+        tried = _join(steps, start.select(*own, "p"), key)
+        if many:  # many variants of few rows: spread the work, not the bytes
+            tried = tried.repartition(int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")), *own, "_range")
+        maps = tried.select(*own, "_range", F.struct(
+            F.aggregate("_steps", zero, lambda s, x: step(s, x, p, True)).alias("c"),
+            F.transform(units, lambda u: F.aggregate("_steps", u, lambda s, x: step(s, x, p, False))).alias("m")).alias("map"))
+        listed = maps.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("_range", "map"))).alias("_maps"))
+        states = _states(F.coalesce("_maps", F.array().cast(listed.schema["_maps"].dataType)), F.col("state"),
+                         lambda s, x: _moved(x.map, s))
+        whole = join_on_keys(start, listed, own, "left").select(*own, "p", F.col("_maps._range").alias("_at"), states.alias("_s"))
+        #: ``key, variant, p, state``: the state after the last step.
+        self.final = whole.select(*own, "p", F.col("_s.last").alias("state"))
+        begun = whole.select(*own, "p", F.explode(_pairs(F.col("_at"), F.col("_s.before"))).alias("_z")).select(
+            *own, "p", F.col("_z.a").alias("_range"), F.col("_z.b").alias("state"))
+        if many:
+            begun = begun.repartition(int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")), *own, "_range")
+        self._begun = join_on_keys(begun, steps, [*key, "_range"])
 
     def steps(self, emit: Callable) -> DataFrame:
         """``key, variant, out``: ``emit(before, x, after, p)`` of every step."""
         p = F.col("p")
-        seen = _states(F.col("_steps"), F.col("state"), lambda s, x: self.step(s, x, p, True))
-        rows = self._begun.withColumn("_s", seen)
+        rows = self._begun.withColumn("_s", _states(F.col("_steps"), F.col("state"), lambda s, x: self.step(s, x, p, True)))
         after = F.concat(F.slice("_s.before", F.lit(2), F.greatest(F.size("_s.before") - 1, F.lit(0))), F.array(F.col("_s.last")))
         out = F.zip_with(_pairs(F.col("_s.before"), after), F.col("_steps"), lambda s, x: emit(s.a, x, s.b, p))
         return rows.select(*self.key, "variant", F.explode(out).alias("out"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions.scan import Scan
+from tally.functions.scan import Scan, ranges
 from tally.functions.stats import join_on_keys, nan_to_null, run_parallel
 from tally.operators.timeseries import (
     _keyed,
@@ -42,6 +42,8 @@ from tally.session import ship_package, written
 #: Lengths at which a Gauss-Newton step is tried; 0 keeps what there is.
 LENGTHS = (1.0, 0.5, 0.2, 0.05, 0.0)
 ROUNDS = 8
+#: A step below this share of its parameter ends the rounds.
+TOLERANCE = 1e-7
 
 
 @dataclass(frozen=True)
@@ -96,18 +98,16 @@ def _residual_step(o: Order):
     return step
 
 
-def _residuals(rows: DataFrame, starts: DataFrame, key: list[str], o: Order) -> Scan:
+def _residuals(steps: DataFrame, starts: DataFrame, key: list[str], o: Order) -> Scan:
     width = 1 + len(o.names)
-    start = starts.select(*key, "variant", "n", F.array(*[F.lit(0.0)] * (width * max(o.q, 1))).alias("state"),
-                          F.struct("par").alias("p"))
-    cells = rows.select(*key, "idx", F.struct("v").alias("cell"))
-    return Scan(cells, start, key, width * max(o.q, 1), _residual_step(o))
+    start = starts.select(*key, "variant", F.array(*[F.lit(0.0)] * (width * max(o.q, 1))).alias("state"), F.struct("par").alias("p"))
+    return Scan(steps, start, key, width * max(o.q, 1), _residual_step(o))
 
 
-def _moments(rows: DataFrame, starts: DataFrame, key: list[str], o: Order) -> DataFrame:
+def _moments(steps: DataFrame, starts: DataFrame, key: list[str], o: Order) -> DataFrame:
     """``key, variant, m, gram``: cross moments of (derivatives, residual) over the equations."""
     k = len(o.names)
-    seen = _residuals(rows, starts, key, o).steps(
+    seen = _residuals(steps, starts, key, o).steps(
         lambda _, x, s, p: F.when(x.cell.v.isNotNull(), F.concat(F.slice(s, 2, k), F.slice(s, 1, 1))))
     return cross_moments(seen.where(F.col("out").isNotNull()), [*key, "variant"], F.col("out"), k + 1)
 
@@ -148,7 +148,7 @@ class Fit:
 
     order: Order
     params: DataFrame
-    rows: DataFrame
+    steps: DataFrame
     grid: DataFrame
     key: list[str]
 
@@ -165,41 +165,47 @@ def _fit(g: DataFrame, key: list[str], o: Order, rounds: int, skip: int | None)
     w = grid.select(*key, "idx", F.col(f"w{o.d}").alias("w")).where(F.col("w").isNotNull())
     length = grid.groupBy(*key).agg((F.max("idx") + 1).alias("n"))
     # a value serves the steps after it: the last ones have no value of their own and drop out
-    rows = written(lagged(w, key, "w", o.p).where(F.col("idx") >= skip), "arima-rows")
+    rows = lagged(w, key, "w", o.p).where(F.col("idx") >= skip)
+    every = length.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
+    cells = join_on_keys(every, rows, [*key, "idx"], "left").select(*key, "idx", F.struct("v").alias("cell"))
+    steps = written(ranges(cells, length, key), "arima-steps")
+    rows = steps.select(*key, F.inline("_steps")).where(F.col("cell.v").isNotNull()).select(*key, "idx", "cell.v")
     k = len(o.names)
     enough = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.avg(F.col("v")[0]).alias("mean"))
     series = _left(length, enough, key).select(*key, "n", F.coalesce("m", F.lit(0)).alias("m"), "mean")
     fitted = series.where(F.col("m") > k + 1)
     plain = F.array(*([F.col("mean")] if o.constant else []), *[F.lit(0.0)] * (o.p + o.q))
-    tried = fitted.select(*key, F.lit(0).alias("variant"), "n", plain.alias("par"))
+    tried = fitted.select(*key, F.lit(0).alias("variant"), plain.alias("par"))
     if o.q:
-        guess = _per_series(fitted.select(*key, "n"), _first_guess(w, rows, key, o), key).where(F.col("par").isNotNull())
-        tried = tried.unionByName(guess.select(*key, F.lit(1).alias("variant"), "n", "par"))
+        guess = _per_series(fitted.select(*key), _first_guess(w, rows, key, o), key).where(F.col("par").isNotNull())
+        tried = tried.unionByName(guess.select(*key, F.lit(1).alias("variant"), "par"))
     tried = written(tried, "arima-tried")
-    for i in range(rounds if o.q else 1):
-        best = _best(rows, tried, key, o).withColumn("step", _gauss_newton(F.col("gram")))
-        lengths = F.array(*[F.struct(F.lit(j).alias("variant"), F.lit(x).alias("x")) for j, x in enumerate(LENGTHS)])
-        tried = written(best.select(*key, "n", "par", "step", F.inline(lengths)).select(
-            *key, "variant", "n", F.when(F.col("step").isNull(), F.col("par")).otherwise(
-                F.zip_with("par", "step", lambda v, s: v + F.col("x") * s)).alias("par")), "arima-tried")
-    best = _best(rows, tried, key, o).select(*key, "par", F.col("gram")[k + 1][k + 1].alias("css"))
+    lengths = F.array(*[F.struct(F.lit(j).alias("variant"), F.lit(x).alias("x")) for j, x in enumerate(LENGTHS)])
+    for _ in range(rounds if o.q else 1):
+        best = written(_best(steps, tried, key, o).withColumn("step", _gauss_newton(F.col("gram"))), "arima-best")
+        tried = best.select(*key, "par", "step", F.inline(lengths)).select(
+            *key, "variant", F.when(F.col("step").isNull(), F.col("par")).otherwise(
+                F.zip_with("par", "step", lambda v, s: v + F.col("x") * s)).alias("par"))
+        if not best.where(F.exists(F.zip_with("par", "step", lambda v, s: F.abs(s) > TOLERANCE * (1 + F.abs(v))), lambda x: x)).take(1):
+            break  # no series has a step left
+    best = _best(steps, tried, key, o).select(*key, "par", F.col("gram")[k + 1][k + 1].alias("css"))
     params = _left(series.select(*key, "n", "m"), best, key).withColumn("reason", F.when(
         F.col("par").isNull(), F.lit(f"too few steps for {k} parameters")))
-    return Fit(o, written(params, "arima-params"), rows, grid, key)
+    return Fit(o, written(params, "arima-params"), steps, grid, key)
 
 
 def _left(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return join_on_keys(a, b, key, "left") if key else a.join(b, how="left")  # without keys: one row, or none
 
 
-def _best(rows: DataFrame, tried: DataFrame, key: list[str], o: Order) -> DataFrame:
+def _best(steps: DataFrame, tried: DataFrame, key: list[str], o: Order) -> DataFrame:
     """The variant of the least sum of squares (ties: the smallest number) with its moments."""
     k = len(o.names)
-    found = _moments(rows, tried, key, o)
+    found = _moments(steps, tried, key, o)
     css = F.col("gram")[k + 1][k + 1]
     found = join_on_keys(tried, found, [*key, "variant"]).withColumn(
         "_rank", F.struct(F.when(F.isnan(css), F.lit(float("inf"))).otherwise(css).alias("css"), "variant"))
-    return found.groupBy(*key).agg(F.min_by(F.struct("n", "par", "gram"), "_rank").alias("_b")).select(*key, "_b.*")
+    return found.groupBy(*key).agg(F.min_by(F.struct("par", "gram"), "_rank").alias("_b")).select(*key, "_b.*")
 
 
 def _forecasts(fit: Fit, horizon: int) -> DataFrame:
@@ -215,8 +221,8 @@ def _forecasts(fit: Fit, horizon: int) -> DataFrame:
         F.array(*[F.max_by(F.col(f"w{i}"), F.when(F.col(f"w{i}").isNotNull(), F.col("idx"))) for i in range(o.d)]).cast(
             "array<double>").alias("_levels"),
         F.array(*[F.max(F.when(F.col("idx") == F.col("n") - 1 - i, w)) for i in range(o.p)]).cast("array<double>").alias("_lags"))
-    starts = fit.params.where(F.col("par").isNotNull()).select(*key, F.lit(0).alias("variant"), "n", "par")
-    final = _residuals(fit.rows, starts, key, o).final.select(*key, "state", F.col("p.par").alias("par"))
+    starts = fit.params.where(F.col("par").isNotNull()).select(*key, F.lit(0).alias("variant"), "par")
+    final = _residuals(fit.steps, starts, key, o).final.select(*key, "state", F.col("p.par").alias("par"))
     s = _per_series(final, ends, key)
     width = 1 + len(o.names)
     noise = F.array(*[F.col("state")[j * width] for j in range(o.q)]).cast("array<double>")

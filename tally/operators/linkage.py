@@ -32,8 +32,8 @@ from tally.functions.stats import as_col
 from tally.operators.cluster import vectors
 from tally.session import written
 
-LEAF = 24     # rows of a leaf
-SPLIT = 3     # bits by which a level splits a node
+LEAF = 48     # rows of a leaf
+SPLIT = 4     # bits by which a level splits a node
 BITS = 60     # bits of the curve
 SLACK = 1e-9  # relative rounding of a bound
 
@@ -84,18 +84,23 @@ def _tree(points: DataFrame, dims: int) -> tuple[DataFrame, DataFrame, int]:
         level += SPLIT
 
 
-def _gap(q: str, r: str) -> Column:
+def _squared(terms: Sequence[Column]) -> Column:
+    out = F.lit(0.0)
+    for t in terms:
+        out = out + t * t
+    return out
+
+
+def _gap(q: str, r: str, dims: int) -> Column:
     """Least squared distance of two boxes."""
-    out = F.zip_with(F.zip_with(f"{q}.lo", f"{r}.hi", lambda a, b: a - b), F.zip_with(f"{r}.lo", f"{q}.hi", lambda a, b: a - b),
-                     lambda a, b: F.greatest(a, b, F.lit(0.0)))
-    return F.aggregate(out, F.lit(0.0), lambda acc, v: acc + v * v)
+    lo, hi = (lambda b, i: F.col(f"{b}.lo")[i]), (lambda b, i: F.col(f"{b}.hi")[i])
+    return _squared([F.greatest(lo(q, i) - hi(r, i), lo(r, i) - hi(q, i), F.lit(0.0)) for i in range(dims)])
 
 
-def _reach(q: str, r: str) -> Column:
+def _reach(q: str, r: str, dims: int) -> Column:
     """Greatest squared distance of two boxes."""
-    out = F.zip_with(F.zip_with(f"{q}.hi", f"{r}.lo", lambda a, b: F.abs(a - b)),
-                     F.zip_with(f"{r}.hi", f"{q}.lo", lambda a, b: F.abs(a - b)), lambda a, b: F.greatest(a, b))
-    return F.aggregate(out, F.lit(0.0), lambda acc, v: acc + v * v)
+    lo, hi = (lambda b, i: F.col(f"{b}.lo")[i]), (lambda b, i: F.col(f"{b}.hi")[i])
+    return _squared([F.greatest(F.abs(hi(q, i) - lo(r, i)), F.abs(hi(r, i) - lo(q, i))) for i in range(dims)])
 
 
 def _node_components(nodes: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
@@ -107,7 +112,7 @@ def _node_components(nodes: DataFrame, rows: DataFrame, depth: int) -> DataFrame
     return nodes.join(of_node, "node")
 
 
-def _near_leaves(nodes: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
+def _near_leaves(nodes: DataFrame, rows: DataFrame, depth: int, dims: int) -> DataFrame:
     """Pairs ``(q, r)`` of leaves among which every component's shortest edge is (from a row of q to one of r)."""
     info = written(_node_components(nodes, rows, depth), "linkage-info")
     kids = info.select(F.shiftright("node", SPLIT).alias("parent"), F.struct("node", "lo", "hi", "one").alias("k")).where(
@@ -121,8 +126,8 @@ def _near_leaves(nodes: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
         sure = F.col("b.one").isNull() | (F.col("a.one").isNotNull() & (F.col("a.one") != F.col("b.one")))
         pairs = pairs.where(apart).select(
             F.col("a.node").alias("q"), F.col("b.node").alias("r"), F.col("a.one").alias("comp"),
-            F.when(F.col("a.one").isNull(), F.col("a.node")).alias("mixed"), _gap("a", "b").alias("lo"),
-            F.when(sure, _reach("a", "b")).alias("hi"))
+            F.when(F.col("a.one").isNull(), F.col("a.node")).alias("mixed"), _gap("a", "b", dims).alias("lo"),
+            F.when(sure, _reach("a", "b", dims)).alias("hi"))
         within = pairs.groupBy("comp", "mixed").agg(F.min("hi").alias("most"))
         same = F.col("p.comp").eqNullSafe(F.col("w.comp")) & F.col("p.mixed").eqNullSafe(F.col("w.mixed"))
         kept = pairs.alias("p").join(within.alias("w"), same).where(
@@ -131,12 +136,12 @@ def _near_leaves(nodes: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
     return front
 
 
-def _shortest(nodes: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
+def _shortest(nodes: DataFrame, rows: DataFrame, depth: int, dims: int) -> DataFrame:
     """``comp, edge(d2, a, b), to``: the least edge of every component that leads to another one; ties by the ends' ids."""
     a = rows.select(F.col("leaf").alias("q"), F.col("id").alias("ia"), F.col("x").alias("xa"), F.col("comp").alias("ca"))
     b = rows.select(F.col("leaf").alias("r"), F.col("id").alias("ib"), F.col("x").alias("xb"), F.col("comp").alias("cb"))
-    pairs = _near_leaves(nodes, rows, depth).join(a, "q").join(b, "r").where(F.col("ca") != F.col("cb"))
-    d2 = F.aggregate(F.zip_with("xa", "xb", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda acc, v: acc + v)
+    pairs = _near_leaves(nodes, rows, depth, dims).join(a, "q").join(b, "r").where(F.col("ca") != F.col("cb"))
+    d2 = _squared([F.col("xa")[i] - F.col("xb")[i] for i in range(dims)])
     best = pairs.groupBy(F.col("ca").alias("comp")).agg(F.min(F.struct(
         F.struct(d2.alias("d2"), F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).alias("edge"),
         F.col("cb").alias("to"))).alias("m"))
@@ -144,17 +149,18 @@ def _shortest(nodes: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
 
 
 def contracted(best: DataFrame) -> DataFrame:
-    """``comp, to``: the representative of every component after following its chosen edge (``comp, to``)
-    to the end.  Edges are chosen by one order of all edges, so the only circles are pairs that chose
-    the same edge; the smaller of the two stands for the tree."""
-    p = written(best.select("comp", "to"), "linkage-parents")
-    back = p.select(F.col("comp").alias("to"), F.col("to").alias("back"))
-    p = written(p.join(back, "to", "left").select("comp", F.when(
-        (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("to")), "linkage-parents")
+    """``comp, to``: the representative of every component after following its chosen edge (``comp, to``,
+    from files) to the end.  Edges are chosen by one order of all edges, so the only circles are pairs
+    that chose the same edge; the smaller of the two stands for the tree."""
+    back = best.select(F.col("comp").alias("to"), F.col("to").alias("back"))
+    p = best.select("comp", "to").join(back, "to", "left").select("comp", F.when(
+        (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("to"))
+    p = written(p, "linkage-parents")
     while True:
-        nxt = p.select(F.col("comp").alias("to"), F.col("to").alias("further"))
-        p = written(p.join(nxt, "to").select("comp", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")),
-                    "linkage-parents")
+        far = p.join(p.select(F.col("comp").alias("to"), F.col("to").alias("next")), "to").select("comp", F.col("next").alias("to"))
+        end = far.join(far.select(F.col("comp").alias("to"), F.col("to").alias("next")), "to").select(
+            "comp", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+        p = written(end, "linkage-parents")  # four times as far as before
         if not p.where("moved").take(1):
             return p.select("comp", "to")
         p = p.select("comp", "to")
@@ -175,7 +181,7 @@ def single_linkage(df: DataFrame, xs: Sequence[str], key: str, scale: bool = Tru
         nodes, rows, depth = _tree(firsts, dims)
         rows = rows.withColumn("comp", F.col("id"))
         while True:
-            best = written(_shortest(nodes, rows, depth), "linkage-best")
+            best = written(_shortest(nodes, rows, depth, dims), "linkage-best")
             if not best.take(1):
                 break
             merges.append(best.select("edge").distinct().select("edge.a", "edge.b", F.sqrt("edge.d2").alias("height")))
@@ -203,7 +209,7 @@ def cut(merges: DataFrame, keys: DataFrame, k: int | None = None, height: float
         both = edges.select("a", "b", F.col("ca").alias("comp"), F.col("cb").alias("to")).unionByName(
             edges.select("a", "b", F.col("cb").alias("comp"), F.col("ca").alias("to")))
         best = both.groupBy("comp").agg(F.min(F.struct("a", "b", "to")).alias("m")).select("comp", "m.to")
-        new = written(contracted(best), "linkage-cut")
+        new = contracted(written(best, "linkage-cut"))
         rows = written(rows.join(new, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "linkage-cut")
         for c in ("ca", "cb"):
             edges = edges.join(new.select(F.col("comp").alias(c), F.col("to").alias("_t")), c).drop(c).withColumnRenamed("_t", c)

@@ -25,10 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.functions.scan import Scan
+from tally.functions.scan import Scan, ranges
 from tally.functions.stats import as_col, join_on_keys, nan_to_null
 from tally.operators.charts import agg_expr, slot_expr, time_key
-from tally.session import ship_package
+from tally.session import ship_package, written
 
 _UNITS = {"hour": ("HOUR", 1), "day": ("DAY", 1), "week": ("DAY", 7), "month": ("MONTH", 1),
           "quarter": ("MONTH", 3), "year": ("MONTH", 12)}
@@ -203,8 +203,10 @@ def _per_series(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     return join_on_keys(a, b, key, "left") if key else a.crossJoin(b)  # without keys: one row a side
 
 
-def _cells(g: DataFrame, key: Sequence[str]) -> DataFrame:
-    return g.select(*key, "idx", F.struct("ts", "y").alias("cell"))
+def _dense(g: DataFrame, lengths: DataFrame, key: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """``key, idx, y`` (and ``more`` of ``lengths``) for every step from 0 to ``n - 1``; missing ones have a NULL value."""
+    every = lengths.select(*key, *more, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
+    return join_on_keys(every, g.select(*key, "idx", "y"), [*key, "idx"], "left")
 
 
 def ewm(grid: DataFrame, ts: str, freq: str, alpha: float, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
@@ -213,9 +215,8 @@ def ewm(grid: DataFrame, ts: str, freq: str, alpha: float, y: str = "y", by: Seq
     value there is none)."""
     g, key = _keyed(grid, ts, freq, y, by)
     known = F.when(F.col("y").isNotNull(), F.col("idx"))
-    start = g.groupBy(*key).agg(F.max("idx").alias("last"), F.min(known).alias("begin"), F.min_by("y", known).alias("y0"))
-    start = start.select(*key, F.lit(0).alias("variant"), (F.col("last") + 1).alias("n"),
-                         F.array(F.coalesce("y0", F.lit(0.0))).alias("state"), F.struct("begin").alias("p"))
+    start = g.groupBy(*key).agg((F.max("idx") + 1).alias("n"), F.min(known).alias("begin"), F.min_by("y", known).alias("y0"))
+    state = start.select(*key, F.lit(0).alias("variant"), F.array(F.coalesce("y0", F.lit(0.0))).alias("state"), F.struct("begin").alias("p"))
     a, b = float(alpha), 1.0 - float(alpha)
 
     def step(s: Column, x: Column, p: Column, inputs: bool) -> Column:
@@ -225,7 +226,8 @@ def ewm(grid: DataFrame, ts: str, freq: str, alpha: float, y: str = "y", by: Seq
     def emit(_: Column, x: Column, s: Column, p: Column) -> Column:
         return F.struct(x.cell.alias("cell"), F.when(x.idx >= p.begin, s[0]).alias("ewm"))
 
-    out = Scan(_cells(g, key), start, key, 1, step).steps(emit).where(F.col("out.cell").isNotNull())
+    cells = g.select(*key, "idx", F.struct("ts", "y").alias("cell"))
+    out = Scan(ranges(cells, start.select(*key, "n"), key), state, key, 1, step).steps(emit)
     return _named(out, key, by, [F.col("out.cell.ts").alias(ts), F.col("out.cell.y").alias("y"), F.col("out.ewm").alias("ewm")])
 
 
@@ -265,44 +267,47 @@ def _smoothing_start(g: DataFrame, key: list[str], period: int) -> DataFrame:
                     F.when(~enough, F.lit(why)).alias("reason"))
 
 
+def _error(s: Column, x: Column, inputs: bool = True) -> Column:
+    """Value less one-step fit; 0 for a missing step, which so moves along the trend."""
+    v = x.cell.y if inputs else F.lit(0.0)
+    return F.when(x.cell.y.isNotNull(), v - s[0] - s[1] - s[2]).otherwise(0.0)
+
+
 def _smoothing_step(period: int):
-    """One step of additive smoothing on (level, trend, indices of the coming steps in turn)."""
+    """One step of additive smoothing on (level, trend, indices of the coming steps in turn), in its
+    error-correction form: with the one-step error e, level += trend + a e, trend += a b e,
+    index += g (1 - a) e."""
     def step(s: Column, x: Column, p: Column, inputs: bool) -> Column:
-        v, known = (x.cell.y if inputs else F.lit(0.0)), x.cell.y.isNotNull()
-        ahead, index = s[0] + s[1], s[2]
-        level = p.a * (v - index) + (1 - p.a) * ahead
-        trend = p.b * (level - s[0]) + (1 - p.b) * s[1]
-        new = p.g * (v - level) + (1 - p.g) * index if period > 1 else F.lit(0.0)
-        # a missing step moves along the trend; its index stays
-        moved = F.when(known, F.array(level, trend)).otherwise(F.array(ahead, s[1]))
-        turned = F.concat(moved, F.slice(s, 4, period - 1), F.array(F.when(known, new).otherwise(index)))
-        return F.when(x.idx >= p.begin, turned).otherwise(s)
+        e = _error(s, x, inputs)
+        moved = F.array(s[0] + s[1] + p.a * e, s[1] + p.ab * e)
+        if period == 1:
+            return F.concat(moved, F.slice(s, 3, 1))  # no season: its index stays 0
+        return F.concat(moved, F.slice(s, 4, period - 1), F.array(s[2] + p.ga * e))
     return step
 
 
-def _one_ahead(s: Column, x: Column, p: Column) -> Column:
-    return F.when(x.idx >= p.begin, s[0] + s[1] + s[2])
-
-
-def _smoothing(g: DataFrame, key: list[str], period: int, alpha, beta, gamma) -> tuple[Scan, DataFrame]:
-    """The scan with the parameters given or found, and ``key, n, reason``."""
+def _smoothing(g: DataFrame, key: list[str], period: int, alpha, beta, gamma) -> tuple[Scan, DataFrame, DataFrame]:
+    """The scan with the parameters given or found, ``key, n, begin, reason``, and the steps before the scan."""
     start = _smoothing_start(g, key, period)
     gamma = 0.0 if period == 1 else gamma
     choices = list(product(*[_SEARCH if v is None else [float(v)] for v in (alpha, beta, gamma)]))
-    tried = F.array(*[F.struct(F.lit(i).alias("variant"), *[F.lit(v).alias(c) for v, c in zip(vs, "abg")])
-                      for i, vs in enumerate(choices)])
+    tried = F.array(*[F.struct(F.lit(i).alias("variant"), F.lit(a).alias("a"), F.lit(a * b).alias("ab"), F.lit(c * (1 - a)).alias("ga"))
+                      for i, (a, b, c) in enumerate(choices)])
     variants = start.select("*", F.explode(tried).alias("_v")).select(
-        *key, F.col("_v.variant").alias("variant"), "n", "state",
-        F.struct("begin", "_v.a", "_v.b", "_v.g").alias("p"))
+        *key, F.col("_v.variant").alias("variant"), "state", F.struct("begin", "_v.a", "_v.ab", "_v.ga").alias("p"))
+    every = _dense(g, start, key, ["n", "begin"])
+    steps = ranges(every.where(F.col("idx") >= F.col("begin")).select(*key, "idx", F.struct("y").alias("cell")),
+                   start.select(*key, "n"), key)
     if len(choices) > 1:
-        def error(s: Column, x: Column, _: Column, p: Column) -> Column:
-            e = x.cell.y - _one_ahead(s, x, p)
-            return e * e
-        errors = Scan(_cells(g, key), variants, key, period + 2, _smoothing_step(period)).steps(error)
-        errors = errors.groupBy(*key, "variant").agg(F.coalesce(F.sum("out"), F.lit(0.0)).alias("_e"))
+        steps, variants = written(steps, "smoothing-steps"), written(variants, "smoothing-variants")
+        errors = Scan(steps, variants, key, period + 2, _smoothing_step(period), many=True).steps(lambda s, x, _, p: _error(s, x))
+        errors = errors.groupBy(*key, "variant").agg(F.sum(F.col("out") * F.col("out")).alias("_e"))
         best = errors.groupBy(*key).agg(F.min_by("variant", F.struct("_e", "variant")).alias("variant"))
-        variants = join_on_keys(variants, best.withColumn("_best", F.lit(True)), [*key, "variant"]).drop("_best")
-    return Scan(_cells(g, key), variants, key, period + 2, _smoothing_step(period)), start
+        best = join_on_keys(start.select(*key), best, key, "left") if key else start.select(F.lit(1).alias("_")).join(best, how="left").drop("_")
+        best = best.select(*key, F.coalesce("variant", F.lit(0)).alias("variant"), F.lit(True).alias("_best"))
+        variants = join_on_keys(variants, best, [*key, "variant"]).drop("_best")
+    early = every.where(F.col("begin").isNull() | (F.col("idx") < F.col("begin"))).select(*key, "idx", "y")
+    return Scan(steps, variants, key, period + 2, _smoothing_step(period)), start, early
 
 
 def holt_winters(grid: DataFrame, ts: str, period: int, alpha: float | None = 0.3, beta: float | None = 0.1,
@@ -320,20 +325,20 @@ def holt_winters(grid: DataFrame, ts: str, period: int, alpha: float | None = 0.
     why in ``reason``.  A series may be of any length: its steps are scanned
     in ranges (``functions.scan``)."""
     g, key = _keyed(grid, ts, freq, y, by)
-    scan, start = _smoothing(g, key, period, alpha, beta, gamma)
-    fits = scan.steps(lambda s, x, _, p: F.struct(x.idx.alias("idx"), x.cell.y.alias("y"), _one_ahead(s, x, p).alias("fitted")))
+    scan, start, early = _smoothing(g, key, period, alpha, beta, gamma)
+    fits = scan.steps(lambda s, x, _, p: F.struct(x.idx.alias("idx"), x.cell.y.alias("y"), (s[0] + s[1] + s[2]).alias("fitted")))
+    fits = fits.select(*key, "out.*").unionByName(early.withColumn("fitted", F.lit(None).cast("double")))
     last = g.groupBy(*key).agg(F.max("ts").alias("_last"))
-    ends = _per_series(_per_series(scan.final.select(*key, "p", "state"), start.select(*key, "n", "reason"), key), last, key)
-    fits = _per_series(fits.select(*key, "out.*"), ends.select(*key, "n", "reason", "_last"), key).select(
-        *key, (F.col("idx") - F.col("n") + 1).alias("step"), "_last", "y", "fitted", "reason")
+    ends = _per_series(start.select(*key, "n", "begin", "reason"), last, key)
+    rows = _per_series(fits, ends, key).select(*key, (F.col("idx") - F.col("n") + 1).alias("step"), "_last", "y", "fitted", "reason")
     if horizon > 0:
-        steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))).alias("step")
         h = F.col("step")
+        steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))).alias("step")
         index = F.get("state", (2 + (h - 1) % period).cast("int"))
-        ahead = F.when(F.col("p.begin").isNotNull(), F.col("state")[0] + h * F.col("state")[1] + index)
-        fits = fits.unionByName(ends.select("*", steps).select(
+        ahead = F.when(F.col("begin").isNotNull(), F.col("state")[0] + h * F.col("state")[1] + index)
+        rows = rows.unionByName(_per_series(scan.final.select(*key, "state"), ends, key).select("*", steps).select(
             *key, "step", "_last", F.lit(None).cast("double").alias("y"), ahead.alias("fitted"), "reason"))
-    return _named(fits, key, by, [F.col("step"), shift_time(F.col("_last"), F.col("step"), freq).alias(ts), F.col("y"),
+    return _named(rows, key, by, [F.col("step"), shift_time(F.col("_last"), F.col("step"), freq).alias(ts), F.col("y"),
                                   nan_to_null("fitted").alias("fitted"), F.col("reason")])
 
 
@@ -385,9 +390,9 @@ def _ar(g: DataFrame, key: list[str], p: int, horizon: int) -> DataFrame:
     order = F.concat(F.slice("v", 2, p), F.slice("v", 1, 1))  # lags first, the value last
     fit = cross_moments(rows, key, order, p + 1)
     fit = fit.select(*key, "m", F.when(F.col("m") > p + 1, F.col("gram")).alias("gram")).withColumn("coef", _solved(F.col("gram")))
+    length = mean.select(*key, (F.col("_end") + 1).alias("n"))
     start = _per_series(mean, fit.select(*key, "m", "coef"), key) if key else mean.join(fit.select("m", "coef"), how="left")
-    start = start.select(*key, F.lit(0).alias("variant"), (F.col("_end") + 1).alias("n"),
-                         F.array(*[F.lit(0.0)] * p).alias("state"), F.struct("coef", "_mean", "m").alias("p"))
+    start = start.select(*key, F.lit(0).alias("variant"), F.array(*[F.lit(0.0)] * p).alias("state"), F.struct("coef", "_mean", "m").alias("p"))
 
     def step(s: Column, x: Column, par: Column, inputs: bool) -> Column:
         # a missing step takes its own prediction; before the first step there is the mean
@@ -396,8 +401,9 @@ def _ar(g: DataFrame, key: list[str], p: int, horizon: int) -> DataFrame:
         seen = x.cell.z if inputs else F.lit(0.0)
         return F.concat(F.array(F.when(x.cell.z.isNotNull(), seen).otherwise(guess)), F.slice(s, 1, p - 1))
 
-    cells = z.select(*key, "idx", F.struct("z").alias("cell"))
-    last = Scan(cells, start, key, p, step).final
+    every = _dense(z.select(*key, "idx", F.col("z").alias("y")), length, key)
+    cells = every.select(*key, "idx", F.struct(F.col("y").alias("z")).alias("cell"))
+    last = Scan(ranges(cells, length, key), start, key, p, step).final
     nothing = F.struct(F.lit(None).cast("double").alias("z"))
     ahead = F.aggregate(
         F.sequence(F.lit(1), F.lit(horizon)), F.struct(F.array().cast("array<double>").alias("out"), F.col("state").alias("s")),

@@ -154,7 +154,7 @@ def t7(spark, sf):
 # --------------------------------------------------------------------- T8
 _HW = (f"WITH RECURSIVE m AS ({_M}), g AS (SELECT o_orderdate, y, CAST(row_number() {_W} - 1 AS INTEGER) AS idx FROM m), "
        "z AS (SELECT avg(CASE WHEN idx < 12 THEN y END) AS m0, (avg(CASE WHEN idx BETWEEN 12 AND 23 THEN y END) "
-       "- avg(CASE WHEN idx < 12 THEN y END)) / 12 AS b0, CAST(max(idx) AS INTEGER) AS last, max(o_orderdate) AS at FROM g), "
+       "- avg(CASE WHEN idx < 12 THEN y END)) / 12 AS b0, CAST(max(idx) AS INTEGER) AS last, max(o_orderdate) AS final FROM g), "
        "r AS (SELECT 11 AS t, CAST(NULL AS DOUBLE) AS fitted, m0 + b0 * 5.5 AS l, b0 AS b, (SELECT list(y - (m0 + b0 * (idx - 5.5)) "
        "ORDER BY idx) FROM g WHERE idx < 12) AS s FROM z UNION ALL "
        "SELECT idx, f, l2, 0.1 * (l2 - l) + (1.0 - 0.1) * b, s[2:] || [0.2 * (y - l2) + (1.0 - 0.2) * s[1]] FROM ("
@@ -164,7 +164,7 @@ _HW = (f"WITH RECURSIVE m AS ({_M}), g AS (SELECT o_orderdate, y, CAST(row_numbe
        "SELECT h, CAST(NULL AS DOUBLE), l + h * b + s[CAST((h - 1) % 12 + 1 AS INTEGER)] FROM r JOIN z ON r.t = z.last, range(1, 13) AS x(h)) ")
 
 
-@register("t8_holt_winters", _HW + "SELECT step, at + to_months(CAST(step AS INTEGER)) AS o_orderdate, y, fitted, "
+@register("t8_holt_winters", _HW + "SELECT step, final + to_months(CAST(step AS INTEGER)) AS o_orderdate, y, fitted, "
                                    "CAST(NULL AS VARCHAR) AS reason FROM o, z", ["y", "fitted"], digits=7)
 def t8(spark, sf):
     return TS.holt_winters(monthly_revenue(spark, sf), TS_COL, 12, 0.3, 0.1, 0.2, horizon=12, freq="month")
@@ -221,7 +221,7 @@ def t9_ar(spark, sf):
     return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "ar", "month", p=2)
 
 
-@register("t9_forecast_holt_winters", _HW + "SELECT step, at + to_months(CAST(step AS INTEGER)) AS o_orderdate, fitted AS yhat, "
+@register("t9_forecast_holt_winters", _HW + "SELECT step, final + to_months(CAST(step AS INTEGER)) AS o_orderdate, fitted AS yhat, "
                                             "CAST(NULL AS VARCHAR) AS reason FROM o, z WHERE step > 0", ["yhat"], digits=7)
 def t9_hw(spark, sf):
     return TS.forecast(monthly_revenue(spark, sf), TS_COL, 12, "holt_winters", "month", period=12)

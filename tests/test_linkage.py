@@ -26,11 +26,11 @@ def frame(spark, x):
 
 def points(kind):
     rng = np.random.default_rng(11)
-    return {"clusters": np.concatenate([rng.normal(c, s, (700, 2)) for c, s in (((0, 0), 1), ((9, 0), 0.05), ((4, 30), 3))]),
-            "chain": np.stack([np.cumsum(rng.random(600)), np.zeros(600)], axis=1),
-            "three": rng.normal(0, 1, (900, 3)) * [1, 50, 0.01],
-            "copies": np.concatenate([np.repeat([[1.0, 2.0]], 400, axis=0), rng.integers(0, 12, (500, 2)).astype(float)]),
-            "far": np.concatenate([rng.normal(0, 1e-3, (300, 2)), [[1e6, 1e6], [-1e6, 3.0]]])}[kind]
+    return {"clusters": np.concatenate([rng.normal(c, s, (250, 2)) for c, s in (((0, 0), 1), ((9, 0), 0.05), ((4, 30), 3))]),
+            "chain": np.stack([np.cumsum(rng.random(250)), np.zeros(250)], axis=1),
+            "three": rng.normal(0, 1, (2000, 3)) * [1, 50, 0.01],
+            "copies": np.concatenate([np.repeat([[1.0, 2.0]], 400, axis=0), rng.integers(0, 12, (300, 2)).astype(float)]),
+            "far": np.concatenate([rng.normal(0, 1, (200, 2)), [[1e3, 1e3], [-1e3, 3.0]]])}[kind]
 
 
 @pytest.mark.parametrize("kind", ["clusters", "chain", "three", "copies", "far"])
