@@ -17,7 +17,7 @@ earlier blocks are merged, so a benchmark of any size gives the same result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty, with_python
+from .common import forget, materialize, text_or_empty, with_python
 
 BLOCK_CHARS = 16_000_000  # benchmark text per pass, so the broadcast stays under about 200 MB
 SAMPLE = 8  # every 8th text position keeps its suffix position
@@ -215,15 +215,19 @@ def search_shard(texts: list[str], phrases: Phrases) -> tuple[np.ndarray, np.nda
     return counts, flags, items
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, item_id: str, text: str) -> Iterator[Phrases]:
-    """The benchmark's windows, block by block; a block holds about ``BLOCK_CHARS`` characters."""
+def benchmark_blocks(benchmark: DataFrame, window: int, item_id: str, text: str) -> tuple[int, Callable[[int], Phrases]]:
+    """How many blocks of about ``BLOCK_CHARS`` characters the benchmark has (an item is never cut), and
+    what gives the windows of one: the driver holds one block at a time."""
     rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"),
                             text_or_empty(F.col(f"`{text}`")).alias("t")).distinct()
     chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
     blocks = 1 + chars // BLOCK_CHARS
-    for k in range(blocks):
+
+    def block(k: int) -> Phrases:
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        yield Phrases([(r["i"], r["t"]) for r in part.collect()], window)
+        return Phrases([(r["i"], r["t"]) for r in part.collect()], window)
+
+    return blocks, block
 
 
 def _merge(flags: np.ndarray, spans: tuple[list[int], list[int]]) -> np.ndarray:
@@ -242,9 +246,14 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: st
     A window is ``window`` consecutive words of an item; an item of fewer words
     is one window; an item without words none.  NULL and empty texts have no
     words, no spans and no items.  Items with a NULL id mark hits but are not
-    listed; repeated items count once.  No benchmark rows: no hits.
+    listed; repeated items count once.  No benchmark rows: no hits; no documents:
+    no rows.  Texts are searched whole, however long, and rows one by one, so repeated ones
+    are alike.  Kept columns of the four names are replaced.
+
+    A benchmark beyond one block is searched block by block; between two blocks
+    the rows are written and the block's broadcast is destroyed.
     """
-    cols = docs.columns if keep is None else keep
+    cols = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "hit_start", "hit_end", "items")]
     frame = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)],
                         text_or_empty(F.col(f"`{text}`")).alias("__text"))
     own = frame.schema.fields[:len(cols)]
@@ -252,10 +261,10 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: st
              T.StructField("hit_end", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
     text_field = T.StructField("__text", T.StringType())
     sc = docs.sparkSession.sparkContext
-    blocks = list(benchmark_blocks(benchmark, window, item_id, item_text)) if not docs.isStreaming else []
+    blocks, block = benchmark_blocks(benchmark, window, item_id, item_text)
     frame = with_python(frame)
-    for k, block in enumerate(blocks):
-        phrases, last = sc.broadcast(block), k == len(blocks) - 1
+    for k in range(blocks):
+        phrases, last = sc.broadcast(block(k)), k == blocks - 1
 
         def run(batches: Iterator[pa.RecordBatch], phrases=phrases, first=k == 0, last=last):
             for b in batches:
@@ -279,7 +288,12 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: st
                     names=[f.name for f in own] + ([] if last else ["__text"]) + [f.name for f in found])
 
         schema = T.StructType([*own, *([] if last else [text_field]), *found])
-        frame = frame.mapInArrow(run, schema)
+        before, frame = frame, frame.mapInArrow(run, schema)
+        if blocks > 1:
+            frame = materialize(frame, "benchmark-pass")
+            phrases.destroy()
+            if k:
+                forget(before)
     return frame.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)],
                         "n_words", "hit_start", "hit_end", "items")
 
@@ -296,6 +310,46 @@ def cut_spans(text: str, starts: list[int], ends: list[int]) -> str:
     return "\n".join(x for x in out if x)
 
 
+def _replaced(b: pa.RecordBatch, at: int, counted: int | None, texts: list, changed: set[int]) -> pa.RecordBatch:
+    """The batch with the changed texts and their lengths, without the rows of which nothing is left."""
+    if not changed:
+        return b
+    arrays = list(b.columns)
+    arrays[at] = pa.array(texts, arrays[at].type)
+    if counted is not None:
+        n = b.column(counted).to_pylist()
+        for i in changed:
+            n[i] = len(texts[i])
+        arrays[counted] = pa.array(n, arrays[counted].type)
+    b = pa.RecordBatch.from_arrays(arrays, names=b.schema.names)
+    return b.filter(pa.array([i not in changed or bool(texts[i].strip()) for i in range(len(texts))]))
+
+
+def _cut_in_rounds(frame: DataFrame, benchmark: DataFrame, window: int, at: int, counted: int | None) -> DataFrame:
+    """Every round finds the spans of all blocks and cuts them at once; the rows it changed are
+    searched again."""
+    n, schema, done, live = len(frame.columns), frame.schema, None, frame
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, starts, ends = (b.column(i).to_pylist() for i in (at, n + 1, n + 2))
+            changed = {i for i, s in enumerate(starts) if s}
+            for i in changed:
+                texts[i] = cut_spans(texts[i], starts[i], ends[i])
+            marked = pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([i in changed for i in range(len(texts))], pa.bool_())],
+                                                names=[*schema.names, "__cut"])
+            yield _replaced(marked, at, counted, texts, changed)
+
+    while True:
+        found = find_spans(live, benchmark, window, schema.names[at])
+        cuts = materialize(with_python(found).mapInArrow(cut, T.StructType([*schema.fields, T.StructField("__cut", T.BooleanType())])),
+                           "benchmark-cut")
+        left = cuts.where(~F.col("__cut")).drop("__cut")
+        done, live = (left if done is None else done.unionByName(left)), cuts.where("__cut").drop("__cut")
+        if not live.take(1):
+            return done
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text",
                   n_chars: str | None = None) -> DataFrame:
     """``docs`` with every benchmark occurrence cut out of its text.
@@ -303,20 +357,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     A cut can bring two halves of a window together, so changed texts are
     searched again until nothing is found.  A document of which nothing is
     left goes; documents without a hit, empty and NULL texts included, stay as
-    they are.  ``n_chars`` names a column that gets the new length.  All other
-    columns are kept.  With a benchmark beyond one block, a window brought
-    together across blocks is found by the pass of its own block.
+    they are, however long, and repeated ones alike.  ``n_chars`` names a column that gets
+    the new length.  All other columns are kept.  No documents: no rows.
+
+    Where windows overlap across blocks the order of cuts decides which is cut first, so a
+    benchmark beyond one block is first searched whole: every round finds the spans of all
+    blocks, then cuts them at once, until a round finds none.  That is what one block does.
     """
     cols = docs.columns
     at = cols.index(text)
     counted = cols.index(n_chars) if n_chars in cols else None
     frame = with_python(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]))
-    schema = frame.schema
-    sc = docs.sparkSession.sparkContext
-    for block in benchmark_blocks(benchmark, window, "item_id", "text"):
-        phrases = sc.broadcast(block)
+    blocks, block = benchmark_blocks(benchmark, window, "item_id", "text")
+    if blocks > 1:
+        frame = _cut_in_rounds(frame, benchmark, window, at, counted)
+    else:
+        phrases = docs.sparkSession.sparkContext.broadcast(block(0))
 
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = b.column(at).to_pylist()
                 live = [i for i, t in enumerate(texts) if t]
@@ -333,17 +391,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
                             again.append(i)
                     changed.update(again)
                     live = [i for i in again if texts[i]]
-                if changed:
-                    arrays = list(b.columns)
-                    arrays[at] = pa.array(texts, arrays[at].type)
-                    if counted is not None:
-                        n = b.column(counted).to_pylist()
-                        for i in changed:
-                            n[i] = len(texts[i])
-                        arrays[counted] = pa.array(n, arrays[counted].type)
-                    b = pa.RecordBatch.from_arrays(arrays, names=b.schema.names)
-                    b = b.filter(pa.array([i not in changed or bool(texts[i].strip()) for i in range(len(texts))]))
-                yield b
-
-        frame = frame.mapInArrow(run, schema)
+                yield _replaced(b, at, counted, texts, changed)
+
+        frame = frame.mapInArrow(run, frame.schema)
     return frame.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])

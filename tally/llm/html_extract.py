@@ -223,9 +223,10 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     NULL html is an empty page with an empty text.  Pages without a host share
     no template.  Character references are decoded, white space inside a block
     becomes one space; blocks stand in page order.  Repeated pages are rows of
-    their own, but one page for the template; an empty table gives no rows.
+    their own, but one page for the template; an empty table gives no rows.  A page
+    is read whole, however long.  A kept column named as ``out`` is replaced.
     """
-    cols = pages.columns if keep is None else keep
+    cols = [c for c in (pages.columns if keep is None else keep) if c != out]
     n = len(cols)
     src = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)],
                        host_of(F.col(f"`{url}`")).alias("__host"), text_or_empty(F.col(f"`{html}`")).alias("__html"))

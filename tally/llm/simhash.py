@@ -9,9 +9,10 @@ equality join on the variants finds all linked pairs, the Hamming distance
 verifies them, connected components group them.
 
 Copies collapse before the join: only distinct fingerprints are indexed.  A
-variant that very many fingerprints share is split by the remaining bits: in a
-linked pair at most ``max_bits`` of them differ, so of ``max_bits + 1`` pieces
-one is equal, and the join key gains that piece.  Nothing is capped.
+variant that very many fingerprints share is split by the bits outside its
+segment: in a linked pair at most ``max_bits`` of them differ, so of
+``max_bits + 1`` pieces of these bits one is equal, and the join key gains that
+piece.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,25 +72,39 @@ def add_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp",
     return with_python(src).mapInArrow(run, schema)
 
 
-def _variants(fps: DataFrame, max_bits: int) -> DataFrame:
-    """``(bit, rest, other, fp)``: the segment that holds ``bit`` without that
-    bit, and the bits outside the segment."""
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
+def _segments(max_bits: int) -> list[tuple[int, int]]:
     n = max_bits // 2 + 1
     cuts = [64 * i // n for i in range(n + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _pieces(max_bits: int) -> Column:
+    """``(piece, value)`` for each of ``max_bits + 1`` equal pieces of the bits outside the segment of ``bit``."""
+    out = F.lit(None)
+    for lo, hi in _segments(max_bits):
+        outside = [b for b in range(64) if not lo <= b < hi] or list(range(64))  # one segment: every bit
+        cuts = [len(outside) * i // (max_bits + 1) for i in range(max_bits + 2)]
+        masks = [sum(1 << b for b in outside[a:z]) for a, z in zip(cuts, cuts[1:])]
+        split = F.array(*[F.struct(F.lit(i + 1).alias("piece"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("value"))
+                          for i, m in enumerate(masks)])
+        out = F.when(F.col("bit").between(lo, hi - 1), split).otherwise(out)
+    return out
 
-    def mask(lo: int, hi: int) -> int:
-        v = ((1 << (hi - lo)) - 1) << lo
-        return v - (1 << 64) if v >> 63 else v
 
+def _variants(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``(bit, rest, fp)``: the segment that holds ``bit`` without that bit."""
     own = F.lit(None).cast("long")
-    for lo, hi in zip(cuts, cuts[1:]):
-        own = F.when(F.col("bit").between(lo, hi - 1), F.lit(mask(lo, hi)).cast("long")).otherwise(own)
+    for lo, hi in _segments(max_bits):
+        mask = _signed(((1 << (hi - lo)) - 1) << lo)
+        own = F.when(F.col("bit").between(lo, hi - 1), F.lit(mask).cast("long")).otherwise(own)
     bit = F.expr("shiftleft(1L, bit)")
     return (fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
             .withColumn("own", own)
-            .select("fp", "bit",
-                    F.col("fp").bitwiseAND(F.col("own")).bitwiseAND(F.bitwise_not(bit)).alias("rest"),
-                    F.col("fp").bitwiseAND(F.bitwise_not(F.col("own"))).alias("other")))
+            .select("fp", "bit", F.col("fp").bitwiseAND(F.col("own")).bitwiseAND(F.bitwise_not(bit)).alias("rest")))
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -105,14 +120,8 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     v = v.withColumn("piece", F.lit(0)).withColumn("value", F.lit(0).cast("long"))
     if n_hot:
         small = F.broadcast(hot) if n_hot <= SMALL_TABLE else hot
-        pieces = max_bits + 1
-        cuts = [64 * i // pieces for i in range(pieces + 1)]
-        masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
-        split = F.array(*[F.struct(F.lit(i + 1).alias("piece"),
-                                   F.col("other").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value"))
-                          for i, m in enumerate(masks)])
         busy = (v.drop("piece", "value").join(small, keys, "left_semi")
-                .select("*", F.inline(split)))
+                .select("*", F.inline(_pieces(max_bits))))
         v = v.join(small, keys, "left_anti").unionByName(busy)
     keys += ["piece", "value"]
     a = v.select(*keys, F.col("fp").alias("src"))

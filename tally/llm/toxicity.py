@@ -362,8 +362,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, doc_id:
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text",
           out: str = "score") -> DataFrame:
     """The columns ``keep`` (all by default) with a score from 0 to 1.  NULL and
-    empty texts score as a text without matches; repeated rows score alike."""
-    cols = docs.columns if keep is None else keep
+    empty texts score as a text without matches; repeated rows score alike; an empty
+    table gives no rows.  A kept column named as ``out`` is replaced."""
+    cols = [c for c in (docs.columns if keep is None else keep) if c != out]
     scored = add_features(docs, model.lexicon, cols, text)
     return scored.withColumn("__score", model.score()).select(
         *[F.col(f"`{c}`") for c in cols], F.col("__score").alias(out))

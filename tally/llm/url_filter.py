@@ -102,9 +102,10 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
     plan (a few thousand at most).  ``edges`` (``src``, ``dst`` URLs of a crawl's
     redirects) are added to those found in the pages.  NULL or malformed URLs
     have an empty host and path, fit no rule, have no aliases and are allowed;
-    repeated pages are judged alike.
+    repeated pages are judged alike; URLs and pages are read whole, however long.
+    Kept columns of the four names are replaced.  An empty table gives no rows.
     """
-    cols = pages.columns if keep is None else keep
+    cols = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "path", "rule", "verdict")]
     graph = alias_edges(pages, url, html)
     if edges is not None:
         graph = graph.union(edges.select(node_of(F.col("src")), node_of(F.col("dst"))))

@@ -58,6 +58,31 @@ def test_blocks_give_the_same_result(spark, monkeypatch):
     assert sorted(map(repr, dc.find_spans(docs, bench, keep=["doc_id"]).collect())) == one
 
 
+def test_cuts_do_not_depend_on_blocks(spark, monkeypatch):
+    """One item inside another in a document: whichever block comes first, nothing of both stays."""
+    a = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    b = "one two three four five six seven eight nine ten"
+    halves = a.split()
+    rows = [(1, f"left start words {' '.join(halves[:5])} {b} {' '.join(halves[5:])} the end", 0),
+            (2, f"{b} and {a}", 0), (3, "nothing here", 12), (4, b, 0), (5, None, None), (6, f"x {b[:-4]} {b} {b[-3:]} y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    items = [(1, a), (2, b)] + [(i, f"filler {i} " + "word " * 12 + str(i)) for i in range(3, 9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(repr, dc.decontaminate(docs, bench, n_chars="n_chars").collect()))
+    assert "four" not in "".join(one).replace("n_chars", "") and "kappa" not in "".join(one)
+    for chars in (30, 60, 200):
+        monkeypatch.setattr(dc, "BLOCK_CHARS", chars)
+        assert sorted(map(repr, dc.decontaminate(docs, bench, n_chars="n_chars").collect())) == one
+    assert dc.decontaminate(docs.limit(0), bench, n_chars="n_chars").collect() == []
+
+
+def test_kept_columns_of_the_outputs_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "p q r", "x", "y")], "doc_id long, text string, n_words string, items string")
+    out = dc.find_spans(docs, spark.createDataFrame([(2, "p q r")], "item_id long, text string"))
+    assert out.columns == ["doc_id", "text", "n_words", "hit_start", "hit_end", "items"]
+    assert out.first()["n_words"] == 3 and out.first()["items"] == ["2"]
+
+
 def test_cut_leaves_clean_texts_alone(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "p q r")],
                                   "item_id long, text string")

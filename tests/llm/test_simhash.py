@@ -2,6 +2,7 @@ import random
 
 import xxhash
 from helpers import documents, odd_documents
+from pyspark.sql import functions as F
 
 from tally.llm import simhash
 
@@ -69,6 +70,17 @@ def test_links_of_large_variants(spark, monkeypatch):
     assert found == {frozenset((signed(a), signed(b))) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 2}
 
 
+def test_every_piece_splits_a_hot_variant(spark):
+    """Fingerprints that share one half meet in small groups for each piece of the other half."""
+    rnd = random.Random(2)
+    for shift in (0, 32):
+        fps = {rnd.getrandbits(32) << shift | 0x5EED << (32 - shift) for _ in range(3000)}
+        v = simhash._variants(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), 2)
+        hot = v.where(F.col("bit").between(32 - shift, 63 - shift)).select("bit", "rest", F.inline(simhash._pieces(2)))
+        most = hot.groupBy("bit", "rest", "piece", "value").count()
+        assert most.agg(F.max("count")).first()[0] <= 3000 / 2 ** 10 * 6
+
+
 def test_components_match_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog while seven wizards brew strange potions near an old stone bridge"
     texts = [base, base.upper(), base + " x", base.replace("fox", "cat"), "", None, " ", "one", "one two", "One", base + "  "]
