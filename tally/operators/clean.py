@@ -11,11 +11,13 @@ possibly hot group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tally.functions.gram import moments
 from tally.functions.stats import as_col, nan_to_null, quantiles
 from tally.session import scratch_path
 
@@ -134,6 +136,40 @@ def flag_outliers(df: DataFrame, col: str, method: str = "iqr", k: float | None
     return j.select(*[F.col(f"l.`{c}`") for c in df.columns], F.coalesce(out, F.lit(False)).alias(flag))
 
 
+def chi2_quantile(p: float, k: int) -> float:
+    """The chi-square quantile ``p`` with ``k`` degrees of freedom, by bisection of the exact upper tail."""
+    def above(x: float) -> float:
+        h = x / 2
+        tail = math.erfc(math.sqrt(h)) if k % 2 else math.exp(-h)
+        for m in range(4 - k % 2, k + 1, 2):  # from 1 (or 2) degrees of freedom up to k in steps of 2
+            tail += math.exp((m / 2 - 1) * math.log(h) - h - math.lgamma(m / 2)) if h > 0 else 0.0
+        return tail
+    lo, hi = 0.0, float(k)
+    while above(hi) > 1 - p:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if above(mid) > 1 - p else (lo, mid)
+    return hi
+
+
+def flag_outliers_joint(df: DataFrame, cols: Sequence[str], p: float = 0.999, limit: float | None = None,
+                        flag: str = "is_outlier", distance: str = "mahalanobis2") -> DataFrame:
+    """Add the squared Mahalanobis distance over ``cols`` (sample covariance) and whether it exceeds
+    ``limit``, by default the chi-square quantile ``p``: rows that are unusual together though no single
+    column is.  Two aggregates give the means and the products; the distance is plain arithmetic with
+    the inverse (columns x columns) in the plan.  Rows with a missing value have no distance and are
+    no outliers; columns that depend on each other count once."""
+    xs = [nan_to_null(c) for c in cols]
+    present = F.lit(True)
+    for x in xs:
+        present = present & x.isNotNull()
+    m = moments(df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)]).na.drop(), [F.col(f"_x{i}") for i in range(len(xs))])
+    d2 = F.when(present, m.form(xs, m.inverse()) * max(m.n - 1, 0))
+    limit = chi2_quantile(p, len(cols)) if limit is None else limit
+    return df.withColumn(distance, d2).withColumn(flag, F.coalesce(as_col(distance) > limit, F.lit(False)))
+
+
 def drop_outliers(df: DataFrame, col: str, method: str = "iqr", k: float | None = None,
                   by: Sequence[str] | None = None) -> DataFrame:
     return flag_outliers(df, col, method, k, by, flag="_is_out").where(~F.col("_is_out")).drop("_is_out")

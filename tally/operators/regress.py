@@ -17,11 +17,13 @@ from collections import Counter
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tally.functions.gram import Moments, moments
 from tally.functions.stats import as_col, hash_bucket, nan_to_null
 
 def terms_of(k: int, degree: int) -> list[tuple[int, ...]]:
@@ -183,6 +185,53 @@ def residual_summary(pred: DataFrame, y: str = "y", yhat: str = "yhat", ts: str
     return r.groupBy(*by).agg(*aggs)
 
 
+def influence(df: DataFrame, y: str, xs: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``keep..., y, yhat, resid, leverage, student, cooks_distance`` of an ordinary least-squares fit.
+
+    The leverage is the hat matrix' diagonal 1/n + (x - m)' S^-1 (x - m), where S (features x
+    features, on the driver) is the only thing gathered; ``student`` is the internally studentised
+    residual and Cook's distance student^2 / (k + 1) * h / (1 - h).  Rows with a missing value are left
+    out.  NULL where a row has leverage 1 or the fit leaves no degree of freedom."""
+    k, names = len(xs), [f"_x{i}" for i in range(len(xs))]
+    kept = [f"_k{i}" for i in range(len(keep))]
+    rows = df.select(*[as_col(c).alias(n) for c, n in zip(keep, kept)], nan_to_null(y).alias("_y"),
+                     *[nan_to_null(x).alias(n) for x, n in zip(xs, names)]).na.drop(subset=["_y", *names])
+    m = moments(rows, [F.col("_y"), *[F.col(n) for n in names]])
+    s = Moments(m.n, m.means[1:], m.products[1:, 1:])
+    inverse = s.inverse()
+    slopes = inverse @ m.products[1:, 0]
+    sse = float(m.products[0, 0] - slopes @ m.products[1:, 0])
+    free = m.n - k - 1
+    yhat = F.lit(float(m.means[0]))
+    for n, mean, b in zip(names, s.means, slopes):
+        yhat = yhat + F.lit(float(b)) * (F.col(n) - F.lit(float(mean)))
+    out = rows.select(*kept, F.col("_y").alias("y"), yhat.alias("yhat"), (F.col("_y") - yhat).alias("resid"),
+                      (F.lit(1.0 / max(m.n, 1)) + s.form([F.col(n) for n in names], inverse)).alias("leverage"))
+    open_ = 1 - F.col("leverage")
+    variance = F.lit(max(sse, 0.0) / free if free > 0 else None).cast("double")
+    student = F.col("resid") / F.sqrt(F.when((variance > 0) & (open_ > 1e-12), variance * open_))
+    out = out.withColumn("student", student).withColumn(
+        "cooks_distance", F.col("student") ** 2 / (k + 1) * F.col("leverage") / F.when(open_ > 1e-12, open_))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, kept)], "y", "yhat", "resid", "leverage", "student", "cooks_distance")
+
+
+def variance_inflation(df: DataFrame, xs: Sequence[str]) -> DataFrame:
+    """``(term, vif)``: the diagonal of the inverse correlation matrix, over rows that have every feature;
+    NULL for a feature that is constant or that the others determine."""
+    rows = df.select(*[nan_to_null(x).alias(f"_x{i}") for i, x in enumerate(xs)]).na.drop()
+    m = moments(rows, [F.col(f"_x{i}") for i in range(len(xs))])
+    d = np.diag(m.products)
+    scale = np.where(d > 0, np.sqrt(d), 1.0)
+    corr = m.products / np.outer(scale, scale)
+    out = []
+    for i, x in enumerate(xs):
+        rest = [j for j in range(len(xs)) if j != i]
+        coef = np.linalg.lstsq(corr[np.ix_(rest, rest)], corr[rest, i], rcond=1e-12)[0]
+        left = 1.0 - float(coef @ corr[rest, i])
+        out.append((x, 1.0 / left if d[i] > 0 and left > 1e-10 else None))
+    return df.sparkSession.createDataFrame(out, "term string, vif double")
+
+
 # --------------------------------------------------------------------- R7
 def coefficient_table(model: LinearRegressionModel, names: Sequence[str]) -> DataFrame:
     """Coefficient, standard error, t and p values (normal solver without an

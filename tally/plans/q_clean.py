@@ -65,6 +65,18 @@ def c4_z(spark, sf):
     return K.flag_outliers(read_table(spark, sf, "events"), "value", "zscore")
 
 
+@register("c4_flag_outliers_joint", """
+WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_samp(l_quantity) AS sxx, var_samp(l_extendedprice) AS syy,
+                  covar_samp(l_quantity, l_extendedprice) AS sxy FROM lineitem),
+d AS (SELECT l_orderkey, l_linenumber, l_quantity - mx AS x, l_extendedprice - my AS y, sxx, syy, sxy FROM lineitem, s),
+m AS (SELECT l_orderkey, l_linenumber, (syy * x * x - 2 * sxy * x * y + sxx * y * y) / (sxx * syy - sxy * sxy) AS mahalanobis2 FROM d)
+SELECT *, mahalanobis2 > 5.5 AS is_outlier FROM m
+""", ["mahalanobis2"], digits=6)
+def c4_joint(spark, sf):
+    found = K.flag_outliers_joint(read_table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], limit=5.5)
+    return found.select("l_orderkey", "l_linenumber", "mahalanobis2", "is_outlier")
+
+
 @register("c4_flag_outliers_iqr_by",
           "SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value, e.props, "
           "coalesce(e.value < q1 - 1.5 * (q3 - q1) OR e.value > q3 + 1.5 * (q3 - q1), false) AS is_outlier "

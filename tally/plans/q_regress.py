@@ -126,6 +126,28 @@ _R6S_SQL = (f"WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTA
             "(SELECT m3 / pow(m2, 1.5) FROM mm) AS skewness, sum(d * d) / sum(e * e) AS durbin_watson FROM d")
 
 
+_INFLUENCE = """
+WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_pop(l_quantity) * count(*) AS sxx,
+                  regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem),
+p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, my + b * (l_quantity - mx) AS yhat,
+             1.0 / n + (l_quantity - mx) * (l_quantity - mx) / sxx AS leverage, n FROM lineitem, s),
+v AS (SELECT sum((y - yhat) * (y - yhat)) / (max(n) - 2) AS v FROM p),
+t AS (SELECT l_orderkey, l_linenumber, y, yhat, y - yhat AS resid, leverage, (y - yhat) / sqrt(v * (1 - leverage)) AS student FROM p, v)
+SELECT *, student * student / 2 * leverage / (1 - leverage) AS cooks_distance FROM t
+"""
+
+
+@register("r6_influence", _INFLUENCE, ["y", "yhat", "resid", "leverage", "student", "cooks_distance"], digits=6)
+def r6_influence(spark, sf):
+    return R.influence(read_table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"], keep=["l_orderkey", "l_linenumber"])
+
+
+@register("r6_variance_inflation", "SELECT unnest(['l_quantity', 'l_tax']) AS term, 1 / (1 - pow(corr(l_quantity, l_tax), 2)) AS vif FROM lineitem",
+          ["vif"])
+def r6_vif(spark, sf):
+    return R.variance_inflation(read_table(spark, sf, "lineitem"), ["l_quantity", "l_tax"])
+
+
 @register("r6_residual_summary", _R6S_SQL, ["mean", "std", "skewness", "durbin_watson"], digits=6)
 def r6_summary(spark, sf):
     grid = TS.with_index(monthly_revenue(spark, sf), TS_COL, "month")
