@@ -144,6 +144,24 @@ def v5_box(spark, sf):
     return C.box_table(read_table(spark, sf, "events"), "event_type", "value")
 
 
+_DENSITY = """
+WITH s AS (SELECT event_type AS category, count(*) AS n, min(value) AS lo, max(value) AS hi, 1.06 * stddev_samp(value) * pow(count(*), -0.2) AS h
+           FROM events GROUP BY 1),
+z AS (SELECT category, n, h, lo - 3 * h AS start, (hi - lo + 6 * h) / 63 AS step FROM s),
+a AS (SELECT z.*, least(CAST(floor((e.value - start) / step) AS INTEGER), 62) AS low, (e.value - start) / step AS pos
+      FROM events AS e JOIN z ON e.event_type = z.category),
+b AS (SELECT category, low AS bin, sum(1 - (pos - low)) AS w FROM a GROUP BY 1, 2 UNION ALL
+      SELECT category, low + 1, sum(pos - low) FROM a GROUP BY 1, 2)
+SELECT category, start + g * step AS x, sum(w * exp(-0.5 * pow((g - bin) * step / h, 2)) / (h * sqrt(2 * pi()) * n)) AS density
+FROM b JOIN z USING (category), range(0, 64) AS r(g) GROUP BY category, g, start, step
+"""
+
+
+@register("v5_density_table", _DENSITY, ["x", "density"], digits=6)
+def v5_density(spark, sf):
+    return C.density_table(read_table(spark, sf, "events"), "value", "event_type", points=64)
+
+
 @register("v5_share_table", "SELECT o_orderpriority AS category, sum(o_totalprice) AS value, "
                             "sum(o_totalprice) / sum(sum(o_totalprice)) OVER () AS share FROM orders GROUP BY 1",
           ["value", "share"])

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tally.functions.stats import masked_pearson_sql
 from tally.operators import profile as P
+from tally.operators import sketches as K
 from tally.plans.catalog import register
-from tally.plans.q_charts import thinned_sql
 from tally.plans.fixtures import EVENTS_NULLS_SQL, events_nulls
+from tally.plans.q_charts import thinned_sql
+from tally.session import written
 from tally.sources.files import read_table
 
 LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -255,3 +257,37 @@ def _d11_sql() -> str:
 @register("d11_insights", _d11_sql(), ["score"])
 def d11(spark, sf):
     return P.insights(events_nulls(spark, sf), ["value", "user_id"], ["event_type"])
+
+
+# ------------------------------------------------ D1 D2 D4 from merged states
+_MERGED = ("SELECT '{c}' AS variable, count({c}) AS count, CAST(count(*) - count({c}) AS BIGINT) AS n_null, avg({c}) AS mean, stddev_samp({c}) AS std, "
+           "min({c}) AS min, max({c}) AS max, true AS quantiles_close, true AS distinct_close FROM lineitem")
+
+
+@register("d1_merged_profile", " UNION ALL ".join(_MERGED.format(c=c) for c in ("l_quantity", "l_extendedprice", "l_discount")),
+          ["mean", "std", "min", "max"])
+def d1_merged(spark, sf):
+    """A state per ship year, merged; the sketches' answers are held against the rows."""
+    cols, li = ["l_quantity", "l_extendedprice", "l_discount"], read_table(spark, sf, "lineitem")
+    states = written(K.numeric_state(li.withColumn("year", F.year("l_shipdate")), cols, ["year"]), "profile-states")
+    found = written(K.numeric_profile(states), "profile")
+    wide = li.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("v")) for c in cols])))
+    held = wide.join(F.broadcast(found.select("variable", "p25", "p50", "p75")), "variable").groupBy("variable").agg(
+        *[F.avg((F.col("v") < F.col(p)).cast("double")).alias(f"below_{p}") for p in ("p25", "p50", "p75")],
+        *[F.avg((F.col("v") <= F.col(p)).cast("double")).alias(f"upto_{p}") for p in ("p25", "p50", "p75")],
+        F.count_distinct("v").alias("distinct"))
+    close = F.lit(True)
+    for p, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        close = close & (F.col(f"below_{p}") <= q + 0.03) & (F.col(f"upto_{p}") >= q - 0.03)
+    return found.join(held, "variable").select(
+        "variable", "count", "n_null", "mean", "std", "min", "max", close.alias("quantiles_close"),
+        (F.abs(F.col("n_distinct") / F.col("distinct") - 1) < 0.08).alias("distinct_close"))
+
+
+@register("d2_merged_top", " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, value, n AS count FROM (SELECT {c} AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 3)"
+    for c in ("o_orderpriority", "o_orderstatus")))
+def d2_merged(spark, sf):
+    o = read_table(spark, sf, "orders")
+    states = written(K.categorical_state(o.withColumn("year", F.year("o_orderdate")), ["o_orderpriority", "o_orderstatus"], ["year"]), "profile-states")
+    return K.categorical_profile(states, 3).select("variable", F.inline("top"))
