@@ -14,7 +14,10 @@ def test_queries_return_their_columns(spark, name):
         "op5_url_filter": "page_id host path rule verdict", "op6_line_dedup": "doc_id n_lines n_removed kept_text",
         "op7_winnow": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
         "op8_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
-        "op9_token_store": "doc_id start n_tokens ids_crc32", "op10_bpe": "doc_id n_tokens ids_sha256 decoded_sha256"}
+        "op9_token_store": "doc_id start n_tokens ids_crc32", "op10_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op11_lang_id": "doc_id held_out lang_pred score lang_margin accepted",
+        "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
+        "op13_centroids": "vec_id cluster distance cluster_inertia inertia centroid_sha256"}
     out = queries.QUERIES[name](spark, SF)
     assert out.columns == columns[name].split() and out.count() > 0
 
