@@ -10,6 +10,7 @@ rows) is broadcast back to label every row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,7 +18,8 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.functions.stats import as_col, nan_to_null, run_parallel
@@ -160,6 +162,87 @@ def choose_k(df: DataFrame, xs: Sequence[str], k_values: Sequence[int], key: Seq
     return df.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double")
 
 
+def reference_rows(spark: SparkSession, n: int, low: Sequence[float], high: Sequence[float], seed: int) -> DataFrame:
+    """``n`` rows with ``features`` drawn evenly from the box between ``low`` and ``high``.
+    A row's values are hashes of its number and the seed, so a lost partition is drawn again alike."""
+    def draw(j: int, a: float, b: float):
+        u = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(j)), 11) / F.lit(float(1 << 53))
+        return (F.lit(a) + u * F.lit(b - a)).alias(f"_x{j}")
+
+    rows = spark.range(n).select(*[draw(j, float(a), float(b)) for j, (a, b) in enumerate(zip(low, high))])
+    return VectorAssembler(inputCols=rows.columns, outputCol="features").transform(rows).select("features")
+
+
+def gap_statistic(df: DataFrame, xs: Sequence[str], k_values: Sequence[int], references: int = 10, seed: int = 42,
+                  scale: bool = True, rotate: bool = True, parallelism: int = 4) -> DataFrame:
+    """(k, log_w, reference_log_w, gap, s, chosen): the logarithm of the k-means dispersion
+    against its mean over ``references`` tables without clusters.
+
+    A reference table has as many rows as the data, drawn evenly from the box
+    around them, with ``rotate`` the box along the principal axes (long
+    diagonal data fill their own box badly).  ``s`` is the deviation over the
+    references times sqrt(1 + 1 / references); ``chosen`` marks the smallest k
+    whose gap reaches the next k's gap less that one's ``s`` (none does: the k of
+    the largest gap).  One cluster (k = 1) is allowed.  No dispersion at all
+    (at most k distinct rows) has the logarithm and the gap NULL and is not chosen; a table
+    without rows gives NULLs throughout.  Work: one k-means fit per k and table;
+    nothing but the dispersions reaches the driver."""
+    ks = sorted({int(k) for k in k_values})
+    if not ks or ks[0] < 1 or references < 2:
+        raise ValueError("give values of k from 1 on and at least 2 references")
+    spark = df.sparkSession
+    if vectors(df, xs, (), scale=False).isEmpty():
+        return spark.createDataFrame([(k, None, None, None, None, False) for k in ks], _GAP)
+    v = vectors(df, xs, (), scale).select("features").persist()
+    stats = Summarizer.metrics("count", "variance", "min", "max").summary(F.col("features"))
+
+    def summary(t: DataFrame):
+        return t.agg(stats.alias("s")).first()["s"]  # a few numbers per feature
+
+    def log_w(t: DataFrame, k: int, about) -> float | None:
+        if k == 1:
+            w = float(sum(about["variance"].toArray())) * (about["count"] - 1)
+        else:
+            w = float(KMeans(k=k, seed=seed, maxIter=30, featuresCol="features").fit(t).summary.trainingCost)
+        return math.log(w) if w > 0 else None
+
+    try:
+        if rotate and len(xs) > 1:
+            own, v = v, PCA(k=len(xs), inputCol="features", outputCol="_pc").fit(v).transform(v).select(
+                F.col("_pc").alias("features")).persist()
+            v.count()
+            own.unpersist()
+        about = summary(v)
+        own_log = dict(zip(ks, run_parallel(lambda k: log_w(v, k, about), ks, parallelism)))
+
+        def reference(b: int) -> list[float | None]:
+            t = reference_rows(spark, about["count"], about["min"], about["max"], seed * 1_000_003 + b).persist()
+            try:
+                of = summary(t) if 1 in ks else None
+                return [log_w(t, k, of) for k in ks]
+            finally:
+                t.unpersist()
+
+        drawn = run_parallel(reference, range(references), parallelism)
+    finally:
+        v.unpersist()
+    rows = []
+    for i, k in enumerate(ks):
+        logs = [r[i] for r in drawn]
+        if own_log[k] is None or None in logs:
+            rows.append([k, own_log[k], None, None, None])
+        else:
+            rows.append([k, own_log[k], float(np.mean(logs)), float(np.mean(logs)) - own_log[k],
+                         float(np.std(logs)) * math.sqrt(1 + 1 / references)])
+    known = [r for r in rows if r[3] is not None]
+    reached = [a[0] for a, b in zip(known, known[1:]) if a[3] >= b[3] - b[4]]
+    best = reached[0] if reached else max(known, key=lambda r: r[3])[0] if known else None
+    return spark.createDataFrame([(*r, r[0] == best) for r in rows], _GAP)
+
+
+_GAP = "k long, log_w double, reference_log_w double, gap double, s double, chosen boolean"
+
+
 # --------------------------------------------------------------------- K5
 def cluster_scatter(assigned: DataFrame, xs: Sequence[str], key: Sequence[str], cluster: str = "cluster",
                     sample_every: int = 1, scale: bool = True) -> DataFrame:

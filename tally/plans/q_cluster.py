@@ -51,6 +51,11 @@ def k4(spark, sf):
     return K.choose_k(customer_rfm(spark, sf), RFM, [2, 3, 4, 5, 6], key=["custkey"])
 
 
+@register("k4_gap_statistic")
+def k4_gap(spark, sf):
+    return K.gap_statistic(customer_rfm(spark, sf), RFM, [1, 2, 3, 4, 5], references=5)
+
+
 @register("k5_cluster_scatter")
 def k5(spark, sf):
     assigned = K.kmeans(customer_rfm(spark, sf), RFM, k=3, key=["custkey"])

@@ -58,6 +58,11 @@ def k4(spark, sf):
     return tried.agg(F.max_by("k", "silhouette").alias("k"))
 
 
+@register("k4_gap_statistic_planted", f"SELECT count(DISTINCT g) AS k FROM {BLOBS_SQL} AS b")
+def k4_gap(spark, sf):
+    return K.gap_statistic(blobs(spark, sf), XY, [1, 2, 3, 4, 5, 6], references=5).where("chosen").select("k")
+
+
 @register("k5_cluster_scatter_planted", f"SELECT id, x * x / vx + y * y / vy AS norm2 FROM {BLOBS_SQL} AS b, "
           f"(SELECT var_samp(x) AS vx, var_samp(y) AS vy FROM {BLOBS_SQL} AS c)", ["norm2"])
 def k5(spark, sf):
