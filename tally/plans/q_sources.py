@@ -66,6 +66,14 @@ def s2(spark, sf):
     return read_xlsx(spark, folder, o.schema)
 
 
+@register("s2_read_xlsx_bytes", _ORDERS, ["o_totalprice"])
+def s2_bytes(spark, sf):
+    """The same through Spark's own file systems, from workbooks of at most 4000 rows."""
+    o = read_table(spark, sf, "orders")
+    folder = write_xlsx(o, scratch_path(spark, "orders-xlsx"), sheet_rows=4000)
+    return read_xlsx(spark, folder, o.schema, as_bytes=True)
+
+
 _DOCS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
 

@@ -4,7 +4,14 @@ A Python Data Source (``spark.read.format("xlsx")``): the driver only lists
 the files matching the path glob; every workbook is one input partition, so
 many workbooks are read in parallel by the executors.  Inside a task the
 sheet XML is parsed as a stream (``iterparse``): memory holds the shared
-strings table and one row at a time, not the sheet.
+strings table and one row at a time, not the sheet.  Only the cells of the
+schema's columns are converted.  Where the session allows Python sources to take filters
+(``spark.sql.python.filterPushdown.enabled``), comparisons of a column with a constant are
+tested first, and the other cells of a row that fails are not converted.
+
+Paths that are not mounted (``hdfs://``, object stores) are read through Spark's binary
+files: each task gets whole workbooks (up to 2 GB each) from the file system of
+their scheme and parses them the same way.
 
 Cells are converted to the caller's schema, which is required: a workbook
 carries no reliable types.  Supported cell kinds: numbers, shared strings, inline
@@ -19,12 +26,16 @@ from __future__ import annotations
 
 import datetime as dt
 import glob
+import io
+import math
+import operator
 import os
 import posixpath
 import re
 import uuid
 import zipfile
 from collections.abc import Iterator
+from itertools import chain, islice
 from xml.etree.ElementTree import iterparse
 from xml.sax.saxutils import escape
 
@@ -32,12 +43,28 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from tally.session import local_path, ship_package
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+BATCH_ROWS = 10_000  # rows a task hands over at a time
+SHEET_ROWS = 1_048_575  # rows of a sheet below its header; the format has no more
 _EXCEL_EPOCH = dt.datetime(1899, 12, 30)
 _REF = re.compile(r"([A-Z]+)(\d+)")
 
@@ -97,9 +124,10 @@ def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
     return out
 
 
-def iter_rows(path: str, sheet: str | int = 0) -> Iterator[list]:
-    """Raw cell values (str / float / bool / None) per row of one sheet."""
-    with zipfile.ZipFile(path) as zf:
+def iter_rows(book, sheet: str | int = 0) -> Iterator[list]:
+    """Raw cell values (str / float / bool / None) per row of one sheet of a workbook (a path or
+    an open binary file)."""
+    with zipfile.ZipFile(book) as zf:
         shared = _shared_strings(zf)
         with zf.open(_sheet_name(zf, sheet)) as f:
             parents = []
@@ -160,12 +188,62 @@ def _convert(val, dtype: T.DataType):
     return val
 
 
+_COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge,
+             LessThan: operator.lt, LessThanOrEqual: operator.le}
+
+
+def _test(f: Filter, schema: T.StructType):
+    """``(column, predicate)`` of a filter that compares a column with plain constants; None for
+    others.  The predicate may keep a row that fails (Spark filters again), never drop one
+    that passes: NaN, which Spark orders above all numbers, is always kept."""
+    if isinstance(f, (IsNull, IsNotNull)):
+        column, check = f.attribute, (lambda v: v is None) if isinstance(f, IsNull) else (lambda v: v is not None)
+    elif isinstance(f, EqualNullSafe) and f.value is None:
+        column, check = f.attribute, lambda v: v is None
+    elif type(f) in _COMPARED or isinstance(f, (In, EqualNullSafe)):
+        column, value = f.attribute, f.value
+        if any(not isinstance(x, (int, float, str, bool)) for x in (value if isinstance(f, In) else [value])):
+            return None
+        compare = (lambda v, w: v in w) if isinstance(f, In) else _COMPARED.get(type(f), operator.eq)
+
+        def check(v):
+            return v is not None and (isinstance(v, float) and math.isnan(v) or compare(v, value))
+    else:
+        return None
+    if len(column) != 1 or column[0] not in schema.names:
+        return None
+    if not isinstance(schema[column[0]].dataType, (T.StringType, T.IntegralType, T.DoubleType, T.BooleanType)):
+        return None
+    return column[0], check
+
+
+def _read_sheet(book, schema: T.StructType, sheet: str | int, header: bool, tests: list = ()) -> Iterator[tuple]:
+    """The rows of a workbook's sheet, converted to ``schema``."""
+    fields = schema.fields
+    rows = iter_rows(book, sheet)
+    pos = list(range(len(fields)))
+    if header:
+        head = next(rows, None)
+        if head is not None:
+            names = [str(h) if h is not None else "" for h in head]
+            pos = [names.index(f.name) if f.name in names else -1 for f in fields]
+    first = [(pos[schema.names.index(c)], schema[c].dataType, check) for c, check in tests]
+
+    def cell(r: list, i: int, dtype: T.DataType):
+        return _convert(r[i] if 0 <= i < len(r) else None, dtype)
+
+    for r in rows:
+        if all(check(cell(r, i, dtype)) for i, dtype, check in first):
+            yield tuple(cell(r, i, f.dataType) for i, f in zip(pos, fields))
+
+
 class XlsxReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.schema = schema
         self.path = options.get("path")
         self.sheet = options.get("sheet", "0")
         self.header = str(options.get("header", "true")).lower() == "true"
+        self.tests: list = []
 
     def partitions(self):
         path = local_path(self.path)
@@ -175,17 +253,18 @@ class XlsxReader(DataSourceReader):
             sorted(glob.glob(os.path.join(path, "*.xlsx"))) if os.path.isdir(path) else [path])
         return [_Workbook(f) for f in files]
 
-    def read(self, partition: _Workbook):
-        fields = self.schema.fields
-        rows = iter_rows(partition.path, self.sheet)
-        pos = list(range(len(fields)))
-        if self.header:
-            head = next(rows, None)
-            if head is not None:
-                names = [str(h) if h is not None else "" for h in head]
-                pos = [names.index(f.name) if f.name in names else -1 for f in fields]
-        for r in rows:
-            yield tuple(_convert(r[i] if 0 <= i < len(r) else None, f.dataType) for i, f in zip(pos, fields))
+    def read(self, partition: _Workbook | None):
+        if partition is None:  # no workbook matches
+            return iter(())
+        return _read_sheet(partition.path, self.schema, self.sheet, self.header, self.tests)
+
+
+class XlsxFilteringReader(XlsxReader):
+    """A reader that skips rows by the query's filters (Spark asks for them only if the session allows it)."""
+
+    def pushFilters(self, filters: list[Filter]):
+        self.tests = [t for t in (_test(f, self.schema) for f in filters) if t]
+        return filters  # Spark evaluates all of them again: skipping is only a saving
 
 
 class XlsxDataSource(DataSource):
@@ -200,16 +279,47 @@ class XlsxDataSource(DataSource):
         return XlsxReader(schema, self.options)
 
 
+class XlsxFilteringSource(XlsxDataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "xlsx_filtering"
+
+    def reader(self, schema: T.StructType) -> XlsxReader:
+        return XlsxFilteringReader(schema, self.options)
+
+
 def register(spark: SparkSession) -> None:
     ship_package(spark)  # the reader runs in Python workers
     spark.dataSource.register(XlsxDataSource)
+    spark.dataSource.register(XlsxFilteringSource)
+
+
+def _read_bytes(spark: SparkSession, path: str, schema: T.StructType | str, sheet: str | int, header: bool) -> DataFrame:
+    """Workbooks as binary files, whatever file system holds them."""
+    ship_package(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content")
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                rows = _read_sheet(io.BytesIO(content), schema, sheet, header)
+                while part := list(islice(rows, BATCH_ROWS)):
+                    yield pd.DataFrame({f.name: pd.Series([r[i] for r in part], dtype="object")
+                                        for i, f in enumerate(schema.fields)})
+
+    return files.mapInPandas(parse, schema)
 
 
 def read_xlsx(spark: SparkSession, path: str, schema: T.StructType | str, sheet: str | int = 0,
-              header: bool = True) -> DataFrame:
-    """Read every workbook matching ``path`` (a file, a folder or a glob)."""
+              header: bool = True, as_bytes: bool | None = None) -> DataFrame:
+    """Read every workbook matching ``path`` (a file, a folder or a glob).  ``as_bytes``
+    reads them through Spark's file systems; unless given, so are paths that are not mounted."""
+    if as_bytes if as_bytes is not None else "://" in local_path(path):
+        return _read_bytes(spark, path, schema, sheet, header)
     register(spark)
-    return (spark.read.format("xlsx").schema(schema).option("sheet", str(sheet))
+    allowed = str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower() == "true"
+    return (spark.read.format("xlsx_filtering" if allowed else "xlsx").schema(schema).option("sheet", str(sheet))
             .option("header", str(header).lower()).load(path))
 
 
@@ -266,36 +376,50 @@ def _sheet_xml(columns: list[str], rows) -> Iterator[str]:
     yield "</sheetData></worksheet>"
 
 
-def write_xlsx(df: DataFrame, folder: str) -> str:
+def write_xlsx(df: DataFrame, folder: str, sheet_rows: int = SHEET_ROWS) -> str:
     """Write one workbook per partition of ``df`` into ``folder`` (in
-    parallel, from the executors) and return the folder."""
+    parallel, from the executors) and return the folder.  A partition of more
+    than ``sheet_rows`` rows goes on in further workbooks; rows are written as they
+    come, so a task holds one batch of its partition."""
     ship_package(df.sparkSession)
     cols = df.columns
     target_dir = local_path(folder)
     if "://" in target_dir:
         raise ValueError(f"{folder}: workbooks are written with file calls; give a folder that is mounted on all executors")
 
-    def write_part(batches):
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        os.makedirs(target_dir, exist_ok=True)
-        # named by partition: a retried or speculative attempt replaces the
-        # same workbook instead of adding a duplicate
-        target = os.path.join(target_dir, f"part-{TaskContext.get().partitionId():05d}.xlsx")
+    def write_book(target: str, rows: Iterator[tuple]) -> int:
         tmp = f"{target}.{uuid.uuid4().hex}.tmp"
-        rows = (tuple(None if pd.isna(v) else v for v in rec) for rec in pdf.itertuples(index=False, name=None))
+        n = 0
+
+        def counted():
+            nonlocal n
+            for r in rows:
+                n += 1
+                yield r
+
         with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as zf:
             zf.writestr("[Content_Types].xml", _CT)
             zf.writestr("_rels/.rels", _RELS)
             zf.writestr("xl/workbook.xml", _WB)
             zf.writestr("xl/_rels/workbook.xml.rels", _WB_RELS)
-            with zf.open("xl/worksheets/sheet1.xml", "w") as f:
-                for chunk in _sheet_xml(cols, rows):
+            with zf.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
+                for chunk in _sheet_xml(cols, counted()):
                     f.write(chunk.encode("utf-8"))
         os.replace(tmp, target)  # atomic: readers never see a half-written workbook
-        yield pd.DataFrame({"file": [target], "rows": [len(pdf)]})
+        return n
+
+    def write_part(batches):
+        rows = (tuple(None if pd.isna(v) else v for v in rec)
+                for b in batches for rec in b.itertuples(index=False, name=None))
+        os.makedirs(target_dir, exist_ok=True)
+        # named by partition: a retried or speculative attempt replaces the
+        # same workbooks instead of adding duplicates
+        name, book = f"part-{TaskContext.get().partitionId():05d}", 0
+        while (head := next(rows, None)) is not None:
+            target = os.path.join(target_dir, f"{name}-{book}.xlsx" if book else f"{name}.xlsx")
+            n = write_book(target, chain([head], islice(rows, sheet_rows - 1)))
+            yield pd.DataFrame({"file": [target], "rows": [n]})
+            book += 1
 
     df.mapInPandas(write_part, "file string, rows long").collect()  # one row per written file
     return folder
