@@ -14,6 +14,14 @@ main) element, else from all slots, without regions whose element or class marks
 them as menu, advert, comment and so on.  So on pages with an article the element
 rules alone decide; the template decides on the others.
 
+Names are of two kinds.  Some (adverts, comments, sharing, hidden elements, menu and
+footer elements) mark a region that goes in any case.  Others (``sidebar``,
+``header``, ``banner``, ``widget``, forms) are as often part of a wrapper's name,
+``layout-no-sidebar`` or a form around the whole page: around an article or main
+element, or around more than ``WRAPPER`` of the text where there is none, such a
+region is a wrapper and stays.  A main element whose own text is longer than the
+articles (in it or beside it) is the main text, and the articles are teasers.
+
 Copies of a page are one page of the host.  A class of part of the host's pages
 (a page kind, say blog or shop) needs tags of its own, so that text which some
 pages share is no template.  Hosts of a few pages, or without a host, have no template; the rules on
@@ -27,6 +35,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +47,7 @@ from .url_filter import host_of
 MIN_PAGES = 8  # pages a host needs for a template
 FREQUENT = 0.9  # share of a host's pages (broken ones may lack the end) on which a class occurs
 PART = 0.1  # the same for a class that has tags of its own (a page kind), on MIN_PAGES at least
+WRAPPER = 0.7  # share of a page's text from which on a region's name does not drop it
 SMALL_TEMPLATES = 8 << 20  # bytes of all templates together that may be broadcast
 
 _TOKEN = re.compile(
@@ -49,65 +59,107 @@ _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-DROPPED = frozenset("head title nav header footer aside form button menu dialog option fieldset".split())
+DROPPED = frozenset("head title nav header footer aside button menu dialog option fieldset".split())
 KEPT = frozenset("html body article main".split())
-_BOILERPLATE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|"
-    r"breadcrumbs?|sidebar|aside|header|masthead|footer|cookies?|consent|gdpr|notices?|alert|comments?|disqus|replies|reply|"
-    r"respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|form|popup|modal|widget|"
-    r"toolbar|pagination|pager|copyright|complementary|contentinfo|dialog)(?:$|[-_\s\d])", re.I)
+_MARKED = r"(?:^|[-_\s])(?:%s)(?:$|[-_\s\d])"
+_ADDED = re.compile(_MARKED % (
+    "ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|breadcrumbs?|cookies?|consent|gdpr|comments?|"
+    "disqus|replies|reply|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|"
+    "pagination|pager|copyright|dialog"), re.I)
+_LAYOUT = re.compile(_MARKED % (
+    "banner|nav|navbar|navigation|menu|sidebar|aside|header|masthead|footer|notices?|alert|search|form|widget|toolbar|"
+    "complementary|contentinfo"), re.I)
+# inside a line only a name that says nothing else: a link of class nav-link is part of the text
+_INSERTED = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisements?|advertising|sponsored|promo|share|sharing|social|newsletter|subscribe)"
+                       r"(?:$|[-_\s\d])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """``(kind, path, value, dropped)`` in page order: kind ``tag`` or ``end`` with the
-    element's path, ``text`` with a run's decoded text; ``dropped``: inside a boilerplate region."""
-    stack: list[tuple[str, str, bool]] = []  # name, path, dropped
-    for m in _TOKEN.finditer(page):
+class Region(NamedTuple):
+    """Where a run of text stands: ``hard`` goes in any case; ``before`` and ``outer`` number the
+    regions of layout names around the innermost article or main element, and inside it (for
+    text outside of both: none and all)."""
+
+    part: str = ""  # article or main, the innermost that is not dropped itself
+    hard: bool = False
+    before: tuple = ()
+    outer: tuple = ()
+
+
+def _marks(raw: str, tag: str) -> list[tuple[str, str]]:
+    if len(raw) <= len(tag) + 2:
+        return []
+    return [(a.lower(), x or y or z) for a, x, y, z in _ATTR.findall(raw)]
+
+
+def _hides(a: str, v: str) -> bool:
+    return a == "hidden" or a == "style" and bool(_HIDDEN.search(v))
+
+
+def _named(names: re.Pattern, a: str, v: str) -> bool:
+    return a in ("class", "id", "role") and bool(names.search(v))
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, Region | None]]:
+    """``(kind, path, value, region)`` in page order: kind ``tag`` or ``end`` with the
+    element's path, ``text`` with a run's decoded text; no region: a paragraph or a part of a
+    line that its own attributes hide or mark as an insertion."""
+    root = ("", "", Region())
+    stack: list[tuple[str, str, Region]] = []  # name, path, region
+    soft: list[str] = []  # elements inside a line from the marked one on: those of its name
+    for number, m in enumerate(_TOKEN.finditer(page)):
         raw = m[0]
+        _, path, region = stack[-1] if stack else root
         if raw[0] != "<" or len(raw) == 1:
-            path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            yield "text", path, entities.unescape(raw), dropped
+            yield "text", path, entities.unescape(raw), None if soft else region
             continue
         if raw.startswith("<![CDATA["):
-            path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            yield "text", path, raw[9:].removesuffix("]]>"), dropped
+            yield "text", path, raw[9:].removesuffix("]]>"), None if soft else region
             continue
         name = _NAME.match(raw)
         if m[1] or not name:
             continue  # scripts, styles, comments, declarations
         tag = name[1].lower()
+        if soft and tag not in INLINE and tag not in VOID:
+            soft.clear()  # a block ends the line, a paragraph's end the paragraph
         if raw[1] == "/":
+            if soft and soft[-1] == tag:
+                soft.pop()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     path = stack[i][1]
                     del stack[i:]
-                    yield "end", path, tag, False
+                    yield "end", path, tag, region
                     break
             else:
-                yield "end", stack[-1][1] if stack else "", tag, False
+                yield "end", path, tag, region
             continue
-        path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-        if tag in INLINE or tag in VOID or tag == "p":
-            yield "tag", path, tag, dropped  # leaves that need not be closed are no containers
+        if tag in INLINE or tag in VOID or tag == "p":  # leaves that need not be closed are no containers
+            if soft:
+                if soft[0] == tag:
+                    soft.append(tag)
+            elif tag not in VOID and not raw.endswith("/>"):
+                if any(_hides(a, v) or _named(_INSERTED, a, v)
+                       or tag == "p" and (_named(_ADDED, a, v) or _named(_LAYOUT, a, v)) for a, v in _marks(raw, tag)):
+                    soft.append(tag)
+            yield "tag", path, tag, region
             continue
-        mark = ""
-        if len(raw) > len(tag) + 2:
-            for a, x, y, z in _ATTR.findall(raw):
-                a, v = a.lower(), x or y or z
-                if tag not in KEPT and (a == "hidden" or a == "style" and _HIDDEN.search(v)
-                                        or a in ("class", "id", "role") and _BOILERPLATE.search(v)):
-                    dropped = True
-                if a in ("class", "id"):
-                    mark += "." + v
-        path = f"{path}/{tag}{mark}"
-        dropped = dropped or tag in DROPPED
+        marks = _marks(raw, tag)
+        path = f"{path}/{tag}" + "".join("." + v for a, v in marks if a in ("class", "id"))
+        if tag in ("article", "main") and not region.hard:
+            # main inside an article is a part of it
+            region = Region(region.part if region.part == "article" else tag, False, region.before + region.outer)
+        if tag in DROPPED or tag not in KEPT and any(_hides(a, v) or _named(_ADDED, a, v) for a, v in marks):
+            region = region._replace(hard=True)
+        elif tag == "form" or tag not in KEPT and any(_named(_LAYOUT, a, v) for a, v in marks):
+            region = (region._replace(hard=True) if region.part == "article"
+                      else region._replace(outer=(*region.outer, number)))
         if tag == "li" and stack and stack[-1][0] == "li":
             stack.pop()
         if not raw.endswith("/>"):
-            stack.append((tag, path, dropped))
-        yield "tag", path, tag, dropped
+            stack.append((tag, path, region))
+        yield "tag", path, tag, region
 
 
 def _key(kind: str, path: str, value: str) -> str:
@@ -181,12 +233,16 @@ def templates(pages: DataFrame) -> DataFrame:
         F.transform(F.sort_array("tokens"), lambda x: x["token"])).alias("template"))
 
 
-def main_text(page: str, template: list[list[str]] | None = None) -> str:
-    """The blocks of the main text, joined by two line breaks; empty if none."""
-    order = {t: (c, i) for c, tokens_ in enumerate(template or ()) for i, t in enumerate(tokens_)}
-    slots: list[list[tuple[str, bool, list[str]]]] = [[]]  # per slot: (path, dropped, runs of a block)
+def _places(template: list[list[str]] | None) -> dict[str, tuple[int, int]]:
+    """Template token -> its class and its place there."""
+    return {t: (c, i) for c, tokens_ in enumerate(template or ()) for i, t in enumerate(tokens_)}
+
+
+def _blocks(page: str, order: dict[str, tuple[int, int]]) -> list[tuple[Region, str]]:
+    """The blocks of text between the template's tokens, in page order."""
+    slots: list[list[tuple[str, Region, list[str]]]] = [[]]  # per slot: path, region, runs of a block
     last, fresh = defaultdict(lambda: -1), True
-    for kind, path, value, dropped in tokens(page):
+    for kind, path, value, region in tokens(page):
         place = order.get(_key(kind, path, value)) if order and _is_template_kind(kind, path, value) else None
         if place is not None and place[1] > last[place[0]]:  # a template token in its class's order
             last[place[0]] = place[1]
@@ -197,23 +253,47 @@ def main_text(page: str, template: list[list[str]] | None = None) -> str:
             fresh = True
         elif kind != "text" and value not in INLINE:
             fresh = True
-        if kind == "text":
+        if kind == "text" and region is not None:
             if fresh or not slots[-1] or slots[-1][-1][0] != path:
-                slots[-1].append((path, dropped, []))
+                slots[-1].append((path, region, []))
                 fresh = False
             slots[-1][-1][2].append(value)
-        elif value in ("br", "wbr", "img") and slots[-1] and not fresh:
+        elif value in ("br", "wbr", "img") and kind != "text" and slots[-1] and not fresh:
             slots[-1][-1][2].append(" ")
-    blocks = [(path, dropped, _SPACE.sub(" ", "".join(runs)).strip()) for slot in slots for path, dropped, runs in slot]
-    blocks = [x for x in blocks if x[2]]
+    found = ((region, _SPACE.sub(" ", "".join(runs)).strip()) for slot in slots for _, region, runs in slot)
+    return [x for x in found if x[1]]
+
+
+def _unwrapped(blocks: list[tuple[Region, str]]) -> list[str]:
+    """The texts outside regions of layout names; one that holds most of the blocks' text is a wrapper."""
+    inside: dict[int, int] = defaultdict(int)
+    for region, text in blocks:
+        for number in region.outer:
+            inside[number] += len(text)
+    limit = WRAPPER * sum(len(text) for _, text in blocks)
+    return [text for region, text in blocks if all(inside[number] > limit for number in region.outer)]
+
+
+def _chosen(blocks: list[tuple[Region, str]]) -> list[str]:
+    left = [x for x in blocks if not x[0].hard]
 
-    for chosen in (lambda p: _within(p, ("article",)), lambda p: _within(p, ("main",)), lambda p: True):
-        texts = [text for path, dropped, text in blocks if not dropped and chosen(path)]
-        if texts:
-            return "\n\n".join(texts)
-        if any(chosen(path) for path, _, _ in blocks) and chosen("/article"):
-            break
-    return ""
+    def size(texts: list[str]) -> int:
+        return sum(map(len, texts))
+
+    article = [text for r, text in left if r.part == "article" and not r.before]
+    main = _unwrapped([x for x in left if x[0].part == "main" and not x[0].before])
+    if article or main:
+        return main if size(main) > size(article) else article
+    if any(r.part == "article" and not r.before for r, _ in blocks):
+        return []  # an article of boilerplate alone
+    wrapped = _unwrapped([x for x in left if x[0].part and x[0].before])
+    plain = _unwrapped([x for x in left if not x[0].part])
+    return wrapped if wrapped and size(wrapped) >= size(plain) else plain
+
+
+def main_text(page: str, template: list[list[str]] | None = None) -> str:
+    """The blocks of the main text, joined by two line breaks; empty if none."""
+    return "\n\n".join(_chosen(_blocks(page, _places(template))))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None,
@@ -236,14 +316,17 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     found = materialize(templates(known), "html-templates").withColumnRenamed("host", "__site")
     size = found.agg(F.coalesce(F.sum(F.size(F.flatten("template")) * 25 + 100), F.lit(0)).alias("n")).first()["n"]
     joined = src.join(F.broadcast(found) if size <= SMALL_TEMPLATES else found, F.col("__host") == F.col("__site"), "left")
-    # one id per template and batch instead of a copy per page
-    joined = joined.select(*[f"c{i}" for i in range(n)], "__html", "template")
+    joined = joined.select(*[f"c{i}" for i in range(n)], "__html", "__site", "template")
     schema = src.select(*[f"c{i}" for i in range(n)]).schema.add("__text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        site, order = None, {}
         for b in batches:
-            texts = [main_text(page, template) for page, template in
-                     zip(*(b.column(i).to_pylist() for i in (n, n + 1)))]
+            texts = []
+            for i, (page, own) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())):
+                if own != site:  # a template is unpacked once for a run of pages of its host
+                    site, order = own, _places(b.column(n + 2)[i].as_py())
+                texts.append("\n\n".join(_chosen(_blocks(page, order))))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())],
                                              names=[*(f"c{i}" for i in range(n)), "__text"])
 

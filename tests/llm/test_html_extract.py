@@ -43,6 +43,40 @@ def test_boilerplate_goes_and_text_stays():
     assert hx.main_text("<article></article><p>outside</p>") in ("", "outside")
 
 
+def test_wrappers_are_no_boilerplate():
+    article = "<article><h1>T</h1><p>Main words here.</p></article>"
+    rest = "<nav>Menu</nav><div class='sidebar'>Side</div><footer>Foot</footer>"
+    for wrap in ("<form action=x>{}</form>", "<div class='layout-no-sidebar'>{}</div>", "<div class='with-header'>{}</div>",
+                 "<div class='page has-banner'>{}</div>", "<div class='elementor-widget'>{}</div>",
+                 "<form><div class='with-header'><div id=widget-1>{}</div></div></form>"):
+        assert hx.main_text(f"<body>{wrap.format(article + rest)}</body>") == "T\n\nMain words here.", wrap
+        assert hx.main_text(f"<body>{rest}{wrap.format(article)}</body>") == "T\n\nMain words here.", wrap
+        assert hx.main_text(f"<main>{wrap.format(article)}</main>") == "T\n\nMain words here.", wrap
+        for plain in ("div", "section", "main"):
+            page = wrap.format(f"<{plain}><p>Main words here.</p><p>And more of them, longer than what stands beside.</p></{plain}>" + rest)
+            assert hx.main_text(page) == "Main words here.\n\nAnd more of them, longer than what stands beside.", (wrap, plain)
+    # a sidebar beside the text stays a sidebar, also around a teaser
+    assert hx.main_text("<div>Text of the page itself</div><div class=sidebar><article>Teaser</article></div>") == "Text of the page itself"
+    assert hx.main_text("<article>Text</article><div id=comments><article>First! And a long comment.</article></div>") == "Text"
+    assert hx.main_text("<div>Text</div><div id=comments><article>First! And a long comment.</article></div>") == "Text"
+    assert hx.main_text("<article><div class='with-header'>x</div><div class=notice>A longer note than the text</div><p>y</p></article>") == "y"
+
+
+def test_teasers_beside_a_main_element():
+    text = "<main><h1>T</h1><p>Main words, more than a teaser has.</p>{}</main>{}"
+    for page in (text.format("", "<article>Teaser</article>"), text.format("<article>Teaser</article>", ""),
+                 text.format("", "<aside><article>Teaser</article></aside>")):
+        assert hx.main_text(page) == "T\n\nMain words, more than a teaser has."
+    assert hx.main_text("<main><p>Intro</p><article><p>The long text of the article</p></article></main>") == "The long text of the article"
+
+
+def test_marked_paragraphs_and_parts_of_lines():
+    page = ("<article><p class='advert'>Buy</p><p>One <span class='ad'>Buy <span>now</span> here</span> two</p><p hidden>Gone<p>Three"
+            "<a class='share' href=x>Share</a><div>four <b style='display:none'>no</b>five <a class='nav-link'>six</a> "
+            "<span class=ad>unclosed</div><p>seven <i class='ad'/>eight</p></article>")
+    assert hx.main_text(page) == "One two\n\nThree\n\nfour five six\n\nseven eight"
+
+
 def test_template_without_semantic_elements(spark):
     """No article, no telling names: the template's own words go, the slots' words stay."""
     page = ("<html><body><div class=a1><span>Home</span><span>About us</span></div><div class=b2><p>{0}</p><p>{1}</p></div>"
