@@ -1,14 +1,22 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's words (split at ASCII white space) give k-gram hashes; of every window
-of ``window`` consecutive k-grams the smallest hash is selected, the rightmost
-on ties, with its position.  Two texts that share ``k + window - 1``
-consecutive words share at least one selected hash (the match guarantee);
-matches shorter than ``k`` words are never seen.
+A text is cut into units: its words (split at ASCII white space); a run of more
+than ``LONG_RUN`` characters without white space (CJK, Thai, a URL) counts as
+its single characters.  A k-gram's hash is a polynomial over its units' hashes
+and rolls: the next one takes the first unit off and the new one on.  Of every
+window of ``window`` consecutive k-grams the smallest hash is selected, the
+rightmost on ties, with its position.  Two texts that share
+``k + window - 1`` consecutive units share at least one selected hash (the match
+guarantee); matches shorter than ``k`` units are never seen.
+
+Texts of fewer units than the guarantee's ``k + window - 1`` are winnowed by
+their characters (without white space), and so are, besides their units, texts
+shorter than as many of the longest words (``LONG_RUN`` characters each):
+an edit that keeps a short text's length keeps its kind of grams.
 
 A selected gram is one long: 31 bits of hash, then the complement of the
 position, so that the smallest long is the smallest hash and, among equal
-hashes, the one furthest to the right.
+hashes, the one furthest to the right.  Positions of character grams begin at 2^31.
 """
 
 from __future__ import annotations
@@ -17,50 +25,95 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import let, text_or_empty
 
 LOW = (1 << 32) - 1
+PRIME = (1 << 31) - 1  # modulus of the rolling hash
+BASE = 1_000_003
+LONG_RUN = 16  # characters of a run without white space from beyond which it is cut
+ROLLED = 32  # grams that one fold rolls through
+OF_CHARACTERS = 1 << 31
+_SPACE = r" \t\n\x0B\f\r"
 
 
-def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _hash(unit: Column) -> Column:
+    return F.pmod(F.xxhash64(unit), F.lit(PRIME))
 
 
-def kgrams(hashes: Column, k: int) -> Column:
-    """Packed k-grams ``(hash, complement of position)`` of an array of word
-    hashes; fewer than ``k`` words are one gram, none is no gram."""
+def unit_hashes(text: Column) -> Column:
+    """The hashes of a text's units."""
+    words = F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != "")
+    cut = F.flatten(F.transform(words, lambda w: F.when(
+        F.length(w) > LONG_RUN, F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))).otherwise(F.array(w))))
+    return F.transform(F.when(text.rlike(f"[^{_SPACE}]{{{LONG_RUN + 1}}}"), cut).otherwise(words), _hash)
+
+
+def character_hashes(text: Column) -> Column:
+    """The hashes of a text's characters that are no white space, others than those of one-letter words."""
+    found = F.regexp_extract_all(text, F.lit(f"[^{_SPACE}]"), F.lit(0))
+    return F.transform(found, lambda c: _hash(F.concat(F.lit("\x00"), c)))
+
+
+def kgrams(hashes: Column, k: int, offset: int = 0) -> Column:
+    """Packed k-grams ``(hash, complement of position)`` of an array of unit
+    hashes; fewer than ``k`` units are one gram, none is no gram.  Positions count from ``offset``."""
+    leaving = pow(BASE, k - 1, PRIME)
 
     def pack(h: Column, i: Column) -> Column:
-        return F.shiftleft(h.bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.lit(LOW) - i)
+        return F.shiftleft(h, 32).bitwiseOR(F.lit(LOW - offset) - i)
+
+    def begun(h: Column, at: Column) -> Column:
+        value = F.get(h, at)
+        for j in range(1, k):
+            value = (value * F.lit(BASE) + F.get(h, at + j)) % F.lit(PRIME)
+        return value
 
-    n = F.size(hashes)
-    whole = F.transform(F.array(hashes), lambda a: pack(F.xxhash64(F.array_join(a, " ")), F.lit(0).cast("long")))
-    rolled = F.transform(F.sequence(F.lit(0), n - k), lambda i: pack(
-        F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]), i.cast("long")))
-    return (F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, whole).otherwise(rolled))
+    def rolled(h: Column, last: Column) -> Column:
+        def run(at: Column) -> Column:
+            end = F.least(at + (ROLLED - 1), last)
+            rest = F.when(at < end, F.sequence(at + 1, end)).otherwise(F.array().cast("array<int>"))
+            return F.aggregate(rest, F.array(begun(h, at)), lambda grams, i: F.array_append(
+                grams, ((F.element_at(grams, -1) + F.lit(PRIME) - F.get(h, i - 1) * F.lit(leaving) % F.lit(PRIME)) * F.lit(BASE)
+                        + F.get(h, i + (k - 1))) % F.lit(PRIME)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(ROLLED)), run))
+
+    def whole(h: Column) -> Column:
+        return F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a * F.lit(BASE) + x) % F.lit(PRIME)))
+
+    none = F.array().cast("array<bigint>")
+    return let(hashes, lambda h: F.transform(
+        F.when(F.size(h) == 0, none).when(F.size(h) < k, whole(h)).otherwise(rolled(h, F.size(h) - k)), pack))
 
 
 def select(grams: Column, window: int) -> Column:
     """The winnowed grams, in order of position, each once."""
-    n = F.size(grams)
-    minima = F.transform(F.sequence(F.lit(0), n - window),
-                         lambda i: F.least(*[F.get(grams, i + j) for j in range(window)]))
-    return (F.when(n == 0, grams).when(n < window, F.array(F.array_min(grams)))
-            .otherwise(F.array_distinct(minima)))
+    def chosen(g: Column) -> Column:
+        minima = F.transform(F.sequence(F.lit(0), F.size(g) - window),
+                             lambda i: F.least(*[F.get(g, i + j) for j in range(window)]))
+        return (F.when(F.size(g) == 0, g).when(F.size(g) < window, F.array(F.array_min(g)))
+                .otherwise(F.array_distinct(minima)))
+
+    return let(grams, chosen)
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 5, window: int = 4) -> DataFrame:
     """``df`` with the array of packed grams ``out``; NULL and blank texts have none."""
-    return (df.withColumn("__h", word_hashes(text_or_empty(F.col(f"`{text}`"))))
-            .withColumn("__g", kgrams(F.col("__h"), k))
-            .withColumn(out, select(F.col("__g"), window)).drop("__h", "__g"))
+    own = text_or_empty(F.col(f"`{text}`"))
+    enough = k + window - 1
+    none = F.array().cast("array<bigint>")
+    by_units = F.when(F.size("__h") >= enough, select(kgrams(F.col("__h"), k), window)).otherwise(none)
+    short = (F.size("__h") < enough) | (F.length(own) < LONG_RUN * enough)
+    by_characters = F.when(short, select(kgrams(character_hashes(own), k, OF_CHARACTERS), window)).otherwise(none)
+    return (df.withColumn("__h", unit_hashes(own)).withColumn(out, F.concat(by_units, by_characters)).drop("__h"))
 
 
 def unpack(fingerprint: Column) -> Column:
-    """``array<struct<hash, position>>`` (positions are k-gram numbers from 0)."""
+    """``array<struct<hash, position, of_characters>>`` (positions are k-gram numbers from 0)."""
+    place = lambda x: F.lit(LOW) - x.bitwiseAND(F.lit(LOW))
     return F.transform(fingerprint, lambda x: F.struct(
-        F.shiftright(x, 32).alias("hash"), (F.lit(LOW) - x.bitwiseAND(F.lit(LOW))).alias("position")))
+        F.shiftright(x, 32).alias("hash"), (place(x) % OF_CHARACTERS).alias("position"),
+        (place(x) >= OF_CHARACTERS).alias("of_characters")))
 
 
 def as_string(fingerprint: Column) -> Column:

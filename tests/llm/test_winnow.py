@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import xxhash
 from helpers import documents, odd_documents
@@ -9,42 +10,58 @@ from tally.llm import winnow
 K, W = 5, 4
 
 
-def brute(spark, texts):
-    """Winnowing word by word; the k-gram hashes come from Spark's xxhash64."""
-    rows = []
-    for i, t in enumerate(texts):
-        for c in "\t\n\x0b\x0c\r":
-            t = t.replace(c, " ")
-        w = [x for x in t.split(" ") if x]
-        h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in w]
-        h = [x - (1 << 64) if x >> 63 else x for x in h]
-        rows += [(i, p, h[p:p + K]) for p in range(max(0, len(h) - K + 1))]
-    frame = spark.createDataFrame(rows, "i int, p int, h array<bigint>")
-    grams = {}
-    for r in frame.select("i", "p", F.xxhash64(*[F.get("h", F.lit(j)) for j in range(K)]).alias("x")).collect():
-        grams.setdefault(r["i"], {})[r["p"]] = r["x"] & (1 << 31) - 1
-    out = []
-    for i in range(len(texts)):
-        g = [grams.get(i, {})[p] for p in sorted(grams.get(i, {}))]
-        chosen = []
-        for a in range(max(1, len(g) - W + 1) if g else 0):
-            part = g[a:a + W]
-            at = max(j for j, x in enumerate(part) if x == min(part)) + a
-            if (g[at], at) not in chosen:
-                chosen.append((g[at], at))
-        out.append(chosen)
+def units(text):
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text) if w]
+    return [u for w in words for u in (w if len(w) > 16 else [w])]
+
+
+def winnowed(parts, of_characters):
+    """Winnowing gram by gram: every hash from the whole gram, every window looked through."""
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in parts]
+    h = [(x - (1 << 64) if x >> 63 else x) % winnow.PRIME for x in h]
+    grams = [h[i:i + K] for i in range(max(1, len(h) - K + 1))] if h else []
+    g = [sum(x * pow(winnow.BASE, len(p) - 1 - j, winnow.PRIME) for j, x in enumerate(p)) % winnow.PRIME for p in grams]
+    chosen = []
+    for a in range(max(1, len(g) - W + 1) if g else 0):
+        part = g[a:a + W]
+        at = max(j for j, x in enumerate(part) if x == min(part)) + a
+        if (g[at], at, of_characters) not in chosen:
+            chosen.append((g[at], at, of_characters))
+    return chosen
+
+
+def brute(text):
+    u = units(text)
+    out = winnowed(u, False) if len(u) >= K + W - 1 else []
+    if len(u) < K + W - 1 or len(text) < 16 * (K + W - 1):
+        out += winnowed(["\0" + c for c in re.sub("[ \t\n\x0b\x0c\r]", "", text)], True)
     return out
 
 
+def likeness(a, b):
+    a, b = {x[0] for x in a}, {x[0] for x in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+TEXTS = ["a b c d e f g h i j k l", "x x x x x x x x x x x x x x", "one two three four five", "é ü\tñ\n\nß  a b c d", "", " \n", "a",
+         "日本語の文章には空白がありませんから文字で数えます" * 4, "😀👍🏽" * 20, "word " * 33 + "y", " ".join(map(str, range(500))),
+         "http://example.org/a/long/path/without/blanks and seven more words behind the address"]
+
+
 def test_selection_matches_brute_force(spark):
-    texts = ["a b c d e f g h i j k l", "x x x x x x x x x x x x x x", "one two three four five", "é ü\tñ\n\nß  a b c d"]
-    texts += [r["text"] for r in documents(spark).select("text").limit(20).collect()]
+    texts = TEXTS + [r["text"] for r in documents(spark).select("text").limit(40).collect()]
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r["i"]: [tuple(x) for x in r["f"]] for r in
            winnow.with_fingerprint(frame, "t", "p", K, W).select("i", winnow.unpack(F.col("p")).alias("f")).collect()}
-    for i, want in enumerate(brute(spark, texts)):
-        if len(texts[i].split()) >= K:
-            assert got[i] == want
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t), t
+
+
+def test_half_kept_of_short_and_unspaced_texts(spark):
+    rows = [(4, "日本語の文章には空白がありませんから文字で数えます。"), (3, "some seven words stand in this text"), (2, "ภาษาไทยเขียนติดกันโดยไม่มีช่องว่าง"),
+            (1, "an English text of rather more words than the other ones have in them")]
+    got = {r["doc_id"]: r for r in winnow.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(0.1 < r["near_edited"] < 1 and r["near_next"] < 0.1 for r in got.values())
 
 
 def test_match_guarantee(spark):
@@ -66,7 +83,7 @@ def test_edited_texts_and_next_documents(spark):
         edited = t[:len(t) - half] + nxt[:half]
         r = got[doc_id]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert r["near_edited"] == likeness(brute(t), brute(edited)) and r["near_next"] == likeness(brute(t), brute(nxt))
         if edited == t:
             assert r["near_edited"] == 1.0 and r["fp"] == r["edited_fp"]
 
