@@ -167,7 +167,7 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(r, on=cond, how=how).drop(*[f"_rk_{k}" for k in keys])
 
 
-def _buckets(df: DataFrame, buckets: int | None) -> int:
+def bucket_count(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return max(int(buckets), 1)
     try:
@@ -176,7 +176,7 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
         return 8
 
 
-def _count_below(cuts: Column, v: Column, n: int) -> Column:
+def count_below(cuts: Column, v: Column, n: int) -> Column:
     """Number of the ``n`` entries of the sorted array ``cuts`` below ``v``, by
     binary search: the expression has the same size for any ``n``."""
     def step(acc: Column, _: Column) -> Column:
@@ -208,7 +208,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     group (the input is aggregated by it), which allows a ROWS frame.
     """
     by = list(by)
-    n_b = _buckets(df, buckets)
+    n_b = bucket_count(df, buckets)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
 
     def frame(w):
@@ -228,7 +228,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     else:
         # one row: broadcasting it is bounded by construction
         x = df.crossJoin(F.broadcast(df.agg(pa)))
-    x = x.withColumn("_bkt", _count_below(F.col("_cuts"), F.col(order_col), n_b - 1)).drop("_cuts")
+    x = x.withColumn("_bkt", count_below(F.col("_cuts"), F.col(order_col), n_b - 1)).drop("_cuts")
     # running sum inside each (group, range): the shuffle is by (group, range)
     wi = frame(Window.partitionBy(*by, "_bkt").orderBy(order))
     xw = x.select("*", *[F.sum(c).over(wi).alias(f"_w_{c}") for c in sum_cols])

@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.functions.gram import moments
-from tally.functions.stats import as_col, nan_to_null, quantiles
+from tally.functions.stats import as_col, bucket_count, count_below, join_on_keys, nan_to_null, quantiles
 from tally.session import scratch_path
 
+SAMPLED = 4096  # values of a column, at least, by which encode_mapping cuts its ranges (twice as many at most)
+CUT_CHARS = 64
 WS_PATTERN = r"[ \t\n\r\f]+"
 
 
@@ -265,16 +267,39 @@ def scale(df: DataFrame, cols: Sequence[str], how: str = "standard") -> DataFram
 
 
 # -------------------------------------------------------------------- C11
-def encode_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def encode_mapping(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Category -> index, by frequency (descending) then value (ascending),
     0-based, per column; the same order as StringIndexer(frequencyDesc).
-    The window runs per column over its distinct values (categorical)."""
+
+    No window runs over all values of a column: a value's index is the number of values
+    of higher counts (a window over the different counts, of which n rows have at most
+    sqrt(2 n)) plus its place among those of its own count.  These are cut into ranges at values drawn by their hash (about
+    ``SAMPLED`` prefixes of ``CUT_CHARS`` characters a column; any cuts give the same
+    index), each range numbered by itself, after the sizes of the ranges before it."""
+    n_b = bucket_count(df, buckets)
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("variable"), as_col(c).cast("string").alias("value")) for c in cols])))
     counts = long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(
         F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("variable").orderBy(F.col("count").desc(), F.col("value").asc())
-    return counts.select("variable", "value", (F.row_number().over(w) - 1).cast("long").alias("index"), "count")
+    sizes = counts.groupBy("variable").agg(F.greatest(F.floor(F.count(F.lit(1)) / SAMPLED), F.lit(1)).alias("_every"))
+    drawn = counts.join(F.broadcast(sizes), "variable").where(  # one row per column of ``cols``
+        F.pmod(F.xxhash64("value"), F.col("_every")) == 0)
+    cuts = drawn.groupBy("variable").agg(F.sort_array(F.collect_list(F.substring("value", 1, CUT_CHARS))).alias("_s")).select(
+        "variable", F.transform(F.sequence(F.lit(1), F.lit(max(n_b - 1, 1))), lambda i: F.get(
+            "_s", F.floor(i * F.size("_s") / F.lit(n_b)).cast("int"))).alias("_cuts"))
+    placed = counts.join(F.broadcast(cuts), "variable", "left").withColumn(
+        "_range", F.coalesce(count_below(F.col("_cuts"), F.col("value"), max(n_b - 1, 1)), F.lit(0))).drop("_cuts")
+    ranges = placed.groupBy("variable", "count", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("variable", "count").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    more = Window.partitionBy("variable").orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    higher = ranges.groupBy("variable", "count").agg(F.sum("_n").alias("_m")).select(
+        "variable", "count", F.coalesce(F.sum("_m").over(more), F.lit(0)).alias("_higher"))
+    start = join_on_keys(ranges, higher, ["variable", "count"]).select(
+        "variable", "count", "_range", (F.col("_higher") + F.col("_before")).alias("_start"))
+    own = Window.partitionBy("variable", "count", "_range").orderBy("value")
+    return join_on_keys(placed.withColumn("_row", F.row_number().over(own)), start, ["variable", "count", "_range"]).select(
+        "variable", "value", (F.col("_start") + F.col("_row") - 1).cast("long").alias("index"), "count")
 
 
 def encode(df: DataFrame, cols: Sequence[str], how: str = "index") -> DataFrame:

@@ -149,13 +149,17 @@ def cross_validate(df: DataFrame, label: str, xs: Sequence[str], k: int = 5, key
 
 
 # ------------------------------------------------------------------ M4 M5
-def confusion_matrix(pred: DataFrame, label: str = "label", yhat: str = "prediction") -> DataFrame:
+def confusion_matrix(pred: DataFrame, label: str = "label", yhat: str = "prediction",
+                     zero_cells: bool = True) -> DataFrame:
     """Long form (label, prediction, count) over every pair of classes seen
     in either column, zero cells included; NULL is a class of its own when it
     occurs, so the counts add up to the rows.  The classes are a distinct
-    aggregate; their square is the table asked for."""
+    aggregate; their square is the table asked for.  With many classes ask for the cells that
+    occur alone (``zero_cells=False``): one grouped aggregate, never more rows than ``pred``."""
     counts = pred.groupBy(as_col(label).alias("label"), as_col(yhat).alias("prediction")).agg(
         F.count(F.lit(1)).alias("count"))
+    if not zero_cells:
+        return counts
     classes = (counts.select(F.col("label").alias("c")).unionByName(counts.select(F.col("prediction").alias("c"))).distinct())
     grid = classes.select(F.col("c").alias("label")).crossJoin(classes.select(F.col("c").alias("prediction")))
     return (join_on_keys(grid, counts, ["label", "prediction"], "left")

@@ -250,6 +250,18 @@ def c11_map(spark, sf):
     return K.encode_mapping(read_table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
+@register("c11_encode_mapping_many", """
+SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY count DESC, value) - 1 AS index, count
+FROM (SELECT variable, value, count(*) AS count FROM (
+        SELECT 'text' AS variable, text AS value FROM documents
+        UNION ALL SELECT 'n_chars', CAST(n_chars AS VARCHAR) FROM documents) AS l
+      WHERE value IS NOT NULL GROUP BY variable, value) AS c
+""")
+def c11_map_many(spark, sf):
+    """As many categories as documents, and some of many equal counts."""
+    return K.encode_mapping(read_table(spark, sf, "documents"), ["text", "n_chars"])
+
+
 @register("c11_encode_index",
           f"WITH m AS ({_MAP_SQL}) SELECT o.*, a.index AS o_orderstatus_idx, b.index AS o_orderpriority_idx "
           "FROM orders AS o LEFT JOIN m AS a ON a.variable = 'o_orderstatus' AND a.value = o.o_orderstatus "
