@@ -414,9 +414,22 @@ def _ar(g: DataFrame, key: list[str], p: int, horizon: int) -> DataFrame:
         F.when(F.coalesce("p.m", F.lit(0)) <= p + 1, F.lit(f"too few steps for {p} lags")).alias("reason"))
 
 
+def _future(last: DataFrame, ts: str, horizon: int, freq: str, by: Sequence[str], at: DataFrame | None) -> DataFrame:
+    """``last`` (a row per series, ``_last``: the time of its last step) with every ``step`` from 1 to
+    ``horizon`` and its time ``ts``; given ``at`` (``by..., ts``, distinct), with the steps at those times only."""
+    if at is None:
+        steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))).alias("step")
+        return last.select("*", steps).withColumn(ts, shift_time(F.col("_last"), F.col("step"), freq))
+    wanted = join_on_keys(at, last, by) if by else at.crossJoin(F.broadcast(last))  # one row
+    # clock changes move a step's number by one at most
+    near = step_number(ts, freq) - step_number("_last", freq)
+    near = wanted.withColumn("step", F.explode(F.array(near - 1, near, near + 1)))
+    return near.where(F.col("step").between(1, horizon) & (F.col(ts) == shift_time(F.col("_last"), F.col("step"), freq)))
+
+
 def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq: str = "month",
              period: int | None = None, y: str = "y", by: Sequence[str] = (), p: int = 2,
-             **hw) -> DataFrame:
+             at: DataFrame | None = None, **hw) -> DataFrame:
     """``horizon`` future steps per series: ``(by..., step, ts, yhat)``.
 
     naive: last value.  seasonal_naive: value one season back (NULL where
@@ -425,10 +438,10 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
     trend plus the additive seasonal index.  holt_winters: additive HW.  ar:
     AR(p) least squares per series.  The last two also give ``reason``, which
     says why a series has NULL forecasts.  Steps follow the calendar; a
-    series' forecasts start after its last step.
+    series' forecasts start after its last step.  ``at`` (``by..., ts``, distinct)
+    asks for the steps at those times only; holt_winters and ar give all of them.
     """
     by = list(by)
-    steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))).alias("step")
     g = grid.select(*by, ts, nan_to_null(y).alias("y"))
     if method == "holt_winters":
         hwf = holt_winters(g, ts, period or 12, horizon=horizon, freq=freq, by=by, **hw)
@@ -443,11 +456,11 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
         s = with_index(g, ts, freq, by).where(F.col("y").isNotNull()).groupBy(*by).agg(
             F.max_by("y", ts).alias("_last_y"), F.min_by("y", ts).alias("_first_y"), F.max(ts).alias("_last"),
             (F.max("idx") - F.min("idx")).alias("_n"), F.avg("y").alias("_mean"))
-        f = s.select(*by, "_last", "_last_y", "_first_y", "_n", "_mean", steps)
+        f = _future(s, ts, horizon, freq, by, at)
         yhat = {"naive": F.col("_last_y"), "mean": F.col("_mean"),
                 "drift": F.col("_last_y") + F.col("step") * (F.col("_last_y") - F.col("_first_y")) / F.when(
                     F.col("_n") > 0, F.col("_n"))}[method]
-        return f.select(*by, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts), yhat.alias("yhat"))
+        return f.select(*by, "step", ts, yhat.alias("yhat"))
     if method not in ("seasonal_naive", "trend_season"):
         raise ValueError(f"unknown method {method!r}")
     if not period:
@@ -455,10 +468,10 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
     if method == "seasonal_naive":
         gi = with_index(g, ts, freq, by)
         last = gi.groupBy(*by).agg(F.max(ts).alias("_last"), F.max("idx").alias("_n"))
-        fut = last.select(*by, "_last", "_n", steps).withColumn(
+        fut = _future(last, ts, horizon, freq, by, at).withColumn(
             "idx", F.col("_n") - period + 1 + (F.col("step") - 1) % period)
         j = join_on_keys(fut, gi.select(*by, "idx", "y"), [*by, "idx"], "left")
-        return j.select(*by, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts), F.col("y").alias("yhat"))
+        return j.select(*by, "step", ts, F.col("y").alias("yhat"))
     # line through the decomposition's trend component (centred moving
     # average), so the within-season ramp does not leak into the slope
     dec = _decompose(g, ts, freq, period, "additive", "y", by)
@@ -466,11 +479,11 @@ def forecast(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
     base = dec.groupBy(*by).agg(F.regr_slope("trend", x).alias("slope"), F.regr_intercept("trend", x).alias("intercept"),
                                 F.max(ts).alias("_last"), F.max("idx").alias("_n"))
     seas = dec.groupBy(*by, "phase").agg(F.max("seasonal").alias("seasonal"))
-    fut = base.select(*by, "_last", "_n", "slope", "intercept", steps).withColumn(
+    fut = _future(base, ts, horizon, freq, by, at).withColumn(
         "phase", (F.col("_n") + F.col("step")) % period)
     j = join_on_keys(fut, seas, [*by, "phase"], "left")
     yhat = F.col("intercept") + F.col("slope") * (F.col("_n") + F.col("step")) + F.col("seasonal")
-    return j.select(*by, "step", shift_time(F.col("_last"), F.col("step"), freq).alias(ts), yhat.alias("yhat"))
+    return j.select(*by, "step", ts, yhat.alias("yhat"))
 
 
 def backtest(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq: str = "month",
@@ -483,7 +496,8 @@ def backtest(grid: DataFrame, ts: str, horizon: int, method: str = "naive", freq
     g = g.withColumn("_rest", F.max("idx").over(Window.partitionBy(*by)) - F.col("idx"))
     train = g.where(F.col("_rest") >= horizon).select(*by, ts, "y")
     test = g.where(F.col("_rest") < horizon).select(*by, ts, F.col("y").alias("_actual"))
-    fc = forecast(train, ts, horizon, method, freq, period, "y", by, **kw).select(*by, ts, "yhat")
+    # sparse series have far fewer rows to score than steps: only theirs are forecast
+    fc = forecast(train, ts, horizon, method, freq, period, "y", by, at=test.select(*by, ts).distinct(), **kw).select(*by, ts, "yhat")
     j = join_on_keys(test, fc, [*by, ts], "left")
     e = F.col("_actual") - F.col("yhat")
     return j.groupBy(*by).agg(

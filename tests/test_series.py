@@ -245,3 +245,30 @@ def test_arima_with_missing_steps_and_second_differences(spark):
     f = pdf(A.forecast_arima(g, "ts", "day", 4, (0, 2, 0)), "step")
     h = np.arange(300.0, 304)
     assert np.allclose(f["yhat"], 3 + 2 * h + 0.5 * h ** 2, rtol=1e-9)
+
+
+# ---------------------------------------------------------------- sparse backtests
+@pytest.mark.parametrize("method", ["naive", "drift", "mean", "seasonal_naive", "trend_season"])
+def test_forecasts_at_given_times(spark, method):
+    """The steps at some times are those of the whole horizon, for series with NULL keys and gaps too."""
+    g = daily(spark, [1, 4, None, 2, 8, float("nan"), 5, 7, 3], "a").unionByName(daily(spark, [2, None, 3, 4, 9, 1, 6], None, 2))
+    whole = TS.forecast(g, "ts", 40, method, "day", 2, by=["k"])
+    at = whole.where("step in (1, 7, 40)").select("k", "ts").unionByName(g.select("k", "ts")).distinct()
+    some = TS.forecast(g, "ts", 40, method, "day", 2, by=["k"], at=at)
+    assert some.columns == whole.columns
+    key = lambda r: (str(r["k"]), r["step"])
+    assert sorted(some.collect(), key=key) == sorted(whole.where("step in (1, 7, 40)").collect(), key=key)
+    one = g.where("k = 'a'").select("ts", "y")
+    alone = TS.forecast(one, "ts", 40, method, "day", 2, at=at.where("k = 'a'").select("ts"))
+    assert sorted(alone.collect()) == sorted(TS.forecast(one, "ts", 40, method, "day", 2).where("step in (1, 7, 40)").collect())
+
+
+def test_backtest_does_not_list_every_step(spark):
+    """400 series of two values, 300 000 steps held out: before, 120 million forecasts were made and broadcast."""
+    rows = [(k, DAY0 + dt.timedelta(hours=h), float(h)) for k in range(400) for h in (0, 300_000 + k)]
+    g = spark.createDataFrame(rows, "k long, ts timestamp_ntz, y double").repartition(4)
+    out = TS.backtest(g, "ts", 300_000, "naive", "hour", by=["k"])
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["k"]: (r["n"], r["mae"]) for r in out.collect()}
+    # a step is scored only within the horizon from the series' last training step
+    assert got == {k: ((1, 300_000.0) if k == 0 else (0, None)) for k in range(400)}
