@@ -272,3 +272,29 @@ def test_backtest_does_not_list_every_step(spark):
     got = {r["k"]: (r["n"], r["mae"]) for r in out.collect()}
     # a step is scored only within the horizon from the series' last training step
     assert got == {k: ((1, 300_000.0) if k == 0 else (0, None)) for k in range(400)}
+
+
+def test_package_is_shipped_once_from_threads(spark, monkeypatch):
+    """Fits in parallel ship the package at the same time: one does, the others wait for it."""
+    import threading
+    import time
+
+    from tally import session
+    from tally.functions.stats import run_parallel
+
+    sent, inside = [], []
+
+    class Context:
+        applicationId, master = "app-of-this-test", "local[1]"
+
+        def addPyFile(self, path):
+            inside.append(threading.get_ident())
+            time.sleep(0.2)
+            sent.append(path)
+
+    class Session:
+        sparkContext = Context()
+
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: session.tempfile.mkdtemp(prefix="tally-test-"))
+    run_parallel(lambda _: session.ship_package(Session()), range(4))
+    assert len(sent) == len(inside) == 1
