@@ -207,9 +207,10 @@ def _rank_vectors(df: DataFrame, cols: Sequence[str], buckets: int | None = None
     cum = running_sums(counts, "value", ["_n"], by=["variable"], buckets=buckets, unique_order=True)
     ranks = cum.select("variable", "value", (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias("_rank"))
     rows = long(base.withColumn("_row", F.monotonically_increasing_id()), "_row")
+    # one maximum per column: collected lists would send every row through a sort
     ranked = rows.join(ranks, ["variable", "value"]).groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.struct("variable", "_rank"))).alias("_r"))
-    return ranked.select(F.col("_r._rank").alias("_v"))
+        *[F.max(F.when(F.col("variable") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(cols))])
+    return ranked.select(F.array(*[F.col(f"_r{i}") for i in range(len(cols))]).alias("_v"))
 
 
 def correlation(df: DataFrame, cols: Sequence[str] | None = None, method: str = "pearson",

@@ -153,3 +153,12 @@ def test_forest_reads_its_rows_once(spark):
     model = M.fit_forest(rows.mapInArrow(counted, rows.schema), "label", ["a", "b"])
     assert read.value == 400
     assert M.feature_importance(model, ["a", "b"]).orderBy("importance").collect()[-1]["feature"] == "a"
+
+
+def test_ranks_return_to_their_rows_without_lists(spark):
+    """Average ranks of tied columns, each in its column's place, from aggregates that need no sorted lists."""
+    from tally.operators.profile import _rank_vectors
+    rows = spark.createDataFrame([(3.0, 1.0), (1.0, 1.0), (2.0, 5.0), (3.0, 0.0), (None, 9.0)], "a double, b double")
+    ranks = _rank_vectors(rows, ["a", "b"])
+    assert sorted(tuple(r["_v"]) for r in ranks.collect()) == [(1.0, 2.5), (2.0, 4.0), (3.5, 1.0), (3.5, 2.5)]
+    assert "collect_list" not in ranks._jdf.queryExecution().optimizedPlan().toString()
