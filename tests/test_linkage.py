@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tally.operators import linkage as L
 
@@ -77,3 +78,42 @@ def test_few_rows_missing_features_and_clashing_names(spark):
     assert [(r["a"], r["b"], r["height"]) for r in rows] == [(1, 4, 2.0)]
     assert L.single_linkage(df.limit(0), ["x"], "id", scale=False).collect() == []
     assert L.single_linkage(df.where("id = 1"), ["x"], "id", scale=False).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["clusters", "three", "copies"])
+def test_many_cells_give_the_edges_of_one(spark, kind, monkeypatch):
+    x = points(kind)[::3]
+    df, xs = frame(spark, x), [f"f{j}" for j in range(x.shape[1])]
+    one = {tuple(r) for r in L.single_linkage(df, xs, "id", scale=False).collect()}
+    monkeypatch.setattr(L, "CELL", 24)
+    monkeypatch.setattr(L, "CHUNK", 100)
+    many = L.single_linkage(df, xs, "id", scale=False).collect()
+    assert np.allclose(sorted(r["height"] for r in many), brute_heights(x), rtol=1e-9, atol=1e-12)
+    assert {tuple(r) for r in many} == one and len(many) == len(one)
+
+
+def test_keys_may_be_texts(spark, monkeypatch):
+    x = points("clusters")[::3]
+    df = frame(spark, x).withColumn("id", F.concat(F.lit("k"), "id"))
+    monkeypatch.setattr(L, "CELL", 24)
+    rows = L.single_linkage(df, ["f0", "f1"], "id", scale=False).collect()
+    assert all(r["a"] < r["b"] for r in rows)
+    assert np.allclose(sorted(r["height"] for r in rows), brute_heights(x), rtol=1e-9, atol=1e-12)
+
+
+def test_a_round_sends_a_row_to_few_cells(spark, monkeypatch):
+    """Once every row was joined with the rows of each leaf near its own (some 20 in the plane), in every round."""
+    n, sent = 6000, []
+    x = np.random.default_rng(3).random((n, 2))
+    monkeypatch.setattr(L, "CELL", 256)
+    found = L._sent
+
+    def counted(*args):
+        out = found(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "_sent", counted)
+    rows = L.single_linkage(frame(spark, x), ["f0", "f1"], "id", scale=False).collect()
+    assert np.allclose(sorted(r["height"] for r in rows), brute_heights(x), rtol=1e-9, atol=1e-12)
+    assert max(sent) <= n / 2 and sum(sent) <= 2 * n
