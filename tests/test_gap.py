@@ -60,3 +60,19 @@ def test_odd_tables(spark):
     assert all(r["log_w"] is None and not r["chosen"] for r in same.values())
     with pytest.raises(ValueError):
         K.gap_statistic(empty, ["x"], [0, 1])
+
+
+def test_only_plain_numbers_are_cached(spark, monkeypatch):
+    df, cached = _frame(spark, [(i % 7, i % 5) for i in range(70)]), []
+    persist = type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self, *a: cached.append(self.schema) or persist(self, *a))
+    _gap(df, [1, 2], references=2)
+    assert [[f.dataType.typeName() for f in s] for s in cached] == [["double", "double"]]
+
+
+def test_rows_far_from_the_origin(spark):
+    same = _gap(_frame(spark, [(1e6 + 0.1, 0.3)] * 9 + [(1e6 + 0.7, 0.9)] * 9), [2, 3], references=2, scale=False)
+    assert all(r["log_w"] is None and not r["chosen"] for r in same.values())
+    near = _gap(_frame(spark, [(x + d, x) for x in (0, 5) for d in (0.0, 0.1)]), [2], references=2, scale=False, rotate=False)
+    far = _gap(_frame(spark, [(x + d + 2**30, x) for x in (0, 5) for d in (0.0, 0.1)]), [2], references=2, scale=False, rotate=False)
+    assert far[2]["log_w"] == pytest.approx(near[2]["log_w"], rel=1e-5)
