@@ -127,7 +127,8 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     a = v.select(*keys, F.col("fp").alias("src"))
     b = v.select(*keys, F.col("fp").alias("dst"))
     diff = F.bit_count(F.col("src").bitwiseXOR(F.col("dst")))
-    return (a.join(b, keys).where((F.col("src") < F.col("dst")) & (diff <= max_bits))
+    # a table's size in the plan is that before the explode, by which Spark would broadcast all the variants
+    return (a.join(b.hint("merge"), keys).where((F.col("src") < F.col("dst")) & (diff <= max_bits))
             .select("src", "dst").distinct())
 
 

@@ -70,6 +70,13 @@ def test_links_of_large_variants(spark, monkeypatch):
     assert found == {frozenset((signed(a), signed(b))) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 2}
 
 
+def test_variants_are_never_broadcast(spark):
+    """64 rows a fingerprint: the size in the plan is that of the fingerprints."""
+    reps = simhash.materialize(spark.range(1000).select(F.xxhash64("id").alias("fp")), "simhash-test")
+    plan = simhash.links(reps, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_every_piece_splits_a_hot_variant(spark):
     """Fingerprints that share one half meet in small groups for each piece of the other half."""
     rnd = random.Random(2)
